@@ -33,3 +33,16 @@ def safe_div(num, den, default=None) -> Column:
 
 def clamp(c, lo, hi) -> Column:
     return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
+
+
+def cents_avg(c) -> Column:
+    """Exact mean of 2-dp money values: integer cents summed, then one
+    division (no dependence on summation order)."""
+    c = _c(c)
+    cents = F.round(c * 100.0).cast("long")
+    return F.sum(cents) / F.count(c) / 100.0
+
+
+def cents_avg_sql(expr: str) -> str:
+    """SQL text of :func:`cents_avg`."""
+    return f"(sum(CAST(round(({expr}) * 100.0) AS BIGINT)) / count({expr}) / 100.0)"

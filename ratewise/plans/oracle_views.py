@@ -7,6 +7,7 @@ body with the CTEs it needs (dependencies first).
 
 from __future__ import annotations
 
+from ratewise.functions.mathx import rnd_sql
 from ratewise.sources.fixed import TENANT_ID, fixed_table_sql
 
 T = TENANT_ID
@@ -52,8 +53,8 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                p_retailprice / 10 AS base_rate
         FROM part JOIN categories c ON part.p_type = c.p_type""", ("categories",)),
     "rate_details": ("""
-        SELECT rate_id, period_id, round(base_rate * multiplier, 2) AS rate
-        FROM rates CROSS JOIN rate_bands""", ("rates", "rate_bands")),
+        SELECT rate_id, period_id, {rate} AS rate
+        FROM rates CROSS JOIN rate_bands""".format(rate=rnd_sql("base_rate * multiplier", 2)), ("rates", "rate_bands")),
     "weather": (f"""
         SELECT {T} AS tenant_id, g.branch_id, b.city_name, g.weather_date,
                20.0 + (_tp % 2600) / 100.0 AS t_max,

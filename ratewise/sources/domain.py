@@ -27,6 +27,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratewise.functions.mathx import rnd
 from ratewise.sources.fixed import TENANT_ID, fixed_table
 from ratewise.sources.tables import Tables
 
@@ -136,7 +137,7 @@ class Domain:
         return (
             self.rates.select("rate_id", "base_rate").crossJoin(bands)
             .select("rate_id", "period_id",
-                    F.round(F.col("base_rate") * F.col("multiplier"), 2).alias("rate"))
+                    rnd(F.col("base_rate") * F.col("multiplier"), 2).alias("rate"))
         )
 
     @cached_property
