@@ -174,6 +174,24 @@ class Domain:
         span = self.contracts.agg(F.min("start_date").alias("lo"), F.max("start_date").alias("hi"))
         return span.select(F.explode(F.sequence(F.year("lo"), F.year("hi"))).alias("year"))
 
+    @cached_property
+    def day_bounds(self) -> DataFrame:
+        """One row per tenant: first and last contract start day."""
+        return self.contracts.groupBy("tenant_id").agg(
+            F.min("start_date").alias("lo"), F.max("start_date").alias("hi"))
+
+    @cached_property
+    def day_spine(self) -> DataFrame:
+        """Every day of the contract period, per tenant."""
+        from ratewise.operators.calendar import day_spine
+        return day_spine(self.day_bounds)
+
+    @cached_property
+    def city_spine(self) -> DataFrame:
+        """Every day of the contract period for every branch city."""
+        cities = self.branches.select("tenant_id", "city_name").distinct()
+        return self.day_spine.join(F.broadcast(cities), "tenant_id")
+
     @cached_property
     def holidays(self) -> DataFrame:
         from ratewise.operators.calendar import fixed_holidays
