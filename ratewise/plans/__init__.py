@@ -1,5 +1,5 @@
 """Registered queries (one per operator of the inventory) and their
 SQL oracles.  Importing this package registers every query."""
 
-from ratewise.plans import calendar_plans, demand_plans, feature_plans, rate_plans  # noqa: F401
+from ratewise.plans import calendar_plans, demand_plans, feature_plans, forecast_plans, rate_plans  # noqa: F401
 from ratewise.plans.registry import ORACLE, QUERIES  # noqa: F401
