@@ -12,22 +12,22 @@ from ratewise.functions.calendar import DEFAULT_WEEKEND, day_number, is_weekend
 MAJOR_EVENT_SCORE = 3.0
 
 
-def fixed_holidays(years: DataFrame, rules: DataFrame, tenant_id: int) -> DataFrame:
+def fixed_holidays(years: DataFrame, rules, tenant_id: int) -> DataFrame:
     """SRC-06: fixed-date national days for every year in ``years``.
 
-    ``years`` has one row per year; the rule table is a fixed literal, so
-    the cross product is years x rules, both tiny and bounded.
+    ``rules`` is the fixed list of (month, day, name, type); each year row
+    expands the literal rule array, so no join is needed.
     """
-    return (
-        years.crossJoin(F.broadcast(rules))
-        .select(
-            F.lit(tenant_id).alias("tenant_id"),
-            F.make_date("year", "h_month", "h_day").alias("holiday_date"),
-            "holiday_name",
-            F.lit(None).cast("string").alias("holiday_name_ar"),
-            "holiday_type",
-            F.lit(True).alias("is_public_holiday"),
-        )
+    arr = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(dd).alias("d"), F.lit(n).alias("name"),
+                             F.lit(t).alias("type")) for m, dd, n, t in rules])
+    x = years.select("year", F.explode(arr).alias("r"))
+    return x.select(
+        F.lit(tenant_id).alias("tenant_id"),
+        F.make_date("year", "r.m", "r.d").alias("holiday_date"),
+        F.col("r.name").alias("holiday_name"),
+        F.lit(None).cast("string").alias("holiday_name_ar"),
+        F.col("r.type").alias("holiday_type"),
+        F.lit(True).alias("is_public_holiday"),
     )
 
 
@@ -128,7 +128,7 @@ def holiday_type_priority(types_col, priority) -> F.Column:
         return lambda x: F.lower(x).contains(p.lower())
 
     picks = [F.when(F.exists(t, contains(p)), F.lit(p)) for p in priority]
-    return F.coalesce(*picks, F.element_at(t, 1), F.lit("Unknown"))
+    return F.coalesce(*picks, F.try_element_at(t, F.lit(1)), F.lit("Unknown"))
 
 
 def holiday_payload(holidays: DataFrame) -> DataFrame:

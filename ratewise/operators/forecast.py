@@ -135,10 +135,8 @@ def rolling_backtest(total: DataFrame, cutoff: dt.date, horizon: int, n_folds: i
     k * horizon days.  One folds table joined to the history replicates
     the (aggregated, small) total series once per fold."""
     keys = list(keys)
-    spark = total.sparkSession
-    folds = spark.range(n_folds).select(F.col("id").cast("int").alias("fold"),
-                                        F.date_sub(F.lit(cutoff), (F.col("id") * horizon).cast("int")).alias("fold_cutoff"))
-    hist = total.crossJoin(F.broadcast(folds))
+    hist = total.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold"))
+    hist = hist.withColumn("fold_cutoff", F.date_sub(F.lit(cutoff), F.col("fold") * horizon))
     train = hist.where(F.col("demand_date") < F.col("fold_cutoff"))
     fc = MODELS[model](train.drop("fold_cutoff"), horizon, keys + ["fold"])
     val = hist.where((F.col("demand_date") >= F.col("fold_cutoff"))

@@ -79,7 +79,9 @@ def category_prices_with_fallback(rates: DataFrame, details: DataFrame, bands: D
     lines = rate_lines(effective_on(rates, day), details, bands)
     spec = category_prices(lines.where(F.col("branch_id").isNotNull()), ["tenant_id", "branch_id", "category_id"])
     dflt = category_prices(lines.where(F.col("branch_id").isNull()), ["tenant_id", "category_id"])
-    grid = branches.select("tenant_id", "branch_id").crossJoin(F.broadcast(categories.select("category_id")))
+    from ratewise.sources.fixed import CATEGORIES
+    cat_ids = F.array(*[F.lit(c[0]) for c in CATEGORIES])
+    grid = branches.select("tenant_id", "branch_id", F.explode(cat_ids).alias("category_id"))
     cols = ["daily_rate", "weekly_rate", "monthly_rate", "model_count"]
     s = spec.select("tenant_id", "branch_id", "category_id", *[F.col(c).alias("s_" + c) for c in cols])
     t = dflt.select("tenant_id", "category_id", *[F.col(c).alias("d_" + c) for c in cols])

@@ -1,5 +1,11 @@
 """Registered queries (one per operator of the inventory) and their
 SQL oracles.  Importing this package registers every query."""
 
-from ratewise.plans import calendar_plans, demand_plans, feature_plans, forecast_plans, rate_plans  # noqa: F401
+# Order matters: later modules reuse SQL views registered by earlier ones.
+from ratewise.plans import demand_plans  # noqa: F401
+from ratewise.plans import feature_plans  # noqa: F401
+from ratewise.plans import rate_plans  # noqa: F401
+from ratewise.plans import calendar_plans  # noqa: F401
+from ratewise.plans import forecast_plans  # noqa: F401
+from ratewise.plans import competitor_plans  # noqa: F401
 from ratewise.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -8,6 +8,7 @@ from ratewise.functions.mathx import cents_avg_sql, rnd_sql as R
 from ratewise.operators import demand as dm
 from ratewise.operators import rates as rt
 from ratewise.operators import utilization as ut
+from ratewise.plans import feature_plans  # noqa: F401  (registers shared views)
 from ratewise.plans import params as P
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query

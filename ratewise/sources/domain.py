@@ -133,11 +133,13 @@ class Domain:
     @cached_property
     def rate_details(self) -> DataFrame:
         """Rate x period rows (the composite-key detail table)."""
-        bands = F.broadcast(self.fixed("rate_bands"))
+        from ratewise.sources.fixed import RATE_BANDS
+        bands = F.array(*[F.struct(F.lit(pid).alias("period_id"), F.lit(float(mult)).alias("multiplier"))
+                          for pid, _lo, _hi, mult in RATE_BANDS])
         return (
-            self.rates.select("rate_id", "base_rate").crossJoin(bands)
-            .select("rate_id", "period_id",
-                    rnd(F.col("base_rate") * F.col("multiplier"), 2).alias("rate"))
+            self.rates.select("rate_id", "base_rate", F.explode(bands).alias("b"))
+            .select("rate_id", F.col("b.period_id").alias("period_id"),
+                    rnd(F.col("base_rate") * F.col("b.multiplier"), 2).alias("rate"))
         )
 
     @cached_property
@@ -195,7 +197,34 @@ class Domain:
     @cached_property
     def holidays(self) -> DataFrame:
         from ratewise.operators.calendar import fixed_holidays
-        return fixed_holidays(self.contract_years, self.fixed("fixed_holidays"), self.tenant_id)
+        from ratewise.sources.fixed import FIXED_HOLIDAYS
+        return fixed_holidays(self.contract_years, FIXED_HOLIDAYS, self.tenant_id)
+
+    @cached_property
+    def listings(self) -> DataFrame:
+        """Competitor quotes: one per line item; the supplier is the
+        competitor, the part gives the vehicle name and feed group."""
+        from ratewise.functions.text import MODEL_CATEGORIES
+        li, p, s = self.t.lineitem, self.t.part, self.t.supplier
+        keys = F.array(*[F.lit(k) for k, _ in MODEL_CATEGORIES])
+        vname = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(
+            F.concat(F.element_at(keys, (F.col("p_partkey") % len(MODEL_CATEGORIES) + 1).cast("int")),
+                     F.lit(" "), F.col("p_name")))
+        return (
+            li.join(p.select("p_partkey", "p_name", "p_type", "p_size"), li.l_partkey == p.p_partkey)
+            .join(s.select("s_suppkey", "s_name", "s_nationkey"), li.l_suppkey == s.s_suppkey)
+            .select(
+                (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("quote_id"),
+                F.lit(self.tenant_id).alias("tenant_id"),
+                F.col("s_nationkey").alias("branch_id"),
+                F.to_date("l_shipdate").alias("price_date"),
+                F.col("s_name").alias("competitor_name"),
+                vname.alias("vehicle_name"),
+                F.initcap("p_type").alias("vehicle_group"),
+                (F.col("l_extendedprice") / 10).alias("total_price"),
+                F.col("l_quantity").cast("int").alias("rental_days"),
+            )
+        )
 
     @cached_property
     def event_signal(self) -> DataFrame:

@@ -79,6 +79,18 @@ EVENT_CITY = [
     ("view", "MIDDLE EAST"),
 ]
 
+# --- fixed values: our category -> competitor vehicle type ------------------
+# (category_id, competitor_vehicle_type); unmapped categories use Economy.
+COMPETITOR_MAPPING = [
+    (1, "Economy"),
+    (2, "Compact"),
+    (3, "Standard"),
+    (4, "SUV Standard"),
+    (5, "Luxury Sedan"),
+    (6, "SUV Large"),
+]
+DEFAULT_COMPETITOR_TYPE = "Economy"
+
 # --- fixed values: national holidays with a fixed calendar date -------------
 # (month, day, name, type)
 FIXED_HOLIDAYS = [
@@ -124,7 +136,13 @@ FIXED_HOLIDAY_SCHEMA = T.StructType([
     T.StructField("holiday_type", T.StringType(), False),
 ])
 
+COMPETITOR_MAPPING_SCHEMA = T.StructType([
+    T.StructField("category_id", T.IntegerType(), False),
+    T.StructField("competitor_vehicle_type", T.StringType(), False),
+])
+
 _FIXED = {
+    "competitor_mapping": (COMPETITOR_MAPPING, COMPETITOR_MAPPING_SCHEMA),
     "categories": (CATEGORIES, CATEGORY_SCHEMA),
     "rate_bands": (RATE_BANDS, RATE_BAND_SCHEMA),
     "status_config": (STATUS_CONFIG, STATUS_SCHEMA),
