@@ -8,4 +8,5 @@ from ratewise.plans import rate_plans  # noqa: F401
 from ratewise.plans import calendar_plans  # noqa: F401
 from ratewise.plans import forecast_plans  # noqa: F401
 from ratewise.plans import competitor_plans  # noqa: F401
+from ratewise.plans import recommend_plans  # noqa: F401
 from ratewise.plans.registry import ORACLE, QUERIES  # noqa: F401
