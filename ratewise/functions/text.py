@@ -87,39 +87,74 @@ def localized_name(raw, lang: str = "ar") -> Column:
     return F.coalesce(F.get_json_object(raw, f"$.{lang}"), F.get_json_object(raw, "$.en"), raw)
 
 
-def brand_and_model(name) -> Column:
-    """CMP-01: struct(brand, model) of a free-text vehicle name.
-
-    First brand of the list (in list order) contained case-insensitively;
-    model = text after it without leading dashes/blanks, or the whole name
-    when nothing follows.  No known brand: split at the first space, else
-    ('Unknown', name).  Empty name: ('Unknown', 'Unknown').
-    """
-    raw = _c(name)
+def _first_match(low: Column, pairs) -> Column:
+    """First (key, value) whose lower-cased key is contained in ``low``, as a
+    CASE WHEN chain: list order is evaluation order, it stops at the first
+    hit and is compiled by whole-stage codegen (unlike a lambda ``filter``)."""
+    expr = None
+    for key, value in pairs:
+        cond = low.contains(F.lit(key.lower()))
+        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
+    return expr
+
+
+def brand_of(name) -> Column:
+    """CMP-01 first step: the first known brand (list order) contained
+    case-insensitively in the stripped name, else NULL."""
+    return _first_match(F.lower(_strip(_c(name))), [(b, b) for b in KNOWN_BRANDS])
+
+
+def model_of(name, brand) -> Column:
+    """CMP-01 second step, given the brand column: text after the brand
+    without leading dashes/blanks (the whole name when nothing follows);
+    without a brand, the part after the first space, else the name."""
+    raw, brand = _c(name), _c(brand)
     nm = _strip(raw)
-    low = F.lower(nm)
-    hits = F.filter(F.array(*[F.lit(b) for b in KNOWN_BRANDS]), lambda b: low.contains(F.lower(b)))
-    brand = F.try_element_at(hits, F.lit(1))
-    pos = F.position(F.lower(F.coalesce(brand, F.lit(""))), low)
+    pos = F.position(F.lower(brand), F.lower(nm))
     after = F.regexp_replace(_strip(F.substr(nm, pos + F.length(brand))), r"^[-\s]+", "")
-    model_b = F.when(after == "", nm).otherwise(after)
     sp = F.locate(" ", nm)
     empty = raw.isNull() | (raw == "")
-    brand_out = (F.when(empty, F.lit("Unknown")).when(brand.isNotNull(), brand)
-                 .when(sp > 0, F.substring_index(nm, " ", 1)).otherwise(F.lit("Unknown")))
-    model_out = (F.when(empty, F.lit("Unknown")).when(brand.isNotNull(), model_b)
-                 .when(sp > 0, F.substr(nm, sp + 1)).otherwise(nm))
-    return F.struct(brand_out.alias("brand"), model_out.alias("model"))
+    return (F.when(empty, F.lit("Unknown"))
+            .when(brand.isNotNull(), F.when(after == "", nm).otherwise(after))
+            .when(sp > 0, F.substr(nm, sp + 1)).otherwise(nm))
+
+
+def brand_label(name, brand) -> Column:
+    """Final brand: 'Unknown' for empty names or names without a space."""
+    raw, brand = _c(name), _c(brand)
+    nm = _strip(raw)
+    empty = raw.isNull() | (raw == "")
+    return (F.when(empty, F.lit("Unknown")).when(brand.isNotNull(), brand)
+            .when(F.locate(" ", nm) > 0, F.substring_index(nm, " ", 1)).otherwise(F.lit("Unknown")))
+
+
+def with_brand_and_model(df, name_col: str = "vehicle_name"):
+    """CMP-01 on a DataFrame: adds ``brand`` and ``model``.
+
+    The matched brand is projected once and the dependent columns are
+    computed in a second projection, so the dictionary scan runs once per
+    row."""
+    x = df.withColumn("_brand", brand_of(name_col))
+    return x.withColumn("brand", brand_label(name_col, "_brand")) \
+            .withColumn("model", model_of(name_col, "_brand")).drop("_brand")
+
+
+def brand_and_model(name) -> Column:
+    """CMP-01 as one Column (struct(brand, model)), for small inputs."""
+    b = brand_of(name)
+    return F.struct(brand_label(name, b).alias("brand"), model_of(name, b).alias("model"))
 
 
 def competitor_category(name, group) -> Column:
     """CMP-02: first model key (dictionary order) contained in the name ->
     its category; else the feed group's category; else Standard."""
     low = F.lower(F.coalesce(_c(name), F.lit("")))
-    models = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("c")) for k, v in MODEL_CATEGORIES])
-    hit = F.try_element_at(F.filter(models, lambda s: low.contains(F.lower(s["k"]))), F.lit(1))
-    groups = F.create_map(*[x for kv in GROUP_CATEGORIES for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return F.coalesce(hit["c"], F.try_element_at(groups, _c(group)), F.lit(DEFAULT_CATEGORY))
+    hit = _first_match(low, MODEL_CATEGORIES)
+    grp = None
+    for k, v in GROUP_CATEGORIES:
+        cond = _c(group) == F.lit(k)
+        grp = F.when(cond, F.lit(v)) if grp is None else grp.when(cond, F.lit(v))
+    return F.coalesce(hit, grp, F.lit(DEFAULT_CATEGORY))
 
 
 def brand_and_model_sql(name: str) -> tuple[str, str]:

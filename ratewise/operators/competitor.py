@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.mathx import cents_avg, rnd
-from ratewise.functions.text import brand_and_model, competitor_category
+from ratewise.functions.text import competitor_category, with_brand_and_model
 
 SEARCH = ["tenant_id", "branch_id", "price_date"]
 
@@ -32,9 +32,8 @@ def classify_listings(listings: DataFrame) -> DataFrame:
     """CMP-01 + CMP-02 + SRC-03 projection: brand, model, competitor
     category and per-day / weekly (x6) / monthly (x25) prices."""
     names = listings.select("vehicle_name", "vehicle_group").distinct()
-    bm = brand_and_model("vehicle_name")
-    names = names.select("vehicle_name", "vehicle_group", bm["brand"].alias("brand"), bm["model"].alias("model"),
-                         competitor_category("vehicle_name", "vehicle_group").alias("category"))
+    names = with_brand_and_model(names).withColumn(
+        "category", competitor_category("vehicle_name", "vehicle_group"))
     j = listings.join(names, ["vehicle_name", "vehicle_group"])
     daily = per_day_price("total_price", "rental_days")
     return j.select("*", rnd(daily, 2).alias("daily_price"), rnd(daily * 6, 2).alias("weekly_price"),

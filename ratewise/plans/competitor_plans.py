@@ -96,6 +96,14 @@ register_view("comp_index", f"""
 
 
 
+def fact(d):
+    """The demand fact of this query (a materialized feature store, which
+    carries the fact columns, when the caller has one)."""
+    if "_fact" not in d.__dict__:
+        d.__dict__["_fact"] = dm.build_daily_demand(d)
+    return d.__dict__["_fact"]
+
+
 def _quotes(d):
     if "_quotes" not in d.__dict__:
         d.__dict__["_quotes"] = cp.classify_listings(d.listings)
@@ -106,7 +114,7 @@ def base_rates(d):
     """PRC-03 base rates for every branch x category."""
     if "_base" not in d.__dict__:
         cells = rc.cell_grid(d.branches, [c[0] for c in CATEGORIES])
-        hist = rt.historical_mean_price(dm.build_daily_demand(d))
+        hist = rt.historical_mean_price(fact(d))
         d.__dict__["_base"] = rt.resolve_base_rates(cells, _cat_prices(d), hist, d.categories, GENERIC_DAILY_RATE)
     return d.__dict__["_base"]
 
@@ -121,10 +129,8 @@ def comp_index(d):
 @query("cmp_01", with_views("SELECT DISTINCT vehicle_name, brand, model FROM names", "names"))
 def cmp_01(d):
     """CMP-01: brand / model extraction from vehicle names (list order)."""
-    from ratewise.functions.text import brand_and_model
-    n = d.listings.select("vehicle_name").distinct()
-    x = brand_and_model("vehicle_name")
-    return n.select("vehicle_name", x["brand"].alias("brand"), x["model"].alias("model"))
+    from ratewise.functions.text import with_brand_and_model
+    return with_brand_and_model(d.listings.select("vehicle_name").distinct())
 
 
 @query("cmp_02", with_views("SELECT vehicle_name, vehicle_group, category FROM names", "names"))

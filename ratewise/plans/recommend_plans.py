@@ -15,6 +15,7 @@ from ratewise.plans.competitor_plans import base_rates, comp_index
 from ratewise.plans.feature_plans import _fs
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
+from ratewise.sinks.io import materialize
 from ratewise.sources.fixed import CATEGORIES, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS
 
 RUN = f"DATE '{P.RUN_DATE}'"
@@ -182,13 +183,19 @@ def recommendations(d, run_date=P.RUN_DATE, forecasts=None):
     key = ("_recs", run_date)
     if key in d.__dict__:
         return d.__dict__[key]
+    # The feature store, base rates, competitor index and forecasts each feed
+    # several signal branches: compute each once and cut its lineage.
+    d.__dict__["_fs"] = materialize(_fs(d))
+    d.__dict__["_fact"] = d.__dict__["_fs"]
+    d.__dict__["_base"] = materialize(base_rates(d))
+    d.__dict__["_cidx"] = materialize(comp_index(d))
     cells = _cells(d)
     spine = rc.horizon_spine(cells, run_date, H)
     fs = _fs(d)
     util = fs.select(*rc.CELL, F.col("demand_date").alias("forecast_date"), "utilization_contracts",
                      "utilization_bookings")
     if forecasts is None:
-        forecasts = forecast_plans.forecast_runs(d)
+        forecasts = materialize(forecast_plans.forecast_runs(d))
     fcst = fc.latest_forecast(forecasts).select(*rc.CELL, "forecast_date", "forecast_demand")
     comp = comp_index(d).select(*rc.CELL, F.col("index_date").alias("forecast_date"), "competitor_avg_price")
     wxs = wx.score_weather(d.weather, P.SPLIT_CUTOFF).select(

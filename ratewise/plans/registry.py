@@ -19,16 +19,12 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
-_DOMAINS: dict[tuple[int, str], Domain] = {}
 
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
-    """One :class:`Domain` per (session, directory), so plans share sub-plans."""
-    key = (id(spark), sf_dir)
-    d = _DOMAINS.get(key)
-    if d is None or d.spark is not spark:
-        d = _DOMAINS[key] = Domain(spark, sf_dir)
-    return d
+    """A fresh :class:`Domain` per query call: sub-plans are shared within
+    one query, nothing (in particular no materialized table) across calls."""
+    return Domain(spark, sf_dir)
 
 
 def query(name: str, oracle: str | None = None):
