@@ -110,6 +110,11 @@ def _quotes(d):
     return d.__dict__["_quotes"]
 
 
+def window_quotes(d, start, end):
+    """Quotes of a date window only (the date filter is pushed into the scan)."""
+    return cp.classify_listings(d.listings_between(start, end))
+
+
 def base_rates(d):
     """PRC-03 base rates for every branch x category."""
     if "_base" not in d.__dict__:

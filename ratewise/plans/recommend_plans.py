@@ -179,30 +179,52 @@ def _mean_train(d):
 
 
 def recommendations(d, run_date=P.RUN_DATE, forecasts=None):
-    """PRC-05 over every branch x category for the run window."""
+    """PRC-05 over every branch x category for the run window.
+
+    Inputs are computed once each and, where several signal branches read
+    them, materialized (fact with split, base rates, competitor index,
+    forecasts).  Only the 30-day window is read for utilization and
+    competitor quotes: the date bounds reach the parquet scans.
+    """
+    import datetime as dt
+    from ratewise.operators import competitor as cpo
+    from ratewise.operators import demand as dm
+    from ratewise.operators import timeseries as ts
+    from ratewise.operators import utilization as ut
+    from ratewise.plans.competitor_plans import window_quotes
+    from ratewise.sources.fixed import DEFAULT_COMPETITOR_TYPE
     key = ("_recs", run_date)
     if key in d.__dict__:
         return d.__dict__[key]
-    # The feature store, base rates, competitor index and forecasts each feed
-    # several signal branches: compute each once and cut its lineage.
-    d.__dict__["_fs"] = materialize(_fs(d))
-    d.__dict__["_fact"] = d.__dict__["_fs"]
-    d.__dict__["_base"] = materialize(base_rates(d))
-    d.__dict__["_cidx"] = materialize(comp_index(d))
+    end = run_date + dt.timedelta(days=H - 1)
+    fact = dm.build_daily_demand(d).withColumn("split_flag", ts.split_flag("demand_date", P.SPLIT_CUTOFF))
+    fact = materialize(fact, "fact")
+    d.__dict__["_fs"] = d.__dict__["_fact"] = fact
+    base = materialize(base_rates(d), "base_rates")
+    d.__dict__["_base"] = base
+    comp = cpo.competitor_index(window_quotes(d, run_date, end), d.fixed("competitor_mapping"), base,
+                                DEFAULT_COMPETITOR_TYPE)
     cells = _cells(d)
     spine = rc.horizon_spine(cells, run_date, H)
-    fs = _fs(d)
-    util = fs.select(*rc.CELL, F.col("demand_date").alias("forecast_date"), "utilization_contracts",
-                     "utilization_bookings")
+    rentals = dm.with_category(dm.executed_rentals(d.contracts, tenant_id=d.tenant_id), d.vehicles)
+    on_rent = ut.on_rent_daily(rentals.where((F.col("start_date") <= F.lit(end))
+                                             & (F.col("end_date") >= F.lit(run_date))), run_date, end)
+    util = (fact.where(F.col("demand_date").between(F.lit(run_date), F.lit(end)))
+                .select(*rc.CELL, F.col("demand_date").alias("day"))
+                .join(on_rent, rc.CELL + ["day"]).join(ut.fleet_size(d.vehicles), rc.CELL)
+                .select(*rc.CELL, F.col("day").alias("forecast_date"),
+                        rnd(F.col("vehicles_on_rent") / F.col("fleet_size"), 4).alias("utilization_contracts"),
+                        F.lit(None).cast("double").alias("utilization_bookings")))
     if forecasts is None:
-        forecasts = materialize(forecast_plans.forecast_runs(d))
+        forecasts = materialize(forecast_plans.forecast_runs(d), "forecast_runs")
     fcst = fc.latest_forecast(forecasts).select(*rc.CELL, "forecast_date", "forecast_demand")
-    comp = comp_index(d).select(*rc.CELL, F.col("index_date").alias("forecast_date"), "competitor_avg_price")
-    wxs = wx.score_weather(d.weather, P.SPLIT_CUTOFF).select(
+    comp = comp.select(*rc.CELL, F.col("index_date").alias("forecast_date"), "competitor_avg_price")
+    wxs = wx.score_weather(d.weather, P.SPLIT_CUTOFF).where(
+        F.col("weather_date").between(F.lit(run_date), F.lit(end))).select(
         "tenant_id", "branch_id", F.col("weather_date").alias("forecast_date"), "bad_weather_score",
         "extreme_heat_flag", "precipitation_sum")
     guard = rc.resolve_guardrails(cells, None, d.categories, GENERIC_GUARDRAIL)
-    out = rc.generate(spine, base_rates(d).drop("base_source"), guard, _weights(d), util, fcst, _mean_train(d),
+    out = rc.generate(spine, base.drop("base_source"), guard, _weights(d), util, fcst, _mean_train(d),
                       comp, wxs, _calendar(d), run_date)
     d.__dict__[key] = out
     return out

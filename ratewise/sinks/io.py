@@ -7,22 +7,33 @@ read), then the caller swaps the table pointer.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.session import checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Compute ``df`` once and cut its lineage.
 
-    Uses a reliable ``checkpoint`` into the shared folder named by
-    ``spark.checkpoint.dir`` (survives executor loss; never a local
-    checkpoint).  Used where one intermediate table feeds several
-    branches of a plan.
+    The rows are written as a Parquet table under the shared folder named
+    by ``spark.checkpoint.dir`` (visible to every executor, survives the
+    loss of any of them; never a local checkpoint) and read back, so the
+    consumers scan a columnar file with pushdown instead of re-running the
+    plan.  Used where one intermediate table feeds several branches.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ratewise-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.parquet(path)
+    out._ratewise_materialized = True  # type: ignore[attr-defined]
+    return out
+
+
+def is_materialized(df: DataFrame) -> bool:
+    return bool(getattr(df, "_ratewise_materialized", False))
 
 
 def merge_by_key(target: DataFrame, source: DataFrame, keys: list[str],

@@ -204,8 +204,18 @@ class Domain:
     def listings(self) -> DataFrame:
         """Competitor quotes: one per line item; the supplier is the
         competitor, the part gives the vehicle name and feed group."""
+        return self.listings_between()
+
+    def listings_between(self, start=None, end=None) -> DataFrame:
+        """Quotes dated in [start, end]; the bounds filter the raw ship
+        timestamp so the predicate reaches the parquet scan."""
+        import datetime as dt
         from ratewise.functions.text import MODEL_CATEGORIES
         li, p, s = self.t.lineitem, self.t.part, self.t.supplier
+        if start is not None:
+            li = li.where(F.col("l_shipdate") >= F.lit(dt.datetime.combine(start, dt.time())))
+        if end is not None:
+            li = li.where(F.col("l_shipdate") < F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())))
         keys = F.array(*[F.lit(k) for k, _ in MODEL_CATEGORIES])
         vname = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(
             F.concat(F.element_at(keys, (F.col("p_partkey") % len(MODEL_CATEGORIES) + 1).cast("int")),
