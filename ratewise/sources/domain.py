@@ -236,6 +236,36 @@ class Domain:
             )
         )
 
+    @cached_property
+    def rec_history(self) -> DataFrame:
+        """Versioned recommendations with workflow status, one per order:
+        run = order date, cell = customer nation x (order key mod 6) + 1,
+        target day = run + (order key mod 30), status from the order status
+        (F approved, O skipped, P pending).  One row per natural key (the
+        highest order key wins)."""
+        o, c = self.t.orders, self.t.customer
+        run = F.to_date("o_orderdate")
+        pct = ((F.col("o_orderkey") % 81) - 30).cast("double")
+        rows = o.join(c.select("c_custkey", "c_nationkey"), o.o_custkey == c.c_custkey).select(
+            F.lit(self.tenant_id).alias("tenant_id"), run.alias("run_date"),
+            F.col("c_nationkey").alias("branch_id"), (F.col("o_orderkey") % 6 + 1).cast("int").alias("category_id"),
+            F.date_add(run, (F.col("o_orderkey") % 30).cast("int")).alias("forecast_date"),
+            F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"),
+            rnd(F.col("o_totalprice") / 1000.0, 2).alias("rec_daily"), pct.alias("premium_discount_pct"))
+        key = ["tenant_id", "run_date", "branch_id", "category_id", "forecast_date"]
+        g = rows.groupBy(*key).agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority", "rec_daily",
+                                                     "premium_discount_pct"), "o_orderkey").alias("r"))
+        st = F.col("r.o_orderstatus")
+        return g.join(F.broadcast(self.categories.select("category_id", "default_min_price",
+                                                         "default_max_discount_pct", "default_max_premium_pct")),
+                      "category_id").select(
+            *key, F.col("r.o_orderkey").alias("source_id"), F.col("r.o_orderpriority").alias("priority"),
+            F.col("r.rec_daily").alias("rec_daily"), F.col("r.premium_discount_pct").alias("premium_discount_pct"),
+            F.col("default_min_price").alias("guardrail_min_price"),
+            F.col("default_max_discount_pct").alias("guardrail_max_discount_pct"),
+            F.col("default_max_premium_pct").alias("guardrail_max_premium_pct"),
+            F.when(st == "F", "approved").when(st == "O", "skipped").otherwise("pending").alias("status"))
+
     @cached_property
     def event_signal(self) -> DataFrame:
         from ratewise.operators.calendar import event_signal
