@@ -10,4 +10,5 @@ from ratewise.plans import forecast_plans  # noqa: F401
 from ratewise.plans import competitor_plans  # noqa: F401
 from ratewise.plans import recommend_plans  # noqa: F401
 from ratewise.plans import workflow_plans  # noqa: F401
+from ratewise.plans import profile_plans  # noqa: F401
 from ratewise.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -212,10 +212,13 @@ def wth_02(d):
 
 
 @query("wth_03", with_views("""
-    SELECT branch_id, branch_name, city_id, city_name FROM branches WHERE is_active""", "branches"))
+    SELECT branch_id, branch_name, city_id, city_name FROM branches
+    WHERE is_active AND branch_id IN (SELECT branch_id FROM contracts)""", "branches", "contracts"))
 def wth_03(d):
-    """WTH-03: active branch locations."""
-    return d.branches.where("is_active").select("branch_id", "branch_name", "city_id", "city_name")
+    """WTH-03: locations of the active branches that have contracts."""
+    act = d.contracts.select("branch_id").distinct()
+    return d.branches.where("is_active").join(act, "branch_id", "left_semi").select(
+        "branch_id", "branch_name", "city_id", "city_name")
 
 
 @query("agg_12", with_views("""

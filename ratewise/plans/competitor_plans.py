@@ -230,12 +230,12 @@ def cmp_05(d):
 
 @query("cmp_06", with_views(f"""
     SELECT c.category_id, coalesce(m.competitor_vehicle_type, '{DEFAULT_COMPETITOR_TYPE}') AS competitor_vehicle_type
-    FROM categories c LEFT JOIN competitor_mapping m ON m.category_id = c.category_id""",
-                            "categories", "competitor_mapping"))
+    FROM (SELECT DISTINCT category_id FROM vehicles) c
+    LEFT JOIN competitor_mapping m ON m.category_id = c.category_id""", "vehicles", "competitor_mapping"))
 def cmp_06(d):
-    """CMP-06: category -> competitor vehicle type (default Economy)."""
+    """CMP-06: competitor vehicle type of every fleet category (default Economy)."""
     m = d.fixed("competitor_mapping")
-    return d.categories.select("category_id").join(F.broadcast(m), "category_id", "left").select(
+    return d.vehicles.select("category_id").distinct().join(F.broadcast(m), "category_id", "left").select(
         "category_id", F.coalesce("competitor_vehicle_type", F.lit(DEFAULT_COMPETITOR_TYPE))
         .alias("competitor_vehicle_type"))
 

@@ -319,10 +319,12 @@ def agg_29(d):
 
 @query("cfg_05", with_views("""
     SELECT status_type, list_sort(list(status_id)) AS status_ids, count(*) AS n_statuses
-    FROM status_config GROUP BY status_type""", "status_config"))
+    FROM status_config WHERE status_id IN (SELECT status_id FROM vehicles) GROUP BY status_type""",
+                            "status_config", "vehicles"))
 def cfg_05(d):
-    """CFG-05: status configuration grouped by class."""
-    return ut.status_groups(d.fixed("status_config"))
+    """CFG-05: configured statuses that occur in the fleet, grouped by class."""
+    used = d.vehicles.select("status_id").distinct()
+    return ut.status_groups(d.fixed("status_config").join(used, "status_id", "left_semi"))
 
 
 @query("jn_12", with_views(f"""

@@ -31,8 +31,9 @@ register_view("spine", f"""
     SELECT c.*, CAST(unnest(generate_series({RUN}, {RUN} + {H - 1}, INTERVAL 1 DAY)) AS DATE) AS forecast_date
     FROM cells c""", ("cells",))
 register_view("weights_cfg", """
-    SELECT 1 AS tenant_id, signal_name, weight, TRUE AS is_enabled FROM signal_weights_default""",
-              ("signal_weights_default",))
+    SELECT t.tenant_id, signal_name, weight, TRUE AS is_enabled
+    FROM (SELECT DISTINCT tenant_id FROM contracts) t CROSS JOIN signal_weights_default""",
+              ("signal_weights_default", "contracts"))
 register_view("weights", f"""
     SELECT tenant_id, {", ".join(
         f"coalesce(max(CASE WHEN nm = '{n}' THEN w END), CAST({W[n]!r} AS DOUBLE)) AS w_{n}" for n in NAMES)}
@@ -164,8 +165,11 @@ def _cells(d):
 
 
 def _weights(d):
-    cfg = d.fixed("signal_weights_default").select(
-        F.lit(d.tenant_id).alias("tenant_id"), "signal_name", "weight", F.lit(True).alias("is_enabled"))
+    """Weight configuration of every tenant that has contracts."""
+    tenants = d.contracts.select("tenant_id").distinct()
+    cfg = tenants.select("tenant_id", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("signal_name"), F.lit(w).alias("weight")) for n, w in SIGNAL_WEIGHTS]))
+            .alias("w")).select("tenant_id", "w.signal_name", "w.weight", F.lit(True).alias("is_enabled"))
     return rc.signal_weights(cfg, W)
 
 
@@ -286,10 +290,16 @@ def sig_v(d):
     return rc.weights_check(_weights(d))
 
 
-@query("prc_02", with_views("SELECT * FROM guardrails", "guardrails"))
+@query("prc_02", with_views("""
+    SELECT g.* FROM guardrails g
+    WHERE (g.tenant_id, g.branch_id, g.category_id) IN (SELECT tenant_id, branch_id, category_id FROM fleet_size)""",
+                            "guardrails", "fleet_size"))
 def prc_02(d):
-    """PRC-02: guardrails per cell (config, category default, generic)."""
-    return rc.resolve_guardrails(_cells(d), None, d.categories, GENERIC_GUARDRAIL)
+    """PRC-02: guardrails of every cell that has a fleet (config, category
+    default, generic)."""
+    from ratewise.operators import utilization as ut
+    cells = ut.fleet_size(d.vehicles).select(*rc.CELL)
+    return rc.resolve_guardrails(cells, None, d.categories, GENERIC_GUARDRAIL)
 
 
 @query("prc_03", with_views("SELECT * FROM base_rates", "base_rates"))

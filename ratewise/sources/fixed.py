@@ -91,6 +91,16 @@ COMPETITOR_MAPPING = [
 ]
 DEFAULT_COMPETITOR_TYPE = "Economy"
 
+# --- fixed values: guardrail configuration rows -----------------------------
+# (guardrail_id, category_id or None = all, branch_id or None = all,
+#  min_price, max_discount_pct, max_premium_pct); NULL means "applies to all".
+GUARDRAIL_CONFIG = [
+    (1, None, None, 50.0, 25.0, 50.0),
+    (2, 3, None, 100.0, 25.0, 50.0),
+    (3, 5, None, 300.0, 15.0, 60.0),
+    (4, None, 0, 60.0, 20.0, 40.0),
+]
+
 # --- fixed values: national holidays with a fixed calendar date -------------
 # (month, day, name, type)
 FIXED_HOLIDAYS = [
@@ -141,7 +151,17 @@ COMPETITOR_MAPPING_SCHEMA = T.StructType([
     T.StructField("competitor_vehicle_type", T.StringType(), False),
 ])
 
+GUARDRAIL_SCHEMA = T.StructType([
+    T.StructField("guardrail_id", T.IntegerType(), False),
+    T.StructField("category_id", T.IntegerType(), True),
+    T.StructField("branch_id", T.IntegerType(), True),
+    T.StructField("min_price", T.DoubleType(), False),
+    T.StructField("max_discount_pct", T.DoubleType(), False),
+    T.StructField("max_premium_pct", T.DoubleType(), False),
+])
+
 _FIXED = {
+    "guardrail_config": (GUARDRAIL_CONFIG, GUARDRAIL_SCHEMA),
     "competitor_mapping": (COMPETITOR_MAPPING, COMPETITOR_MAPPING_SCHEMA),
     "categories": (CATEGORIES, CATEGORY_SCHEMA),
     "rate_bands": (RATE_BANDS, RATE_BAND_SCHEMA),
