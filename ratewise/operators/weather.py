@@ -114,6 +114,7 @@ def next_24h(hourly: DataFrame, keys: list[str], ts_col: str = "ts") -> DataFram
         *keys, ts_col,
         rnd(F.avg("temperature").over(w), 4).alias("temp_mean_24h"),
         F.max("temperature").over(w).alias("temp_max_24h"),
-        rnd(F.avg("wind_speed").over(w), 4).alias("wind_mean_24h"),
+        rnd(F.sum(F.round(F.col("wind_speed") * 100.0).cast("long")).over(w)
+            / F.count("wind_speed").over(w) / 100.0, 4).alias("wind_mean_24h"),
         F.min("visibility").over(w).alias("visibility_min_24h"),
     )

@@ -380,7 +380,7 @@ def cmp_10(d):
     SELECT city_name, ts,
            {R("avg(temperature) OVER (PARTITION BY city_name ORDER BY epoch(ts) RANGE BETWEEN 1 FOLLOWING AND 86400 FOLLOWING)", 4)} AS temp_mean_24h,
            max(temperature) OVER (PARTITION BY city_name ORDER BY epoch(ts) RANGE BETWEEN 1 FOLLOWING AND 86400 FOLLOWING) AS temp_max_24h,
-           {R("avg(wind_speed) OVER (PARTITION BY city_name ORDER BY epoch(ts) RANGE BETWEEN 1 FOLLOWING AND 86400 FOLLOWING)", 4)} AS wind_mean_24h,
+           {R("sum(CAST(round(wind_speed * 100.0) AS BIGINT)) OVER (PARTITION BY city_name ORDER BY epoch(ts) RANGE BETWEEN 1 FOLLOWING AND 86400 FOLLOWING) / count(wind_speed) OVER (PARTITION BY city_name ORDER BY epoch(ts) RANGE BETWEEN 1 FOLLOWING AND 86400 FOLLOWING) / 100.0", 4)} AS wind_mean_24h,
            min(visibility) OVER (PARTITION BY city_name ORDER BY epoch(ts) RANGE BETWEEN 1 FOLLOWING AND 86400 FOLLOWING) AS visibility_min_24h
     FROM h""", "event_city"))
 def wth_04(d):
