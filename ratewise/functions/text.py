@@ -88,14 +88,13 @@ def localized_name(raw, lang: str = "ar") -> Column:
 
 
 def _first_match(low: Column, pairs) -> Column:
-    """First (key, value) whose lower-cased key is contained in ``low``, as a
-    CASE WHEN chain: list order is evaluation order, it stops at the first
-    hit and is compiled by whole-stage codegen (unlike a lambda ``filter``)."""
-    expr = None
-    for key, value in pairs:
-        cond = low.contains(F.lit(key.lower()))
-        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
-    return expr
+    """First (key, value) whose lower-cased key is contained in ``low``.
+
+    A ``coalesce`` of flat ``when`` tests: list order is evaluation order,
+    evaluation stops at the first hit, and code generation splits the long
+    argument list into methods (a lambda ``filter`` would run interpreted,
+    a long nested CASE can exceed the compiler's limits)."""
+    return F.coalesce(*[F.when(low.contains(F.lit(k.lower())), F.lit(v)) for k, v in pairs])
 
 
 def brand_of(name) -> Column:

@@ -144,6 +144,10 @@ def distinct_lists(quotes: DataFrame) -> DataFrame:
     Distinct values are found by a grouped aggregation first, so the list
     holds one entry per distinct value (bounded by the catalogue)."""
     def lst(c):
-        v = quotes.where(F.col(c) != "Unknown").select("tenant_id", F.col(c).alias("v")).distinct()
-        return v.groupBy("tenant_id").agg(F.array_sort(F.collect_list("v")).alias(c + "s"))
+        # 'Unknown' is removed after aggregation: a filter on the derived
+        # column would be pushed below the projection and repeat the whole
+        # classification expression.
+        v = quotes.select("tenant_id", F.col(c).alias("v")).distinct()
+        return v.groupBy("tenant_id").agg(
+            F.array_sort(F.array_remove(F.collect_list("v"), "Unknown")).alias(c + "s"))
     return lst("brand").join(lst("model"), "tenant_id").join(lst("category"), "tenant_id")
