@@ -61,10 +61,13 @@ def derived_rates(df: DataFrame) -> DataFrame:
 
 
 def category_prices(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG-06 core: model count and mean rate per band per ``keys``."""
-    p = period_pivot(lines, keys)
-    n = lines.groupBy(*keys).agg(F.countDistinct("model_id").alias("model_count"))
-    return p.join(n, keys)
+    """AGG-06 core: model count and mean rate per band per ``keys`` (one
+    grouped aggregation; NULL keys form their own group)."""
+    return lines.groupBy(*keys).agg(
+        rnd(cents_avg(F.when(_daily(), F.col("rate"))), 4).alias("daily_rate"),
+        rnd(cents_avg(F.when(_weekly(), F.col("rate"))), 4).alias("weekly_rate"),
+        rnd(cents_avg(F.when(_monthly(), F.col("rate"))), 4).alias("monthly_rate"),
+        F.countDistinct("model_id").alias("model_count"))
 
 
 def category_prices_with_fallback(rates: DataFrame, details: DataFrame, bands: DataFrame,
@@ -77,8 +80,11 @@ def category_prices_with_fallback(rates: DataFrame, details: DataFrame, bands: D
     and default aggregates are left-joined to it and coalesced.
     """
     lines = rate_lines(effective_on(rates, day), details, bands)
-    spec = category_prices(lines.where(F.col("branch_id").isNotNull()), ["tenant_id", "branch_id", "category_id"])
-    dflt = category_prices(lines.where(F.col("branch_id").isNull()), ["tenant_id", "category_id"])
+    # One aggregation serves both levels: default rates carry a NULL branch,
+    # so their group is the (tenant, NULL, category) group.
+    both = category_prices(lines, ["tenant_id", "branch_id", "category_id"])
+    spec = both.where(F.col("branch_id").isNotNull())
+    dflt = both.where(F.col("branch_id").isNull()).drop("branch_id")
     from ratewise.sources.fixed import CATEGORIES
     cat_ids = F.array(*[F.lit(c[0]) for c in CATEGORIES])
     grid = branches.select("tenant_id", "branch_id", F.explode(cat_ids).alias("category_id"))

@@ -74,6 +74,17 @@ def _fs(d):
     return d.__dict__["_fs"]
 
 
+def _fact_split(d):
+    """The demand fact with its split flag: what the forecasting and
+    pricing queries read (the full feature store is not needed there)."""
+    if "_fs" in d.__dict__:
+        return d.__dict__["_fs"]
+    if "_fact_split" not in d.__dict__:
+        d.__dict__["_fact_split"] = dm.build_daily_demand(d).withColumn(
+            "split_flag", ts.split_flag("demand_date", P.SPLIT_CUTOFF))
+    return d.__dict__["_fact_split"]
+
+
 def _lags(d):
     return ts.calendar_lags(dm.build_daily_demand(d))
 

@@ -8,7 +8,8 @@ from ratewise.functions.mathx import rnd_sql as R
 from ratewise.operators import forecast as fc
 from ratewise.operators import timeseries as ts
 from ratewise.plans import params as P
-from ratewise.plans.feature_plans import _fs
+from ratewise.plans.feature_plans import _fact_split as _fs
+from ratewise.plans.feature_plans import _fs as _full_fs
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
 
@@ -241,6 +242,6 @@ def win_13(d):
 def win_14(d):
     """WIN-14: 14-step sliding sequences of 5 features -> next value."""
     from ratewise.operators import features as fe
-    mm = fe.model_matrix(_fs(d))
+    mm = fe.model_matrix(_full_fs(d))
     return ts.sliding_sequences(mm, ["target", "lag_1d", "lag_7d", "rolling_7d", "temperature_avg"], "target",
                                 ["tenant_id", "branch_id", "category_id"], "demand_date", 14)

@@ -18,7 +18,7 @@ from ratewise.operators import utilization as ut
 from ratewise.plans import params as P
 from ratewise.plans import profile_plans  # noqa: F401
 from ratewise.plans.competitor_plans import _quotes, comp_index
-from ratewise.plans.feature_plans import _fs
+from ratewise.plans.feature_plans import _fact_split, _fs
 from ratewise.plans.forecast_plans import forecast_runs
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.profile_plans import _top_branches
@@ -179,7 +179,7 @@ def snk_03(d):
 @query("snk_04")
 def snk_04(d):
     """SNK-04 / FCT-12: evaluation metrics appended with the best-model flag."""
-    m = fc.backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, P.HORIZON)
+    m = fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON)
     best = fc.select_best(m)
     return m.join(best.select("tenant_id", F.col("selected_model").alias("model_name"),
                               F.lit(True).alias("is_best_model")), ["tenant_id", "model_name"], "left") \
@@ -426,7 +426,7 @@ def fct_04(d):
     """FCT-04: future feature rows per series x horizon day from the
     series tail (last-known lags, constants for weather and events)."""
     from ratewise.operators import timeseries as tsx
-    train = _fs(d).where(F.col("split_flag") == "TRAIN")
+    train = _fact_split(d).where(F.col("split_flag") == "TRAIN")
     tail = tsx.tail_stats(train, "executed_rentals_count", CELLK, "demand_date")
     lastp = train.groupBy(*CELLK).agg(F.max_by("avg_base_price_paid", "demand_date").alias("price"))
     t = tail.join(lastp, CELLK)
@@ -526,11 +526,11 @@ def val_03(d):
 def val_04(d):
     """VAL-04: forecast gate -- >= 2 models evaluated, best MAE <= 1.5 x
     naive, forecast stddev > .1, 30-day horizon."""
-    total = fc.total_demand(_fs(d))
+    total = fc.total_demand(_fact_split(d))
     m = fc.backtest(total, P.SPLIT_CUTOFF, P.HORIZON)
     best = fc.select_best(m)
     naive = m.where(F.col("model_name") == "seasonal_naive").select("tenant_id", F.col("mae").alias("naive_mae"))
-    runs = fc.forecast_run(_fs(d), P.RUN_DATE, P.HORIZON, "seasonal_naive")
+    runs = fc.forecast_run(_fact_split(d), P.RUN_DATE, P.HORIZON, "seasonal_naive")
     fstats = runs.groupBy("tenant_id").agg(F.stddev_samp("forecast_demand").alias("sd"),
                                            F.countDistinct("horizon_day").alias("h"))
     n = m.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("models"))

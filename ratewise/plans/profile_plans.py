@@ -18,7 +18,7 @@ from ratewise.operators import recommend as rc
 from ratewise.plans import params as P
 from ratewise.plans import workflow_plans  # noqa: F401
 from ratewise.plans.competitor_plans import _quotes, comp_index
-from ratewise.plans.feature_plans import _fs
+from ratewise.plans.feature_plans import _fact_split, _fs
 from ratewise.plans.forecast_plans import forecast_runs
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
@@ -214,7 +214,7 @@ def win_01(d):
                             "feature_store"))
 def top_05(d):
     """TOP-05: first page (100 rows) of the training data, by date, branch, category."""
-    f = _fs(d).where(F.col("split_flag") == "TRAIN")
+    f = _fact_split(d).where(F.col("split_flag") == "TRAIN")
     return f.select("tenant_id", "branch_id", "category_id", "demand_date", "executed_rentals_count",
                     "split_flag").orderBy("demand_date", "branch_id", "category_id").limit(100)
 
@@ -222,13 +222,13 @@ def top_05(d):
 @query("top_06")
 def top_06(d):
     """TOP-06: best model = minimum MAE of the latest evaluation."""
-    return fc.select_best(fc.backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, P.HORIZON))
+    return fc.select_best(fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON))
 
 
 @query("top_07")
 def top_07(d):
     """TOP-07: metrics of the latest evaluation ordered by MAE."""
-    m = fc.backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, P.HORIZON)
+    m = fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON)
     return m.orderBy("mae", "model_name")
 
 
@@ -254,7 +254,7 @@ def set_01(d):
                             "feature_store"))
 def set_02(d):
     """SET-02: TRAIN + VALIDATION concatenated as forecasting context."""
-    f = _fs(d)
+    f = _fact_split(d)
     ctx = f.where(F.col("split_flag") == "TRAIN").unionByName(f.where(F.col("split_flag") == "VALIDATION"))
     return ctx.groupBy("split_flag").agg(F.count(F.lit(1)).alias("n"),
                                          F.sum("executed_rentals_count").alias("rentals"))

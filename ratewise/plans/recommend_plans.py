@@ -178,7 +178,8 @@ def _calendar(d):
 
 
 def _mean_train(d):
-    return _fs(d).where(F.col("split_flag") == "TRAIN").groupBy(*rc.CELL).agg(
+    from ratewise.plans.feature_plans import _fact_split
+    return _fact_split(d).where(F.col("split_flag") == "TRAIN").groupBy(*rc.CELL).agg(
         F.avg(F.col("executed_rentals_count").cast("double")).alias("mean_train_demand"))
 
 
