@@ -28,16 +28,25 @@ def per_day_price(total, days) -> F.Column:
     return F.when(t > 0, t / F.greatest(d, F.lit(1))).otherwise(F.lit(0.0))
 
 
-def classify_listings(listings: DataFrame) -> DataFrame:
-    """CMP-01 + CMP-02 + SRC-03 projection: brand, model, competitor
-    category and per-day / weekly (x6) / monthly (x25) prices."""
-    names = listings.select("vehicle_name", "vehicle_group").distinct()
-    names = with_brand_and_model(names).withColumn(
+def classify_catalog(catalog: DataFrame) -> DataFrame:
+    """CMP-01 + CMP-02 on the vehicle catalogue (one row per vehicle, not
+    per quote): brand, model and competitor category."""
+    return with_brand_and_model(catalog).withColumn(
         "category", competitor_category("vehicle_name", "vehicle_group"))
-    j = listings.join(names, ["vehicle_name", "vehicle_group"])
+
+
+def price_quotes(listings: DataFrame) -> DataFrame:
+    """SRC-03 projection: per-day / weekly (x6) / monthly (x25) prices."""
     daily = per_day_price("total_price", "rental_days")
-    return j.select("*", rnd(daily, 2).alias("daily_price"), rnd(daily * 6, 2).alias("weekly_price"),
-                    rnd(daily * 25, 2).alias("monthly_price"))
+    return listings.select("*", rnd(daily, 2).alias("daily_price"), rnd(daily * 6, 2).alias("weekly_price"),
+                           rnd(daily * 25, 2).alias("monthly_price"))
+
+
+def classify_listings(listings: DataFrame) -> DataFrame:
+    """CMP-01 + CMP-02 + SRC-03 for quotes without a classified catalogue:
+    distinct names are classified, then joined back."""
+    names = classify_catalog(listings.select("vehicle_name", "vehicle_group").distinct())
+    return price_quotes(listings.join(names, ["vehicle_name", "vehicle_group"]))
 
 
 def cheapest_per_supplier(quotes: DataFrame, group: list[str]) -> DataFrame:

@@ -104,15 +104,22 @@ def fact(d):
     return d.__dict__["_fact"]
 
 
+def _catalog(d):
+    """The classified vehicle catalogue (classification once per vehicle)."""
+    if "_catalog" not in d.__dict__:
+        d.__dict__["_catalog"] = cp.classify_catalog(d.vehicle_catalog)
+    return d.__dict__["_catalog"]
+
+
 def _quotes(d):
     if "_quotes" not in d.__dict__:
-        d.__dict__["_quotes"] = cp.classify_listings(d.listings)
+        d.__dict__["_quotes"] = cp.price_quotes(d.listings_between(catalog=_catalog(d)))
     return d.__dict__["_quotes"]
 
 
 def window_quotes(d, start, end):
     """Quotes of a date window only (the date filter is pushed into the scan)."""
-    return cp.classify_listings(d.listings_between(start, end))
+    return cp.price_quotes(d.listings_between(start, end, catalog=_catalog(d)))
 
 
 def base_rates(d):

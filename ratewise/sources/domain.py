@@ -172,9 +172,9 @@ class Domain:
 
     @cached_property
     def contract_years(self) -> DataFrame:
-        """One row per calendar year touched by the contracts."""
-        span = self.contracts.agg(F.min("start_date").alias("lo"), F.max("start_date").alias("hi"))
-        return span.select(F.explode(F.sequence(F.year("lo"), F.year("hi"))).alias("year"))
+        """One row per calendar year touched by the contracts (from the same
+        min / max aggregate as the day spine)."""
+        return self.day_bounds.select(F.explode(F.sequence(F.year("lo"), F.year("hi"))).alias("year"))
 
     @cached_property
     def day_bounds(self) -> DataFrame:
@@ -206,22 +206,34 @@ class Domain:
         competitor, the part gives the vehicle name and feed group."""
         return self.listings_between()
 
-    def listings_between(self, start=None, end=None) -> DataFrame:
+    @cached_property
+    def vehicle_catalog(self) -> DataFrame:
+        """Competitor vehicle names per part: a model name of the
+        dictionary (by part key) followed by the part name; large parts
+        carry the bare part name.  The feed group is the part type."""
+        from ratewise.functions.text import MODEL_CATEGORIES
+        keys = F.array(*[F.lit(k) for k, _ in MODEL_CATEGORIES])
+        vname = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(
+            F.concat(F.element_at(keys, (F.col("p_partkey") % len(MODEL_CATEGORIES) + 1).cast("int")),
+                     F.lit(" "), F.col("p_name")))
+        return self.t.part.select("p_partkey", vname.alias("vehicle_name"),
+                                  F.initcap("p_type").alias("vehicle_group"))
+
+    def listings_between(self, start=None, end=None, catalog: DataFrame | None = None) -> DataFrame:
         """Quotes dated in [start, end]; the bounds filter the raw ship
-        timestamp so the predicate reaches the parquet scan."""
+        timestamp so the predicate reaches the parquet scan.  ``catalog``
+        (default :attr:`vehicle_catalog`) may carry extra per-vehicle
+        columns, e.g. the classification."""
         import datetime as dt
-        from ratewise.functions.text import MODEL_CATEGORIES
-        li, p, s = self.t.lineitem, self.t.part, self.t.supplier
+        li, s = self.t.lineitem, self.t.supplier
         if start is not None:
             li = li.where(F.col("l_shipdate") >= F.lit(dt.datetime.combine(start, dt.time())))
         if end is not None:
             li = li.where(F.col("l_shipdate") < F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())))
-        keys = F.array(*[F.lit(k) for k, _ in MODEL_CATEGORIES])
-        vname = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(
-            F.concat(F.element_at(keys, (F.col("p_partkey") % len(MODEL_CATEGORIES) + 1).cast("int")),
-                     F.lit(" "), F.col("p_name")))
+        cat = self.vehicle_catalog if catalog is None else catalog
+        extra = [c for c in cat.columns if c not in ("p_partkey", "vehicle_name", "vehicle_group")]
         return (
-            li.join(p.select("p_partkey", "p_name", "p_type", "p_size"), li.l_partkey == p.p_partkey)
+            li.join(cat, li.l_partkey == cat.p_partkey)
             .join(s.select("s_suppkey", "s_name", "s_nationkey"), li.l_suppkey == s.s_suppkey)
             .select(
                 (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("quote_id"),
@@ -229,8 +241,7 @@ class Domain:
                 F.col("s_nationkey").alias("branch_id"),
                 F.to_date("l_shipdate").alias("price_date"),
                 F.col("s_name").alias("competitor_name"),
-                vname.alias("vehicle_name"),
-                F.initcap("p_type").alias("vehicle_group"),
+                "vehicle_name", "vehicle_group", *extra,
                 (F.col("l_extendedprice") / 10).alias("total_price"),
                 F.col("l_quantity").cast("int").alias("rental_days"),
             )
