@@ -94,6 +94,11 @@ def _first_match(low: Column, pairs) -> Column:
     evaluation stops at the first hit, and code generation splits the long
     argument list into methods (a lambda ``filter`` would run interpreted,
     a long nested CASE can exceed the compiler's limits)."""
+    if isinstance(low, str):
+        # One SQL expression (a single planner call) over a column name.
+        q = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return F.expr("coalesce(" + ", ".join(
+            f"CASE WHEN contains({low}, {q(k.lower())}) THEN {q(v)} END" for k, v in pairs) + ")")
     return F.coalesce(*[F.when(low.contains(F.lit(k.lower())), F.lit(v)) for k, v in pairs])
 
 
@@ -133,7 +138,8 @@ def with_brand_and_model(df, name_col: str = "vehicle_name"):
     The matched brand is projected once and the dependent columns are
     computed in a second projection, so the dictionary scan runs once per
     row."""
-    x = df.withColumn("_brand", brand_of(name_col))
+    x = df.withColumn("_low", F.lower(_strip(F.col(name_col))))
+    x = x.withColumn("_brand", _first_match("_low", [(b, b) for b in KNOWN_BRANDS])).drop("_low")
     return x.withColumn("brand", brand_label(name_col, "_brand")) \
             .withColumn("model", model_of(name_col, "_brand")).drop("_brand")
 
@@ -148,6 +154,8 @@ def competitor_category(name, group) -> Column:
     """CMP-02: first model key (dictionary order) contained in the name ->
     its category; else the feed group's category; else Standard."""
     low = F.lower(F.coalesce(_c(name), F.lit("")))
+    if isinstance(name, str):
+        low = f"lower(coalesce({name}, ''))"
     hit = _first_match(low, MODEL_CATEGORIES)
     grp = None
     for k, v in GROUP_CATEGORIES:

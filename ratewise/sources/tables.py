@@ -16,8 +16,15 @@ TABLES = (
 )
 
 
+_HANDLES: dict[tuple[int, str], DataFrame] = {}
+
+
 class Tables:
-    """Named access to the parquet tables under one directory."""
+    """Named access to the parquet tables under one directory.
+
+    The scan handles (a file listing and a schema, no data) are kept per
+    session and path, like tables registered once in a catalog; every
+    query still reads the files."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -26,7 +33,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(f"unknown table {name!r}")
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark._jsparkSession), path)
+        df = _HANDLES.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = _HANDLES[key] = self.spark.read.parquet(path)
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
