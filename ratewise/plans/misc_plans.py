@@ -764,3 +764,58 @@ def cst_01(d):
     return e.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k_int"),
                     F.col("value").cast("decimal(18,4)").alias("value_dec"),
                     (F.col("value") > 10).cast("int").alias("big_flag"))
+
+
+# ---- locations and date parts ---------------------------------------------------
+
+@query("cmp_07", with_views("""
+    WITH loc AS (SELECT r_regionkey AS rank_no, r_name AS location_name, CAST(r_regionkey * 10 AS DOUBLE) AS latitude,
+                        CAST(r_regionkey * 20 AS DOUBLE) AS longitude FROM region),
+         br AS (SELECT branch_id, upper(city_name) AS k FROM branches
+                WHERE branch_id IN (SELECT branch_id FROM contracts)),
+         m AS (SELECT br.branch_id, loc.*, CASE WHEN br.k = upper(loc.location_name) THEN 0 ELSE 1 END AS how
+               FROM br JOIN loc ON br.k = upper(loc.location_name) OR contains(br.k, upper(loc.location_name))
+                                OR contains(upper(loc.location_name), br.k)),
+         best AS (SELECT branch_id, arg_min(location_name, how * 1000 + rank_no) AS location_name,
+                         arg_min(latitude, how * 1000 + rank_no) AS latitude,
+                         arg_min(longitude, how * 1000 + rank_no) AS longitude FROM m GROUP BY branch_id),
+         dflt AS (SELECT location_name, latitude, longitude FROM loc ORDER BY rank_no LIMIT 1)
+    SELECT br.branch_id, coalesce(b.location_name, (SELECT location_name FROM dflt)) AS location_name,
+           coalesce(b.latitude, (SELECT latitude FROM dflt)) AS latitude,
+           coalesce(b.longitude, (SELECT longitude FROM dflt)) AS longitude
+    FROM br LEFT JOIN best b ON b.branch_id = br.branch_id""", "branches", "contracts"))
+def cmp_07(d):
+    """CMP-07: branch -> location -> coordinates.  Exact name match first,
+    then a substring match in either direction in list order, else the
+    default (first) location.  The location list is small and broadcast."""
+    loc = d.t.region.select(F.col("r_regionkey").alias("rank_no"), F.col("r_name").alias("location_name"),
+                            (F.col("r_regionkey") * 10).cast("double").alias("latitude"),
+                            (F.col("r_regionkey") * 20).cast("double").alias("longitude"))
+    br = d.branches.join(d.contracts.select("branch_id").distinct(), "branch_id", "left_semi").select(
+        "branch_id", F.upper("city_name").alias("k"))
+    ln = F.upper("location_name")
+    m = br.join(F.broadcast(loc), (F.col("k") == ln) | F.col("k").contains(ln) | ln.contains(F.col("k")))
+    order = F.when(F.col("k") == ln, 0).otherwise(1) * 1000 + F.col("rank_no")
+    best = m.groupBy("branch_id").agg(F.min_by(F.struct("location_name", "latitude", "longitude"), order).alias("b"))
+    dflt = loc.orderBy("rank_no").limit(1).select(F.col("location_name").alias("d_name"),
+                                                  F.col("latitude").alias("d_lat"), F.col("longitude").alias("d_lon"))
+    j = br.join(best, "branch_id", "left").join(F.broadcast(dflt), on=F.lit(True))
+    return j.select("branch_id", F.coalesce("b.location_name", "d_name").alias("location_name"),
+                    F.coalesce("b.latitude", "d_lat").alias("latitude"),
+                    F.coalesce("b.longitude", "d_lon").alias("longitude"))
+
+
+@query("dt_02", with_views("""
+    SELECT DISTINCT start_date AS d, CAST(dayofweek(start_date) AS INTEGER) AS weekday0,
+           CAST(day(start_date) AS INTEGER) AS day_of_month,
+           CAST(floor((dayofyear(start_date) + dayofweek(date_trunc('year', start_date)) - 1) / 7) AS INTEGER) + 1
+             AS us_week,
+           CAST(month(start_date) AS INTEGER) AS month_of_year, CAST(quarter(start_date) AS INTEGER) AS quarter,
+           CAST(year(start_date) AS INTEGER) AS yr FROM contracts""", "contracts"))
+def dt_02(d):
+    """DT-02: DATEPART weekday (0 = Sunday) / day / US week / month /
+    quarter and YEAR of every contract start day."""
+    x = d.contracts.select(F.col("start_date").alias("d")).distinct()
+    return x.select("d", cf.day_of_week0("d").cast("int").alias("weekday0"), F.dayofmonth("d").alias("day_of_month"),
+                    cf.us_week("d").alias("us_week"), F.month("d").alias("month_of_year"),
+                    F.quarter("d").alias("quarter"), F.year("d").alias("yr"))
