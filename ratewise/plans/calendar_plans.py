@@ -224,8 +224,8 @@ def wth_03(d):
 @query("agg_12", with_views("""
     SELECT tenant_id, count(*) AS total_rows, count(DISTINCT branch_id) AS branches,
            min(weather_date) AS min_date, max(weather_date) AS max_date,
-           sum(CASE WHEN is_forecast THEN 1 ELSE 0 END) AS forecast_rows,
-           sum(CASE WHEN NOT is_forecast THEN 1 ELSE 0 END) AS historical_rows
+           CAST(sum(CASE WHEN is_forecast THEN 1 ELSE 0 END) AS BIGINT) AS forecast_rows,
+           CAST(sum(CASE WHEN NOT is_forecast THEN 1 ELSE 0 END) AS BIGINT) AS historical_rows
     FROM weather_scored GROUP BY tenant_id""", "weather_scored"))
 def agg_12(d):
     """AGG-12: weather summary (forecast vs historical)."""

@@ -172,7 +172,7 @@ def win_15(d):
 
 
 @query("top_02", with_views(f"""
-    SELECT {_SEARCH}, category, competitor_name, price_rank, daily_price FROM top4""", "top4"))
+    SELECT {_SEARCH}, category, competitor_name, CAST(price_rank AS INTEGER) AS price_rank, daily_price FROM top4""", "top4"))
 def top_02(d):
     """TOP-02: the 4 cheapest suppliers per search and category."""
     b = cp.cheapest_per_supplier(_quotes(d), cp.SEARCH + ["category"])
@@ -207,7 +207,7 @@ def cmp_04(d):
 
 
 @query("top_03", with_views("""
-    SELECT tenant_id, branch_id, price_date, category, quote_id, daily_price, rk AS price_rank FROM (
+    SELECT tenant_id, branch_id, price_date, category, quote_id, daily_price, CAST(rk AS INTEGER) AS price_rank FROM (
       SELECT *, row_number() OVER (PARTITION BY tenant_id, branch_id, price_date, category
                                    ORDER BY daily_price, quote_id) AS rk FROM quotes WHERE daily_price > 0)
     WHERE rk <= 3""", "quotes"))

@@ -182,8 +182,8 @@ def fst_08(d):
 
 @query("agg_11", with_views(f"""
     SELECT tenant_id, count(*) AS total_rows, min(demand_date) AS min_date, max(demand_date) AS max_date,
-           sum(CASE WHEN split_flag = 'TRAIN' THEN 1 ELSE 0 END) AS train_rows,
-           sum(CASE WHEN split_flag = 'VALIDATION' THEN 1 ELSE 0 END) AS validation_rows,
+           CAST(sum(CASE WHEN split_flag = 'TRAIN' THEN 1 ELSE 0 END) AS BIGINT) AS train_rows,
+           CAST(sum(CASE WHEN split_flag = 'VALIDATION' THEN 1 ELSE 0 END) AS BIGINT) AS validation_rows,
            {R('avg(CAST(executed_rentals_count AS DOUBLE))', 4)} AS target_avg,
            min(executed_rentals_count) AS target_min, max(executed_rentals_count) AS target_max,
            {R('stddev_samp(CAST(executed_rentals_count AS DOUBLE))', 4)} AS target_std,

@@ -35,8 +35,8 @@ CELLK = ["tenant_id", "branch_id", "category_id"]
     SELECT g.guardrail_id, g.category_id, g.branch_id,
            coalesce(p.new_min, g.min_price) AS min_price, g.max_discount_pct, g.max_premium_pct,
            p.new_min IS NOT NULL AS changed,
-           CASE WHEN p.new_min IS NOT NULL THEN to_json({{'min_price': g.min_price}}) END AS old_value,
-           CASE WHEN p.new_min IS NOT NULL THEN to_json({{'min_price': p.new_min}}) END AS new_value
+           CASE WHEN p.new_min IS NOT NULL THEN CAST(to_json({{'min_price': g.min_price}}) AS VARCHAR) END AS old_value,
+           CASE WHEN p.new_min IS NOT NULL THEN CAST(to_json({{'min_price': p.new_min}}) AS VARCHAR) END AS new_value
     FROM guardrail_config g LEFT JOIN (
         SELECT category_id, CAST(floor(min(daily_rate)) AS DOUBLE) AS new_min FROM rentals GROUP BY 1) p
       ON p.category_id = g.category_id""", "guardrail_config", "rentals"))
@@ -191,8 +191,9 @@ def snk_04(d):
     SELECT 'decision' AS action_type, 'recommendation' AS entity_type,
            concat_ws(':', CAST(branch_id AS VARCHAR), CAST(category_id AS VARCHAR), CAST(forecast_date AS VARCHAR),
                      CAST(run_date AS VARCHAR)) AS entity_id,
-           to_json({'status': status}) AS old_value,
-           to_json({'status': CASE WHEN priority = '1-URGENT' THEN 'approved' ELSE 'skipped' END}) AS new_value,
+           CAST(to_json({'status': status}) AS VARCHAR) AS old_value,
+           CAST(to_json({'status': CASE WHEN priority = '1-URGENT' THEN 'approved' ELSE 'skipped' END}) AS VARCHAR)
+             AS new_value,
            'ops' AS user_name
     FROM rec_history WHERE priority IN ('1-URGENT', '5-LOW')""", "rec_history"))
 def snk_05(d):
@@ -214,8 +215,8 @@ def snk_05(d):
     SELECT entity_id, new_value FROM (
       SELECT concat_ws(':', CAST(branch_id AS VARCHAR), CAST(category_id AS VARCHAR), CAST(forecast_date AS VARCHAR),
                        CAST(run_date AS VARCHAR)) AS entity_id,
-             to_json({'status': CASE WHEN priority = '1-URGENT' THEN 'approved' ELSE 'skipped' END}) AS new_value,
-             run_date, source_id
+             CAST(to_json({'status': CASE WHEN priority = '1-URGENT' THEN 'approved' ELSE 'skipped' END}) AS VARCHAR)
+               AS new_value, run_date, source_id
       FROM rec_history WHERE priority IN ('1-URGENT', '5-LOW'))
     ORDER BY run_date DESC, source_id DESC LIMIT 10""", "rec_history"))
 def top_04(d):
@@ -419,7 +420,8 @@ def fct_13(d):
            CAST(dayofweek(last_date + CAST(h AS INTEGER)) AS INTEGER) AS day_of_week,
            CAST(month(last_date + CAST(h AS INTEGER)) AS INTEGER) AS month_of_year,
            CAST(last_value AS DOUBLE) AS lag_1d, CAST(value_7_back AS DOUBLE) AS lag_7d,
-           mean_last_7 AS rolling_7d, mean_last_30 AS rolling_30d, 30.0 AS temperature_avg, 0.0 AS event_score,
+           mean_last_7 AS rolling_7d, mean_last_30 AS rolling_30d, CAST(30 AS DOUBLE) AS temperature_avg,
+           CAST(0 AS DOUBLE) AS event_score,
            last_price AS price
     FROM t, range(1, {P.HORIZON + 1}) r(h)""", "feature_store"))
 def fct_04(d):
@@ -559,8 +561,8 @@ def val_05(d):
 
 @query("sig_s", with_views("""
     SELECT tenant_id, branch_id, category_id, demand_date,
-           CASE WHEN month(demand_date) IN (6, 7, 8) THEN 1.15 WHEN month(demand_date) IN (12, 1) THEN 1.10
-                WHEN month(demand_date) IN (3, 4) THEN 1.20 ELSE 1.0 END AS seasonal_factor FROM fact""", "fact"))
+           CAST(CASE WHEN month(demand_date) IN (6, 7, 8) THEN 1.15 WHEN month(demand_date) IN (12, 1) THEN 1.10
+                WHEN month(demand_date) IN (3, 4) THEN 1.20 ELSE 1.0 END AS DOUBLE) AS seasonal_factor FROM fact""", "fact"))
 def sig_s(d):
     """SIG-S: seasonal price factor by month (documented rule)."""
     m = F.month("demand_date")
@@ -587,7 +589,8 @@ def str_01(d):
 
 @query("str_02", with_views("""
     SELECT vehicle_name, lower(vehicle_name) AS lowered, starts_with(lower(vehicle_name), 'toyota') AS is_toyota,
-           contains(lower(vehicle_name), 'plate') AS has_plate, strpos(vehicle_name, ' ') AS first_space,
+           contains(lower(vehicle_name), 'plate') AS has_plate,
+           CAST(strpos(vehicle_name, ' ') AS INTEGER) AS first_space,
            substr(vehicle_name, 1, 5) AS head5, trim(vehicle_name) AS stripped,
            split_part(vehicle_name, ' ', 1) AS first_word
     FROM (SELECT DISTINCT vehicle_name FROM listings)""", "listings"))
@@ -612,7 +615,8 @@ def str_03(d):
 
 
 @query("str_04", with_views("""
-    SELECT left(p_name, 4) AS prefix4, count(*) AS parts, sum(CASE WHEN p_name LIKE '%blue%' THEN 1 ELSE 0 END) AS blue
+    SELECT left(p_name, 4) AS prefix4, count(*) AS parts,
+           CAST(sum(CASE WHEN p_name LIKE '%blue%' THEN 1 ELSE 0 END) AS BIGINT) AS blue
     FROM part GROUP BY 1"""))
 def str_04(d):
     """STR-04: LEFT(s, n) and LIKE '%x%'."""
@@ -746,7 +750,8 @@ def map_01(d):
 
 @query("jsn_01", with_views("""
     SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-           to_json({'event_type': event_type, 'k': CAST(json_extract_string(props, '$.k') AS BIGINT)}) AS doc
+           CAST(to_json({'event_type': event_type, 'k': CAST(json_extract_string(props, '$.k') AS BIGINT)}) AS VARCHAR)
+             AS doc
     FROM events"""))
 def jsn_01(d):
     """JSN-01: nested JSON field access and JSON serialisation."""

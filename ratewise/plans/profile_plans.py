@@ -164,7 +164,7 @@ def top_01_models(d):
 @query("win_16", with_views("""
     SELECT branch_id, is_airport, rentals, rk FROM (
       SELECT r.branch_id, b.is_airport, count(*) AS rentals,
-             rank() OVER (PARTITION BY b.is_airport ORDER BY count(*) DESC, r.branch_id) AS rk
+             CAST(rank() OVER (PARTITION BY b.is_airport ORDER BY count(*) DESC, r.branch_id) AS INTEGER) AS rk
       FROM rentals r JOIN branches b ON b.branch_id = r.branch_id GROUP BY r.branch_id, b.is_airport)
     WHERE rk <= 3""", "rentals", "branches"))
 def win_16(d):
@@ -248,7 +248,7 @@ def set_01(d):
 
 
 @query("set_02", with_views("""
-    SELECT split_flag, count(*) AS n, sum(executed_rentals_count) AS rentals FROM (
+    SELECT split_flag, count(*) AS n, CAST(sum(executed_rentals_count) AS BIGINT) AS rentals FROM (
       SELECT * FROM feature_store WHERE split_flag = 'TRAIN'
       UNION ALL SELECT * FROM feature_store WHERE split_flag = 'VALIDATION') GROUP BY split_flag""",
                             "feature_store"))
@@ -331,8 +331,9 @@ def flt_08(d):
 
 @query("cfg_01", with_views("""
     SELECT c.branch_id, c.category_id, g.guardrail_id, g.min_price,
-           row_number() OVER (PARTITION BY c.branch_id, c.category_id
-                              ORDER BY g.category_id DESC NULLS LAST, g.branch_id DESC NULLS LAST) AS precedence
+           CAST(row_number() OVER (PARTITION BY c.branch_id, c.category_id
+                              ORDER BY g.category_id DESC NULLS LAST, g.branch_id DESC NULLS LAST) AS INTEGER)
+             AS precedence
     FROM fleet_size c JOIN guardrail_config g
       ON (g.category_id = c.category_id OR g.category_id IS NULL)
      AND (g.branch_id = c.branch_id OR g.branch_id IS NULL)""", "fleet_size", "guardrail_config"))

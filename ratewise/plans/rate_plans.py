@@ -162,7 +162,7 @@ def agg_08(d):
 
 
 @query("agg_09", with_views(f"""
-    SELECT tenant_id, count(*) AS categories_found, sum(model_count) AS total_models,
+    SELECT tenant_id, count(*) AS categories_found, CAST(sum(model_count) AS BIGINT) AS total_models,
            min(daily_rate) AS min_daily_rate, max(daily_rate) AS max_daily_rate,
            list_sort(list({{'category_id': category_id, 'daily_rate': daily_rate}})) AS per_category
     FROM (SELECT * FROM category_prices WHERE branch_id = 0) GROUP BY tenant_id""", "category_prices"))
@@ -212,8 +212,8 @@ register_view("utilization", f"""
            coalesce({R('CAST(rented_count AS DOUBLE) / nullif(rented_count + available_count, 0)', 4)}, 0.0)
              AS utilization
     FROM (SELECT tenant_id, branch_id, category_id,
-                 sum(CASE WHEN status_class = 'RENTED' THEN 1 ELSE 0 END) AS rented_count,
-                 sum(CASE WHEN status_class = 'AVAILABLE' THEN 1 ELSE 0 END) AS available_count
+                 CAST(sum(CASE WHEN status_class = 'RENTED' THEN 1 ELSE 0 END) AS BIGINT) AS rented_count,
+                 CAST(sum(CASE WHEN status_class = 'AVAILABLE' THEN 1 ELSE 0 END) AS BIGINT) AS available_count
           FROM vstatus WHERE NOT is_deleted AND status_class IN ('RENTED', 'AVAILABLE')
           GROUP BY 1, 2, 3)""", ("vstatus",))
 
@@ -260,8 +260,9 @@ def agg_03(d):
                        coalesce({R('CAST(sum(rented_count) AS DOUBLE) / nullif(sum(total_active_fleet), 0)', 3)}, 0.0) AS u
                 FROM utilization GROUP BY 1, 2)
     SELECT t.*, b.by_branch FROM (
-        SELECT tenant_id, count(*) AS cells, sum(total_active_fleet) AS total_fleet,
-               sum(rented_count) AS total_rented, sum(available_count) AS total_available,
+        SELECT tenant_id, count(*) AS cells, CAST(sum(total_active_fleet) AS BIGINT) AS total_fleet,
+               CAST(sum(rented_count) AS BIGINT) AS total_rented,
+               CAST(sum(available_count) AS BIGINT) AS total_available,
                min(utilization) AS min_utilization, max(utilization) AS max_utilization,
                {R('avg(utilization)', 4)} AS avg_utilization,
                coalesce({R('CAST(sum(rented_count) AS DOUBLE) / nullif(sum(total_active_fleet), 0)', 4)}, 0.0)
@@ -329,8 +330,8 @@ def cfg_05(d):
 
 @query("jn_12", with_views(f"""
     SELECT status_id, count(*) AS vehicles,
-           sum(CASE WHEN coalesce(a.n, 0) > 0 THEN 1 ELSE 0 END) AS with_active_contract,
-           sum(coalesce(a.n, 0)) AS active_contracts
+           CAST(sum(CASE WHEN coalesce(a.n, 0) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_active_contract,
+           CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS active_contracts
     FROM vehicles v LEFT JOIN (
         SELECT tenant_id, vehicle_id, count(*) AS n FROM rentals
         WHERE start_date <= {ON_RENT} AND end_date >= {ON_RENT} GROUP BY 1, 2) a

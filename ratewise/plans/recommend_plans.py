@@ -328,7 +328,7 @@ def agg_24(d):
     SELECT tenant_id, run_date, count(DISTINCT branch_id) AS branches_processed,
            count(DISTINCT category_id) AS categories_processed,
            count(DISTINCT (branch_id, category_id)) AS cells, count(*) AS recommendations_generated,
-           sum(CAST(guardrail_applied AS INTEGER)) AS guardrail_applied_count
+           CAST(sum(CAST(guardrail_applied AS INTEGER)) AS BIGINT) AS guardrail_applied_count
     FROM recommendations GROUP BY 1, 2""", "recommendations"))
 def prc_07(d):
     """PRC-07: full run over the scope with run statistics."""

@@ -210,9 +210,9 @@ def prc_15(d):
 
 @query("agg_18", with_views(f"""
     SELECT tenant_id, run_date, count(*) AS total,
-           sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS pending,
-           sum(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) AS approved,
-           sum(CASE WHEN status = 'skipped' THEN 1 ELSE 0 END) AS skipped,
+           CAST(sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS BIGINT) AS pending,
+           CAST(sum(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) AS BIGINT) AS approved,
+           CAST(sum(CASE WHEN status = 'skipped' THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
            count(DISTINCT branch_id) AS branches, count(DISTINCT category_id) AS categories,
            min(forecast_date) AS min_date, max(forecast_date) AS max_date,
            {R('avg(premium_discount_pct)', 4)} AS avg_adjustment_pct
@@ -223,8 +223,8 @@ def agg_18(d):
 
 
 @query("agg_30", with_views("""
-    SELECT tenant_id, sum(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) AS approved,
-           sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS pending,
+    SELECT tenant_id, CAST(sum(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) AS BIGINT) AS approved,
+           CAST(sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS BIGINT) AS pending,
            count(DISTINCT run_date) AS runs, count(*) AS generated
     FROM rec_history GROUP BY tenant_id""", "rec_history"))
 def agg_30(d):
