@@ -85,9 +85,10 @@ def cfg_03(d):
 def cfg_04(d):
     """CFG-04: active branch selections ordered by rank."""
     rentals = dm.with_category(dm.executed_rentals(d.contracts), d.vehicles)
-    n = rentals.groupBy("branch_id").agg(F.count(F.lit(1)).alias("rentals"))
-    top = n.orderBy(F.col("rentals").desc(), "branch_id").limit(6)
-    w = Window.orderBy("branch_id")
+    n = rentals.groupBy("tenant_id", "branch_id").agg(F.count(F.lit(1)).alias("rentals"))
+    wr = Window.partitionBy("tenant_id").orderBy(F.col("rentals").desc(), "branch_id")
+    top = n.withColumn("_rk", F.row_number().over(wr)).where("_rk <= 6")
+    w = Window.partitionBy("tenant_id").orderBy("branch_id")
     return top.select(F.col("branch_id").alias("item_id"), F.row_number().over(w).alias("rank_order")) \
         .orderBy("rank_order")
 
@@ -449,9 +450,10 @@ def fct_05(d):
     from ratewise.operators import timeseries as tsx
     feats = ["target", "lag_1d", "lag_7d", "rolling_7d", "temperature_avg"]
     seq = tsx.sliding_sequences(fe.model_matrix(_fs(d)), feats, "target", CELLK, "demand_date", 14)
-    steps = seq.select(F.explode("sequence").alias("s")).select("s.*")
-    stats = steps.agg(*[F.avg(f).alias("m_" + f) for f in feats], *[F.stddev_pop(f).alias("s_" + f) for f in feats])
-    j = seq.join(F.broadcast(stats), on=F.lit(True))
+    steps = seq.select("tenant_id", F.explode("sequence").alias("s")).select("tenant_id", "s.*")
+    stats = steps.groupBy("tenant_id").agg(*[F.avg(f).alias("m_" + f) for f in feats],
+                                           *[F.stddev_pop(f).alias("s_" + f) for f in feats])
+    j = seq.join(F.broadcast(stats), "tenant_id")
     z = F.transform("sequence", lambda s: F.struct(*[
         ((s[f] - F.col("m_" + f)) / F.when(F.col("s_" + f) > 0, F.col("s_" + f)).otherwise(F.lit(1.0))).alias(f)
         for f in feats]))
@@ -797,14 +799,15 @@ def cmp_07(d):
                             (F.col("r_regionkey") * 10).cast("double").alias("latitude"),
                             (F.col("r_regionkey") * 20).cast("double").alias("longitude"))
     br = d.branches.join(d.contracts.select("branch_id").distinct(), "branch_id", "left_semi").select(
-        "branch_id", F.upper("city_name").alias("k"))
+        "tenant_id", "branch_id", F.upper("city_name").alias("k"))
     ln = F.upper("location_name")
     m = br.join(F.broadcast(loc), (F.col("k") == ln) | F.col("k").contains(ln) | ln.contains(F.col("k")))
     order = F.when(F.col("k") == ln, 0).otherwise(1) * 1000 + F.col("rank_no")
     best = m.groupBy("branch_id").agg(F.min_by(F.struct("location_name", "latitude", "longitude"), order).alias("b"))
-    dflt = loc.orderBy("rank_no").limit(1).select(F.col("location_name").alias("d_name"),
-                                                  F.col("latitude").alias("d_lat"), F.col("longitude").alias("d_lon"))
-    j = br.join(best, "branch_id", "left").join(F.broadcast(dflt), on=F.lit(True))
+    first = loc.agg(F.min_by(F.struct("location_name", "latitude", "longitude"), "rank_no").alias("x"))
+    dflt = first.select(F.lit(d.tenant_id).alias("tenant_id"), F.col("x.location_name").alias("d_name"),
+                        F.col("x.latitude").alias("d_lat"), F.col("x.longitude").alias("d_lon"))
+    j = br.join(best, "branch_id", "left").join(F.broadcast(dflt), "tenant_id")
     return j.select("branch_id", F.coalesce("b.location_name", "d_name").alias("location_name"),
                     F.coalesce("b.latitude", "d_lat").alias("latitude"),
                     F.coalesce("b.longitude", "d_lon").alias("longitude"))

@@ -76,12 +76,13 @@ def agg_16(d):
 def agg_17(d):
     """AGG-17: competitor summary: index rows, range and mean price per
     category, with the number of active mappings."""
-    n_map = d.fixed("competitor_mapping").agg(F.count(F.lit(1)).alias("active_mappings"))
-    g = comp_index(d).groupBy("category_id").agg(
+    n_map = d.fixed("competitor_mapping").agg(F.count(F.lit(1)).alias("active_mappings")).select(
+        F.lit(d.tenant_id).alias("tenant_id"), "active_mappings")
+    g = comp_index(d).groupBy("tenant_id", "category_id").agg(
         F.count(F.lit(1)).alias("index_rows"), F.min("index_date").alias("min_date"),
         F.max("index_date").alias("max_date"),
         rnd(F.avg("competitor_avg_price"), 4).alias("avg_competitor_price"))
-    return g.join(F.broadcast(n_map), on=F.lit(True))
+    return g.join(F.broadcast(n_map), "tenant_id").drop("tenant_id")
 
 
 @query("agg_19", with_views("""
@@ -96,13 +97,14 @@ def agg_17(d):
 def agg_19(d):
     """AGG-19: configuration summary per tenant as one nested row."""
     tenants = d.contracts.select("tenant_id").distinct()
-    g = d.categories.agg(F.array_sort(F.collect_list(F.struct(
+    t = F.lit(d.tenant_id).alias("tenant_id")
+    g = d.categories.groupBy(t).agg(F.array_sort(F.collect_list(F.struct(
         "category_id", F.col("default_min_price").alias("min_price")))).alias("guardrails"))
-    w = d.fixed("signal_weights_default").agg(F.array_sort(F.collect_list(F.struct("signal_name", "weight")))
-                                              .alias("weights"))
-    n = d.fixed("status_config").agg(F.count(F.lit(1)).alias("statuses"))
-    one = g.join(w, on=F.lit(True)).join(n, on=F.lit(True))
-    return tenants.join(F.broadcast(one), on=F.lit(True))
+    w = d.fixed("signal_weights_default").groupBy(t).agg(
+        F.array_sort(F.collect_list(F.struct("signal_name", "weight"))).alias("weights"))
+    n = d.fixed("status_config").groupBy(t).agg(F.count(F.lit(1)).alias("statuses"))
+    one = g.join(w, "tenant_id").join(n, "tenant_id")
+    return tenants.join(F.broadcast(one), "tenant_id")
 
 
 # ---- contract profiles ---------------------------------------------------------

@@ -148,8 +148,8 @@ TOP_CATEGORY_SQL = """
 def _top_categories(d, k=3):
     from pyspark.sql import Window
     rentals = dm.with_category(dm.executed_rentals(d.contracts), d.vehicles)
-    n = rentals.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("n").desc(), "category_id")
+    n = rentals.groupBy("tenant_id", "category_id").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("tenant_id").orderBy(F.col("n").desc(), "category_id")
     return n.withColumn("rk", F.rank().over(w)).where(F.col("rk") <= k).select("category_id")
 
 
