@@ -11,8 +11,7 @@ from ratewise.operators import recommend as rc
 from ratewise.operators import weather as wx
 from ratewise.plans import calendar_plans, competitor_plans, feature_plans, forecast_plans  # noqa: F401
 from ratewise.plans import params as P
-from ratewise.plans.competitor_plans import base_rates, comp_index
-from ratewise.plans.feature_plans import _fs
+from ratewise.plans.competitor_plans import base_rates
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
 from ratewise.sinks.io import materialize
@@ -355,5 +354,3 @@ def sig_b(d):
                     F.coalesce("is_holiday", F.lit(False)).alias("is_holiday"), "days_to_holiday",
                     F.coalesce("is_weekend", is_weekend("weather_date")).alias("is_weekend"))
 
-
-__all__ = ["recommendations", "rnd"]
