@@ -471,9 +471,13 @@ def fct_03(d):
     feats = ["category_code", "day_of_week", "day_of_month", "week_of_year", "month_of_year", "quarter", "is_weekend",
              "is_public_holiday", "has_major_event", "lag_1d", "lag_7d", "rolling_7d", "rolling_30d",
              "temperature_avg", "precipitation_mm", "event_score", "price"]
+    # The iterative fit reads its input once per tree: give it a materialized
+    # matrix instead of the feature-store lineage.
+    mm = io.materialize(mm, "model_matrix")
     va = VectorAssembler(inputCols=feats, outputCol="features")
     train = va.transform(mm.where(F.col("split_flag") == "TRAIN")).select("features", F.col("target").cast("double"))
-    model = GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.1, seed=42, labelCol="target").fit(train)
+    model = GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.1, seed=42, labelCol="target",
+                         cacheNodeIds=True).fit(train)
     val = va.transform(mm.where(F.col("split_flag") == "VALIDATION"))
     return model.transform(val).select(*CELLK, "demand_date", "target",
                                        rnd(F.greatest(F.col("prediction"), F.lit(0.0)), 4).alias("prediction"))
