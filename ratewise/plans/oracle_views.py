@@ -29,7 +29,7 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM nation JOIN region ON n_regionkey = r_regionkey""", ()),
     "vehicles": (f"""
         SELECT {T} AS tenant_id, p_partkey AS vehicle_id,
-               CAST(substr(p_brand, 7) AS INTEGER) AS model_id, c.category_id,
+               TRY_CAST(substr(p_brand, 7) AS INTEGER) AS model_id, c.category_id,
                CAST(p_partkey % 25 AS INTEGER) AS branch_id,
                CAST(140 + p_size % 17 AS INTEGER) AS status_id,
                p_size = 50 AS is_deleted
@@ -45,7 +45,7 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""", ()),
     "rates": (f"""
         SELECT p_partkey AS rate_id, {T} AS tenant_id,
-               CAST(substr(p_brand, 7) AS INTEGER) AS model_id, c.category_id,
+               TRY_CAST(substr(p_brand, 7) AS INTEGER) AS model_id, c.category_id,
                CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 25 AS INTEGER) END AS branch_id,
                make_date(CAST(1994 + p_size % 6 AS INTEGER), CAST(1 + p_size % 12 AS INTEGER), 1) AS start_date,
                CASE WHEN p_size <= 25 THEN make_date(CAST(1999 + p_size % 3 AS INTEGER), 12, 31) END AS end_date,

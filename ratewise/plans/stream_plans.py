@@ -65,7 +65,7 @@ def stm_04(d):
     q = (li.join(p.select("p_partkey", "p_name", "p_size"), li.l_partkey == p.p_partkey)
            .join(s.select("s_suppkey", "s_name"), li.l_suppkey == s.s_suppkey)
            .select(F.col("s_name").alias("competitor_name"), vname.alias("vehicle_name"),
-                   F.to_date("l_shipdate").alias("price_date"), F.col("l_shipdate").alias("fetched_at")))
+                   st.utc_day(F.col("l_shipdate")).alias("price_date"), F.col("l_shipdate").alias("fetched_at")))
     dd = st.dedup_quotes_stream(q, ["competitor_name", "vehicle_name", "price_date"])
     out = st.run_available(dd.select("competitor_name", "vehicle_name", "price_date"), "quotes_dedup", None,
                            mode="append")

@@ -82,7 +82,7 @@ class Domain:
             .select(
                 F.lit(self.tenant_id).alias("tenant_id"),
                 F.col("p_partkey").alias("vehicle_id"),
-                F.substring("p_brand", 7, 8).cast("int").alias("model_id"),
+                F.substring("p_brand", 7, 8).try_cast("int").alias("model_id"),
                 F.col("category_id"),
                 (F.col("p_partkey") % 25).cast("int").alias("branch_id"),
                 (F.lit(140) + F.col("p_size") % 17).cast("int").alias("status_id"),
@@ -119,7 +119,7 @@ class Domain:
             .select(
                 F.col("p_partkey").alias("rate_id"),
                 F.lit(self.tenant_id).alias("tenant_id"),
-                F.substring("p_brand", 7, 8).cast("int").alias("model_id"),
+                F.substring("p_brand", 7, 8).try_cast("int").alias("model_id"),
                 F.col("category_id"),
                 F.when(F.col("p_partkey") % 2 == 0, (F.col("p_partkey") % 25).cast("int")).alias("branch_id"),
                 F.make_date(F.lit(1994) + F.col("p_size") % 6, F.lit(1) + F.col("p_size") % 12, F.lit(1)).alias("start_date"),

@@ -55,14 +55,24 @@ def stream_table(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     df = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
           .option("maxFilesPerTrigger", 1).parquet(folder))
-    # Event-time operators need TIMESTAMP (with the session time zone); the
-    # files store zone-less timestamps.
+    # Event-time operators need TIMESTAMP; the files store zone-less wall
+    # clock times.  Map each wall-clock time to the same UTC instant so that
+    # day windows (aligned to UTC midnight) match calendar days whatever the
+    # session time zone is.
+    tz = spark.conf.get("spark.sql.session.timeZone")
     for f in schema.fields:
         if isinstance(f.dataType, T.TimestampNTZType):
-            df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
+            df = df.withColumn(f.name, F.from_utc_timestamp(F.col(f.name).cast("timestamp"), tz))
     return df
 
 
+def utc_day(ts) -> F.Column:
+    """Calendar day of a UTC instant produced by :func:`stream_table`."""
+    from pyspark.sql import SparkSession
+    tz = SparkSession.getActiveSession().conf.get("spark.sql.session.timeZone")
+    return F.to_date(F.to_utc_timestamp(ts, tz))
+
+
 def run_available(stream: DataFrame, name: str, keys: list[str] | None, mode: str = "update") -> DataFrame:
     """Run ``stream`` over all available input (``availableNow``), upserting
     every micro-batch by ``keys`` (or appending when ``keys`` is None), and
@@ -100,7 +110,7 @@ def daily_demand_stream(lineitem: DataFrame, supplier: DataFrame, vehicles: Data
         F.count(F.lit(1)).alias("executed_rentals_count"), F.avg(rate).alias("avg_rate"),
         F.min(rate).alias("min_rate"), F.max(rate).alias("max_rate"))
     return g.select(F.lit(tenant_id).alias("tenant_id"), "branch_id", "category_id",
-                    F.to_date(F.col("window.start")).alias("demand_date"), "executed_rentals_count",
+                    utc_day(F.col("window.start")).alias("demand_date"), "executed_rentals_count",
                     "avg_rate", "min_rate", "max_rate")
 
 
@@ -108,8 +118,9 @@ def sliding_activity_stream(events: DataFrame, event_city: DataFrame, watermark:
     """STM-02: trailing 7-day event activity per city, sliding by a day."""
     e = events.withWatermark("ts", watermark).join(F.broadcast(event_city), "event_type")
     g = e.groupBy(F.window("ts", "7 days", "1 day"), "city_name").agg(F.count(F.lit(1)).alias("events_7d"))
-    return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                    "city_name", "events_7d")
+    tz_back = lambda c: F.to_timestamp(utc_day(c))  # noqa: E731  (window bounds are midnights)
+    return g.select(tz_back(F.col("window.start")).alias("window_start"),
+                    tz_back(F.col("window.end")).alias("window_end"), "city_name", "events_7d")
 
 
 def event_signal_stream(events: DataFrame, event_city: DataFrame, tenant_id: int, shift_months: int,
@@ -119,7 +130,7 @@ def event_signal_stream(events: DataFrame, event_city: DataFrame, tenant_id: int
     e = events.withWatermark("ts", watermark).join(F.broadcast(event_city), "event_type")
     g = e.groupBy(F.window("ts", "1 day"), "city_name").agg(F.count(F.lit(1)).alias("event_volume"))
     return g.select(F.lit(tenant_id).alias("tenant_id"),
-                    F.add_months(F.to_date(F.col("window.start")), shift_months).alias("event_date"),
+                    F.add_months(utc_day(F.col("window.start")), shift_months).alias("event_date"),
                     "city_name", "event_volume", F.round(F.log1p("event_volume"), 4).alias("event_score"))
 
 
