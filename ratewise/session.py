@@ -39,7 +39,7 @@ def get_spark(
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.driver.memory", os.environ.get("RATEWISE_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("RATEWISE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in {**_REQUIRED_CONF, **(extra or {})}.items():
