@@ -58,12 +58,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        master = spark.sparkContext.master or ""
+        master = spark.conf.get("spark.master", "") or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by all executors "
                                "(a machine-local scratch folder is only used in local mode)")
         configured = tempfile.mkdtemp(prefix="ratewise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    try:  # RDD checkpoints (iterative ML fits) use the same folder; absent under Spark Connect
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
+    except Exception:  # noqa: BLE001
+        pass
     return configured
