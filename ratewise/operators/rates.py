@@ -122,9 +122,9 @@ def band_price_stats(lines: DataFrame) -> DataFrame:
         F.max("rate").alias("max_rate"), F.count(F.lit(1)).alias("rate_count"))
 
 
-def price_summary(prices: DataFrame) -> DataFrame:
+def price_summary(prices: DataFrame, keys=("tenant_id",)) -> DataFrame:
     """AGG-09: categories found, models summed, overall daily range."""
-    return prices.groupBy("tenant_id").agg(
+    return prices.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("categories_found"),
         F.sum("model_count").alias("total_models"),
         F.min("daily_rate").alias("min_daily_rate"),

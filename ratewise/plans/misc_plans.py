@@ -340,11 +340,10 @@ def cal_04(d):
 @query("cmp_08", with_views(f"""
     SELECT branch_id, category_id, index_date, coalesce(competitor_avg_price, 0.0) AS competitor_avg_price,
            competitors_count FROM comp_index
-    WHERE branch_id = 0 AND index_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""", "comp_index"))
+    WHERE index_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""", "comp_index"))
 def cmp_08(d):
-    """CMP-08: read the index of one branch over a date range."""
-    i = comp_index(d).where((F.col("branch_id") == 0)
-                            & F.col("index_date").between(F.lit(dt.date(2000, 1, 1)), F.lit(dt.date(2000, 12, 31))))
+    """CMP-08: read the index of every branch over a date range."""
+    i = comp_index(d).where(F.col("index_date").between(F.lit(dt.date(2000, 1, 1)), F.lit(dt.date(2000, 12, 31))))
     return i.select("branch_id", "category_id", "index_date",
                     F.coalesce("competitor_avg_price", F.lit(0.0)).alias("competitor_avg_price"), "competitors_count")
 

@@ -162,13 +162,13 @@ def agg_08(d):
 
 
 @query("agg_09", with_views(f"""
-    SELECT tenant_id, count(*) AS categories_found, CAST(sum(model_count) AS BIGINT) AS total_models,
+    SELECT tenant_id, branch_id, count(*) AS categories_found, CAST(sum(model_count) AS BIGINT) AS total_models,
            min(daily_rate) AS min_daily_rate, max(daily_rate) AS max_daily_rate,
            list_sort(list({{'category_id': category_id, 'daily_rate': daily_rate}})) AS per_category
-    FROM (SELECT * FROM category_prices WHERE branch_id = 0) GROUP BY tenant_id""", "category_prices"))
+    FROM category_prices GROUP BY tenant_id, branch_id""", "category_prices"))
 def agg_09(d):
-    """AGG-09: price summary of one branch's category prices."""
-    return rt.price_summary(_cat_prices(d).where(F.col("branch_id") == 0))
+    """AGG-09: price summary of every branch's category prices."""
+    return rt.price_summary(_cat_prices(d), ("tenant_id", "branch_id"))
 
 
 @query("agg_10", with_views(f"""
