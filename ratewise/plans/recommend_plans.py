@@ -163,9 +163,10 @@ def _cells(d):
     return rc.cell_grid(d.branches, [c[0] for c in CATEGORIES])
 
 
-def _weights(d):
+def _weights(d, tenants=None):
     """Weight configuration of every tenant that has contracts."""
-    tenants = d.contracts.select("tenant_id").distinct()
+    if tenants is None:
+        tenants = d.contracts.select("tenant_id").distinct()
     cfg = tenants.select("tenant_id", F.explode(F.array(*[
             F.struct(F.lit(n).alias("signal_name"), F.lit(w).alias("weight")) for n, w in SIGNAL_WEIGHTS]))
             .alias("w")).select("tenant_id", "w.signal_name", "w.weight", F.lit(True).alias("is_enabled"))
@@ -228,7 +229,8 @@ def recommendations(d, run_date=P.RUN_DATE, forecasts=None):
         "tenant_id", "branch_id", F.col("weather_date").alias("forecast_date"), "bad_weather_score",
         "extreme_heat_flag", "precipitation_sum")
     guard = rc.resolve_guardrails(cells, None, d.categories, GENERIC_GUARDRAIL)
-    out = rc.generate(spine, base.drop("base_source"), guard, _weights(d), util, fcst, _mean_train(d),
+    weights = _weights(d, fact.select("tenant_id").distinct())
+    out = rc.generate(spine, base.drop("base_source"), guard, weights, util, fcst, _mean_train(d),
                       comp, wxs, _calendar(d), run_date)
     d.__dict__[key] = out
     return out
