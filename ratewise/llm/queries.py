@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import chat, mixing, pii, url_reputation
+from ratewise.llm import bit_sliced, chat, line_blocks, mixing, packing, permutation_index, pii, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,26 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every fiftieth vector."""
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op8_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return line_blocks.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, mixed to equal parts of twenty sources."""
     return (mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -37,4 +57,5 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_chat_snapshot_collapse, op2_url_reputation, op5_pii_spans, op10_poisson_mixing)}
+    op1_chat_snapshot_collapse, op2_url_reputation, op5_pii_spans, op6_permutation_index,
+    op7_bit_sliced_topk, op8_line_block_text, op9_best_fit_packing, op10_poisson_mixing)}
