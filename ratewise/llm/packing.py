@@ -15,6 +15,7 @@ spread over many tasks.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import uuid
 import zlib
@@ -33,9 +34,9 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 
-#: Entries of each of a task's two caches, about 60 MB when full; when one is
-#: full it is emptied.  They only save time.
-CACHE = 300_000
+#: Entries of a task's caches of written and of encoded words, about 60 and
+#: 180 MB when full; a full one is emptied.  They only save time.
+WORDS, CORES = 300_000, 900_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 
@@ -69,7 +70,7 @@ class Encoder:
                 self._learn({w for w, g in zip(words, got, strict=True) if g is None})
                 got = [self.words[w] if g is None else g for w, g in zip(words, got, strict=True)]
             yield b"".join(got)
-            if len(self.words) > CACHE:
+            if len(self.words) > WORDS:
                 self.words.clear()
 
     def _learn(self, words: set[bytes]) -> None:
@@ -79,7 +80,7 @@ class Encoder:
         if new:
             self._fill(self.cores, sorted(new))
         self.words.update((w, b"".join([self.cores[p] for p in ps])) for w, ps in parts.items())
-        if len(self.cores) > CACHE:
+        if len(self.cores) > CORES:
             self.cores.clear()
 
 
@@ -90,8 +91,7 @@ def encoder(vocabulary: str) -> Encoder:
     """The task process's encoder; ``vocabulary`` names a file of the public
     tokenizers, installed on every executor, or is a path."""
     if vocabulary not in _ENCODERS:
-        import os
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         path = vocabulary
         if not os.path.isabs(vocabulary):
             import public_tokenizers
