@@ -20,7 +20,7 @@ import re
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 
-#: Entries of a task's caches of written and of encoded words, about 60 and
-#: 180 MB when full; a full one is emptied.  They only save time.
-WORDS, CORES = 300_000, 900_000
+#: Entries of a task's caches of written and of encoded words, about 120
+#: and 180 MB when full; a full one is emptied.  They only save time.
+WORDS, CORES = 600_000, 900_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 
@@ -60,16 +60,14 @@ class Encoder:
         encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
         cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
 
-    def __call__(self, texts: Sequence[str]) -> Iterator[bytes]:
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The little-endian 32-bit ids of each text."""
         for text in texts:
             raw = text.encode()
             words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens have a case
-            got = list(map(self.words.get, words))
-            if None in got:
-                self._learn({w for w, g in zip(words, got, strict=True) if g is None})
-                got = [self.words[w] if g is None else g for w, g in zip(words, got, strict=True)]
-            yield b"".join(got)
+            if new := set(words).difference(self.words):
+                self._learn(new)
+            yield b"".join(map(self.words.__getitem__, words))
             if len(self.words) > WORDS:
                 self.words.clear()
 
@@ -175,14 +173,14 @@ def _add(groups: dict[int, list[tuple[int, int]]], rooms: list[int], room: int,
         groups[room].append((first, count))
 
 
-def ranked(df: DataFrame, rows_per_bucket: int = 50_000) -> tuple[DataFrame, dict[int, int]]:
+def ranked(df: DataFrame, rows_per_bucket: int = 1_000) -> tuple[DataFrame, dict[int, int]]:
     """Adds ``rank`` (from 0, unique within a length), and the histogram.  Rows
     are numbered inside buckets hashed from their salt; a bucket's first number
     is the count of those before it.  One bucket's rows of one length, never all
     rows of a length, meet in a task."""
     counts = {r["length"]: r["count"] for r in df.groupBy("length").count().collect()}  # capacity rows at most
-    buckets = max(1, -(-max(counts.values(), default=0) // rows_per_bucket))
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("salt"), F.lit(buckets)))
+    buckets = [-(-counts.get(n, 0) // rows_per_bucket) for n in range(max(counts, default=0) + 1)]
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("salt"), F.get(F.lit(buckets), F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (df.groupBy("length", "bucket").count()
              .select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")))
