@@ -8,12 +8,14 @@ choice of that many symbols left open: an equi-join on these keys yields all
 pairs under the distance threshold.  Their full shingle sets are then compared.
 
 Texts with equal sets are one representative throughout, and are never paired.
-First every representative is compared with one other
-of each of its keys, so a key gives at most as many pairs as postings; confirmed
-links form classes, and a key whose postings all lie in one class is done.  What
-is left, keys with unlike texts of several classes, is compared pair by pair
-across classes, in blocks where a key is frequent.  No link between classes is
-lost that way.
+No step writes all pairs of a group.  The members of a key are compared by
+signature in one task (in blocks where a key is frequent), which writes a
+spanning forest of the pairs under the threshold; these forests join into
+candidate groups.  In a candidate group every set is first compared with one
+other, then those that this links with nothing are compared with all the rest,
+again in blocks that write spanning forests of the confirmed links.  So the
+classes are those of all confirmed pairs, and work beyond the size of a group
+goes only to texts that are alike and yet not linked with its first one.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SHINGLE, SIMILAR = 5, 85
 #: probability 0.15; more than 21 of 64 differ in about 1 of 10,000 such pairs,
 #: and of pairs at 0.88 or above in about 1 of a million.
 SYMBOLS, DISTANCE, CHUNKS = 64, 21, 11
+#: Rows of a block of a frequent key or a large group.
+BLOCK = 512
 #: Names of texts that are broadcast at most (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 
@@ -155,20 +159,141 @@ def shared_postings(posted: DataFrame) -> DataFrame:
     return posted.join(shared, "key", "left_semi")
 
 
-def near(pairs: DataFrame, reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The (a, b) of ``pairs`` whose signatures differ in ``distance`` symbols
-    at most, and whose set sizes allow the similarity."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    both = (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR))
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal values in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        if last is not None and first != last:
+            yield pa.concat_batches(held)
+            held = []
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for i, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+            if i:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """A spanning forest of a graph on n nodes, its edges given in parts."""
+    parent = list(range(n))
+    out = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for us, vs in pairs:
+        for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[b] = a
+                out.append((u, v))
+    return out
+
+
+def _written(batches: Iterator[tuple[np.ndarray, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+    a: list = []
+    b: list = []
+    for reps, edges in batches:
+        if edges:
+            e = np.array(edges)
+            a.append(reps[e[:, 0]])
+            b.append(reps[e[:, 1]])
+            if len(a) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b = [], []
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def candidate_links(shared: DataFrame, reps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(a, b): spanning forests, key by key, of the pairs that share a key and
+    differ in ``distance`` symbols at most.  Together they connect what all
+    such pairs connect."""
+    sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    cut = (shared.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+           .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "rep"))
+    cut = cut.join(reps.select("rep", "sig", "n_shingles"), "rep").select("key", "lo", "hi", "rep", "n_shingles", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SYMBOLS) for i in (2, 3))
-            ok = pa.array((a != b).sum(axis=1) <= distance)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
+        def forests() -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+            for g in _groups(batches, 3):
+                n, size = g.num_rows, g.column(4).to_numpy()
+                sig = np.frombuffer(b"".join(g.column(5).to_pylist()), "<u2").reshape(n, SYMBOLS)
+
+                def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                    for i in range(n - 1):
+                        ok = ((sig[i + 1:] != sig[i]).sum(axis=1) <= distance) & (
+                            np.minimum(size[i + 1:], size[i]) * 100 >= np.maximum(size[i + 1:], size[i]) * SIMILAR)
+                        if ok.any():
+                            v = np.flatnonzero(ok) + i + 1
+                            yield np.full(len(v), i), v
+
+                yield g.column(3).to_numpy(), _forest(n, pairs())
+
+        yield from _written(forests())
+
+    return cut.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def linked_across(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): spanning forests of the similar pairs among ``members`` (group,
+    rep, near) of which one side at least is not ``near``.  Both kinds are cut
+    into blocks; every two blocks that hold such pairs meet in a task."""
+    sizes = members.groupBy("group").agg(F.ceil(F.sum(F.col("near").cast("int")) / block).cast("int").alias("nears"),
+                                         F.ceil(F.sum(F.lit(1) - F.col("near").cast("int")) / block).cast("int").alias("fars"))
+    # blocks of a group: the far ones from 0, then the near ones; a near block meets far blocks only
+    parts = F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))
+    part = F.pmod(F.xxhash64("rep"), parts).cast("int") + F.when(F.col("near"), F.col("fars")).otherwise(0)
+    meets = F.sequence(F.lit(0), F.when(F.col("near"), F.col("fars")).otherwise(F.col("fars") + F.col("nears")) - 1)
+    cut = (members.join(sizes.where("fars > 0"), "group").withColumn("part", part).withColumn("other", F.explode(meets))
+           .select("group", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "rep", "near"))
+    cut = cut.join(texts, "rep").select("group", "lo", "hi", "rep", "near", "text")
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forests() -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+            for g in _groups(batches, 3):
+                near = g.column(4).to_numpy(zero_copy_only=False)
+                sets = [shingles(t.as_py()) for t in g.column(5)]
+                yield g.column(3).to_numpy(), _forest(len(sets), similar_pairs(sets, near))
+
+        yield from _written(forests())
+
+    return cut.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_pairs(sets: list[np.ndarray], near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All similar pairs with a side that is not near, exactly: common shingles
+    are counted along the lists of who holds a shingle."""
+    size = np.array([len(x) for x in sets])
+    holders, owner = np.unique(np.concatenate(sets), return_inverse=True)
+    who = np.repeat(np.arange(len(sets)), size)
+    by = np.argsort(owner, kind="stable")
+    lists = np.searchsorted(owner[by], np.arange(len(holders) + 1))
+    starts = np.concatenate([[0], np.cumsum(size)])
+    for i in np.flatnonzero(~near):
+        mine = owner[starts[i]:starts[i + 1]]
+        held = np.concatenate([by[lists[s]:lists[s + 1]] for s in mine])
+        common = np.bincount(who[held], minlength=len(sets))
+        ok = 100 * common >= SIMILAR * (size + size[i] - common)
+        ok[i] = False
+        v = np.flatnonzero(ok)
+        if len(v):
+            yield np.full(len(v), i), v
 
 
 def texts_of(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -229,38 +354,26 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("u").alias("rep"), F.col("u").alias("component"))).distinct()
 
 
-def _across(shared: DataFrame, block: int = 64) -> DataFrame:
-    """Pairs of the postings (key, rep, class) of one key and different classes.
-    Keys with many postings are cut into blocks of about ``block``, and every
-    two blocks of a key meet in a task of their own."""
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    sizes = sizes.where("lo < hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    cut = shared.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    left = cut.select("key", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), F.col("rep").alias("a"), F.col("class").alias("ca"))
-    right = cut.select("key", F.explode(F.sequence(F.lit(0), "part")).alias("part"), F.col("part").alias("other"), F.col("rep").alias("b"), F.col("class").alias("cb"))
-    pairs = left.join(right, ["key", "part", "other"]).where("ca <> cb AND a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def classes(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, component) of the representatives that have links.  ``reps``: rep,
     loc, sig, n_shingles."""
     shared = _scratch(shared_postings(postings(reps)), "postings")
-    head = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("head"))
-    star = shared.join(head, "key").select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    star = _scratch(near(star, reps), "star")
-    links = _scratch(confirmed(star, texts_of(star, reps, docs)), "links")
-    labels = components(links)
-    now = shared.join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("class"))
-    rest = _across(now).join(star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    rest = _scratch(near(rest, reps), "rest")
-    more = _scratch(confirmed(rest, texts_of(rest, reps, docs)), "links")
+    groups = components(_scratch(candidate_links(shared, reps), "candidates")).select("rep", F.col("component").alias("group"))
+    star = groups.where("rep <> group").select(F.col("group").alias("a"), F.col("rep").alias("b"))
+    texts = texts_of(star, reps, docs)
+    links = _scratch(confirmed(star, texts), "links")
+    # a pair is settled by its one comparison; larger groups may hold links beside the first one's
+    larger = groups.groupBy("group").count().where("count > 2").select("group")
+    linked = links.select(F.col("b").alias("rep"), F.lit(True).alias("linked"))
+    members = (groups.join(larger, "group").join(linked, "rep", "left")
+               .select("group", "rep", (F.coalesce("linked", F.lit(False)) | (F.col("rep") == F.col("group"))).alias("near")))
+    more = _scratch(linked_across(_scratch(members, "members"), texts), "links")
     return components(links.union(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, names: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``
-    (doc_id, text).
+    (doc_id, text); with ``names`` also the class's number and the text's hash.
 
     Texts without words are linked with nothing.  Rows with equal sets share a
     class, whatever their ids.  component_id is the smallest id of the class,
@@ -277,7 +390,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = classes(sets.select("rep", "loc", "sig", "n_shingles"), docs)
     named = sets.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("set1", "set2", "component_id")
-    out = some.join(named, ["set1", "set2"]).select("doc_id", "n_shingles", "component_id")
-    out = out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(ids, "component").select("set1", "set2", "component_id", F.col("component").alias("class"))
+    out = some.join(named, ["set1", "set2"]).select("doc_id", "n_shingles", "component_id", "class", "loc")
+    out = out.union(rows.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class"), "loc"))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out if names else out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each class of ``docs``, with its columns: the one with the
+    smallest id.  All texts without words are kept.  Of repeated rows of that
+    id one stays; a class without ids keeps one row."""
+    found = near_duplicates(docs, names=True)
+    stay = found.where("kept AND n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "loc")).alias("one"))
+    stay = stay.select(F.col("one.doc_id").alias("__id"), F.col("one.loc").alias("__loc"))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__loc": F.xxhash64(F.col("text").cast("string"))})
+    same = keyed["__id"].eqNullSafe(stay["__id"]) & (keyed["__loc"] == stay["__loc"])
+    kept = keyed.join(stay, same, "left_semi").dropDuplicates(["__id", "__loc"])
+    empty = keyed.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.unionByName(empty).select(docs.columns)

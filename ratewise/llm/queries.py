@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import bit_sliced, chat, line_blocks, mixing, near_duplicates, packing, permutation_index, pii, url_reputation
+from ratewise.llm import bit_sliced, chat, line_blocks, mixing, near_duplicates, packing, permutation_index, pii, toxicity_chain, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and the verdict of every document."""
+    return toxicity_chain.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
@@ -62,5 +67,5 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_chat_snapshot_collapse, op2_url_reputation, op4_minhash_hamming_join, op5_pii_spans, op6_permutation_index,
+    op1_chat_snapshot_collapse, op2_url_reputation, op3_toxicity_chain, op4_minhash_hamming_join, op5_pii_spans, op6_permutation_index,
     op7_bit_sliced_topk, op8_line_block_text, op9_best_fit_packing, op10_poisson_mixing)}
