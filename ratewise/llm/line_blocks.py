@@ -1,7 +1,7 @@
 """Operator 8: main text of html pages by line-block distribution.
 
-Markup is stripped to lines, one per text block, with empty lines where a
-section opens or closes.  The lengths of a sliding window of lines are summed:
+Markup is stripped to lines, one per text block, with empty lines where an
+article opens or closes.  The lengths of a sliding window of lines are summed:
 the main text is where the sums surge and stay, up to where they dive back to
 nothing.  Between these points every line is kept, however short it is.
 
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that a window holds, and the empty lines that part two sections: with
-#: as many, no window reaches over the edge of a section.
+#: Lines that a window holds, and the empty lines at the edge of an article:
+#: with as many, no window reaches over it.
 WINDOW = 3
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -34,8 +34,8 @@ BLOCK = frozenset((
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead "
     "tr ul video audio canvas").split())
-#: Elements that part sections.
-SECTION = frozenset("article aside body div footer form header main nav section td".split())
+#: Elements that part the page's text.
+ARTICLE = frozenset(("article", "main"))
 #: Chrome by tag.
 CHROME = frozenset((
     "nav footer aside form script style noscript template iframe button select textarea svg head title menu object embed "
@@ -47,8 +47,9 @@ CHROME_WORDS = frozenset((
     "disclaimer disqus footer form gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification "
     "popup promo promoted related respond replies share sharing sidebar sidebars social sponsor sponsored subscribe subscription "
     "toolbar widget widgets skip topbar").split())
-#: These keep their text whatever a class says.
-CORE = frozenset("html body article main".split())
+#: These keep their text whatever a class says; an article only if it is not one of these.
+CORE = frozenset("html body main".split())
+OTHER_ARTICLES = frozenset("comment comments reply replies related promo sponsored ad advert".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -71,15 +72,18 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in CHROME_ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in CHROME_WORDS for w in _WORD.findall(value)):
+        if name == "class" and tag == "article":
+            return not OTHER_ARTICLES.isdisjoint(value.lower().split())
+        if name in ("class", "id") and tag != "article" and any(w.lower() in CHROME_WORDS for w in _WORD.findall(value)):
             return not (in_article and "header" in value.lower() and tag != "div")
     return False
 
 
-def lines(html: str) -> list[str]:
+def lines(html: str, by_name: bool = True) -> list[str]:
     """The page's lines: a string per text block, cleaned, and WINDOW empty
-    ones at each edge of a section.  Unclosed and stray tags are taken as
-    browsers do, roughly: a closing tag closes what it names and all inside."""
+    ones at each edge of an article.  ``by_name``: class, id and role tell
+    chrome.  Unclosed and stray tags are taken as browsers do, roughly: a
+    closing tag closes what it names and all inside."""
     out: list[str] = []
     part: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each starts chrome
@@ -100,7 +104,7 @@ def lines(html: str) -> list[str]:
         nonlocal chrome, articles
         tag, starts = stack.pop()
         chrome -= starts
-        articles -= tag in ("article", "main")
+        articles -= tag in ARTICLE
 
     while True:
         m = _TOKEN.search(html, at)
@@ -123,7 +127,7 @@ def lines(html: str) -> list[str]:
                     pop()
                 pop()
         else:
-            starts = _is_chrome(tag, m[3], articles > 0)
+            starts = _is_chrome(tag, m[3] if by_name else "", articles > 0)
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 if not (starts or chrome):
@@ -133,9 +137,9 @@ def lines(html: str) -> list[str]:
             if tag not in VOID and not m[3].endswith("/"):
                 stack.append((tag, starts))
                 chrome += starts
-                articles += tag in ("article", "main")
+                articles += tag in ARTICLE
         if visible or not chrome:
-            if tag in SECTION and not (starts if not m[1] else not visible):
+            if tag in ARTICLE and not (starts if not m[1] else not visible):
                 edge()
             elif tag in BLOCK:
                 flush()
@@ -145,7 +149,7 @@ def lines(html: str) -> list[str]:
 
 def main_text(html: str) -> str:
     """The lines between surge and dive of the heaviest stretch."""
-    rows = lines(html)
+    rows = lines(html) or lines(html, by_name=False)  # a wrapper's name may speak of a part it holds
     sizes = [len(r) for r in rows]
     # sums[i]: of the window that begins at i; one that begins before the first line sees it come
     padded = [0] * (WINDOW - 1) + sizes + [0] * WINDOW

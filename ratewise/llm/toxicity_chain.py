@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on at most.
-SAMPLE = 6000
+SAMPLE = 5000
 #: Words and word beginnings of a model, and folds of the chain.
 FEATURES, FOLDS = 300, 4
 #: Lengths of word beginnings.
@@ -79,20 +79,20 @@ class Encoded:
     feature: np.ndarray
 
     @classmethod
-    def of(cls, texts: Sequence[Sequence[str]]) -> Encoded:
-        """``texts``: each document's distinct words."""
+    def of(cls, texts: Sequence[str]) -> Encoded:
+        """``texts``: each document's distinct words, joined by spaces."""
         number: dict[str, int] = {}
         known: dict[str, list[int]] = {}
         rows = []
         for t in texts:
             found: set[int] = set()
-            for w in t:
+            for w in t.split():
                 if w not in known:
                     known[w] = [number.setdefault(f, len(number)) for f in word_features(w)]
                 found.update(known[w])
             rows.append(np.fromiter(found, np.int32, len(found)))
         sizes = [len(r) for r in rows]
-        return cls(list(number), np.array([len(t) for t in texts], float), np.repeat(np.arange(len(rows)), sizes),
+        return cls(list(number), np.array([len(t.split()) for t in texts], float), np.repeat(np.arange(len(rows)), sizes),
                    np.concatenate([np.empty(0, np.int32), *rows]))
 
     def telling(self, docs: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
@@ -138,8 +138,8 @@ class Chain:
         return out
 
 
-def fit_chain(texts: Sequence[Sequence[str]], truths: Sequence[tuple[str, np.ndarray]], most: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """``texts``: each document's distinct words; ``truths``: (category, 0/1 per
+def fit_chain(texts: Sequence[str], truths: Sequence[tuple[str, np.ndarray]], most: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """``texts``: each document's distinct words, joined by spaces; ``truths``: (category, 0/1 per
     document) in chain order.  A category that has fewer than ``folds``
     documents on either side gets a constant model and rejects nothing."""
     docs = Encoded.of(texts)
@@ -188,11 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
         for batch in batches:
             kept = [sorted(words(t.as_py())) for t in batch.column(1)]
             kept = [w[::-(-len(w) // TRAIN_WORDS)] if w else w for w in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.string())), *batch.columns[2:]],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(" ".join, kept), pa.string()), *batch.columns[2:]],
                                              names=["h", "words", *names])
 
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows
-            .select("h", "text", *names).mapInArrow(some, "h bigint, words array<string>, " + ", ".join(f"{n} int" for n in names))
+            .select("h", "text", *names).mapInArrow(some, "h bigint, words string, " + ", ".join(f"{n} int" for n in names))
             .dropDuplicates(["h"]).toPandas().sort_values("h"))
     return fit_chain(list(rows["words"]), [(n, rows[n].to_numpy()) for n in names])
 
