@@ -164,7 +164,7 @@ def normalise_holiday_payload(payloads: DataFrame, priority) -> DataFrame:
         F.col("h.name").alias("holiday_name"),
         F.col("h.name_local").alias("holiday_name_ar"),
         holiday_type_priority(F.col("h.type"), priority).alias("holiday_type"),
-        F.exists(F.col("h.type"), lambda x: F.lower(x).contains("national")).alias("is_public_holiday"),
+        F.exists(F.col("h.type"), lambda x: x == "National holiday").alias("is_public_holiday"),
     )
 
 

@@ -186,9 +186,10 @@ def latest_version(recs: DataFrame, key=REC_KEY) -> DataFrame:
 
 def latest_run(recs: DataFrame, by: list[str]) -> DataFrame:
     """WIN-10 / JN-11: rows of the latest run_date within each ``by`` group
-    (window max = run_date, instead of a scalar subquery)."""
-    w = Window.partitionBy(*by)
-    return recs.withColumn("_mx", F.max("run_date").over(w)).where(F.col("run_date") == F.col("_mx")).drop("_mx")
+    (partial maxima per group joined back: the history itself is not
+    gathered by group)."""
+    latest = recs.groupBy(*by).agg(F.max("run_date").alias("run_date"))
+    return recs.join(latest, [*by, "run_date"], "left_semi")
 
 
 def apply_decisions(recs: DataFrame, decisions: DataFrame, key=None) -> DataFrame:

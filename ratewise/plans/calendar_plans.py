@@ -122,7 +122,7 @@ def win_07(d):
                 WHEN contains(lower(holiday_type), 'muslim') THEN 'Muslim'
                 WHEN contains(lower(holiday_type), 'observance') THEN 'Observance'
                 ELSE coalesce(holiday_type, 'Unknown') END AS holiday_type,
-           contains(lower(holiday_type), 'national') AS is_public_holiday
+           contains(holiday_type, 'National holiday') AS is_public_holiday
     FROM holidays""", "holidays"))
 def src_04(d):
     """SRC-04 + CAL-04: holiday feed payload -> rows with priority type."""

@@ -667,12 +667,12 @@ def dt_04(d):
 
 
 @query("dt_05", with_views("""
-    SELECT branch_id, CAST(unnest(generate_series(min(weather_date), min(weather_date) + 6, INTERVAL 1 DAY)) AS DATE) AS d
+    SELECT branch_id, CAST(unnest(generate_series(min(weather_date), max(weather_date), INTERVAL 1 DAY)) AS DATE) AS d
     FROM weather GROUP BY branch_id""", "weather"))
 def dt_05(d):
-    """DT-05: date range generation (first week of each branch's weather)."""
-    g = d.weather.groupBy("branch_id").agg(F.min("weather_date").alias("lo"))
-    return g.select("branch_id", F.explode(F.sequence("lo", F.date_add("lo", 6))).alias("d"))
+    """DT-05: date range generation (every day of each branch's weather)."""
+    g = d.weather.groupBy("branch_id").agg(F.min("weather_date").alias("lo"), F.max("weather_date").alias("hi"))
+    return g.select("branch_id", F.explode(F.sequence("lo", "hi")).alias("d"))
 
 
 @query("dt_06", with_views("""

@@ -15,16 +15,19 @@ from ratewise.sources.domain import EVENT_SHIFT_MONTHS
 from ratewise.streaming import incremental as st
 
 
-def _stream(d, name):
-    return st.stream_table(d.spark, d.t.sf_dir, f"{name}.parquet")
+def _feed(d, name, table):
+    """The stream over a source table, and the table that the feed keeps."""
+    path = f"{d.t.sf_dir}/{table}.parquet"
+    return st.stream_table(d.spark, path), st.FeedTable(d.spark, name, path)
 
 
 @query("stm_01", with_views(FACT_SQL, "contracts", "vehicles"))
 def stm_01(d):
-    """STM-01: incremental daily demand fact from arriving contract lines,
-    upserted per micro-batch; equals the batch fact (AGG-01)."""
-    s = st.daily_demand_stream(_stream(d, "lineitem"), d.t.supplier, d.vehicles, d.tenant_id)
-    t = st.run_available(s, "daily_demand", ["tenant_id", "branch_id", "category_id", "demand_date"])
+    """STM-01: incremental daily demand fact from arriving contract lines;
+    equals the batch fact (AGG-01)."""
+    stream, feed = _feed(d, "daily_demand", "lineitem")
+    t = st.daily_demand(st.run_available(
+        stream, feed, lambda b: st.daily_demand_partial(b, d.t.supplier, d.vehicles, d.tenant_id)))
     return t.select("tenant_id", "branch_id", "category_id", "demand_date", "executed_rentals_count",
                     rnd("avg_rate", 4).alias("avg_base_price_paid"), rnd("min_rate", 4).alias("min_base_price_paid"),
                     rnd("max_rate", 4).alias("max_base_price_paid"), *calendar_parts("demand_date", FACT_WEEKEND))
@@ -38,42 +41,44 @@ def stm_01(d):
     GROUP BY 1, 2, 3""", "event_city"))
 def stm_02(d):
     """STM-02: trailing 7-day event activity, sliding daily windows."""
-    s = st.sliding_activity_stream(_stream(d, "events"), d.fixed("event_city"))
-    return st.run_available(s, "activity_7d", ["window_start", "city_name"])
+    stream, feed = _feed(d, "activity_7d", "events")
+    return st.activity(st.run_available(stream, feed, lambda b: st.activity_partial(b, d.fixed("event_city"))))
 
 
 @query("stm_03", with_views("SELECT * FROM event_signal", "event_signal"))
 def stm_03(d):
-    """STM-03: incremental feed upsert (foreachBatch + merge by key) of the
-    daily event signal; equals the batch table."""
-    s = st.event_signal_stream(_stream(d, "events"), d.fixed("event_city"), d.tenant_id, EVENT_SHIFT_MONTHS)
-    return st.run_available(s, "event_signal", ["tenant_id", "event_date", "city_name"])
+    """STM-03: incremental feed (foreachBatch) of the daily event signal;
+    equals the batch table."""
+    stream, feed = _feed(d, "event_signal", "events")
+    return st.event_signal(st.run_available(
+        stream, feed, lambda b: st.event_partial(b, d.fixed("event_city"), d.tenant_id, EVENT_SHIFT_MONTHS)))
 
 
 @query("stm_04", with_views("""
     SELECT DISTINCT competitor_name, vehicle_name, price_date FROM listings""", "listings"))
 def stm_04(d):
-    """STM-04: TTL de-duplication of competitor quotes within the watermark
-    (one row per supplier, vehicle and day)."""
-    li = _stream(d, "lineitem")
+    """STM-04: de-duplication of competitor quotes (one row per supplier,
+    vehicle and day), within a micro-batch and against all earlier ones."""
     from ratewise.functions.text import MODEL_CATEGORIES
     p, s = d.t.part, d.t.supplier
-    keys = F.array(*[F.lit(k) for k, _ in MODEL_CATEGORIES])
+    models = F.array(*[F.lit(k) for k, _ in MODEL_CATEGORIES])
     vname = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(
-        F.concat(F.element_at(keys, (F.col("p_partkey") % len(MODEL_CATEGORIES) + 1).cast("int")),
+        F.concat(F.element_at(models, (F.col("p_partkey") % len(MODEL_CATEGORIES) + 1).cast("int")),
                  F.lit(" "), F.col("p_name")))
-    q = (li.join(p.select("p_partkey", "p_name", "p_size"), li.l_partkey == p.p_partkey)
-           .join(s.select("s_suppkey", "s_name"), li.l_suppkey == s.s_suppkey)
-           .select(F.col("s_name").alias("competitor_name"), vname.alias("vehicle_name"),
-                   st.utc_day(F.col("l_shipdate")).alias("price_date"), F.col("l_shipdate").alias("fetched_at")))
-    dd = st.dedup_quotes_stream(q, ["competitor_name", "vehicle_name", "price_date"])
-    out = st.run_available(dd.select("competitor_name", "vehicle_name", "price_date"), "quotes_dedup", None,
-                           mode="append")
-    return out.distinct()
+
+    def quotes(li):
+        return (li.join(p.select("p_partkey", "p_name", "p_size"), li.l_partkey == p.p_partkey)
+                .join(s.select("s_suppkey", "s_name"), li.l_suppkey == s.s_suppkey)
+                .select(F.col("s_name").alias("competitor_name"), vname.alias("vehicle_name"),
+                        F.to_date("l_shipdate").alias("price_date")))
+
+    stream, feed = _feed(d, "quotes_dedup", "lineitem")
+    return st.run_deduplicated(stream, feed, ["competitor_name", "vehicle_name", "price_date"], quotes)
 
 
 @query("stm_05", with_views("SELECT * FROM event_signal", "event_signal"))
 def stm_05(d):
     """STM-05: event volume and score per city and day (tumbling window)."""
-    s = st.event_signal_stream(_stream(d, "events"), d.fixed("event_city"), d.tenant_id, EVENT_SHIFT_MONTHS)
-    return st.run_available(s, "event_volume", ["tenant_id", "event_date", "city_name"])
+    stream, feed = _feed(d, "event_volume", "events")
+    return st.event_signal(st.run_available(
+        stream, feed, lambda b: st.event_partial(b, d.fixed("event_city"), d.tenant_id, EVENT_SHIFT_MONTHS)))

@@ -1,140 +1,152 @@
 """Structured Streaming re-aims of the daily feeds (STM-01..05).
 
-The reference refreshes its tables with once-a-day scripts.  Here each
-feed is a streaming query: ``readStream`` -> event-time aggregation or
-de-duplication with a watermark -> ``foreachBatch`` writer that upserts
-the batch into a versioned Parquet table in the shared checkpoint folder
-(``merge_by_key``; a new version per batch, never rewriting the path being
-read).  Triggered with ``availableNow`` the query processes what is
-there and stops; run continuously it keeps the table fresh.
+The reference refreshes its tables with once-a-day scripts.  Here each feed is
+a streaming query over the files of a table: ``readStream`` -> one partial
+result per micro-batch -> a Parquet folder ``epoch=<batch id>`` of the feed's
+table.  Files of a backfill come in any order, so no row may be dropped as
+late: a micro-batch is aggregated by itself, without a watermark, and readers
+add the partial results up.
+
+A feed has a stable name: table and checkpoint live in one folder named after
+feed and source, and a later run takes up new files only.  A replayed batch
+overwrites its own folder, so nothing is counted twice; no other folder is
+touched.  Triggered with ``availableNow`` the query processes what is there and
+stops; run continuously it keeps the table fresh.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.session import checkpoint_dir
-from ratewise.sinks.io import merge_by_key
 
+#: Files of a micro-batch.
+MAX_FILES = 64
 
-class VersionedTable:
-    """A Parquet table kept as numbered versions under one folder."""
 
-    def __init__(self, spark: SparkSession, name: str):
+class FeedTable:
+    """A feed's partial results, one folder per micro-batch, and its checkpoint."""
+
+    def __init__(self, spark: SparkSession, name: str, source: str):
         self.spark = spark
-        self.root = f"{checkpoint_dir(spark).rstrip('/')}/ratewise-streams/{name}-{uuid.uuid4().hex}"
-        self.version = -1
+        mark = hashlib.sha256(source.encode()).hexdigest()[:16]
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/ratewise-streams/{name}-{mark}"
 
     @property
-    def path(self) -> str:
-        return f"{self.root}/v{self.version:06d}"
+    def checkpoint(self) -> str:
+        return f"{self.root}/checkpoint"
+
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/data/epoch={epoch}")
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if self.version >= 0 else None
-
-    def upsert(self, batch: DataFrame, keys: list[str]) -> None:
-        cur = self.read()
-        new = batch if cur is None else merge_by_key(cur, batch, keys, created_col=None, updated_col=None)
-        self.version += 1
-        new.write.mode("overwrite").parquet(self.path)
-
-    def append(self, batch: DataFrame) -> None:
-        cur = self.read()
-        new = batch if cur is None else cur.unionByName(batch)
-        self.version += 1
-        new.write.mode("overwrite").parquet(self.path)
-
-
-def stream_table(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """A streaming read of the parquet files in ``folder`` matching
-    ``pattern`` (new files are picked up as they land)."""
-    from pyspark.sql import types as T
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    df = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-          .option("maxFilesPerTrigger", 1).parquet(folder))
-    # Event-time operators need TIMESTAMP; the files store zone-less wall
-    # clock times.  Map each wall-clock time to the same UTC instant so that
-    # day windows (aligned to UTC midnight) match calendar days whatever the
-    # session time zone is.
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    for f in schema.fields:
-        if isinstance(f.dataType, T.TimestampNTZType):
-            df = df.withColumn(f.name, F.from_utc_timestamp(F.col(f.name).cast("timestamp"), tz))
-    return df
-
-
-def utc_day(ts) -> F.Column:
-    """Calendar day of a UTC instant produced by :func:`stream_table`."""
-    from pyspark.sql import SparkSession
-    tz = SparkSession.getActiveSession().conf.get("spark.sql.session.timeZone")
-    return F.to_date(F.to_utc_timestamp(ts, tz))
-
-
-def run_available(stream: DataFrame, name: str, keys: list[str] | None, mode: str = "update") -> DataFrame:
-    """Run ``stream`` over all available input (``availableNow``), upserting
-    every micro-batch by ``keys`` (or appending when ``keys`` is None), and
-    return the resulting table as a batch DataFrame."""
-    spark = stream.sparkSession
-    table = VersionedTable(spark, name)
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        if keys is None:
-            table.append(batch)
-        else:
-            table.upsert(batch, keys)
-
-    q = (stream.writeStream.outputMode(mode)
-         .option("checkpointLocation", f"{table.root}/_checkpoint")
-         .trigger(availableNow=True).foreachBatch(write).start())
-    q.awaitTermination()
+        """All partial results with their ``epoch``; None before the first."""
+        try:
+            return self.spark.read.parquet(f"{self.root}/data")
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+
+def stream_table(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
+    """A streaming read of the table at ``path``, one Parquet file or a folder
+    of them (new files of a folder are picked up as they land)."""
+    table = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    first = table.select("_metadata.file_path").limit(1).collect()
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files)
+    if first and first[0][0].rpartition("/")[2] == name:  # one file: a stream needs its folder
+        return stream.option("pathGlobFilter", name).parquet(folder)
+    return stream.parquet(path)
+
+
+Partial = Callable[[DataFrame], DataFrame]
+
+
+def run_available(stream: DataFrame, table: FeedTable, partial: Partial) -> DataFrame:
+    """Run ``stream`` over all input that is new (``availableNow``), writing
+    ``partial`` of every micro-batch, and return the table's partial results."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        table.write(partial(batch), epoch)
+
+    query = (stream.writeStream.option("checkpointLocation", table.checkpoint)
+             .trigger(availableNow=True).foreachBatch(write).start())
+    query.awaitTermination()
     out = table.read()
     if out is None:
-        raise RuntimeError(f"stream {name} produced no batch")
+        raise RuntimeError("the stream has produced no batch: its source holds no files")
     return out
 
 
-def daily_demand_stream(lineitem: DataFrame, supplier: DataFrame, vehicles: DataFrame,
-                        tenant_id: int, watermark: str = "2 days") -> DataFrame:
-    """STM-01: executed rentals per branch x category x day from the
-    arriving contract lines (stream-static joins to the dimensions, 1-day
-    tumbling event-time windows, watermark for late lines).  Emits sum and
-    count so averages stay exact when batches are merged."""
-    li = lineitem.where(F.col("l_linestatus") == "F").withWatermark("l_shipdate", watermark)
+def run_deduplicated(stream: DataFrame, table: FeedTable, keys: list[str], rows: Partial) -> DataFrame:
+    """STM-04: like :func:`run_available`, writing of each micro-batch the rows
+    whose ``keys`` no earlier micro-batch has written, once each."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        new = rows(batch).dropDuplicates(keys)
+        before = table.read()
+        if before is not None:  # a replayed batch must not see its own earlier rows
+            new = new.join(before.where(F.col("epoch") < epoch).select(*keys), keys, "left_anti")
+        table.write(new, epoch)
+
+    query = (stream.writeStream.option("checkpointLocation", table.checkpoint)
+             .trigger(availableNow=True).foreachBatch(write).start())
+    query.awaitTermination()
+    out = table.read()
+    if out is None:
+        raise RuntimeError("the stream has produced no batch: its source holds no files")
+    return out.drop("epoch")
+
+
+def daily_demand_partial(lineitem: DataFrame, supplier: DataFrame, vehicles: DataFrame, tenant_id: int) -> DataFrame:
+    """STM-01, a micro-batch: executed rentals per branch x category x day, as
+    count, sum, least and greatest rate, which add up over micro-batches."""
+    li = lineitem.where(F.col("l_linestatus") == "F")
     j = (li.join(supplier.select("s_suppkey", "s_nationkey"), li.l_suppkey == supplier.s_suppkey)
            .join(vehicles.select(F.col("vehicle_id").alias("l_partkey"), "category_id"), "l_partkey"))
     rate = F.col("l_extendedprice") / F.col("l_quantity")
-    g = j.groupBy(F.window("l_shipdate", "1 day"), F.col("s_nationkey").alias("branch_id"), "category_id").agg(
-        F.count(F.lit(1)).alias("executed_rentals_count"), F.avg(rate).alias("avg_rate"),
+    return j.groupBy(F.lit(tenant_id).alias("tenant_id"), F.col("s_nationkey").alias("branch_id"), "category_id",
+                     F.to_date("l_shipdate").alias("demand_date")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(rate).alias("n_rates"), F.sum(rate).alias("sum_rate"),
         F.min(rate).alias("min_rate"), F.max(rate).alias("max_rate"))
-    return g.select(F.lit(tenant_id).alias("tenant_id"), "branch_id", "category_id",
-                    utc_day(F.col("window.start")).alias("demand_date"), "executed_rentals_count",
-                    "avg_rate", "min_rate", "max_rate")
-
-
-def sliding_activity_stream(events: DataFrame, event_city: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """STM-02: trailing 7-day event activity per city, sliding by a day."""
-    e = events.withWatermark("ts", watermark).join(F.broadcast(event_city), "event_type")
-    g = e.groupBy(F.window("ts", "7 days", "1 day"), "city_name").agg(F.count(F.lit(1)).alias("events_7d"))
-    tz_back = lambda c: F.to_timestamp(utc_day(c))  # noqa: E731  (window bounds are midnights)
-    return g.select(tz_back(F.col("window.start")).alias("window_start"),
-                    tz_back(F.col("window.end")).alias("window_end"), "city_name", "events_7d")
-
-
-def event_signal_stream(events: DataFrame, event_city: DataFrame, tenant_id: int, shift_months: int,
-                        watermark: str = "1 day") -> DataFrame:
-    """STM-05 (+ STM-03 writer): event volume per city and day (tumbling
-    window) and its ln(1 + volume) score."""
-    e = events.withWatermark("ts", watermark).join(F.broadcast(event_city), "event_type")
-    g = e.groupBy(F.window("ts", "1 day"), "city_name").agg(F.count(F.lit(1)).alias("event_volume"))
-    return g.select(F.lit(tenant_id).alias("tenant_id"),
-                    F.add_months(utc_day(F.col("window.start")), shift_months).alias("event_date"),
-                    "city_name", "event_volume", F.round(F.log1p("event_volume"), 4).alias("event_score"))
-
-
-def dedup_quotes_stream(quotes: DataFrame, keys: list[str], ttl: str = "24 hours") -> DataFrame:
-    """STM-04: drop repeated competitor quotes for the same key seen within
-    the TTL (state expires with the watermark)."""
-    return quotes.withWatermark("fetched_at", ttl).dropDuplicatesWithinWatermark(keys)
+
+
+def daily_demand(partials: DataFrame) -> DataFrame:
+    """STM-01: the fact that the partial results add up to."""
+    return partials.groupBy("tenant_id", "branch_id", "category_id", "demand_date").agg(
+        F.sum("n").alias("executed_rentals_count"), F.try_divide(F.sum("sum_rate"), F.sum("n_rates")).alias("avg_rate"),
+        F.min("min_rate").alias("min_rate"), F.max("max_rate").alias("max_rate"))
+
+
+def activity_partial(events: DataFrame, event_city: DataFrame) -> DataFrame:
+    """STM-02, a micro-batch: events per city and 7-day window, sliding by a
+    day; days are counted first, so a row becomes seven only per city and day."""
+    days = (events.join(F.broadcast(event_city), "event_type")  # a fixed vocabulary
+            .groupBy("city_name", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")))
+    slid = days.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("start", F.date_sub("day", F.col("k")))
+    return slid.groupBy("start", "city_name").agg(F.sum("n").alias("n"))
+
+
+def activity(partials: DataFrame) -> DataFrame:
+    """STM-02: trailing 7-day event activity per city."""
+    g = partials.groupBy("start", "city_name").agg(F.sum("n").alias("events_7d"))
+    return g.select(F.to_timestamp("start").alias("window_start"), F.to_timestamp(F.date_add("start", 7)).alias("window_end"),
+                    "city_name", "events_7d")
+
+
+def event_partial(events: DataFrame, event_city: DataFrame, tenant_id: int, shift_months: int) -> DataFrame:
+    """STM-03 and STM-05, a micro-batch: events per city and (moved) day."""
+    e = events.join(F.broadcast(event_city), "event_type")  # a fixed vocabulary
+    return e.groupBy(F.lit(tenant_id).alias("tenant_id"), F.add_months(F.to_date("ts"), shift_months).alias("event_date"),
+                     "city_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def event_signal(partials: DataFrame) -> DataFrame:
+    """STM-05: event volume per city and day, and its ln(1 + volume) score."""
+    g = partials.groupBy("tenant_id", "event_date", "city_name").agg(F.sum("n").alias("event_volume"))
+    return g.withColumn("event_score", F.round(F.log1p("event_volume"), 4))
