@@ -214,19 +214,21 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         seen: dict[str, tuple] = {}  # what a word hits; emptied when full
 
         def hit(word: str) -> tuple:
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             out = seen[word] = tuple(x for f in word_features(word) for x in index.get(f, ()))
             return out
 
         for batch in batches:
-            sets = [words(t) for t in batch]
-            found = [np.zeros((len(sets), len(link.features))) for link in chain.links]
-            for i, s in enumerate(sets):
+            found = [np.zeros((len(batch), len(link.features))) for link in chain.links]
+            n_words = np.zeros(len(batch))
+            for i, t in enumerate(batch):  # the words of one text are held at a time, not those of a batch
+                s = words(t)
+                n_words[i] = len(s)
                 for w in s:
                     for k, j in seen[w] if w in seen else hit(w):
                         found[k][i, j] = 1
-            logits = chain.logits(found, np.array([len(s) for s in sets], float))
+            logits = chain.logits(found, n_words)
             p = 1 / (1 + np.exp(-logits))
             rejected = (p >= cuts)[:, judged].any(axis=1)
             yield pd.DataFrame({n: p[:, i] for i, n in enumerate(names)} | {"rejected": rejected})
