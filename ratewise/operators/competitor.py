@@ -42,13 +42,6 @@ def price_quotes(listings: DataFrame) -> DataFrame:
                            rnd(daily * 25, 2).alias("monthly_price"))
 
 
-def classify_listings(listings: DataFrame) -> DataFrame:
-    """CMP-01 + CMP-02 + SRC-03 for quotes without a classified catalogue:
-    distinct names are classified, then joined back."""
-    names = classify_catalog(listings.select("vehicle_name", "vehicle_group").distinct())
-    return price_quotes(listings.join(names, ["vehicle_name", "vehicle_group"]))
-
-
 def cheapest_per_supplier(quotes: DataFrame, group: list[str]) -> DataFrame:
     """WIN-15: the cheapest quote of each supplier within a group (first
     quote wins ties)."""
@@ -90,14 +83,20 @@ def competitor_index(quotes: DataFrame, mapping: DataFrame, base: DataFrame, def
     ``mapping`` maps our category to a competitor type (default
     ``default_type``); ``base`` has (tenant, branch, category, base_daily).
     """
-    q = quotes.select("tenant_id", "branch_id", "price_date", "quote_id", "daily_price",
+    q = quotes.select("tenant_id", "branch_id", "price_date", "daily_price",
                       F.col("category").alias("competitor_vehicle_type"))
     q = q.where(F.col("daily_price") > 0)
     key = ["tenant_id", "branch_id", "price_date", "competitor_vehicle_type"]
-    top3 = top_k(q, key, 3).groupBy(*key).agg(cents_avg("daily_price").alias("avg3"))
-    allq = q.groupBy(*key).agg(F.min("daily_price").alias("mn"), F.max("daily_price").alias("mx"),
-                               F.count(F.lit(1)).alias("n"))
-    stats = top3.join(allq, key)
+    # one pass: quotes of a key and price are one row with their number, so a
+    # hot key is spread over its prices before they meet in a window
+    prices = q.groupBy(*key, "daily_price").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("daily_price").rowsBetween(Window.unboundedPreceding, -1))
+    taken = F.greatest(F.least("n", 3 - F.coalesce("before", F.lit(0))), F.lit(0))
+    prices = prices.withColumn("before", before).withColumn("taken", taken)
+    cents = F.round(F.col("daily_price") * 100.0).cast("long")
+    stats = prices.groupBy(*key).agg(
+        (F.sum(cents * F.col("taken")) / F.sum("taken") / 100.0).alias("avg3"), F.min("daily_price").alias("mn"),
+        F.max("daily_price").alias("mx"), F.sum("n").alias("n"))
     cells = base.select("tenant_id", "branch_id", "category_id", "base_daily").join(
         F.broadcast(mapping.select("category_id", "competitor_vehicle_type")), "category_id", "left").withColumn(
         "competitor_vehicle_type", F.coalesce("competitor_vehicle_type", F.lit(default_type)))
@@ -147,16 +146,10 @@ def brand_summary(quotes: DataFrame) -> DataFrame:
         F.max("daily_price").alias("max_price"), rnd(cents_avg("daily_price"), 2).alias("avg_price"))
 
 
-def distinct_lists(quotes: DataFrame) -> DataFrame:
-    """AGG-28: sorted distinct brand / model / category lists without 'Unknown'.
-
-    Distinct values are found by a grouped aggregation first, so the list
-    holds one entry per distinct value (bounded by the catalogue)."""
-    def lst(c):
-        # 'Unknown' is removed after aggregation: a filter on the derived
-        # column would be pushed below the projection and repeat the whole
-        # classification expression.
-        v = quotes.select("tenant_id", F.col(c).alias("v")).distinct()
-        return v.groupBy("tenant_id").agg(
-            F.array_sort(F.array_remove(F.collect_list("v"), "Unknown")).alias(c + "s"))
-    return lst("brand").join(lst("model"), "tenant_id").join(lst("category"), "tenant_id")
+def distinct_values(quotes: DataFrame) -> DataFrame:
+    """AGG-28: distinct brands, models and categories without 'Unknown', one
+    row per (tenant, kind, value): the catalogue may grow without any task
+    holding a whole list.  One pass over the quotes."""
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("brand", "model", "category")])
+    v = quotes.select("tenant_id", F.explode(kinds).alias("v")).select("tenant_id", "v.kind", "v.value")
+    return v.where(F.col("value") != "Unknown").distinct()

@@ -113,15 +113,23 @@ def on_rent_at(rentals: DataFrame, fleet: DataFrame, day: dt.date) -> DataFrame:
 def on_rent_daily(rentals: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """JN-06 (every day): distinct vehicles on rent per cell and day.
 
-    The interval predicate becomes an equi-key: each contract is expanded
-    to its rental days (bounded by the rental length) and counted with a
-    two-level distinct aggregation that hashes on (cell, day, vehicle), so
-    a hot cell is spread over many tasks.
+    A contract is one row per month it touches, with its days as the bits
+    of a mask; the masks of a (cell, vehicle, month) are combined by
+    ``bit_or`` (on the map side first), so overlapping contracts count once.
+    Only then are set bits turned into days and counted.  The shuffle hashes
+    on the vehicle too, so a hot cell is spread over many tasks.  A contract
+    without an end lasts until ``end`` (and has no days if that is not given).
     """
     lo = F.col("start_date") if start is None else F.greatest(F.col("start_date"), F.lit(start))
     hi = F.col("end_date") if end is None else F.least(F.col("end_date"), F.lit(end))
-    days = rentals.where(lo <= hi).select(*CELL, "vehicle_id", F.explode(F.sequence(lo, hi)).alias("day"))
-    return days.groupBy(*CELL, "day").agg(F.countDistinct("vehicle_id").alias("vehicles_on_rent"))
+    spans = rentals.select(*CELL, "vehicle_id", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    months = spans.withColumn("month", F.explode(F.expr(
+        "sequence(trunc(lo, 'MONTH'), trunc(hi, 'MONTH'), INTERVAL 1 MONTH)")))
+    mask = F.expr("shiftleft(1L, dayofmonth(least(hi, last_day(month)))) - shiftleft(1L, dayofmonth(greatest(lo, month)) - 1)")
+    masks = months.groupBy(*CELL, "vehicle_id", "month").agg(F.bit_or(mask).alias("days"))
+    days = masks.select(*CELL, "vehicle_id", F.explode(F.expr(
+        "transform(filter(sequence(0, 30), b -> getbit(days, b) = 1), b -> date_add(month, b))")).alias("day"))
+    return days.groupBy(*CELL, "day").agg(F.count("vehicle_id").alias("vehicles_on_rent"))
 
 
 def status_distribution(vehicles: DataFrame, status_config: DataFrame, by: list[str]) -> DataFrame:

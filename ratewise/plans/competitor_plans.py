@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ratewise.functions.mathx import cents_avg_sql, rnd_sql as R
@@ -232,7 +234,10 @@ def top_03(d):
          AND i.category_id = b.category_id AND i.index_date = s.index_date""", "base_rates", "comp_index"))
 def cmp_05(d):
     """CMP-05: index over the run window for every cell, zeros when no quotes."""
-    return cp.index_batch(comp_index(d), base_rates(d), P.RUN_DATE, P.HORIZON)
+    end = P.RUN_DATE + dt.timedelta(days=P.HORIZON - 1)
+    index = cp.competitor_index(window_quotes(d, P.RUN_DATE, end), d.fixed("competitor_mapping"), base_rates(d),
+                                DEFAULT_COMPETITOR_TYPE)
+    return cp.index_batch(index, base_rates(d), P.RUN_DATE, P.HORIZON)
 
 
 @query("cmp_06", with_views(f"""
@@ -261,20 +266,13 @@ def win_11(d):
            {R(cents_avg_sql('daily_price'), 2)} AS avg_price FROM quotes GROUP BY brand""", "quotes"))
 def agg_27(d):
     """AGG-27: brand summary of the quotes."""
-    q = _quotes(d)
-    from ratewise.functions.mathx import cents_avg, rnd
-    return q.groupBy("brand").agg(
-        F.count(F.lit(1)).alias("quotes"), F.min("daily_price").alias("min_price"),
-        F.max("daily_price").alias("max_price"), rnd(cents_avg("daily_price"), 2).alias("avg_price"))
+    return cp.brand_summary(_quotes(d))
 
 
 @query("agg_28", with_views("""
-    SELECT b.tenant_id, b.brands, m.models, c.categorys FROM
-      (SELECT tenant_id, list_sort(list(DISTINCT brand)) AS brands FROM quotes WHERE brand <> 'Unknown' GROUP BY 1) b
-      JOIN (SELECT tenant_id, list_sort(list(DISTINCT model)) AS models FROM quotes WHERE model <> 'Unknown' GROUP BY 1) m
-        ON m.tenant_id = b.tenant_id
-      JOIN (SELECT tenant_id, list_sort(list(DISTINCT category)) AS categorys FROM quotes
-            WHERE category <> 'Unknown' GROUP BY 1) c ON c.tenant_id = b.tenant_id""", "quotes"))
+    SELECT DISTINCT tenant_id, 'brand' AS kind, brand AS value FROM quotes WHERE brand <> 'Unknown'
+    UNION ALL SELECT DISTINCT tenant_id, 'model', model FROM quotes WHERE model <> 'Unknown'
+    UNION ALL SELECT DISTINCT tenant_id, 'category', category FROM quotes WHERE category <> 'Unknown'""", "quotes"))
 def agg_28(d):
-    """AGG-28: sorted distinct brand / model / category lists."""
-    return cp.distinct_lists(_quotes(d))
+    """AGG-28: distinct brands, models and categories, as rows."""
+    return cp.distinct_values(_quotes(d))

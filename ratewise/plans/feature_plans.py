@@ -176,7 +176,7 @@ def fst_04(d):
     WHERE split_flag = 'VALIDATION'""", "feature_store"))
 def fst_08(d):
     """FST-08: split retrieval (the VALIDATION rows)."""
-    return _fs(d).where(F.col("split_flag") == "VALIDATION").select(
+    return _fact_split(d).where(F.col("split_flag") == "VALIDATION").select(
         *dm.FACT_KEYS, "executed_rentals_count", "avg_base_price_paid")
 
 
@@ -214,7 +214,7 @@ def agg_11(d):
             FROM feature_store GROUP BY tenant_id))""", "feature_store"))
 def val_01(d):
     """VAL-01: the feature-store quality gate as one row per check."""
-    return fe.quality_gate(_fs(d))
+    return fe.quality_gate(_fact_split(d))
 
 
 @query("fst_07", with_views(f"""

@@ -163,29 +163,46 @@ R_FROM, R_TO = dt.date(2000, 1, 1), dt.date(2000, 3, 31)
 
 @query("snk_02", with_views("SELECT * FROM fact", "fact"))
 def snk_02(d):
-    """SNK-02: delete a date range of the fact and insert its rebuild."""
+    """SNK-02: a date range of the stored fact is replaced by its rebuild.
+    The stored range is stale (no rentals counted); its months are
+    overwritten as partitions, all others stay, and the table is read back."""
     f = dm.build_daily_demand(d)
-    rebuilt = dm.build_daily_demand(d, R_FROM, R_TO)
-    return io.replace_range(f, rebuilt, F.col("demand_date").between(F.lit(R_FROM), F.lit(R_TO)))
+    month = F.trunc("demand_date", "MONTH").alias("month")
+    stale = F.when(F.col("demand_date").between(F.lit(R_FROM), F.lit(R_TO)), F.lit(0)).otherwise(
+        F.col("executed_rentals_count")).cast(f.schema["executed_rentals_count"].dataType)
+    path = io.new_table(d.spark, "demand_fact")
+    io.write_partitioned(f.withColumn("executed_rentals_count", stale).select("*", month), path, ["month"])
+    io.write_partitioned(dm.build_daily_demand(d, R_FROM, R_TO).select("*", month), path, ["month"])
+    return d.spark.read.parquet(path).select(f.columns)
 
 
 @query("snk_03", with_views("SELECT * FROM forecast_runs", "forecast_runs"))
 def snk_03(d):
-    """SNK-03: replace one run (same tenant and run_date) of the forecast table."""
+    """SNK-03: one run (same tenant and run_date) of the stored forecasts is
+    replaced.  The stored run is stale (no demand); its partition is
+    overwritten and the table read back."""
     runs = forecast_runs(d)
-    new = runs.where(F.col("run_date") == F.lit(P.RUN_DATE))
-    return io.replace_range(runs, new, F.col("run_date") == F.lit(P.RUN_DATE))
+    this = F.col("run_date") == F.lit(P.RUN_DATE)
+    stale = F.when(~this, F.col("forecast_demand")).otherwise(0).cast(runs.schema["forecast_demand"].dataType)
+    path, keys = io.new_table(d.spark, "forecast_runs"), ["tenant_id", "run_date"]
+    io.write_partitioned(runs.withColumn("forecast_demand", stale), path, keys)
+    io.write_partitioned(runs.where(this), path, keys)
+    return d.spark.read.schema(runs.schema).parquet(path).select(runs.columns)
 
 
 @query("snk_04")
 def snk_04(d):
-    """SNK-04 / FCT-12: evaluation metrics appended with the best-model flag."""
+    """SNK-04 / FCT-12: evaluation metrics with the best-model flag, appended
+    to the stored evaluations; the whole table is returned."""
     m = fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON)
     best = fc.select_best(m)
-    return m.join(best.select("tenant_id", F.col("selected_model").alias("model_name"),
-                              F.lit(True).alias("is_best_model")), ["tenant_id", "model_name"], "left") \
-        .withColumn("is_best_model", F.coalesce("is_best_model", F.lit(False))) \
-        .withColumn("evaluation_date", F.lit(P.RUN_DATE))
+    flagged = io.materialize(m.join(best.select("tenant_id", F.col("selected_model").alias("model_name"),
+                                                F.lit(True).alias("is_best_model")), ["tenant_id", "model_name"], "left")
+                             .withColumn("is_best_model", F.coalesce("is_best_model", F.lit(False))), "evaluation")
+    path = io.new_table(d.spark, "evaluations")
+    for day in (P.RUN_DATE - dt.timedelta(days=P.HORIZON), P.RUN_DATE):
+        io.append(flagged.withColumn("evaluation_date", F.lit(day)), path)
+    return d.spark.read.parquet(path)
 
 
 @query("snk_05", with_views("""
@@ -195,21 +212,18 @@ def snk_04(d):
            CAST(to_json({'status': status}) AS VARCHAR) AS old_value,
            CAST(to_json({'status': CASE WHEN priority = '1-URGENT' THEN 'approved' ELSE 'skipped' END}) AS VARCHAR)
              AS new_value,
-           'ops' AS user_name
+           'ops' AS user_name, 'priority ' || priority AS reason, CAST(run_date AS TIMESTAMP) AS created_at
     FROM rec_history WHERE priority IN ('1-URGENT', '5-LOW')""", "rec_history"))
 def snk_05(d):
-    """SNK-05: audit rows (old / new as JSON) for the applied decisions."""
-    h = d.rec_history.where(F.col("priority").isin("1-URGENT", "5-LOW"))
-    ch = h.withColumn("new_status", F.when(F.col("priority") == "1-URGENT", "approved").otherwise("skipped"))
-    ch = ch.withColumn("forecast_date", F.col("forecast_date").cast("string")).withColumn(
-        "run_date", F.col("run_date").cast("string"))
-    return ch.select(
-            F.lit("decision").alias("action_type"), F.lit("recommendation").alias("entity_type"),
-            F.concat_ws(":", *[F.col(k).cast("string") for k in ["branch_id", "category_id", "forecast_date",
-                                                                 "run_date"]]).alias("entity_id"),
-            F.to_json(F.struct("status")).alias("old_value"),
-            F.to_json(F.struct(F.col("new_status").alias("status"))).alias("new_value"),
-            F.lit("ops").alias("user_name"))
+    """SNK-05: audit rows (old / new as JSON, reason, time) of the approvals,
+    then of the skips, appended to the audit table, which is read back."""
+    path = io.new_table(d.spark, "audit")
+    for priority, status in (("1-URGENT", "approved"), ("5-LOW", "skipped")):
+        changes = d.rec_history.where(F.col("priority") == priority).withColumn("new_status", F.lit(status))
+        io.append(io.audit_rows(changes, ["branch_id", "category_id", "forecast_date", "run_date"], {"status": "status"},
+                                {"status": "new_status"}, "decision", "recommendation", "ops",
+                                F.concat(F.lit("priority "), F.col("priority")), F.col("run_date").cast("timestamp")), path)
+    return d.spark.read.parquet(path)
 
 
 @query("top_04", with_views("""
@@ -232,16 +246,25 @@ def top_04(d):
 
 # ---- feeds ------------------------------------------------------------------------
 
+#: Article ids of one page of a list payload.
+FEED_PAGE = 1000
+
+
 def _event_payloads(d):
     """Per city-day feed payloads in the three shapes the provider returns:
-    {"artcount": n}, {"count": n}, or a list with one entry per article."""
-    ev = d.t.events.select(F.to_date("ts").alias("day"), "event_type", "event_id")
-    g = ev.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"),
-                                           F.array_sort(F.collect_list("event_id")).alias("ids"))
+    {"artcount": n}, {"count": n}, or a list with one entry per article.
+    Lists come in pages by ranges of ids, which are unique, so no array is
+    larger than a page; the other shapes are one page and collect nothing."""
+    listed = ~F.col("event_type").isin("click", "view", "purchase", "signup")
+    ev = d.t.events.select(F.to_date("ts").alias("day"), "event_type",
+                           F.when(listed, F.col("event_id")).alias("article"),
+                           F.when(listed, F.floor(F.col("event_id") / FEED_PAGE)).alias("page"))
+    g = ev.groupBy("day", "event_type", "page").agg(F.count(F.lit(1)).alias("n"),
+                                                   F.array_sort(F.collect_list("article")).alias("ids"))
     shape = F.when(F.col("event_type").isin("click", "view"), F.to_json(F.struct(F.col("n").alias("artcount")))) \
         .when(F.col("event_type").isin("purchase", "signup"), F.to_json(F.struct(F.col("n").alias("count")))) \
         .otherwise(F.to_json("ids"))
-    return g.select("day", "event_type", shape.alias("payload"))
+    return g.select("day", "event_type", "page", shape.alias("payload"))
 
 
 def feed_count(payload) -> F.Column:
@@ -258,9 +281,8 @@ def feed_count(payload) -> F.Column:
     FROM (SELECT CAST(ts AS DATE) AS day, event_type FROM events) GROUP BY 1, 2""", ))
 def src_05(d):
     """SRC-05: event-count feed payloads (three shapes) -> volume, score."""
-    p = _event_payloads(d)
-    v = feed_count("payload")
-    return p.select("day", "event_type", v.alias("volume"), cal.event_score(v).alias("event_score"))
+    p = _event_payloads(d).groupBy("day", "event_type").agg(F.sum(feed_count("payload")).alias("volume"))
+    return p.select("day", "event_type", "volume", cal.event_score(F.col("volume")).alias("event_score"))
 
 
 @query("src_07", with_views("""
@@ -419,7 +441,7 @@ def fct_13(d):
            CAST(last_date + CAST(h AS INTEGER) AS DATE) AS feature_date,
            CAST(dayofweek(last_date + CAST(h AS INTEGER)) AS INTEGER) AS day_of_week,
            CAST(month(last_date + CAST(h AS INTEGER)) AS INTEGER) AS month_of_year,
-           CAST(last_value AS DOUBLE) AS lag_1d, CAST(value_7_back AS DOUBLE) AS lag_7d,
+           CAST(last_value AS DOUBLE) AS lag_1d, CAST(coalesce(value_7_back, last_value) AS DOUBLE) AS lag_7d,
            mean_last_7 AS rolling_7d, mean_last_30 AS rolling_30d, CAST(30 AS DOUBLE) AS temperature_avg,
            CAST(0 AS DOUBLE) AS event_score,
            last_price AS price
@@ -436,7 +458,8 @@ def fct_04(d):
     fd = F.date_add("last_date", F.col("horizon_day"))
     return x.select(*CELLK, "horizon_day", fd.alias("feature_date"), cf.day_of_week0(fd).cast("int").alias("day_of_week"),
                     F.month(fd).alias("month_of_year"), F.col("last_value").cast("double").alias("lag_1d"),
-                    F.col("value_7_back").cast("double").alias("lag_7d"), F.col("mean_last_7").alias("rolling_7d"),
+                    F.coalesce("value_7_back", "last_value").cast("double").alias("lag_7d"),
+                    F.col("mean_last_7").alias("rolling_7d"),
                     F.col("mean_last_30").alias("rolling_30d"), F.lit(30.0).alias("temperature_avg"),
                     F.lit(0.0).alias("event_score"), "price")
 
@@ -721,7 +744,10 @@ def mth_02(d):
            coalesce(event_score, 0.0) AS event_score FROM feature_store""", "feature_store"))
 def nul_01(d):
     """NUL-01: coalesce / or-default fills."""
-    f = _fs(d)
+    from ratewise.operators import features as fe
+    from ratewise.operators import timeseries as tsx
+    f = tsx.calendar_lags(dm.build_daily_demand(d))
+    f = fe.enrich_events(fe.enrich_weather(f, d.weather), d.event_signal, d.branches)
     return f.select(*CELLK, "demand_date", F.coalesce("rentals_lag_1d", F.lit(0)).alias("lag_1d"),
                     F.coalesce("temperature_avg", F.lit(30.0)).alias("temperature_avg"),
                     F.coalesce("event_score", F.lit(0.0)).alias("event_score"))

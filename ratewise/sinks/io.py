@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.session import checkpoint_dir
 
+#: Tasks (and so files) that the rows of one partition are dealt over at most.
+FILES_PER_PARTITION = 4
+
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Compute ``df`` once and cut its lineage.
@@ -25,15 +28,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     plan.  Used where one intermediate table feeds several branches.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ratewise-tables/{name}-{uuid.uuid4().hex}"
+    path = new_table(spark, name)
     df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
-    out._ratewise_materialized = True  # type: ignore[attr-defined]
-    return out
-
-
-def is_materialized(df: DataFrame) -> bool:
-    return bool(getattr(df, "_ratewise_materialized", False))
+    return spark.read.parquet(path)
 
 
 def merge_by_key(target: DataFrame, source: DataFrame, keys: list[str],
@@ -60,25 +57,33 @@ def merge_by_key(target: DataFrame, source: DataFrame, keys: list[str],
     return j.select(*keys, *out)
 
 
-def replace_range(target: DataFrame, new: DataFrame, cond) -> DataFrame:
-    """SNK-02 / SNK-03: delete the rows matching ``cond`` and insert ``new``
-    (with partitioned tables this is a dynamic partition overwrite)."""
-    return target.where(~cond).unionByName(new, allowMissingColumns=True)
+def new_table(spark: SparkSession, name: str) -> str:
+    """The path of a new, empty table under the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/ratewise-tables/{name}-{uuid.uuid4().hex}"
 
 
-def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode: str = "overwrite") -> None:
+def write_partitioned(df: DataFrame, path: str, partition_cols: list[str]) -> None:
     """Write with dynamic partition overwrite: only the partitions present
-    in ``df`` are replaced (SNK-02/03); ``mode='append'`` for SNK-04/05."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
+    in ``df`` are replaced (SNK-02/03).  Rows are dealt by partition (and,
+    within it, by all columns), so a partition is few files and a large one
+    is not one task's."""
+    parts = df.repartition(*partition_cols, F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_PARTITION)))
+    (parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_cols).parquet(path))
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows added to a table of evaluations or audit entries (SNK-04/05)."""
+    df.write.mode("append").parquet(path)
 
 
-def audit_rows(changes: DataFrame, key_cols: list[str], old_cols: list[str], new_cols: list[str],
-               action: str, entity: str, user: str, at) -> DataFrame:
-    """SNK-05: audit rows with the old / new values as JSON documents."""
+def audit_rows(changes: DataFrame, key_cols: list[str], old_cols: dict[str, str], new_cols: dict[str, str],
+               action: str, entity: str, user: str, reason, at) -> DataFrame:
+    """SNK-05: audit rows with the old / new values (field -> column) as JSON
+    documents, the reason and the time of each change."""
+    doc = lambda cols: F.to_json(F.struct(*[F.col(c).alias(f) for f, c in cols.items()]))
     return changes.select(
         F.lit(action).alias("action_type"), F.lit(entity).alias("entity_type"),
         F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols]).alias("entity_id"),
-        F.to_json(F.struct(*[F.col(c) for c in old_cols])).alias("old_value"),
-        F.to_json(F.struct(*[F.col(c) for c in new_cols])).alias("new_value"),
-        F.lit(user).alias("user_name"), F.lit(at).alias("created_at"))
+        doc(old_cols).alias("old_value"), doc(new_cols).alias("new_value"),
+        F.lit(user).alias("user_name"), reason.alias("reason"), at.alias("created_at"))

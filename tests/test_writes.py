@@ -3,7 +3,7 @@
 import datetime as dt
 
 from ratewise.operators import recommend as rc
-from ratewise.sinks.io import materialize, merge_by_key
+from ratewise.sinks.io import append, materialize, merge_by_key, new_table, write_partitioned
 
 
 def test_merge_by_key(spark):
@@ -32,3 +32,19 @@ def test_materialize_cuts_lineage(spark):
     m = materialize(df, "t")
     assert m.count() == 100
     assert "Scan parquet" in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partition_overwrite_replaces_only_its_partitions(spark):
+    path = new_table(spark, "t")
+    write_partitioned(spark.sql("SELECT id AS k, id % 3 AS p, 'old' AS v FROM range(30)"), path, ["p"])
+    write_partitioned(spark.sql("SELECT 100 AS k, 1 AS p, 'new' AS v"), path, ["p"])
+    got = sorted((r.p, r.v, r.n) for r in spark.read.parquet(path).groupBy("p", "v").count()
+                 .withColumnRenamed("count", "n").collect())
+    assert got == [(0, "old", 10), (1, "new", 1), (2, "old", 10)]
+
+
+def test_append_keeps_what_is_there(spark):
+    path = new_table(spark, "t")
+    for v in ("a", "b", "b"):
+        append(spark.createDataFrame([(v,)], "v string"), path)
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == ["a", "b", "b"]
