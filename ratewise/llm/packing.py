@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import uuid
 import zlib
 from collections import defaultdict
@@ -40,7 +39,11 @@ WORDS, CORES = 600_000, 900_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 
-_ASCII_TAIL = re.compile(rb"([a-z]+)([.,]+)\Z")
+#: A word's tail of ascii marks, no apostrophe (that may begin a contraction),
+#: is always tokens of its own after one of these letters: a-z and the Latin
+#: ones U+00DF .. U+00FF, which normalisation leaves alone.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = tuple(chr(c).encode() for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)) if c != 0xF7)
 
 
 class Encoder:
@@ -72,8 +75,12 @@ class Encoder:
                 self.words.clear()
 
     def _learn(self, words: set[bytes]) -> None:
-        """A word with a tail of full stops or commas is its two parts."""
-        parts = {w: m.groups() if (m := _ASCII_TAIL.match(w)) else (w,) for w in words}
+        """A word with a tail of marks after a letter is its two parts."""
+        parts = {}
+        for w in words:
+            core = w.rstrip(_MARKS)
+            apart = len(core) < len(w) and core.endswith(_LETTERS) and b"<|" not in w
+            parts[w] = (core, w[len(core):]) if apart else (w,)
         new = {p for ps in parts.values() for p in ps if p not in self.cores}
         if new:
             self._fill(self.cores, sorted(new))

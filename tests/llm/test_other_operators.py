@@ -238,3 +238,13 @@ def test_chain_feeds_earlier_categories():
     first = np.array([i % 2 for i in range(200)])
     chain = toxicity_chain.fit_chain(words, [("first", first), ("second", first)])
     assert len(chain.links[1].weights) == len(chain.links[1].features) + 4 and chain.links[1].weights[-2] > 0
+
+
+def test_words_are_encoded_as_the_tokenizer_encodes_texts():
+    rng = random.Random(5)
+    signs = [*"abzAZ09'.,!$<|>-_`^%&*()", *"\u00e9\u00c9\u00e8\u00df\u00f1\u00ff\u00f7\u00d7\u0130\u0131\u017f\ufb01\u0338\u0327\u0301\u00b2\u00bd\u2167\u0958\u65e5\u200d",
+             *" \u00a0\u3000\t\n\x1c\x85", "<|endoftext|>", "x<|endoftext|>.", "'s", "'re"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    encode = packing.encoder(packing.VOCABULARY)
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
