@@ -32,7 +32,7 @@ SAMPLE = 5000
 FEATURES, FOLDS = 300, 4
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6, 7)
-#: Distinct words of a text that training looks at: beyond, every n-th by hash.
+#: Distinct words of a text that training looks at: beyond, every n-th in sorted order.
 TRAIN_WORDS = 4000
 
 #: The chain: name of each category and its truth in terms of the labels.
