@@ -41,7 +41,35 @@ def naive_sql(src: str, keys: str = "tenant_id", horizon: int = H) -> str:
       ON {kj} AND r.rn = hz.need"""
 
 
+def holt_winters_sql(src: str, keys: str = "tenant_id", horizon: int = H) -> str:
+    """Holt-Winters over view ``src`` (keys, demand_date, y) as a recursion
+    over the days of a series, one row per series and step."""
+    using = f"USING ({keys})"
+    return f"""
+    SELECT {keys}, CAST(h AS INTEGER) AS horizon_day, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS forecast_date,
+           {R('greatest((l + h * t) * s[(i - 1 + h) % 7 + 1], 0.0)', 4)} AS forecast_demand
+    FROM (WITH RECURSIVE
+      pts AS (SELECT {keys}, y, demand_date, row_number() OVER (PARTITION BY {keys} ORDER BY demand_date) AS i FROM {src}),
+      fit AS (SELECT {keys}, count(*) AS n, max(demand_date) AS last_date, sum(y) / count(*) AS mean,
+                     sum(y) FILTER (i <= 7) / 7.0 AS l0, sum(y) FILTER (i BETWEEN 8 AND 14) / 7.0 AS l1,
+                     list(y ORDER BY i) FILTER (i <= 7) AS week
+              FROM pts GROUP BY {keys}),
+      step AS (
+        SELECT {keys}, n, last_date, CASE WHEN n < 14 THEN n ELSE 7 END AS i, CASE WHEN n < 14 THEN mean ELSE l0 END AS l,
+               CASE WHEN n < 14 THEN 0.0 ELSE (l1 - l0) / 7.0 END AS t,
+               CASE WHEN n < 14 THEN list_transform(range(7), lambda x: CAST(1 AS DOUBLE))
+                    ELSE list_transform(week, lambda x: x / greatest(l0, 1.0)) END AS s
+        FROM fit
+        UNION ALL
+        SELECT {keys}, n, last_date, i + 1, nl, 0.1 * (nl - l) + 0.9 * t,
+               list_transform(s, lambda q, j: CASE WHEN j = i % 7 + 1 THEN 0.2 * (y / greatest(nl, 1.0)) + 0.8 * q ELSE q END)
+        FROM (SELECT {keys}, n, last_date, step.i, l, t, s, y, 0.3 * (y / greatest(s[step.i % 7 + 1], 0.01)) + 0.7 * (l + t) AS nl
+              FROM step JOIN (SELECT {keys}, i AS at, y FROM pts) p {using} WHERE p.at = step.i + 1))
+      SELECT * FROM step WHERE i = n), range(1, {horizon + 1}) r(h)"""
+
+
 register_view("naive_fc", naive_sql("total_train"), ("total_train",))
+register_view("ets_fc", holt_winters_sql("total_train"), ("total_train",))
 register_view("series_share", """
     SELECT tenant_id, branch_id, category_id, series_mean,
            series_mean / greatest(sum(series_mean) OVER (PARTITION BY tenant_id), 1.0) AS share
@@ -95,13 +123,17 @@ def fct_01_series(d):
     return fc.seasonal_naive(f, H, ["tenant_id", "branch_id", "category_id"])
 
 
-@query("fct_02")
+@query("fct_02", with_views("SELECT * FROM ets_fc", "ets_fc"))
 def fct_02(d):
     """FCT-02: Holt-Winters (a=.3, b=.1, g=.2, m=7) on the TRAIN total."""
     return fc.holt_winters(_total_train(d), H, ["tenant_id"])
 
 
-@query("fct_02_series")
+register_view("fact_series", """
+    SELECT tenant_id, branch_id, category_id, demand_date, CAST(executed_rentals_count AS DOUBLE) AS y FROM fact""", ("fact",))
+
+
+@query("fct_02_series", with_views(holt_winters_sql("fact_series", "tenant_id, branch_id, category_id"), "fact_series"))
 def fct_02_series(d):
     """FCT-02 per series: Holt-Winters on every branch x category."""
     from ratewise.operators import demand as dm
@@ -110,10 +142,22 @@ def fct_02_series(d):
     return fc.holt_winters(f, H, ["tenant_id", "branch_id", "category_id"])
 
 
-NAIVE_PAIRS = f"""(SELECT v.tenant_id, v.y, f.forecast_demand AS p FROM
+def _pairs_sql(forecast: str) -> str:
+    return f"""(SELECT v.tenant_id, v.y, f.forecast_demand AS p FROM
       (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY demand_date) AS pos
                       FROM total_all WHERE demand_date >= {CUT}) WHERE pos <= {H}) v
-      JOIN naive_fc f ON f.tenant_id = v.tenant_id AND f.forecast_date = v.demand_date)"""
+      JOIN {forecast} f ON f.tenant_id = v.tenant_id AND f.forecast_date = v.demand_date)"""
+
+
+NAIVE_PAIRS = _pairs_sql("naive_fc")
+register_view("backtest", f"""
+    SELECT 'seasonal_naive' AS model_name, * FROM ({_metrics_sql(NAIVE_PAIRS, "tenant_id")})
+    UNION ALL SELECT 'simple_ets', * FROM ({_metrics_sql(_pairs_sql("ets_fc"), "tenant_id")})""",
+              ("total_all", "naive_fc", "ets_fc"))
+register_view("best_model", """
+    SELECT tenant_id, arg_min(model_name, (coalesce(mae, 'Infinity'::DOUBLE), model_name)) AS selected_model,
+           min(coalesce(mae, 'Infinity'::DOUBLE)) AS metric_value
+    FROM backtest GROUP BY tenant_id""", ("backtest",))
 
 
 @query("fct_06", with_views(_metrics_sql(NAIVE_PAIRS, "tenant_id"), "total_all", "naive_fc"))
@@ -122,7 +166,7 @@ def fct_06(d):
     return fc.backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, H, models=("seasonal_naive",)).drop("model_name")
 
 
-@query("fct_07")
+@query("fct_07", with_views("SELECT * FROM backtest", "backtest"))
 def fct_07(d):
     """FCT-07: holdout backtest of both models on the total series."""
     return fc.backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, H)
@@ -148,7 +192,17 @@ def fct_08(d):
     return fc.rolling_backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, H, FOLDS)
 
 
-@query("fct_09")
+@query("fct_08_ets", with_views(_metrics_sql(f"""(SELECT v.tenant_id, v.fold, v.y, f.forecast_demand AS p
+      FROM fold_hist v JOIN ({holt_winters_sql("fold_train", "tenant_id, fold")}) f
+        ON f.tenant_id = v.tenant_id AND f.fold = v.fold AND f.forecast_date = v.demand_date
+      WHERE v.demand_date >= v.fold_cutoff AND v.demand_date < v.fold_cutoff + {H})""", "tenant_id, fold"),
+                                "fold_hist", "fold_train"))
+def fct_08_ets(d):
+    """FCT-08: the same folds with Holt-Winters."""
+    return fc.rolling_backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, H, FOLDS, model="simple_ets")
+
+
+@query("fct_09", with_views("SELECT * FROM best_model", "best_model"))
 def fct_09(d):
     """FCT-09 / TOP-06: best model by MAE (failures count as infinite)."""
     return fc.select_best(fc.backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, H))
@@ -212,7 +266,13 @@ def win_12(d):
     return fc.latest_forecast(forecast_runs(d))
 
 
-@query("fct_14")
+@query("fct_14", with_views(f"""
+    SELECT f.tenant_id, s.branch_id, s.category_id, f.horizon_day, f.forecast_date,
+           {R('f.forecast_demand * s.share', 2)} AS forecast_demand, {RUN} AS run_date, f.model_name, '1.0' AS model_version
+    FROM (SELECT 'seasonal_naive' AS model_name, * FROM naive_fc
+          UNION ALL SELECT 'simple_ets', * FROM ets_fc) f
+    JOIN best_model b ON b.tenant_id = f.tenant_id AND b.selected_model = f.model_name
+    JOIN series_share s ON s.tenant_id = f.tenant_id""", "naive_fc", "ets_fc", "best_model", "series_share"))
 def fct_14(d):
     """FCT-14: full train pipeline -- backtest, pick the best model, forecast
     with it and allocate to series."""
@@ -238,7 +298,21 @@ def win_13(d):
                          ["tenant_id", "branch_id", "category_id"], "demand_date")
 
 
-@query("win_14")
+_FEATURES = ("target", "lag_1d", "lag_7d", "rolling_7d", "temperature_avg")
+register_view("sequences", f"""
+    SELECT * FROM (
+      SELECT tenant_id, branch_id, category_id, demand_date, target,
+             list({{{", ".join(f"'{c}': {c}" for c in _FEATURES)}}}) OVER (
+               PARTITION BY tenant_id, branch_id, category_id ORDER BY demand_date
+               ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS sequence
+      FROM (SELECT tenant_id, branch_id, category_id, demand_date, CAST(executed_rentals_count AS DOUBLE) AS target,
+                   coalesce(CAST(rentals_lag_1d AS DOUBLE), 0.0) AS lag_1d, coalesce(CAST(rentals_lag_7d AS DOUBLE), 0.0) AS lag_7d,
+                   coalesce(rentals_rolling_7d_avg, 0.0) AS rolling_7d, coalesce(temperature_avg, 30.0) AS temperature_avg
+            FROM feature_store))
+    WHERE len(sequence) = 14""", ("feature_store",))
+
+
+@query("win_14", with_views("SELECT * FROM sequences", "sequences"))
 def win_14(d):
     """WIN-14: 14-step sliding sequences of 5 features -> next value."""
     from ratewise.operators import features as fe

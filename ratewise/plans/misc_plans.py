@@ -190,7 +190,11 @@ def snk_03(d):
     return d.spark.read.schema(runs.schema).parquet(path).select(runs.columns)
 
 
-@query("snk_04")
+@query("snk_04", with_views(f"""
+    SELECT b.*, b.model_name = m.selected_model AS is_best_model, e.evaluation_date
+    FROM backtest b JOIN best_model m ON m.tenant_id = b.tenant_id
+    CROSS JOIN (VALUES (DATE '{P.RUN_DATE - dt.timedelta(days=P.HORIZON)}'), (DATE '{P.RUN_DATE}')) e(evaluation_date)""",
+                            "backtest", "best_model"))
 def snk_04(d):
     """SNK-04 / FCT-12: evaluation metrics with the best-model flag, appended
     to the stored evaluations; the whole table is returned."""
@@ -464,21 +468,39 @@ def fct_04(d):
                     F.lit(0.0).alias("event_score"), "price")
 
 
-@query("fct_05")
+STEPS = ["target", "lag_1d", "lag_7d", "rolling_7d", "temperature_avg"]
+
+
+@query("fct_05", with_views(f"""
+    WITH stats AS (SELECT tenant_id, {", ".join(f"avg(x.{c}) AS m_{c}, stddev_pop(x.{c}) AS s_{c}" for c in STEPS)}
+                   FROM (SELECT tenant_id, unnest(sequence) AS x FROM sequences) GROUP BY tenant_id)
+    SELECT q.tenant_id, branch_id, category_id, demand_date, target,
+           list_transform(sequence, lambda x: {{{", ".join(
+               f"'{c}': " + R(f"(x.{c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END", 4) for c in STEPS)}}}) AS sequence
+    FROM sequences q JOIN stats ON stats.tenant_id = q.tenant_id""", "sequences"))
 def fct_05(d):
     """FCT-05: 14-step sequences standardised per feature (population std
-    over every step of every sequence); target = next value."""
+    over every step of every sequence, 4 dp); target = next value.  A row's
+    weight in the statistics is the number of sequences that hold it, so the
+    sequences are not exploded."""
     from ratewise.operators import features as fe
     from ratewise.operators import timeseries as tsx
-    feats = ["target", "lag_1d", "lag_7d", "rolling_7d", "temperature_avg"]
-    seq = tsx.sliding_sequences(fe.model_matrix(_fs(d)), feats, "target", CELLK, "demand_date", 14)
-    steps = seq.select("tenant_id", F.explode("sequence").alias("s")).select("tenant_id", "s.*")
-    stats = steps.groupBy("tenant_id").agg(*[F.avg(f).alias("m_" + f) for f in feats],
-                                           *[F.stddev_pop(f).alias("s_" + f) for f in feats])
-    j = seq.join(F.broadcast(stats), "tenant_id")
+    length = 14
+    mm = fe.model_matrix(_fs(d))
+    seq = tsx.sliding_sequences(mm, STEPS, "target", CELLK, "demand_date", length)
+    # row i of n is in the sequences of rows i + 1 .. i + length, as far as they exist and have a full history
+    i, n = F.row_number().over(Window.partitionBy(*CELLK).orderBy("demand_date")), F.count(F.lit(1)).over(Window.partitionBy(*CELLK))
+    weight = F.greatest(F.least(n, i + length) - F.greatest(F.lit(length), i), F.lit(0))
+    steps = mm.select("tenant_id", *[F.col(f).cast("double").alias(f) for f in STEPS], weight.alias("w"))
+    total = F.sum("w")
+    sums = steps.groupBy("tenant_id").agg(*[x for f in STEPS for x in (
+        (F.sum(F.col("w") * F.col(f)) / total).alias("m_" + f), (F.sum(F.col("w") * F.col(f) * F.col(f)) / total).alias("q_" + f))])
+    stats = sums.select("tenant_id", *[F.col("m_" + f) for f in STEPS], *[
+        F.sqrt(F.greatest(F.col("q_" + f) - F.col("m_" + f) * F.col("m_" + f), F.lit(0.0))).alias("s_" + f) for f in STEPS])
+    j = seq.join(F.broadcast(stats), "tenant_id")  # a row per tenant
     z = F.transform("sequence", lambda s: F.struct(*[
-        ((s[f] - F.col("m_" + f)) / F.when(F.col("s_" + f) > 0, F.col("s_" + f)).otherwise(F.lit(1.0))).alias(f)
-        for f in feats]))
+        rnd((s[f] - F.col("m_" + f)) / F.when(F.col("s_" + f) > 0, F.col("s_" + f)).otherwise(F.lit(1.0)), 4).alias(f)
+        for f in STEPS]))
     return j.select(*CELLK, "demand_date", "target", z.alias("sequence"))
 
 
@@ -552,7 +574,13 @@ def val_03(d):
     return a.unionByName(b).unionByName(c)
 
 
-@query("val_04")
+@query("val_04", with_views(f"""
+    SELECT m.tenant_id, unnest(['models_evaluated', 'best_vs_naive', 'forecast_variance', 'horizon_30']) AS check_name,
+           unnest([m.models >= 2, b.metric_value <= 1.5 * m.naive_mae, r.sd > 0.1, r.h = {P.HORIZON}]) AS passed
+    FROM (SELECT tenant_id, count(*) AS models, max(CASE WHEN model_name = 'seasonal_naive' THEN mae END) AS naive_mae
+          FROM backtest GROUP BY 1) m JOIN best_model b ON b.tenant_id = m.tenant_id
+    JOIN (SELECT tenant_id, stddev_samp(forecast_demand) AS sd, count(DISTINCT horizon_day) AS h
+          FROM naive_alloc GROUP BY 1) r ON r.tenant_id = m.tenant_id""", "backtest", "best_model", "naive_alloc"))
 def val_04(d):
     """VAL-04: forecast gate -- >= 2 models evaluated, best MAE <= 1.5 x
     naive, forecast stddev > .1, 30-day horizon."""

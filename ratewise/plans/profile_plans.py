@@ -221,13 +221,13 @@ def top_05(d):
                     "split_flag").orderBy("demand_date", "branch_id", "category_id").limit(100)
 
 
-@query("top_06")
+@query("top_06", with_views("SELECT * FROM best_model", "best_model"))
 def top_06(d):
     """TOP-06: best model = minimum MAE of the latest evaluation."""
     return fc.select_best(fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON))
 
 
-@query("top_07")
+@query("top_07", with_views("SELECT * FROM backtest", "backtest"))
 def top_07(d):
     """TOP-07: metrics of the latest evaluation ordered by MAE."""
     m = fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON)
