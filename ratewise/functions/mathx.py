@@ -25,6 +25,22 @@ def rnd_sql(expr: str, digits: int) -> str:
     return f"(round(CAST({expr} AS DOUBLE) * {float(10 ** digits)}) / {float(10 ** digits)})"
 
 
+#: Decimals that money is held in while it is computed: beyond, a double's
+#: digits are noise of its binary form.
+MONEY = "decimal(28,10)"
+
+
+def money(c, digits: int = 2) -> Column:
+    """Half up to ``digits`` decimals as decimal arithmetic rounds (1.005 is
+    1.01, and so is a computed 1.00499999999999989); NULL where not finite."""
+    return F.round(_c(c).cast("double").try_cast(MONEY), digits).cast("double")
+
+
+def money_sql(expr: str, digits: int = 2) -> str:
+    """SQL text of :func:`money`."""
+    return f"CAST(round(TRY_CAST(CAST({expr} AS DOUBLE) AS {MONEY}), {digits}) AS DOUBLE)"
+
+
 def safe_div(num, den, default=None) -> Column:
     """MTH-02: ``num / den``; NULL (or ``default``) when ``den`` is 0/NULL."""
     q = F.try_divide(_c(num).cast("double"), F.nullif(_c(den).cast("double"), F.lit(0.0)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ratewise.functions.mathx import rnd
+from ratewise.functions.mathx import money, rnd
 
 NEUTRAL = 0.5
 
@@ -114,22 +114,26 @@ def weighted_adjustment(signals: dict[str, Column], weights: dict[str, Column])
     return rnd(adj, 4)
 
 
-def clamp_price(base, raw_pct, min_price, max_discount, max_premium) -> dict[str, Column]:
+def clamp_price(base, raw_pct, min_price, max_discount, max_premium, max_price=None) -> dict[str, Column]:
     """PRC-01 guardrail clamp.
 
     pct capped to +max_premium and floored to -max_discount; price =
     base * (1 + pct / 100); below min_price the price becomes min_price
-    and pct = (min / base - 1) * 100.  Price 2 dp, pct 4 dp.
+    and pct = (min / base - 1) * 100; above max_price, where there is one,
+    likewise.  Price 2 dp, pct 4 dp, both half up.
     """
     base, raw = _c(base), _c(raw_pct)
     mp, md, mx = _c(min_price), _c(max_discount), _c(max_premium)
     capped = F.when(raw > mx, mx).when(raw < -md, -md).otherwise(raw)
     price0 = base * (1 + capped / 100.0)
     below = price0 < mp
-    price = F.when(below, mp).otherwise(price0)
-    pct = F.when(below, (mp / base - 1) * 100.0).otherwise(capped)
-    applied = (raw > mx) | (raw < -md) | below
-    return {"price": rnd(price, 2), "pct": rnd(pct, 4), "applied": applied}
+    top = F.lit(None).cast("double") if max_price is None else _c(max_price)
+    above = F.coalesce(price0 > top, F.lit(False))
+    bound = F.when(below, mp).when(above, top)
+    price = F.coalesce(bound, price0)
+    pct = F.when(bound.isNotNull(), (bound / base - 1) * 100.0).otherwise(capped)
+    applied = (raw > mx) | (raw < -md) | below | above
+    return {"price": money(price, 2), "pct": money(pct, 4), "applied": applied}
 
 
 def explanation(util, fcst, comp, weather, holiday, raw_pct, final_pct, applied) -> Column:

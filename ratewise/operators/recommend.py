@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ratewise.functions import signals as sg
 from ratewise.functions.calendar import DEFAULT_WEEKEND, is_weekend
-from ratewise.functions.mathx import rnd
+from ratewise.functions.mathx import money, rnd
 
 CELL = ["tenant_id", "branch_id", "category_id"]
 SIGNALS = ["utilization", "forecast", "competitor", "weather", "holiday"]
@@ -64,7 +64,8 @@ def resolve_guardrails(cells: DataFrame, config: DataFrame | None, categories: D
                        generic=(50.0, 25.0, 50.0)) -> DataFrame:
     """PRC-02 / JN-07: per cell, the most specific active guardrail row
     (branch+category, category, branch, global), else the category's
-    default, else the generic default."""
+    default, else the generic default.  A highest price comes from a
+    configuration row alone."""
     cols = ["min_price", "max_discount_pct", "max_premium_pct"]
     out = cells
     if config is not None:
@@ -73,11 +74,11 @@ def resolve_guardrails(cells: DataFrame, config: DataFrame | None, categories: D
                 + F.when(F.col("g_category").isNotNull(), 1).otherwise(0))
         cand = cells.select(*CELL).join(
             g.select("tenant_id", F.col("branch_id").alias("g_branch"), F.col("category_id").alias("g_category"),
-                     *cols), "tenant_id")
+                     *cols, "max_price"), "tenant_id")
         cand = cand.where((F.col("g_branch").isNull() | (F.col("g_branch") == F.col("branch_id")))
                           & (F.col("g_category").isNull() | (F.col("g_category") == F.col("category_id"))))
-        best = cand.groupBy(*CELL).agg(F.max_by(F.struct(*cols), spec).alias("g"))
-        out = out.join(best.select(*CELL, *[F.col("g." + c).alias("cfg_" + c) for c in cols]), CELL, "left")
+        best = cand.groupBy(*CELL).agg(F.max_by(F.struct(*cols, "max_price"), spec).alias("g"))
+        out = out.join(best.select(*CELL, *[F.col("g." + c).alias("cfg_" + c) for c in (*cols, "max_price")]), CELL, "left")
     d = F.broadcast(categories.select("category_id", F.col("default_min_price").alias("d_min_price"),
                                       F.col("default_max_discount_pct").alias("d_max_discount_pct"),
                                       F.col("default_max_premium_pct").alias("d_max_premium_pct")))
@@ -86,6 +87,8 @@ def resolve_guardrails(cells: DataFrame, config: DataFrame | None, categories: D
     for c, gen in zip(cols, generic):
         parts = ([F.col("cfg_" + c)] if config is not None else []) + [F.col("d_" + c), F.lit(gen)]
         sel.append(F.coalesce(*parts).alias("guardrail_" + c))
+    if config is not None:
+        sel.append(F.col("cfg_max_price").alias("guardrail_max_price"))
     keep = [c for c in cells.columns]
     return out.select(*keep, *sel)
 
@@ -110,7 +113,7 @@ def generate(spine: DataFrame, base: DataFrame, guard: DataFrame, weights: DataF
 
     Inputs (all unique on their join keys):
       base     (tenant, branch, category) -> base_daily/weekly/monthly
-      guard    (tenant, branch, category) -> guardrail_* columns
+      guard    (tenant, branch, category) -> guardrail_* columns, guardrail_max_price NULL where there is none
       weights  (tenant) -> w_<signal>
       util     (cell, forecast_date) -> utilization_contracts, utilization_bookings
       forecast (cell, forecast_date) -> forecast_demand
@@ -140,20 +143,20 @@ def generate(spine: DataFrame, base: DataFrame, guard: DataFrame, weights: DataF
                                  {n: F.col("w_" + n) for n in SIGNALS})
     j = j.withColumn("raw_adjustment_pct", raw)
     cl = sg.clamp_price("base_daily", "raw_adjustment_pct", "guardrail_min_price",
-                        "guardrail_max_discount_pct", "guardrail_max_premium_pct")
+                        "guardrail_max_discount_pct", "guardrail_max_premium_pct", "guardrail_max_price")
     j = j.select("*", cl["price"].alias("rec_daily"), cl["pct"].alias("premium_discount_pct"),
                  cl["applied"].alias("guardrail_applied"))
     factor = 1 + F.col("premium_discount_pct") / 100.0
     return j.select(
         *CELL, F.lit(run_date).alias("run_date"), "forecast_date", "horizon_day",
-        rnd("base_daily", 2).alias("base_daily"), rnd("base_weekly", 2).alias("base_weekly"),
-        rnd("base_monthly", 2).alias("base_monthly"),
-        "rec_daily", rnd(F.col("base_weekly") * factor, 2).alias("rec_weekly"),
-        rnd(F.col("base_monthly") * factor, 2).alias("rec_monthly"),
+        money("base_daily").alias("base_daily"), money("base_weekly").alias("base_weekly"),
+        money("base_monthly").alias("base_monthly"),
+        "rec_daily", money(F.col("base_weekly") * factor).alias("rec_weekly"),
+        money(F.col("base_monthly") * factor).alias("rec_monthly"),
         "premium_discount_pct",
         *[rnd(n + "_signal", 4).alias(n + "_signal") for n in SIGNALS],
         "raw_adjustment_pct", "guardrail_applied",
-        "guardrail_min_price", "guardrail_max_discount_pct", "guardrail_max_premium_pct",
+        "guardrail_min_price", "guardrail_max_discount_pct", "guardrail_max_premium_pct", "guardrail_max_price",
         sg.explanation(*[F.col(n + "_signal") for n in SIGNALS], F.col("raw_adjustment_pct"),
                        F.col("premium_discount_pct"), F.col("guardrail_applied")).alias("explanation_text"),
         F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),

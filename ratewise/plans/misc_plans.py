@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratewise.functions import calendar as cf
-from ratewise.functions.mathx import cents_avg, cents_avg_sql, rnd, rnd_sql as R, safe_div
+from ratewise.functions.mathx import cents_avg, cents_avg_sql, money, money_sql, rnd, rnd_sql as R, safe_div
 from ratewise.functions.text import localized_name
 from ratewise.operators import calendar as cal
 from ratewise.operators import demand as dm
@@ -737,16 +737,16 @@ def dt_06(d):
 
 
 @query("mth_01", with_views(f"""
-    SELECT contract_id, {R('daily_rate', 2)} AS rate_2dp, round(ln(1 + l_quantity), 4) AS log1p_qty,
+    SELECT contract_id, {money_sql('daily_rate')} AS rate_2dp, round(ln(1 + l_quantity), 4) AS log1p_qty,
            abs(l_discount - 0.05) AS abs_gap, {R('sqrt(l_extendedprice)', 4)} AS sqrt_price,
            least(greatest(l_discount, 0.02), 0.08) AS capped
     FROM (SELECT l_orderkey * 10 + l_linenumber AS contract_id, l_extendedprice / l_quantity AS daily_rate,
                  l_quantity, l_discount, l_extendedprice FROM lineitem)"""))
 def mth_01(d):
-    """MTH-01: rounding, ln(1+x), abs, sqrt, min/max caps."""
+    """MTH-01: rounding (half up for money), ln(1+x), abs, sqrt, min/max caps."""
     li = d.t.lineitem
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("contract_id"),
-                     rnd(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("rate_2dp"),
+                     money(F.col("l_extendedprice") / F.col("l_quantity")).alias("rate_2dp"),
                      F.round(F.log1p("l_quantity"), 4).alias("log1p_qty"),
                      F.abs(F.col("l_discount") - 0.05).alias("abs_gap"),
                      rnd(F.sqrt("l_extendedprice"), 4).alias("sqrt_price"),

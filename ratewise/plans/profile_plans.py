@@ -21,10 +21,10 @@ from ratewise.plans.competitor_plans import _quotes, comp_index
 from ratewise.plans.feature_plans import _fact_split, _fs
 from ratewise.plans.forecast_plans import forecast_runs
 from ratewise.plans.oracle_views import register_view, with_views
+from ratewise.plans.recommend_plans import guardrail_config
 from ratewise.plans.registry import query
-from ratewise.sources.fixed import CATEGORIES, fixed_table_sql
+from ratewise.sources.fixed import CATEGORIES
 
-register_view("guardrail_config", fixed_table_sql("guardrail_config"))
 RENT = "(SELECT * FROM contracts WHERE status_id = 211)"
 NOW = dt.datetime(2001, 6, 30, 12, 0, 0)
 
@@ -355,13 +355,13 @@ def cfg_01(d):
 
 
 @query("prc_02_config", with_views("""
-    SELECT c.tenant_id, c.branch_id, c.category_id,
+    SELECT c.tenant_id, c.branch_id, c.category_id, g.max_price AS guardrail_max_price,
            coalesce(g.min_price, k.default_min_price, 50.0) AS guardrail_min_price,
            coalesce(g.max_discount_pct, k.default_max_discount_pct, 25.0) AS guardrail_max_discount_pct,
            coalesce(g.max_premium_pct, k.default_max_premium_pct, 50.0) AS guardrail_max_premium_pct
     FROM fleet_size c
     LEFT JOIN (SELECT * FROM (
-        SELECT f.tenant_id, f.branch_id, f.category_id, g.min_price, g.max_discount_pct, g.max_premium_pct,
+        SELECT f.tenant_id, f.branch_id, f.category_id, g.min_price, g.max_discount_pct, g.max_premium_pct, g.max_price,
                row_number() OVER (PARTITION BY f.tenant_id, f.branch_id, f.category_id ORDER BY
                  (CASE WHEN g.branch_id IS NOT NULL THEN 2 ELSE 0 END
                   + CASE WHEN g.category_id IS NOT NULL THEN 1 ELSE 0 END) DESC) AS rn
@@ -374,9 +374,8 @@ def prc_02_config(d):
     """PRC-02 with a guardrail configuration: most specific row (branch +
     category > branch > category > global), then category default."""
     from ratewise.operators import utilization as ut
-    cfg = d.fixed("guardrail_config").withColumn("tenant_id", F.lit(d.tenant_id)).withColumn("is_active", F.lit(True))
     cells = ut.fleet_size(d.vehicles).select(*rc.CELL)
-    return rc.resolve_guardrails(cells, cfg, d.categories)
+    return rc.resolve_guardrails(cells, guardrail_config(d), d.categories)
 
 
 @query("jn_03", with_views("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratewise.functions.mathx import rnd, rnd_sql as R
+from ratewise.functions.mathx import money_sql as M, rnd, rnd_sql as R
 from ratewise.operators import calendar as cal
 from ratewise.operators import forecast as fc
 from ratewise.operators import recommend as rc
@@ -15,7 +15,7 @@ from ratewise.plans.competitor_plans import base_rates
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
 from ratewise.sinks.io import materialize
-from ratewise.sources.fixed import CATEGORIES, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS
+from ratewise.sources.fixed import CATEGORIES, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS, fixed_table_sql
 
 RUN = f"DATE '{P.RUN_DATE}'"
 H = P.HORIZON
@@ -39,7 +39,22 @@ register_view("weights", f"""
     FROM (SELECT tenant_id, CASE WHEN signal_name = 'demand_forecast' THEN 'forecast' ELSE signal_name END AS nm,
                  CASE WHEN is_enabled THEN weight ELSE 0.0 END AS w FROM weights_cfg)
     GROUP BY tenant_id""", ("weights_cfg",))
-register_view("guardrails", f"""
+register_view("guardrail_config", fixed_table_sql("guardrail_config"))
+register_view("guardrails", """
+    SELECT c.tenant_id, c.branch_id, c.category_id, g.max_price AS guardrail_max_price,
+           coalesce(g.min_price, d.guardrail_min_price) AS guardrail_min_price,
+           coalesce(g.max_discount_pct, d.guardrail_max_discount_pct) AS guardrail_max_discount_pct,
+           coalesce(g.max_premium_pct, d.guardrail_max_premium_pct) AS guardrail_max_premium_pct
+    FROM cells c JOIN guardrails_default d USING (tenant_id, branch_id, category_id)
+    LEFT JOIN (SELECT f.branch_id, f.category_id, g.*, row_number() OVER (
+                 PARTITION BY f.branch_id, f.category_id
+                 ORDER BY 2 * CAST(g.of_branch IS NOT NULL AS INTEGER) + CAST(g.of_category IS NOT NULL AS INTEGER) DESC) AS rn
+               FROM cells f JOIN (SELECT guardrail_id, category_id AS of_category, branch_id AS of_branch, * EXCLUDE (
+                                    guardrail_id, category_id, branch_id) FROM guardrail_config) g
+                 ON coalesce(g.of_category = f.category_id, TRUE) AND coalesce(g.of_branch = f.branch_id, TRUE)) g
+      ON g.branch_id = c.branch_id AND g.category_id = c.category_id AND g.rn = 1""",
+              ("cells", "guardrails_default", "guardrail_config"))
+register_view("guardrails_default", f"""
     SELECT c.tenant_id, c.branch_id, c.category_id,
            coalesce(k.default_min_price, {GENERIC_GUARDRAIL[0]}) AS guardrail_min_price,
            coalesce(k.default_max_discount_pct, {GENERIC_GUARDRAIL[1]}) AS guardrail_max_discount_pct,
@@ -87,6 +102,8 @@ _CAP = ("CASE WHEN raw_adjustment_pct > guardrail_max_premium_pct THEN guardrail
         "ELSE raw_adjustment_pct END")
 _P0 = f"(base_daily * (1 + ({_CAP}) / 100.0))"
 _BELOW = f"({_P0} < guardrail_min_price)"
+_ABOVE = f"coalesce({_P0} > guardrail_max_price, FALSE)"
+_BOUND = f"(CASE WHEN {_BELOW} THEN guardrail_min_price WHEN {_ABOVE} THEN guardrail_max_price END)"
 
 
 def _factor_sql():
@@ -113,7 +130,7 @@ register_view("recommendations", f"""
       SELECT s.tenant_id, s.branch_id, s.category_id, s.forecast_date,
              CAST(s.forecast_date - {RUN} + 1 AS INTEGER) AS horizon_day,
              b.base_daily, b.base_weekly, b.base_monthly,
-             g.guardrail_min_price, g.guardrail_max_discount_pct, g.guardrail_max_premium_pct,
+             g.guardrail_min_price, g.guardrail_max_discount_pct, g.guardrail_max_premium_pct, g.guardrail_max_price,
              {", ".join("w.w_" + n for n in NAMES)},
              u.utilization_contracts, u.utilization_contracts + coalesce(u.utilization_bookings, 0.0) AS uu,
              f.forecast_demand, m.mean_train_demand, ci.competitor_avg_price,
@@ -138,20 +155,20 @@ register_view("recommendations", f"""
        AND hc.forecast_date = s.forecast_date),
     sg AS (SELECT *, {_SIG_SQL} FROM j),
     ad AS (SELECT *, {_RAW} AS raw_adjustment_pct FROM sg),
-    cl AS (SELECT *, {R(f'CASE WHEN {_BELOW} THEN guardrail_min_price ELSE {_P0} END', 2)} AS rec_daily,
-                  {R(f'CASE WHEN {_BELOW} THEN (guardrail_min_price / base_daily - 1) * 100.0 ELSE {_CAP} END', 4)}
+    cl AS (SELECT *, {M(f'coalesce({_BOUND}, {_P0})')} AS rec_daily,
+                  {M(f'CASE WHEN {_BOUND} IS NOT NULL THEN ({_BOUND} / base_daily - 1) * 100.0 ELSE {_CAP} END', 4)}
                     AS premium_discount_pct,
                   (raw_adjustment_pct > guardrail_max_premium_pct OR raw_adjustment_pct < -guardrail_max_discount_pct
-                   OR {_BELOW}) AS guardrail_applied
+                   OR {_BELOW} OR {_ABOVE}) AS guardrail_applied
            FROM ad)
     SELECT tenant_id, branch_id, category_id, {RUN} AS run_date, forecast_date, horizon_day,
-           {R('base_daily', 2)} AS base_daily, {R('base_weekly', 2)} AS base_weekly,
-           {R('base_monthly', 2)} AS base_monthly, rec_daily,
-           {R('base_weekly * (1 + premium_discount_pct / 100.0)', 2)} AS rec_weekly,
-           {R('base_monthly * (1 + premium_discount_pct / 100.0)', 2)} AS rec_monthly,
+           {M('base_daily')} AS base_daily, {M('base_weekly')} AS base_weekly,
+           {M('base_monthly')} AS base_monthly, rec_daily,
+           {M('base_weekly * (1 + premium_discount_pct / 100.0)')} AS rec_weekly,
+           {M('base_monthly * (1 + premium_discount_pct / 100.0)')} AS rec_monthly,
            premium_discount_pct, {", ".join(R(n + '_signal', 4) + ' AS ' + n + '_signal' for n in NAMES)},
            raw_adjustment_pct, guardrail_applied, guardrail_min_price, guardrail_max_discount_pct,
-           guardrail_max_premium_pct, {_factor_sql()} AS explanation_text,
+           guardrail_max_premium_pct, guardrail_max_price, {_factor_sql()} AS explanation_text,
            'pricing_engine_v1' AS model_name, '1.0.0' AS model_version, 'pending' AS status
     FROM cl""", ("spine", "base_rates", "guardrails", "weights", "feature_store", "latest_fc", "mean_train",
                  "comp_index", "weather_scored", "holiday_cal"))
@@ -173,6 +190,11 @@ def _weights(d, tenants=None):
     return rc.signal_weights(cfg, W)
 
 
+def guardrail_config(d):
+    """The guardrail configuration rows, all active, of the tenant."""
+    return d.fixed("guardrail_config").withColumn("tenant_id", F.lit(d.tenant_id)).withColumn("is_active", F.lit(True))
+
+
 def _calendar(d):
     return rc.holiday_calendar(cal.holiday_window(d.day_spine, d.holidays, P.HOLIDAY_WINDOW_DAYS))
 
@@ -228,7 +250,7 @@ def recommendations(d, run_date=P.RUN_DATE, forecasts=None):
         F.col("weather_date").between(F.lit(run_date), F.lit(end))).select(
         "tenant_id", "branch_id", F.col("weather_date").alias("forecast_date"), "bad_weather_score",
         "extreme_heat_flag", "precipitation_sum")
-    guard = rc.resolve_guardrails(cells, None, d.categories, GENERIC_GUARDRAIL)
+    guard = rc.resolve_guardrails(cells, guardrail_config(d), d.categories, GENERIC_GUARDRAIL)
     weights = _weights(d, fact.select("tenant_id").distinct())
     out = rc.generate(spine, base.drop("base_source"), guard, weights, util, fcst, _mean_train(d),
                       comp, wxs, _calendar(d), run_date)
@@ -293,12 +315,12 @@ def sig_v(d):
 
 
 @query("prc_02", with_views("""
-    SELECT g.* FROM guardrails g
+    SELECT g.* FROM guardrails_default g
     WHERE (g.tenant_id, g.branch_id, g.category_id) IN (SELECT tenant_id, branch_id, category_id FROM fleet_size)""",
-                            "guardrails", "fleet_size"))
+                            "guardrails_default", "fleet_size"))
 def prc_02(d):
-    """PRC-02: guardrails of every cell that has a fleet (config, category
-    default, generic)."""
+    """PRC-02: guardrails of every cell that has a fleet where no
+    configuration row exists (category default, generic)."""
     from ratewise.operators import utilization as ut
     cells = ut.fleet_size(d.vehicles).select(*rc.CELL)
     return rc.resolve_guardrails(cells, None, d.categories, GENERIC_GUARDRAIL)

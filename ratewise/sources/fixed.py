@@ -93,12 +93,13 @@ DEFAULT_COMPETITOR_TYPE = "Economy"
 
 # --- fixed values: guardrail configuration rows -----------------------------
 # (guardrail_id, category_id or None = all, branch_id or None = all,
-#  min_price, max_discount_pct, max_premium_pct); NULL means "applies to all".
+#  min_price, max_discount_pct, max_premium_pct, max_price or None = no such
+#  bound); NULL means "applies to all".
 GUARDRAIL_CONFIG = [
-    (1, None, None, 50.0, 25.0, 50.0),
-    (2, 3, None, 100.0, 25.0, 50.0),
-    (3, 5, None, 300.0, 15.0, 60.0),
-    (4, None, 0, 60.0, 20.0, 40.0),
+    (1, None, None, 50.0, 25.0, 50.0, None),
+    (2, 3, None, 100.0, 25.0, 50.0, 160.0),
+    (3, 5, None, 300.0, 15.0, 60.0, None),
+    (4, None, 0, 60.0, 20.0, 40.0, 150.0),
 ]
 
 # --- fixed values: national holidays with a fixed calendar date -------------
@@ -158,6 +159,7 @@ GUARDRAIL_SCHEMA = T.StructType([
     T.StructField("min_price", T.DoubleType(), False),
     T.StructField("max_discount_pct", T.DoubleType(), False),
     T.StructField("max_premium_pct", T.DoubleType(), False),
+    T.StructField("max_price", T.DoubleType(), True),
 ])
 
 _FIXED = {

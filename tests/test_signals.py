@@ -114,3 +114,20 @@ def test_explanation(spark):
     got = [r[0] for r in df.select(e).collect()]
     assert got[0] == "High utilization (+). Adjusted within guardrails (raw: 60.0% -> final: 50.0%)"
     assert got[1] == "Normal conditions"
+
+
+@pytest.mark.parametrize("v,expected", [(0.145, 0.15), (1.005, 1.01), (1.015, 1.02), (-1.005, -1.01), (115.00499999999998, 115.01),
+                                        (1.0049, 1.0), (None, None), (float("inf"), None)])
+def test_money_is_half_up(spark, v, expected):
+    import duckdb
+    from ratewise.functions.mathx import money, money_sql
+    assert _eval(spark, money("v"), [(v,)], "v double") == [expected]
+    assert duckdb.execute(f"SELECT {money_sql('v')} FROM (SELECT CAST(? AS DOUBLE) AS v)", [v]).fetchone() == (expected,)
+
+
+def test_highest_price(spark):
+    clamp = lambda top: sg.clamp_price("b", "r", F.lit(50.0), F.lit(25.0), F.lit(50.0), top)
+    for top, price, pct, applied in ((F.lit(110.0), 110.0, 10.0, True), (F.lit(130.0), 120.0, 20.0, False),
+                                     (F.lit(None).cast("double"), 120.0, 20.0, False), (F.lit(40.0), 40.0, -60.0, True)):
+        c = clamp(top)
+        assert [_eval(spark, c[k], [(100.0, 20.0)], "b double, r double")[0] for k in ("price", "pct", "applied")] == [price, pct, applied]
