@@ -212,13 +212,15 @@ def wth_02(d):
 
 
 @query("wth_03", with_views("""
-    SELECT branch_id, branch_name, city_id, city_name FROM branches
+    SELECT branch_id, branch_name, city_id, city_name, CAST(city_id * 10 AS DOUBLE) AS latitude,
+           CAST(city_id * 20 AS DOUBLE) AS longitude FROM branches
     WHERE is_active AND branch_id IN (SELECT branch_id FROM contracts)""", "branches", "contracts"))
 def wth_03(d):
-    """WTH-03: locations of the active branches that have contracts."""
+    """WTH-03: locations, with coordinates, of the active branches that have contracts."""
     act = d.contracts.select("branch_id").distinct()
     return d.branches.where("is_active").join(act, "branch_id", "left_semi").select(
-        "branch_id", "branch_name", "city_id", "city_name")
+        "branch_id", "branch_name", "city_id", "city_name", (F.col("city_id") * 10).cast("double").alias("latitude"),
+        (F.col("city_id") * 20).cast("double").alias("longitude"))
 
 
 @query("agg_12", with_views("""

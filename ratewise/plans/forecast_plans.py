@@ -12,6 +12,7 @@ from ratewise.plans.feature_plans import _fact_split as _fs
 from ratewise.plans.feature_plans import _fs as _full_fs
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
+from ratewise.sinks import io
 
 H = P.HORIZON
 CUT = f"DATE '{P.SPLIT_CUTOFF}'"
@@ -252,8 +253,13 @@ def forecast_runs(d):
 
 @query("fct_12", with_views("SELECT * FROM forecast_runs", "forecast_runs"))
 def fct_12(d):
-    """FCT-12: the versioned forecast table (runs by run_date)."""
-    return forecast_runs(d)
+    """FCT-12: the versioned forecast table: each run is written as the
+    partition of its date, the other runs stay, and the table is read back."""
+    runs = forecast_runs(d)
+    path = io.new_table(d.spark, "forecasts")
+    for run in (PREV_RUN, P.RUN_DATE):
+        io.write_partitioned(runs.where(F.col("run_date") == F.lit(run)), path, ["run_date"])
+    return d.spark.read.schema(runs.schema).parquet(path).select(runs.columns)
 
 
 @query("win_12", with_views("""

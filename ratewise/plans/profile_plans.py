@@ -71,18 +71,29 @@ def agg_16(d):
 @query("agg_17", with_views(f"""
     SELECT i.category_id, count(*) AS index_rows, min(i.index_date) AS min_date, max(i.index_date) AS max_date,
            {R('avg(i.competitor_avg_price)', 4)} AS avg_competitor_price,
-           (SELECT count(*) FROM competitor_mapping) AS active_mappings
-    FROM comp_index i GROUP BY i.category_id""", "comp_index", "competitor_mapping"))
+           (SELECT count(*) FROM competitor_mapping) AS active_mappings, coalesce(max(l.n), 0) AS live_quotes
+    FROM comp_index i LEFT JOIN (
+        SELECT m.category_id, count(*) AS n FROM quotes q JOIN competitor_mapping m ON m.competitor_vehicle_type = q.category
+        WHERE CAST(q.price_date AS TIMESTAMP) + INTERVAL 24 HOUR > TIMESTAMP '{NOW}' GROUP BY 1) l
+      ON l.category_id = i.category_id
+    GROUP BY i.category_id""", "comp_index", "competitor_mapping", "quotes"))
 def agg_17(d):
     """AGG-17: competitor summary: index rows, range and mean price per
-    category, with the number of active mappings."""
+    category, with the number of active mappings and of quotes still live."""
+    from ratewise.operators.competitor import live_quotes
+    from ratewise.plans.competitor_plans import window_quotes
+    q = window_quotes(d, NOW.date() - dt.timedelta(days=1), None).withColumn("fetched_at", F.col("price_date").cast("timestamp"))
+    m = d.fixed("competitor_mapping").select("category_id", F.col("competitor_vehicle_type").alias("category"))
+    live = live_quotes(q, NOW).groupBy("category").agg(F.count(F.lit(1)).alias("live_quotes")).join(F.broadcast(m), "category")
     n_map = d.fixed("competitor_mapping").agg(F.count(F.lit(1)).alias("active_mappings")).select(
         F.lit(d.tenant_id).alias("tenant_id"), "active_mappings")
     g = comp_index(d).groupBy("tenant_id", "category_id").agg(
         F.count(F.lit(1)).alias("index_rows"), F.min("index_date").alias("min_date"),
         F.max("index_date").alias("max_date"),
         rnd(F.avg("competitor_avg_price"), 4).alias("avg_competitor_price"))
-    return g.join(F.broadcast(n_map), "tenant_id").drop("tenant_id")
+    g = g.join(live.select("category_id", "live_quotes"), "category_id", "left")
+    return g.join(F.broadcast(n_map), "tenant_id").drop("tenant_id").withColumn(
+        "live_quotes", F.coalesce("live_quotes", F.lit(0)))
 
 
 @query("agg_19", with_views("""
@@ -163,6 +174,15 @@ def top_01_models(d):
     return n.orderBy(F.col("rentals").desc(), "model_id").limit(15)
 
 
+@query("top_01_categories", with_views("""
+    SELECT category_id, count(*) AS rentals FROM rentals GROUP BY category_id
+    ORDER BY rentals DESC, category_id LIMIT 15""", "rentals"))
+def top_01_categories(d):
+    """TOP-01: the 15 categories with the most executed rentals."""
+    n = _rentals(d).groupBy("category_id").agg(F.count(F.lit(1)).alias("rentals"))
+    return n.orderBy(F.col("rentals").desc(), "category_id").limit(15)
+
+
 @query("win_16", with_views("""
     SELECT branch_id, is_airport, rentals, rk FROM (
       SELECT r.branch_id, b.is_airport, count(*) AS rentals,
@@ -268,6 +288,19 @@ def set_03(d):
     return dm.build_daily_demand(d).select("tenant_id", "branch_id", "category_id").distinct()
 
 
+@query("set_03_kinds", with_views("""
+    SELECT DISTINCT 'contract_type' AS kind, contract_type AS value FROM contracts
+    UNION ALL SELECT DISTINCT 'contract_status', CAST(status_id AS VARCHAR) FROM contracts
+    UNION ALL SELECT DISTINCT 'vehicle_status', CAST(status_id AS VARCHAR) FROM vehicles""", "contracts", "vehicles"))
+def set_03_kinds(d):
+    """SET-03: distinct contract types, contract statuses and vehicle statuses."""
+    kinds = d.contracts.select(F.explode(F.array(
+        F.struct(F.lit("contract_type").alias("kind"), F.col("contract_type").alias("value")),
+        F.struct(F.lit("contract_status").alias("kind"), F.col("status_id").cast("string").alias("value")))).alias("k"))
+    vehicles = d.vehicles.select(F.lit("vehicle_status").alias("kind"), F.col("status_id").cast("string").alias("value"))
+    return kinds.select("k.*").distinct().unionByName(vehicles.distinct())
+
+
 @query("set_04", with_views("""
     SELECT c.tenant_id, c.branch_id, c.category_id FROM cells c
     WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.tenant_id = c.tenant_id AND f.branch_id = c.branch_id
@@ -435,15 +468,30 @@ register_view("contract_items", f"""
                            "contracts", "contract_items"))
 def jn_13(d):
     """JN-13: contract -> payment item join on the base-price item."""
-    li = d.t.lineitem
-    items = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("contract_id"), F.explode(F.array(
+    items = _items(d).where(F.col("item_type_id") == 1)
+    c = dm.executed_rentals(d.contracts)
+    j = c.join(items, "contract_id")
+    return j.select("contract_id", "daily_rate", F.col("unit_price").alias("base_item_price"), "quantity",
+                    rnd(F.col("unit_price") - F.col("daily_rate"), 4).alias("price_gap"))
+
+
+def _items(d):
+    """Payment items of the contracts: trip days and tax of each."""
+    items = d.t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("contract_id"), F.explode(F.array(
         F.struct(F.lit(1).alias("item_type_id"), F.lit("Trip days").alias("item_name"),
                  F.col("l_quantity").alias("quantity"),
                  (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price")),
         F.struct(F.lit(2).alias("item_type_id"), F.lit("Tax").alias("item_name"), F.lit(1.0).alias("quantity"),
                  (F.col("l_extendedprice") * F.col("l_tax")).alias("unit_price")))).alias("i"))
-    items = items.select("contract_id", "i.*").where(F.col("item_type_id") == 1)
-    c = dm.executed_rentals(d.contracts)
-    j = c.join(items, "contract_id")
-    return j.select("contract_id", "daily_rate", F.col("unit_price").alias("base_item_price"), "quantity",
-                    rnd(F.col("unit_price") - F.col("daily_rate"), 4).alias("price_gap"))
+    return items.select("contract_id", "i.*")
+
+
+@query("agg_20_items", with_views("""
+    SELECT item_type_id, item_name, c.contract_type, count(*) AS items, count(DISTINCT c.branch_id) AS branches
+    FROM contract_items i JOIN contracts c ON c.contract_id = i.contract_id GROUP BY 1, 2, 3""",
+                                  "contract_items", "contracts"))
+def agg_20_items(d):
+    """AGG-20: volume profile by item type and contract type."""
+    c = d.contracts.select("contract_id", "contract_type", "branch_id")
+    return _items(d).join(c, "contract_id").groupBy("item_type_id", "item_name", "contract_type").agg(
+        F.count(F.lit(1)).alias("items"), F.countDistinct("branch_id").alias("branches"))

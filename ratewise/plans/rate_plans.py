@@ -192,6 +192,28 @@ def jn_04(d):
     return j.groupBy("branch_id").agg(F.countDistinct("rate_id").alias("rate_count"))
 
 
+@query("jn_04_categories", with_views("""
+    SELECT c.category_id, count(DISTINCT r.rate_id) AS rate_count
+    FROM categories c LEFT JOIN rates r ON r.category_id = c.category_id AND r.is_active AND r.branch_id IS NULL
+    GROUP BY c.category_id""", "categories", "rates"))
+def jn_04_categories(d):
+    """JN-04: rates of all branches per category, zero-rate categories kept."""
+    r = d.rates.where(F.col("is_active") & F.col("branch_id").isNull()).select("category_id", "rate_id")
+    return d.categories.select("category_id").join(r, "category_id", "left").groupBy("category_id").agg(
+        F.countDistinct("rate_id").alias("rate_count"))
+
+
+@query("jn_04_statuses", with_views("""
+    SELECT s.status_id, s.status_name, count(DISTINCT v.vehicle_id) AS vehicle_count
+    FROM status_config s LEFT JOIN vehicles v ON v.status_id = s.status_id AND v.is_deleted GROUP BY 1, 2""",
+                                    "status_config", "vehicles"))
+def jn_04_statuses(d):
+    """JN-04: deleted vehicles per configured status, statuses without any kept."""
+    v = d.vehicles.where("is_deleted").select("status_id", "vehicle_id")
+    return d.fixed("status_config").join(v, "status_id", "left").groupBy("status_id", "status_name").agg(
+        F.countDistinct("vehicle_id").alias("vehicle_count"))
+
+
 @query("agg_23", with_views(f"""
     SELECT tenant_id, branch_id, category_id, {R('avg(avg_base_price_paid)', 4)} AS historical_mean_price
     FROM fact WHERE avg_base_price_paid > 0 GROUP BY 1, 2, 3""", "fact"))
@@ -318,6 +340,24 @@ def agg_29(d):
     return ut.status_distribution(d.vehicles, d.fixed("status_config"), ["branch_id"])
 
 
+@query("agg_29_categories", with_views(f"""
+    SELECT category_id, status_id, status_label, count(*) AS vehicle_count,
+           {R('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY category_id)', 2)} AS share_pct
+    FROM vstatus WHERE NOT is_deleted GROUP BY 1, 2, 3""", "vstatus"))
+def agg_29_categories(d):
+    """AGG-29: status distribution per category."""
+    return ut.status_distribution(d.vehicles, d.fixed("status_config"), ["category_id"])
+
+
+@query("agg_29_overall", with_views(f"""
+    SELECT tenant_id, status_id, status_label, count(*) AS vehicle_count,
+           {R('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY tenant_id)', 2)} AS share_pct
+    FROM vstatus WHERE NOT is_deleted GROUP BY 1, 2, 3""", "vstatus"))
+def agg_29_overall(d):
+    """AGG-29: status distribution of the whole fleet."""
+    return ut.status_distribution(d.vehicles, d.fixed("status_config"), ["tenant_id"])
+
+
 @query("cfg_05", with_views("""
     SELECT status_type, list_sort(list(status_id)) AS status_ids, count(*) AS n_statuses
     FROM status_config WHERE status_id IN (SELECT status_id FROM vehicles) GROUP BY status_type""",

@@ -358,22 +358,27 @@ def prc_07(d):
     return rc.run_statistics(recommendations(d))
 
 
-@query("sig_b", with_views("""
-    SELECT w.tenant_id, w.branch_id, b.city_name, w.weather_date AS signal_date, w.bad_weather_score,
+#: City of a branch that no location names (fixed value).
+DEFAULT_CITY = "Riyadh"
+
+
+@query("sig_b", with_views(f"""
+    SELECT w.tenant_id, w.branch_id, coalesce(b.city_name, '{DEFAULT_CITY}') AS city_name, w.weather_date AS signal_date, w.bad_weather_score,
            w.extreme_heat_flag, coalesce(h.is_holiday, FALSE) AS is_holiday, h.days_to_holiday,
            coalesce(h.is_weekend, dayofweek(w.weather_date) IN (5, 6)) AS is_weekend
-    FROM weather_scored w JOIN branches b ON b.tenant_id = w.tenant_id AND b.branch_id = w.branch_id
+    FROM weather_scored w LEFT JOIN branches b ON b.tenant_id = w.tenant_id AND b.branch_id = w.branch_id
+      AND b.is_airport
     LEFT JOIN holiday_cal h ON h.tenant_id = w.tenant_id AND h.forecast_date = w.weather_date""",
                            "weather_scored", "branches", "holiday_cal"))
 def sig_b(d):
     """SIG-B: combined external signals per branch and date (weather +
-    calendar, city via the branch mapping)."""
+    calendar, city via the mapping of airport branches, else the default)."""
     from ratewise.functions.calendar import is_weekend
     w = wx.score_weather(d.weather, P.SPLIT_CUTOFF)
     c = _calendar(d).withColumnRenamed("forecast_date", "weather_date")
-    j = w.join(F.broadcast(d.branches.select("tenant_id", "branch_id", F.col("city_name").alias("_c"))),
-               ["tenant_id", "branch_id"]).join(c, ["tenant_id", "weather_date"], "left")
-    return j.select("tenant_id", "branch_id", F.col("_c").alias("city_name"),
+    b = d.branches.where("is_airport").select("tenant_id", "branch_id", F.col("city_name").alias("_c"))
+    j = w.join(F.broadcast(b), ["tenant_id", "branch_id"], "left").join(c, ["tenant_id", "weather_date"], "left")
+    return j.select("tenant_id", "branch_id", F.coalesce("_c", F.lit(DEFAULT_CITY)).alias("city_name"),
                     F.col("weather_date").alias("signal_date"), "bad_weather_score", "extreme_heat_flag",
                     F.coalesce("is_holiday", F.lit(False)).alias("is_holiday"), "days_to_holiday",
                     F.coalesce("is_weekend", is_weekend("weather_date")).alias("is_weekend"))

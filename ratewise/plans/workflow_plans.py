@@ -180,21 +180,31 @@ def prc_13(d):
 
 @query("prc_14", with_views(f"""
     SELECT g.tenant_id, g.branch_id, g.category_id, r.run_date, r.rec_daily, r.status,
-           r.rec_daily IS NOT NULL AS has_card
-    FROM cells g LEFT JOIN (
+           r.rec_daily IS NOT NULL AS has_card, p.base_daily,
+           r.rec_daily <= r.guardrail_min_price OR r.premium_discount_pct >= r.guardrail_max_premium_pct
+             OR r.premium_discount_pct <= -r.guardrail_max_discount_pct AS guardrail_applied
+    FROM cells g LEFT JOIN base_rates p ON p.tenant_id = g.tenant_id AND p.branch_id = g.branch_id
+      AND p.category_id = g.category_id LEFT JOIN (
         SELECT * FROM (SELECT *, max(run_date) OVER (PARTITION BY tenant_id, branch_id, category_id) AS mx
                        FROM rec_history WHERE forecast_date = DATE '{REVIEW_DATE}') WHERE run_date = mx) r
       ON r.tenant_id = g.tenant_id AND r.branch_id = g.branch_id AND r.category_id = g.category_id""",
-                            "cells", "rec_history"))
+                            "cells", "rec_history", "base_rates"))
 def prc_14(d):
     """PRC-14: daily review cards -- every branch x category for a date,
-    latest run, NULL card when there is no recommendation."""
+    base against recommended price of the latest run and whether a guardrail
+    was reached; NULL card when there is no recommendation."""
+    from ratewise.plans.competitor_plans import base_rates
     h = _hist(d).where(F.col("forecast_date") == F.lit(REVIEW_DATE))
     lat = rc.latest_run(h, ["tenant_id", "branch_id", "category_id"])
     grid = rc.cell_grid(d.branches, [c[0] for c in CATEGORIES])
     j = grid.join(lat, ["tenant_id", "branch_id", "category_id"], "left")
+    j = j.join(base_rates(d).select("tenant_id", "branch_id", "category_id", "base_daily"),
+               ["tenant_id", "branch_id", "category_id"], "left")
+    clamped = ((F.col("rec_daily") <= F.col("guardrail_min_price"))
+               | (F.col("premium_discount_pct") >= F.col("guardrail_max_premium_pct"))
+               | (F.col("premium_discount_pct") <= -F.col("guardrail_max_discount_pct")))
     return j.select("tenant_id", "branch_id", "category_id", "run_date", "rec_daily", "status",
-                    F.col("rec_daily").isNotNull().alias("has_card"))
+                    F.col("rec_daily").isNotNull().alias("has_card"), "base_daily", clamped.alias("guardrail_applied"))
 
 
 @query("prc_15", with_views(f"""
