@@ -133,6 +133,33 @@ def last_known_price(fact: DataFrame) -> DataFrame:
         F.max("demand_date").alias("last_price_date"))
 
 
+#: The provider's car object, as far as it is read.
+CAR = ("vehicle_info struct<v_name string, `group` string, seats int, baggage_large int, baggage_small int, bags_large int, "
+       "bags_small int>, pricing_info struct<price double>, supplier_info struct<name string>")
+
+
+def normalise_listings(cars: DataFrame, keys: list[str], days: str = "rental_days") -> DataFrame:
+    """SRC-03: provider payloads (``payload``: one nested car object) to flat
+    quotes.  Missing names are ``Unknown``, a missing group is empty, a missing
+    price or one not above 0 is 0; a bag count that is missing or 0 under its
+    first name is taken from its second.  A payload that does not parse gives
+    the defaults.  Names are classified once each and joined back."""
+    car = cars.select(*keys, days, F.from_json("payload", CAR).alias("car"))
+    v = lambda f: F.col(f"car.vehicle_info.{f}")
+    bags = lambda size: F.coalesce(F.nullif(v(f"baggage_{size}"), F.lit(0)), v(f"bags_{size}"))
+    flat = car.select(
+        *keys, F.coalesce("car.supplier_info.name", F.lit("Unknown")).alias("competitor_name"),
+        F.coalesce(v("v_name"), F.lit("Unknown")).alias("vehicle_name"), F.coalesce(v("group"), F.lit("")).alias("vehicle_group"),
+        per_day_price(F.coalesce("car.pricing_info.price", F.lit(0.0)), days).alias("_daily"),
+        v("seats").alias("seats"), bags("large").alias("bags_large"), bags("small").alias("bags_small"))
+    names = with_brand_and_model(flat.select("vehicle_name", "vehicle_group").distinct()).withColumn(
+        "category", competitor_category("vehicle_name", "vehicle_group"))
+    return flat.join(names, ["vehicle_name", "vehicle_group"]).select(
+        *keys, "competitor_name", "vehicle_name", "brand", "model", "category", rnd("_daily", 2).alias("daily_price"),
+        rnd(F.col("_daily") * 6, 2).alias("weekly_price"), rnd(F.col("_daily") * 25, 2).alias("monthly_price"),
+        "seats", "bags_large", "bags_small")
+
+
 def live_quotes(quotes: DataFrame, now: dt.datetime, ttl_hours: int = 24) -> DataFrame:
     """CMP-10 + FLT-07: expires_at = fetched_at + 24 h; live when > now."""
     q = quotes.withColumn("expires_at", F.col("fetched_at") + F.expr(f"INTERVAL {ttl_hours} HOURS"))

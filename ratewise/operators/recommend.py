@@ -187,12 +187,12 @@ def latest_version(recs: DataFrame, key=REC_KEY) -> DataFrame:
     return recs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def latest_run(recs: DataFrame, by: list[str]) -> DataFrame:
-    """WIN-10 / JN-11: rows of the latest run_date within each ``by`` group
+def latest_run(recs: DataFrame, by: list[str], run: str = "run_date") -> DataFrame:
+    """WIN-10 / JN-11: rows of the latest ``run`` date within each ``by`` group
     (partial maxima per group joined back: the history itself is not
     gathered by group)."""
-    latest = recs.groupBy(*by).agg(F.max("run_date").alias("run_date"))
-    return recs.join(latest, [*by, "run_date"], "left_semi")
+    latest = recs.groupBy(*by).agg(F.max(run).alias(run))
+    return recs.join(latest, [*by, run], "left_semi")
 
 
 def apply_decisions(recs: DataFrame, decisions: DataFrame, key=None) -> DataFrame:

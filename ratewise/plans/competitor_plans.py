@@ -165,6 +165,41 @@ def src_03(d):
                              "category", "daily_price", "weekly_price", "monthly_price")
 
 
+register_view("cars", """
+    SELECT quote_id, CASE WHEN quote_id % 11 = 0 THEN 'Unknown' ELSE competitor_name END AS competitor_name,
+           CASE WHEN quote_id % 17 = 0 THEN 'Unknown' ELSE vehicle_name END AS vehicle_name,
+           CASE WHEN quote_id % 13 = 0 THEN '' ELSE vehicle_group END AS vehicle_group,
+           CASE WHEN quote_id % 19 = 0 THEN 0.0 ELSE total_price END AS total_price, rental_days,
+           CAST(2 + quote_id % 4 AS INTEGER) AS seats,
+           CAST(CASE WHEN quote_id % 2 = 0 THEN nullif(quote_id % 4, 0) ELSE quote_id % 4 END AS INTEGER) AS bags_large,
+           CAST(CASE WHEN quote_id % 2 = 0 THEN nullif(quote_id % 3, 0) ELSE quote_id % 3 END AS INTEGER) AS bags_small
+    FROM listings""", ("listings",))
+
+
+@query("src_03_payload", with_views(f"""
+    SELECT quote_id, competitor_name, c.vehicle_name, brand, model, category, {R(_DAILY, 2)} AS daily_price,
+           {R(f'({_DAILY}) * 6', 2)} AS weekly_price, {R(f'({_DAILY}) * 25', 2)} AS monthly_price, seats, bags_large, bags_small
+    FROM cars c JOIN (SELECT vehicle_name, vehicle_group, {_B} AS brand, {_M} AS model,
+                             {competitor_category_sql('vehicle_name', 'vehicle_group')} AS category
+                      FROM (SELECT DISTINCT vehicle_name, vehicle_group FROM cars)) n
+      ON n.vehicle_name = c.vehicle_name AND n.vehicle_group = c.vehicle_group""", "cars"))
+def src_03_payload(d):
+    """SRC-03: nested car objects of the provider, some without supplier,
+    name, group or price, half with the second names of the bag counts."""
+    q = F.col("quote_id")
+    without = lambda n, c: F.when(q % n != 0, F.col(c))
+    large, small = (q % 4).cast("int"), (q % 3).cast("int")
+    first = lambda c: F.when(q % 2 == 0, c)
+    second = lambda c: F.when(q % 2 != 0, c)
+    payload = F.to_json(F.struct(
+        F.struct(without(17, "vehicle_name").alias("v_name"), without(13, "vehicle_group").alias("group"),
+                 (q % 4 + 2).cast("int").alias("seats"), first(large).alias("baggage_large"), first(small).alias("baggage_small"),
+                 second(large).alias("bags_large"), second(small).alias("bags_small")).alias("vehicle_info"),
+        F.struct(without(19, "total_price").alias("price")).alias("pricing_info"),
+        F.struct(without(11, "competitor_name").alias("name")).alias("supplier_info")))
+    return cp.normalise_listings(d.listings.select("quote_id", "rental_days", payload.alias("payload")), ["quote_id"])
+
+
 @query("win_15", with_views(f"""
     SELECT {_SEARCH}, category, competitor_name, quote_id, daily_price FROM sup_best""", "sup_best"))
 def win_15(d):

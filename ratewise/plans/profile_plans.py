@@ -241,17 +241,30 @@ def top_05(d):
                     "split_flag").orderBy("demand_date", "branch_id", "category_id").limit(100)
 
 
-@query("top_06", with_views("SELECT * FROM best_model", "best_model"))
+def _evaluations(d):
+    """Evaluations of the models at two cutoffs, a horizon apart."""
+    total = fc.total_demand(_fact_split(d))
+    earlier, latest = (fc.backtest(total, day, P.HORIZON).withColumn("evaluation_date", F.lit(day))
+                       for day in (P.SPLIT_CUTOFF - dt.timedelta(days=P.HORIZON), P.SPLIT_CUTOFF))
+    return earlier.unionByName(latest)
+
+
+@query("top_06", with_views(f"""
+    SELECT *, DATE '{P.SPLIT_CUTOFF}' AS selection_date FROM best_model""", "best_model"))
 def top_06(d):
-    """TOP-06: best model = minimum MAE of the latest evaluation."""
-    return fc.select_best(fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON))
+    """TOP-06: best model = minimum MAE of each evaluation; the latest
+    selection."""
+    best = fc.select_best(_evaluations(d), ["tenant_id", "evaluation_date"])
+    return best.groupBy("tenant_id").agg(
+        F.max_by(F.struct("selected_model", "metric_value"), "evaluation_date").alias("x"),
+        F.max("evaluation_date").alias("selection_date")).select("tenant_id", "x.*", "selection_date")
 
 
-@query("top_07", with_views("SELECT * FROM backtest", "backtest"))
+@query("top_07", with_views(f"""
+    SELECT *, DATE '{P.SPLIT_CUTOFF}' AS evaluation_date FROM backtest""", "backtest"))
 def top_07(d):
     """TOP-07: metrics of the latest evaluation ordered by MAE."""
-    m = fc.backtest(fc.total_demand(_fact_split(d)), P.SPLIT_CUTOFF, P.HORIZON)
-    return m.orderBy("mae", "model_name")
+    return rc.latest_run(_evaluations(d), ["tenant_id"], "evaluation_date").orderBy("mae", "model_name")
 
 
 # ---- set operations -----------------------------------------------------------
