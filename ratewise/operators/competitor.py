@@ -126,6 +126,15 @@ def index_batch(index: DataFrame, cells: DataFrame, start: dt.date, days: int) -
         F.col("competitors_count").isNotNull().alias("has_prices"))
 
 
+def batch_statistics(batch: DataFrame) -> DataFrame:
+    """CMP-05 counters of an :func:`index_batch`, per tenant."""
+    found = F.col("has_prices").cast("int")
+    return batch.groupBy("tenant_id").agg(
+        F.countDistinct("branch_id").alias("branches"), F.countDistinct("category_id").alias("categories"),
+        F.countDistinct("index_date").alias("dates_processed"), F.count(F.lit(1)).alias("indexes_created"),
+        F.sum(found).alias("successes"), F.sum(1 - found).alias("failures"))
+
+
 def last_known_price(fact: DataFrame) -> DataFrame:
     """WIN-11: last known average price per series (by date)."""
     return fact.where(F.col("avg_base_price_paid").isNotNull()).groupBy("tenant_id", "branch_id", "category_id").agg(

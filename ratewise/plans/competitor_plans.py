@@ -51,6 +51,10 @@ register_view("sup_best", f"""
 register_view("top4", f"""
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_SEARCH}, category ORDER BY daily_price, quote_id)
                    AS price_rank FROM sup_best) WHERE price_rank <= 4""", ("sup_best",))
+register_view("last_price", """
+    SELECT tenant_id, branch_id, category_id, arg_max(avg_base_price_paid, demand_date) AS last_price,
+           max(demand_date) AS last_price_date
+    FROM fact WHERE avg_base_price_paid IS NOT NULL GROUP BY 1, 2, 3""", ("fact",))
 register_view("hist_price", f"""
     SELECT tenant_id, branch_id, category_id, {R('avg(avg_base_price_paid)', 4)} AS historical_mean_price
     FROM fact WHERE avg_base_price_paid > 0 GROUP BY 1, 2, 3""", ("fact",))
@@ -255,24 +259,45 @@ def top_03(d):
         "tenant_id", "branch_id", "price_date", "category", "quote_id", "daily_price", "price_rank")
 
 
-@query("cmp_05", with_views(f"""
+register_view("index_batch", f"""
     SELECT b.tenant_id, b.branch_id, b.category_id, s.index_date,
            coalesce(i.competitor_avg_price, 0.0) AS competitor_avg_price,
            coalesce(i.competitor_min_price, 0.0) AS competitor_min_price,
            coalesce(i.competitor_max_price, 0.0) AS competitor_max_price,
-           coalesce(i.competitors_count, 0) AS competitors_count, b.base_daily AS our_base_price,
-           coalesce(i.price_position, 0.0) AS price_position, i.competitors_count IS NOT NULL AS has_prices
-    FROM base_rates b
+           coalesce(i.competitors_count, 0) AS competitors_count, p.last_price AS our_base_price,
+           coalesce({R('p.last_price / i.competitor_avg_price', 4)}, 0.0) AS price_position,
+           i.competitors_count IS NOT NULL AS has_prices
+    FROM base_rates b LEFT JOIN last_price p ON p.tenant_id = b.tenant_id AND p.branch_id = b.branch_id
+         AND p.category_id = b.category_id
     CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{P.RUN_DATE}', DATE '{P.RUN_DATE}' + {P.HORIZON - 1},
                                                    INTERVAL 1 DAY)) AS DATE) AS index_date) s
     LEFT JOIN comp_index i ON i.tenant_id = b.tenant_id AND i.branch_id = b.branch_id
-         AND i.category_id = b.category_id AND i.index_date = s.index_date""", "base_rates", "comp_index"))
-def cmp_05(d):
-    """CMP-05: index over the run window for every cell, zeros when no quotes."""
+         AND i.category_id = b.category_id AND i.index_date = s.index_date""", ("base_rates", "last_price", "comp_index"))
+
+
+def _index_batch(d):
     end = P.RUN_DATE + dt.timedelta(days=P.HORIZON - 1)
-    index = cp.competitor_index(window_quotes(d, P.RUN_DATE, end), d.fixed("competitor_mapping"), base_rates(d),
-                                DEFAULT_COMPETITOR_TYPE)
-    return cp.index_batch(index, base_rates(d), P.RUN_DATE, P.HORIZON)
+    known = cp.last_known_price(fact(d)).select("tenant_id", "branch_id", "category_id", F.col("last_price").alias("base_daily"))
+    cells = rc.cell_grid(d.branches, [c[0] for c in CATEGORIES]).join(known, ["tenant_id", "branch_id", "category_id"], "left")
+    index = cp.competitor_index(window_quotes(d, P.RUN_DATE, end), d.fixed("competitor_mapping"), cells, DEFAULT_COMPETITOR_TYPE)
+    return cp.index_batch(index, cells, P.RUN_DATE, P.HORIZON)
+
+
+@query("cmp_05", with_views("SELECT * FROM index_batch", "index_batch"))
+def cmp_05(d):
+    """CMP-05: index over the run window for every cell against our last known
+    price, zeros when no quotes."""
+    return _index_batch(d)
+
+
+@query("cmp_05_stats", with_views("""
+    SELECT tenant_id, count(DISTINCT branch_id) AS branches, count(DISTINCT category_id) AS categories,
+           count(DISTINCT index_date) AS dates_processed, count(*) AS indexes_created,
+           count(*) FILTER (has_prices) AS successes, count(*) FILTER (NOT has_prices) AS failures
+    FROM index_batch GROUP BY tenant_id""", "index_batch"))
+def cmp_05_stats(d):
+    """CMP-05: counters of the batch."""
+    return cp.batch_statistics(_index_batch(d))
 
 
 @query("cmp_06", with_views(f"""
@@ -287,10 +312,7 @@ def cmp_06(d):
         .alias("competitor_vehicle_type"))
 
 
-@query("win_11", with_views("""
-    SELECT tenant_id, branch_id, category_id, arg_max(avg_base_price_paid, demand_date) AS last_price,
-           max(demand_date) AS last_price_date
-    FROM fact WHERE avg_base_price_paid IS NOT NULL GROUP BY 1, 2, 3""", "fact"))
+@query("win_11", with_views("SELECT * FROM last_price", "last_price"))
 def win_11(d):
     """WIN-11: last known price per series."""
     return cp.last_known_price(dm.build_daily_demand(d))
