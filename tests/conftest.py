@@ -12,6 +12,3 @@ def spark():
     s = get_spark(app="ratewise-tests", master="local[4]", shuffle_partitions=4)
     yield s
     s.stop()
-
-
-SMALL = "/root/testdata/sf0.001"
