@@ -39,13 +39,14 @@ def signal_weights(config: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """SIG-P: (tenant, signal_name, weight, is_enabled) rows -> one row per
     tenant with a weight column per signal; missing signals take the
     default, disabled ones weigh 0.  ``demand_forecast`` is read as
-    ``forecast``."""
+    ``forecast``; a row under the signal's own name goes before one under
+    the other, and of several rows of a name the largest weight counts."""
     name = F.col("signal_name")
     for k, v in SIGNAL_ALIASES.items():
         name = F.when(name == k, F.lit(v)).otherwise(name)
-    c = config.select("tenant_id", name.alias("signal_name"),
+    c = config.select("tenant_id", name.alias("signal_name"), (name == F.col("signal_name")).alias("own"),
                       F.when(F.col("is_enabled"), F.col("weight")).otherwise(F.lit(0.0)).alias("weight"))
-    p = c.groupBy("tenant_id").pivot("signal_name", SIGNALS).agg(F.first("weight"))
+    p = c.groupBy("tenant_id").pivot("signal_name", SIGNALS).agg(F.max_by("weight", F.struct("own", "weight")))
     return p.select("tenant_id", *[F.coalesce(F.col(s), F.lit(defaults[s])).alias("w_" + s) for s in SIGNALS])
 
 

@@ -131,3 +131,14 @@ def test_highest_price(spark):
                                      (F.lit(None).cast("double"), 120.0, 20.0, False), (F.lit(40.0), 40.0, -60.0, True)):
         c = clamp(top)
         assert [_eval(spark, c[k], [(100.0, 20.0)], "b double, r double")[0] for k in ("price", "pct", "applied")] == [price, pct, applied]
+
+
+def test_signal_weights_do_not_depend_on_order(spark):
+    from ratewise.operators import recommend as rc
+    defaults = {n: 0.2 for n in rc.SIGNALS}
+    rows = [(1, "demand_forecast", 0.9, True), (1, "forecast", 0.3, True), (1, "forecast", 0.1, True), (1, "weather", 0.5, False),
+            (2, "demand_forecast", 0.7, True)]
+    for some in (rows, rows[::-1]):
+        got = {r.tenant_id: r for r in rc.signal_weights(
+            spark.createDataFrame(some, "tenant_id int, signal_name string, weight double, is_enabled boolean"), defaults).collect()}
+        assert (got[1].w_forecast, got[1].w_weather, got[1].w_holiday, got[2].w_forecast) == (0.3, 0.0, 0.2, 0.7)
