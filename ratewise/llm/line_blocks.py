@@ -1,7 +1,7 @@
 """Operator 8: main text of html pages by line-block distribution.
 
 Markup is stripped to lines, one per text block, with empty lines where an
-article opens or closes.  The lengths of a sliding window of lines are summed:
+article that lies in no other one opens or closes.  The lengths of a sliding window of lines are summed:
 the main text is where the sums surge and stay, up to where they dive back to
 nothing.  Between these points every line is kept, however short it is.
 
@@ -81,7 +81,7 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
 
 def lines(html: str, by_name: bool = True) -> list[str]:
     """The page's lines: a string per text block, cleaned, and WINDOW empty
-    ones at each edge of an article.  ``by_name``: class, id and role tell
+    ones at each edge of an outermost article.  ``by_name``: class, id and role tell
     chrome.  Unclosed and stray tags are taken as browsers do, roughly: a
     closing tag closes what it names and all inside."""
     out: list[str] = []
@@ -139,7 +139,8 @@ def lines(html: str, by_name: bool = True) -> list[str]:
                 chrome += starts
                 articles += tag in ARTICLE
         if visible or not chrome:
-            if tag in ARTICLE and not (starts if not m[1] else not visible):
+            # only the outermost article parts the page
+            if tag in ARTICLE and articles == (not m[1]) and not (starts if not m[1] else not visible):
                 edge()
             elif tag in BLOCK:
                 flush()

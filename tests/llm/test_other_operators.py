@@ -200,6 +200,11 @@ def test_main_text(spark):
     assert got == sorted((p, want[p], len(want[p])) for p, *_ in pages)
 
 
+def test_main_text_of_nested_articles():
+    assert line_blocks.main_text("<main><h1>Title</h1><p>Lead</p><article>Body</article></main>") == "Title\nLead\nBody"
+    assert line_blocks.main_text("<article><p>A</p><article>quote</article><p>B</p></article>") == "A\nquote\nB"
+
+
 def test_main_text_of_given_pages(spark):
     import html
     import re
