@@ -1,13 +1,13 @@
 """Operator 8: main text of html pages by line-block distribution.
 
-Markup is stripped to lines, one per text block, with empty lines where an
-article that lies in no other one opens or closes.  The lengths of a sliding window of lines are summed:
-the main text is where the sums surge and stay, up to where they dive back to
-nothing.  Between these points every line is kept, however short it is.
+Markup is stripped to lines, one per text block.  An
+article or main element that lies in no other one is a stretch as a whole, with
+all that is nested in it, and so is what lies between two of them.  The
+heaviest stretch is the main text; in it every line is kept, however short.
 
-Chrome is stripped with the markup: elements whose tag, role, class or id says
-navigation, header, footer, sidebar, notice, advert, form, script, style or
-reader comments.  So an advert inside an article leaves no hole in it.
+Chrome is stripped with the markup: by tag, by the hidden attributes, and by
+role, class, id or form where the line blocks of the element's own text bear
+it out (``_chrome``).  So an advert inside an article leaves no hole in it.
 
 Each page is read once, whole, in a task of its own partition; no shuffle.
 """
@@ -15,16 +15,18 @@ Each page is read once, whole, in a task of its own partition; no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that a window holds, and the empty lines at the edge of an article:
-#: with as many, no window reaches over it.
-WINDOW = 3
+#: Lines that a window holds, and the characters outside links at which its sum surges.
+WINDOW, SURGE = 3, 120
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Their content is no markup: it ends at their closing tag.
@@ -38,7 +40,7 @@ BLOCK = frozenset((
 ARTICLE = frozenset(("article", "main"))
 #: Chrome by tag.
 CHROME = frozenset((
-    "nav footer aside form script style noscript template iframe button select textarea svg head title menu object embed "
+    "nav footer aside script style noscript template iframe button select textarea svg head title menu object embed "
     "dialog canvas audio video map noembed noframes xmp input datalist").split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: Chrome by a word of class or id.
@@ -47,135 +49,303 @@ CHROME_WORDS = frozenset((
     "disclaimer disqus footer form gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification "
     "popup promo promoted related respond replies share sharing sidebar sidebars social sponsor sponsored subscribe subscription "
     "toolbar widget widgets skip topbar").split())
+#: Of these, the readers' own words: they may well be most of a page.
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+#: With nothing but these beside it, a word of chrome is the name's whole meaning.
+PLACE_WORDS = frozenset((
+    "left right top bottom upper lower primary secondary main site page global box container wrapper wrap block area section list inner "
+    "outer holder slot unit item bar panel region zone group content first last small large").split())
+#: After these, the name says what a page has, not what the element is.
+HAVING = frozenset("has have having no not non with without".split())
 #: These keep their text whatever a class says; an article only if it is not one of these.
 CORE = frozenset("html body main".split())
 OTHER_ARTICLES = frozenset("comment comments reply replies related promo sponsored ad advert".split())
 
+#: Open elements that a tag ends without their closing tag, and those it does not look beyond.
+_CELL = frozenset("td th caption button object table".split())
+_LIST = frozenset("ul ol menu dl".split()) | _CELL | ARTICLE | {"section", "blockquote", "form", "body", "html"}
+_TABLE = frozenset(("table",))
+_ENDS = {t: (frozenset(("p",)), _CELL) for t in (
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr li main menu nav ol p pre section summary table ul").split()}
+_ENDS_OWN = {"li": (frozenset(("li",)), _LIST), "dd": (frozenset(("dd", "dt")), _LIST), "dt": (frozenset(("dd", "dt")), _LIST),
+             "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
+             "td": (frozenset(("td", "th")), _TABLE), "th": (frozenset(("td", "th")), _TABLE), "tr": (frozenset(("tr",)), _TABLE),
+             **{t: (frozenset(("tbody", "thead", "tfoot", "caption", "colgroup")), _TABLE) for t in ("tbody", "thead", "tfoot")}}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in CHROME:
-        return True
-    if tag == "header":  # an article's own header holds its title
-        return not in_article
-    if not attributes or tag in CORE:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and m[2] is None or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in CHROME_ROLES:
-            return True
-        if name == "class" and tag == "article":
-            return not OTHER_ARTICLES.isdisjoint(value.lower().split())
-        if name in ("class", "id") and tag != "article" and any(w.lower() in CHROME_WORDS for w in _WORD.findall(value)):
-            return not (in_article and "header" in value.lower() and tag != "div")
-    return False
-
-
-def lines(html: str, by_name: bool = True) -> list[str]:
-    """The page's lines: a string per text block, cleaned, and WINDOW empty
-    ones at each edge of an outermost article.  ``by_name``: class, id and role tell
-    chrome.  Unclosed and stray tags are taken as browsers do, roughly: a
-    closing tag closes what it names and all inside."""
-    out: list[str] = []
-    part: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each starts chrome
-    chrome = articles = at = 0
+def _attributes(text: str) -> dict[str, str]:
+    """Name by name, so that no value is taken for a name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
-    def flush() -> None:
-        text = _SPACE.sub(" ", unescape("".join(part))).strip()
-        part.clear()
-        if text:
-            out.append(text)
 
-    def edge() -> None:
-        flush()
-        if out and out[-1]:
-            out.extend([""] * WINDOW)
+def _named(value: str) -> str:
+    """What a class or id says: "comment", "chrome", "maybe" (a word of chrome among others) or ""."""
+    says = ""
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        found = [i for i, w in enumerate(words) if w in CHROME_WORDS]
+        if not found or not HAVING.isdisjoint(words[:found[-1]]):
+            continue
+        if any(words[i] in COMMENT_WORDS for i in found):
+            return "comment"
+        if all(w in CHROME_WORDS or w in PLACE_WORDS for w in words):
+            says = "chrome"
+        says = says or "maybe"
+    return says
+
+
+def _suspicion(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element may be chrome: "tag" and "hidden" say it is, what
+    ``_named`` gives and "maybe" for a form are for ``_chrome`` to decide."""
+    if tag in CHROME or tag == "header" and not in_article:  # an article's own header holds its title
+        return "tag"
+    says = "maybe" if tag == "form" else ""
+    if not attributes or tag in CORE or tag == "header":
+        return says
+    has = _attributes(attributes)
+    if "hidden" in has or has.get("aria-hidden", "").lower() == "true":
+        return "hidden"
+    role = has.get("role", "").lower()
+    if role in CHROME_ROLES:
+        return "maybe" if role == "form" else "chrome"
+    if tag == "article":
+        return "" if OTHER_ARTICLES.isdisjoint(has.get("class", "").lower().split()) else "comment"
+    for value in (has.get("class", ""), has.get("id", "")):
+        named = _named(value) if value else ""
+        if named and not (in_article and "header" in value.lower() and tag != "div"):
+            says = named if says in ("", "maybe") else says
+    return says
+
+
+@dataclass
+class Span:
+    """An open element that matters: where it begins and ends in the stream."""
+
+    why: str
+    first: int
+    outer: int  # the suspect around it, or -1
+    region: int  # the article around it, or -1
+    last: int = 0
+
+
+@dataclass
+class Page:
+    """A page's text in order, and its suspects and outermost articles."""
+
+    parts: list[str | None] = field(default_factory=list)  # None: a line ends
+    suspect: list[int] = field(default_factory=list)  # the innermost of each part, or -1
+    region: list[int] = field(default_factory=list)
+    linked: list[bool] = field(default_factory=list)
+    suspects: list[Span] = field(default_factory=list)
+    regions: list[Span] = field(default_factory=list)
+
+
+def parse(html: str) -> Page:
+    """The page without markup.  Unclosed and stray tags are taken as browsers
+    do, roughly: a closing tag closes what it names and all inside, and the
+    tags of ``_ENDS`` close what cannot hold them."""
+    page = Page()
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: tag, whether chrome by tag, their suspect and region
+    chrome = links = titles = at = 0
+    suspect = region = -1
+
+    def put(text: str | None) -> None:
+        page.parts.append(text)
+        page.suspect.append(suspect)
+        page.region.append(region)
+        page.linked.append(links > 0 and not titles)
 
     def pop() -> None:
-        nonlocal chrome, articles
-        tag, starts = stack.pop()
-        chrome -= starts
-        articles -= tag in ARTICLE
+        nonlocal chrome, links, titles, suspect, region
+        tag, by_tag, mine, article = stack.pop()
+        chrome -= by_tag
+        links -= tag == "a"
+        titles -= tag in ("h1", "h2")
+        if mine >= 0:
+            page.suspects[mine].last = len(page.parts)
+            suspect = page.suspects[mine].outer
+        if article >= 0:
+            page.regions[article].last = len(page.parts)
+            region = -1
+
+    def end(tags: frozenset[str], beyond: frozenset[str]) -> bool:
+        """Closes the innermost of ``tags`` and all inside, if it is open on this side of ``beyond``."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                while len(stack) > i:
+                    pop()
+                return True
+            if stack[i][0] in beyond:
+                break
+        return False
 
     while True:
         m = _TOKEN.search(html, at)
-        if not chrome:
-            part.append(html[at:m.start() if m else len(html)])
+        if not chrome and at < (m.start() if m else len(html)):
+            put(html[at:m.start() if m else len(html)])
         if m is None:
             break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA[") and not chrome:
-                part.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                put(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        visible = not chrome
         if m[1]:
-            if any(tag == t for t, _ in stack):
-                if tag == "body" or tag == "html":
-                    continue  # what follows still belongs to the page
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+            visible = not chrome
+            if tag != "body" and tag != "html":  # what follows those still belongs to the page
+                own = _ENDS["p"] if tag == "p" else _ENDS_OWN.get(tag)
+                end(frozenset((tag,)), own[1] if own else frozenset())
+            if tag in BLOCK and (visible or not chrome):
+                put(None)
+            continue
+        for rule in (_ENDS.get(tag), _ENDS_OWN.get(tag)):
+            if rule:
+                end(*rule)
+        why = _suspicion(tag, m[3], region >= 0)
+        if tag in BLOCK and not chrome:
+            put(None)
+        if tag in RAW:
+            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if not (why or chrome):
+                put(html[at:close.start() if close else len(html)])
+            at = close.end() if close else len(html)
+            continue
+        if tag in VOID or m[3].endswith("/"):
+            continue
+        mine = article = -1
+        if why and why != "tag" and not chrome:
+            mine = len(page.suspects)
+            page.suspects.append(Span(why, len(page.parts), suspect, region))
+            suspect = mine
+        if tag in ARTICLE and region < 0 and not why and not chrome:
+            article = region = len(page.regions)
+            page.regions.append(Span("", len(page.parts), suspect, -1))
+        stack.append((tag, why == "tag", mine, article))
+        chrome += why == "tag"
+        links += tag == "a"
+        titles += tag in ("h1", "h2")
+    while stack:
+        pop()
+    return page
+
+
+def _sums(sizes: list[int]) -> list[int]:
+    return [0, *accumulate(sizes)]
+
+
+def _chrome(page: Page) -> list[bool]:
+    """Whether each suspect's text goes.  Hidden elements go, and all in an
+    element that goes.  One that holds the page's article, or an article that
+    surges, stays.  Of the others, a name that says chrome in full goes unless
+    the element holds most of its article's text (the page's, if there is no
+    article) and surges; beside a text that surges, readers' comments go even
+    so.  A name that only mentions chrome, and a form, go if they do not surge."""
+    size = [0 if t is None or link else len("".join(t.split())) for t, link in zip(page.parts, page.linked, strict=True)]
+    total = _sums(size)
+    in_region = _sums([n if r >= 0 else 0 for n, r in zip(size, page.region, strict=True)])
+    line, full = [0], False  # of each part; lines without text are none
+    for t in page.parts:
+        full = full or t is not None and not t.isspace()
+        line.append(line[-1] + (t is None and full))
+        full = full and t is not None
+    lengths = [0] * (line[-1] + 1)
+    for i, n in enumerate(size):
+        lengths[line[i]] += n
+    window = _sums([int(sum(lengths[i:i + WINDOW]) >= SURGE) for i in range(len(lengths))])
+
+    def surges(first: int, last: int) -> bool:
+        if total[last] - total[first] < SURGE:
+            return False
+        a, b = line[first], line[last] + 1
+        return b - a <= WINDOW or window[max(b - WINDOW + 1, a)] > window[a]
+
+    starts = [r.first for r in page.regions]
+    dense = _sums([int(surges(r.first, r.last)) for r in page.regions])
+    comments = [0] * (len(page.regions) + 1)  # characters of comments per article, the last one's outside
+    for s in page.suspects:
+        if s.why == "comment" and (s.outer < 0 or page.suspects[s.outer].why != "comment"):
+            comments[s.region] += total[s.last] - total[s.first]
+    out: list[bool] = []
+    for s in page.suspects:
+        own = total[s.last] - total[s.first]
+        a, b = bisect_left(starts, s.first), bisect_left(starts, s.last)
+        if s.outer >= 0 and out[s.outer] or s.why == "hidden":
+            out.append(True)
+        elif s.region < 0 and a < b and (dense[b] > dense[a] or 2 * (in_region[s.last] - in_region[s.first]) > in_region[-1]):
+            out.append(False)
+        elif s.why == "maybe":
+            out.append(not surges(s.first, s.last))
+        elif s.region < 0 and page.regions:
+            out.append(True)
         else:
-            starts = _is_chrome(tag, m[3] if by_name else "", articles > 0)
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                if not (starts or chrome):
-                    part.append(html[at:end.start() if end else len(html)])
-                at = end.end() if end else len(html)
-                continue
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, starts))
-                chrome += starts
-                articles += tag in ARTICLE
-        if visible or not chrome:
-            # only the outermost article parts the page
-            if tag in ARTICLE and articles == (not m[1]) and not (starts if not m[1] else not visible):
-                edge()
-            elif tag in BLOCK:
-                flush()
-    flush()
+            first, last = (0, len(page.parts)) if s.region < 0 else (page.regions[s.region].first, page.regions[s.region].last)
+            whole = total[last] - total[first]
+            alone = s.why != "comment" or whole - comments[s.region] < SURGE
+            out.append(not (2 * own > whole and surges(s.first, s.last) and alone))
     return out
 
 
+def lines(page: Page, gone: list[bool]) -> tuple[list[str], list[int], list[int]]:
+    """The page's lines, cleaned and not empty, without the suspects that are
+    ``gone``: their text, length outside links, and article or -1."""
+    texts: list[str] = []
+    sizes: list[int] = []
+    regions: list[int] = []
+    part: list[str] = []
+    plain: list[str] = []
+    at = -1
+
+    def flush() -> None:
+        text = _SPACE.sub(" ", unescape("".join(part))).strip()
+        if text:
+            texts.append(text)
+            sizes.append(len(_SPACE.sub(" ", unescape("".join(plain))).strip()))
+            regions.append(at)
+        part.clear()
+        plain.clear()
+
+    for text, suspect, region, link in zip(page.parts, page.suspect, page.region, page.linked, strict=True):
+        if suspect >= 0 and gone[suspect]:
+            continue
+        if text is None or region != at:
+            flush()
+            at = region
+        if text is not None:
+            part.append(text)
+            if not link:
+                plain.append(text)
+    flush()
+    return texts, sizes, regions
+
+
 def main_text(html: str) -> str:
-    """The lines between surge and dive of the heaviest stretch."""
-    rows = lines(html) or lines(html, by_name=False)  # a wrapper's name may speak of a part it holds
-    sizes = [len(r) for r in rows]
-    # sums[i]: of the window that begins at i; one that begins before the first line sees it come
-    padded = [0] * (WINDOW - 1) + sizes + [0] * WINDOW
-    window = sum(padded[:WINDOW])
-    best, size, start = (0, 0, 0), 0, None
-    for i in range(len(padded) - WINDOW + 1):
-        if window and start is None:
-            start, size = i, 0  # surge: the window's last line is the stretch's first
-        if start is not None:
-            size += padded[i + WINDOW - 1]
-            if not window:  # dive
-                if size > best[0]:
-                    best = (size, start, i)
-                start = None
-        if i + WINDOW < len(padded):
-            window += padded[i + WINDOW] - padded[i]
-    _, first, last = best
-    return "\n".join(r for r in rows[first:last] if r)
+    """The heaviest of the articles and of the stretches between them."""
+    page = parse(html)
+    texts, sizes, regions = lines(page, _chrome(page))
+    if not texts:  # a wrapper's name may speak of a part it holds
+        texts, sizes, regions = lines(page, [False] * len(page.suspects))
+    edges = [i for i in range(len(texts) + 1) if i in (0, len(texts)) or regions[i] != regions[i - 1]]
+    first, last = max(zip(edges, edges[1:]), key=lambda x: sum(map(len, texts[x[0]:x[1]])), default=(0, 0))
+    return "\n".join(texts[first:last])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url,
     html).  Null or empty html, and pages of chrome alone, have an empty text.
     Of equally heavy stretches the first is taken.  Repeated rows come out
-    alike; nothing is dropped or cut; other columns are not looked at."""
+    alike; no row is dropped; other columns are not looked at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py() or "") for h in batch.column(2)]

@@ -205,6 +205,22 @@ def test_main_text_of_nested_articles():
     assert line_blocks.main_text("<article><p>A</p><article>quote</article><p>B</p></article>") == "A\nquote\nB"
 
 
+def test_main_text_under_names_that_mention_chrome():
+    text = line_blocks.main_text
+    long = "A sentence of the article that is much too long to be one of a menu. " * 4
+    assert text('<div class="row has-sidebar"><p>article</p></div><p>Read more</p>') == "article\nRead more"
+    assert text(f'<div class="social-science"><p>{long}</p></div><p>more</p>') == long.strip() + "\nmore"
+    assert text(f'<div class="widget"><p>{long}</p><p>x</p></div><p>more</p>') == long.strip() + "\nx\nmore"
+    assert text(f'<div class="ad"><article>{long}</article></div>') == long.strip()
+    assert text('<p title="A hidden gem">one</p><p style="overflow:hidden ">two</p><p hidden>gone</p>') == "one\ntwo"
+    assert text('<div><p class="ad">buy<p>one<p>two</div>') == "one\ntwo"
+    assert text('<ul><li class="share">x<li>y<ul><li>z</ul></ul><table><tr><td class=ad>x<td>c<tr><td>d</table>') == "y\nz\nc\nd"
+    assert text(f"<form><p>{long}</p><p>x</p></form>") == long.strip() + "\nx"
+    assert text("<body><form><p>all</p><p>of it</p></form></body>") == "all\nof it"
+    # chrome still goes
+    assert text(f'<p>{long}</p><form><p>Sign up</p></form><div class="sidebar-left">side</div><div class="comments"><p>{long}</p></div>') == long.strip()
+
+
 def test_main_text_of_given_pages(spark):
     import html
     import re
