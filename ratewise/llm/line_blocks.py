@@ -1,9 +1,15 @@
 """Operator 8: main text of html pages by line-block distribution.
 
-Markup is stripped to lines, one per text block.  An
-article or main element that lies in no other one is a stretch as a whole, with
-all that is nested in it, and so is what lies between two of them.  The
-heaviest stretch is the main text; in it every line is kept, however short.
+Markup is stripped to lines, one per text block.  A line's length is that of
+its text outside links (a top heading counts whole).  The lengths of a sliding
+window of ``WINDOW`` lines are summed: main text is where a sum surges to
+``SURGE`` characters, from where the sums rise from nothing to where they dive
+back to it.  Between these points every line is kept, however short it is.  A
+page whose sums surge nowhere keeps all that is not links alone.
+
+An article or main element that lies in no other one is a stretch as a whole,
+with all that is nested in it.  Beside those that surge (or all of them, if
+none does) a stretch outside is kept only if it outweighs each of them.
 
 Chrome is stripped with the markup: by tag, by the hidden attributes, and by
 role, class, id or form where the line blocks of the element's own text bear
@@ -330,22 +336,52 @@ def lines(page: Page, gone: list[bool]) -> tuple[list[str], list[int], list[int]
     return texts, sizes, regions
 
 
+def _stretches(sizes: list[int], first: int, last: int) -> Iterator[tuple[int, int]]:
+    """From where the window sums rise from nothing to where they dive back to it."""
+    start = end = None
+    for i in range(first, last):
+        if sizes[i]:
+            if start is not None and i - end >= WINDOW:  # a whole window of nothing lies between
+                yield start, end
+                start = None
+            start, end = i if start is None else start, i + 1
+    if start is not None:
+        yield start, end
+
+
+def _surges(sizes: list[int], first: int, last: int) -> bool:
+    return any(sum(sizes[i:min(i + WINDOW, last)]) >= SURGE for i in range(first, last))
+
+
 def main_text(html: str) -> str:
-    """The heaviest of the articles and of the stretches between them."""
+    """The lines of the stretches that surge, in order."""
     page = parse(html)
     texts, sizes, regions = lines(page, _chrome(page))
     if not texts:  # a wrapper's name may speak of a part it holds
         texts, sizes, regions = lines(page, [False] * len(page.suspects))
     edges = [i for i in range(len(texts) + 1) if i in (0, len(texts)) or regions[i] != regions[i - 1]]
-    first, last = max(zip(edges, edges[1:]), key=lambda x: sum(map(len, texts[x[0]:x[1]])), default=(0, 0))
-    return "\n".join(texts[first:last])
+    inside: list[tuple[int, int]] = []
+    outside: list[tuple[int, int]] = []
+    for first, last in zip(edges, edges[1:]):
+        if regions[first] >= 0:
+            inside.append((first, last))
+        else:
+            outside.extend(_stretches(sizes, first, last))
+    high = [x for x in outside if _surges(sizes, *x)]
+    if inside:
+        kept = [x for x in inside if _surges(sizes, *x)] or inside
+        most = max(sum(sizes[a:b]) for a, b in inside)
+        kept = sorted(kept + [(a, b) for a, b in high if sum(sizes[a:b]) > most])
+    else:
+        kept = high or outside or [(0, len(texts))]
+    return "\n".join(t for a, b in kept for t in texts[a:b])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url,
     html).  Null or empty html, and pages of chrome alone, have an empty text.
-    Of equally heavy stretches the first is taken.  Repeated rows come out
-    alike; no row is dropped; other columns are not looked at."""
+    Repeated rows come out alike; no row is dropped and no text cut; other
+    columns are not looked at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py() or "") for h in batch.column(2)]

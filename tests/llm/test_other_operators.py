@@ -221,6 +221,24 @@ def test_main_text_under_names_that_mention_chrome():
     assert text(f'<p>{long}</p><form><p>Sign up</p></form><div class="sidebar-left">side</div><div class="comments"><p>{long}</p></div>') == long.strip()
 
 
+def test_main_text_surges_and_dives():
+    text = line_blocks.main_text
+    long = ("A sentence of the article that is much too long to be one of a menu. " * 2).strip()
+    menu = lambda c: f'<div class="{c}"><ul>' + "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(9)) + "</ul></div>"
+    # no article, no list of tags or names tells these menus and the last line
+    page = f'{menu("top")}<h1>T</h1><p>{long}</p><p>a</p><ul><li>b<li>c<li>d<li>e</ul><p>{long}</p><p>.</p>{menu("bottom")}<p>(c) site</p>'
+    assert text(page) == f"T\n{long}\na\nb\nc\nd\ne\n{long}\n."
+    # a menu amid the text parts it, and both sides stay
+    assert text(f'<p>{long}</p>{menu("mid")}<p>{long}</p><p>x</p>') == f"{long}\n{long}\nx"
+    # nothing surges: all but menus stays
+    assert text(f'{menu("top")}<p>short</p>{menu("mid")}<p>text</p>') == "short\ntext"
+    assert text(menu("only")).count("Item") == 9
+    # articles that surge, or all if none does; text outside only if it outweighs them
+    assert text(f"<article>{long}</article><article><p>{long}</p></article><article><a>teaser</a></article>") == f"{long}\n{long}"
+    assert text("<article>one</article><article>second</article><p>foot</p>") == "one\nsecond"
+    assert text(f"<p>{long}</p><p>{long}</p><article><p>short</p></article>") == f"{long}\n{long}\nshort"
+
+
 def test_main_text_of_given_pages(spark):
     import html
     import re
