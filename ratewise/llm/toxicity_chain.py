@@ -9,31 +9,38 @@ A text's features are which of a few hundred telling words and word beginnings
 it holds, how dense these are, and its length; they are taken from the whole
 text, and one hit counts in a text of any length.  Fitting uses a bounded,
 documented sample of labelled documents (the ``SAMPLE`` smallest hashes of
-their ids), of which only features reach the driver; scoring reads every text
-once, in the tasks that scan it, without a shuffle.
+their ids), and all words of these.  Their features are counted by Spark, and
+only the telling ones, with each document's hits of them and number of words,
+reach the driver.  Scoring reads every text once, in the tasks that scan it,
+without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewise.sinks.io import materialize
+
 #: Labelled documents that a model is fitted on at most.
 SAMPLE = 5000
 #: Words and word beginnings of a model, and folds of the chain.
 FEATURES, FOLDS = 300, 4
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6, 7)
-#: Distinct words of a text that training looks at: beyond, every n-th in sorted order.
-TRAIN_WORDS = 4000
+#: Tasks that look for telling features, each among its share of all, and files of the sample.
+PARTS, FILES = 16, 64
+#: Counts that a task holds before it hands them on.
+HELD = 200_000
 
 #: The chain: name of each category and its truth in terms of the labels.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("severe", "toxic = 1 AND quality = 0"))
@@ -49,6 +56,43 @@ def word_features(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
 
 
+def text_features(found: set[str]) -> Iterator[str]:
+    """The features of a text's words, each once.  In sorted order equal
+    beginnings follow each other, so that no second set is held."""
+    last = dict.fromkeys(STEMS, "")
+    for w in sorted(found):
+        yield w
+        for n in STEMS:
+            if len(w) > n and w[:n] != last[n]:
+                last[n] = w[:n]
+                yield "^" + w[:n]
+
+
+def _gain(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How much a feature says for a category that ``a`` of its holders have and ``b`` have not."""
+    p, q, m = (a + 0.5) / n1, (b + 0.5) / n0, (a + b + 1) / (n1 + n0)
+    return np.where((a >= 3) & (p > q), a * np.log(p / m) + b * np.log(q / m), -np.inf)
+
+
+def _first(gain: np.ndarray, most: int) -> np.ndarray:
+    order = np.argsort(-gain, kind="stable")[:most]
+    return order[np.isfinite(gain[order])]
+
+
+def _any_telling(counts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The features that are among the ``most`` telling ones of any category,
+    over all folds or all but one.  ``counts``: per feature and fold, the
+    documents that hold it, and those of each category; ``sizes``: the same of
+    all documents."""
+    taken = np.zeros(len(counts), bool)
+    for out in range(len(sizes) + 1):
+        use = np.arange(len(sizes)) != out
+        c, n = counts[:, use].sum(axis=1), sizes[use].sum(axis=0)
+        for k in range(1, len(n)):
+            taken[_first(_gain(c[:, k], c[:, 0] - c[:, k], n[k] + 1, n[0] - n[k] + 1), most)] = True
+    return np.flatnonzero(taken)
+
+
 def _design(hits: np.ndarray, n_words: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Rows of the linear models: hits, length, density, logits so far, 1."""
     density = 10 * hits.sum(axis=1) / (n_words + 5)
@@ -100,11 +144,7 @@ class Encoded:
         truth = np.full(len(self.n_words), -1)
         truth[docs] = y
         count = lambda t: np.bincount(self.feature[truth[self.row] == t], minlength=len(self.names))
-        a, b, n1, n0 = count(1), count(0), y.sum() + 1, (1 - y).sum() + 1
-        p, q, m = (a + 0.5) / n1, (b + 0.5) / n0, (a + b + 1) / (n1 + n0)
-        gain = np.where((a >= 3) & (p > q), a * np.log(p / m) + b * np.log(q / m), -np.inf)
-        order = np.argsort(-gain, kind="stable")[:most]
-        return order[np.isfinite(gain[order])]
+        return _first(_gain(count(1), count(0), y.sum() + 1, (1 - y).sum() + 1), most)
 
     def hits(self, features: np.ndarray) -> np.ndarray:
         """0/1 of each document and each of ``features``."""
@@ -138,12 +178,12 @@ class Chain:
         return out
 
 
-def fit_chain(texts: Sequence[str], truths: Sequence[tuple[str, np.ndarray]], most: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """``texts``: each document's distinct words, joined by spaces; ``truths``: (category, 0/1 per
-    document) in chain order.  A category that has fewer than ``folds``
+def fit_chain(texts: Sequence[str] | Encoded, truths: Sequence[tuple[str, np.ndarray]], most: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """``texts``: each document's distinct words, joined by spaces, or its features (at least all
+    that ``_any_telling`` finds); ``truths``: (category, 0/1 per document) in chain order.  A category that has fewer than ``folds``
     documents on either side gets a constant model and rejects nothing."""
-    docs = Encoded.of(texts)
-    n = len(texts)
+    docs = texts if isinstance(texts, Encoded) else Encoded.of(texts)
+    n = len(docs.n_words)
     fold = np.arange(n) % folds
     before = np.empty((n, 0))
     chain = Chain()
@@ -183,18 +223,82 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, st
     chosen = (labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*truth)
               .withColumn("h", F.xxhash64(F.lit(3), "doc_id")).orderBy("h", "doc_id").limit(sample))
     names = [n for n, _ in categories]
+    texts = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows
+             .groupBy("h").agg(F.min("text").alias("text"), *[F.max(n).alias(n) for n in names]))
+    texts = materialize(texts.repartition(FILES, "h"), "toxicity-sample")
+    known = texts.select("h", *names).toPandas().sort_values("h")  # ``sample`` rows
+    truths = [(n, known[n].to_numpy()) for n in names]
+    docs_found = encode_sample(texts, known["h"].to_numpy(), [y for _, y in truths])
+    return fit_chain(docs_found, truths)
+
+
+def encode_sample(texts: DataFrame, ids: np.ndarray, truths: Sequence[np.ndarray], most: int = FEATURES, folds: int = FOLDS) -> Encoded:
+    """The telling features of ``texts`` (h, text), whose ``ids`` and
+    ``truths`` are given in order, and each text's hits and number of words.
+    Features are counted per fold and truth of their texts, in Spark."""
+    if not len(ids):
+        return Encoded.of([])
+    fold = np.arange(len(ids)) % folds
+    kinds, kind = np.unique(np.column_stack([fold, *truths]), axis=0, return_inverse=True)
+    kind_of = dict(zip(ids.tolist(), kind.ravel().tolist(), strict=True))
+    sizes = np.array([[(fold == k).sum(), *[int(y[fold == k].sum()) for y in truths]] for k in range(folds)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([f for f, _ in held], pa.string()), pa.array([k for _, k in held], pa.int32()),
+                                              pa.array(held.values(), pa.int64())], names=["feature", "kind", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for h, t in zip(batch.column(0), batch.column(1), strict=True):
+                k = kind_of[h.as_py()]
+                for f in text_features(words(t.as_py())):
+                    held[f, k] += 1
+                    if len(held) >= HELD:
+                        yield batch_of()
+        yield batch_of()
+
+    def holders(k: int, column: int) -> Column:
+        """Of the texts of fold k, all or (column > 0) those of a category."""
+        of = [i for i, x in enumerate(kinds) if x[0] == k and (not column or x[column])]
+        return F.sum(F.when(F.col("kind").isin(of), F.col("n")).otherwise(0)).cast("long")
+
+    def telling(names: list[str], counts: list[list[int]]) -> tuple[list[str], list[list[int]]]:
+        order = sorted(range(len(names)), key=names.__getitem__)  # equal gains: by name
+        c = np.array([counts[i] for i in order], np.int64).reshape(len(order), folds, len(truths) + 1)
+        kept = [order[i] for i in _any_telling(c, sizes, most)]
+        return [names[i] for i in kept], [counts[i] for i in kept]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        counts: list[list[int]] = []
+        for batch in batches:
+            names, counts = telling(names + batch.column(0).to_pylist(), counts + batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.list_(pa.int64()))], names=["feature", "counts"])
+
+    found = (texts.select("h", "text").mapInArrow(count, "feature string, kind int, n bigint").groupBy("feature")
+             .agg(F.array(*[holders(k, c) for k in range(folds) for c in range(len(truths) + 1)]).alias("counts"))
+             .coalesce(PARTS).mapInArrow(best, "feature string, counts array<bigint>").toPandas())
+    names, _ = telling(list(found["feature"]), [list(c) for c in found["counts"]])
+    number = {f: i for i, f in enumerate(names)}
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [sorted(words(t.as_py())) for t in batch.column(1)]
-            kept = [w[::-(-len(w) // TRAIN_WORDS)] if w else w for w in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(" ".join, kept), pa.string()), *batch.columns[2:]],
-                                             names=["h", "words", *names])
-
-    rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows
-            .select("h", "text", *names).mapInArrow(some, "h bigint, words string, " + ", ".join(f"{n} int" for n in names))
-            .dropDuplicates(["h"]).toPandas().sort_values("h"))
-    return fit_chain(list(rows["words"]), [(n, rows[n].to_numpy()) for n in names])
+            sizes, hits = [], []
+            for t in batch.column(1):
+                s = words(t.as_py())
+                sizes.append(len(s))
+                hits.append([number[f] for f in text_features(s) if f in number])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32()))],
+                                             names=["h", "n_words", "hits"])
+
+    rows = texts.select("h", "text").mapInArrow(hit, "h bigint, n_words bigint, hits array<int>").toPandas().sort_values("h")
+    lengths = [len(x) for x in rows["hits"]]
+    return Encoded(names, rows["n_words"].to_numpy(float), np.repeat(np.arange(len(rows)), lengths),
+                   np.concatenate([np.empty(0, np.int32), *[np.array(x, np.int32) for x in rows["hits"]]]))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

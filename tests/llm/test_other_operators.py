@@ -262,6 +262,33 @@ def test_toxicity_held_out(spark):
     assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.05 * len(clean)
 
 
+def test_toxicity_learns_all_words_of_long_texts(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(4500))
+    bad = ["zbad" if i % 2 else "abad" for i in range(40)]
+    rows = [(i, f"aaa {own(i)} {bad[i] if i < 20 else 'fine'}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(40)], "doc_id long, quality int, toxic int")
+    links = {link.name: link for link in toxicity_chain.train(docs, labels).links}
+    assert {"abad", "zbad"} <= set(links["toxic"].features)
+
+
+def test_sample_is_encoded_as_in_one_place(spark):
+    r = random.Random(4)
+    texts = [" ".join(sorted({"".join(r.choices("abc", k=r.randrange(1, 9))) for _ in range(60)})) for _ in range(200)]
+    y = [np.array([int(("bb" in t.split()) != (r.random() < 0.2)) for t in texts]), np.array([r.randrange(2) for _ in texts])]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, text string").repartition(7)
+    some, every = toxicity_chain.encode_sample(df, np.arange(200), y, most=20), toxicity_chain.Encoded.of(texts)
+    order = np.argsort(np.array(every.names, object), kind="stable")  # equal gains go by name
+    every = toxicity_chain.Encoded([every.names[i] for i in order], every.n_words, every.row, np.argsort(order)[every.feature])
+    assert some.n_words.tolist() == every.n_words.tolist()
+    for category in y:
+        for fold in range(5):
+            train = np.flatnonzero(np.arange(200) % 4 != fold)
+            a, b = some.telling(train, category[train], 20), every.telling(train, category[train], 20)
+            assert [some.names[i] for i in a] == [every.names[i] for i in b]
+            assert (some.hits(a) == every.hits(b)).all()
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "", "b"), (2, "word " * 100000, "c")], "doc_id long, text string, rejected string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
