@@ -5,21 +5,21 @@ source's repetition rate: target share * total / size of the source.  The
 number comes from inverting the Poisson distribution at a uniform value hashed
 from seed and id, so a rerun or a retried task draws the same number.
 
-Only DataFrame functions run here.  Sources are configuration (the named
-target weights), so rates are a literal map and no document is shuffled by its
-source: a source with most of the rows stays spread over all tasks.  The one
+Only DataFrame functions run here.  Targets are the sources present, in equal
+parts, or named weights; one aggregation counts them.  Rates are then a literal
+map, and no document is shuffled by its source: a source with most of the rows stays spread over all tasks.  The one
 shuffle of texts is the global one, keyed by a hash of seed, id and copy.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Twenty sources in equal parts: the query's production mixture.
+#: Twenty sources in equal parts: the mixture that the query's SQL names.
 EQUAL_20 = {f"src{i}": 1.0 for i in range(20)}
 
 
@@ -43,17 +43,23 @@ def poisson_steps(rate: float) -> list[float]:
 
 def poisson_count(u: Column, rate: Column, steps: Mapping[float, list[float]]) -> Column:
     """The smallest k with P(X <= k) > u: how many steps lie at or under u."""
-    n = F.lit(0)
-    for r, cdf in steps.items():
-        if cdf:
-            below = F.aggregate(F.lit(cdf), F.lit(0), lambda s, c: s + F.when(c <= u, 1).otherwise(0))
-            n = F.when(rate == F.lit(r), below).otherwise(n)
-    return n
+    return _choice([(rate == F.lit(r), F.aggregate(F.lit(cdf), F.lit(0), lambda s, c: s + F.when(c <= u, 1).otherwise(0)))
+                    for r, cdf in steps.items() if cdf], F.lit(0))
 
 
-def source_sizes(docs: DataFrame, targets: Mapping[str, float]) -> dict[str, int]:
-    """Characters per named source; as many entries as targets at most."""
-    sized = (docs.where(F.col("source").isin(list(targets)))
+def _choice(cases: Sequence[tuple[Column, Column]], other: Column) -> Column:
+    """One flat CASE, however many cases; they exclude each other."""
+    out = None
+    for fits, value in cases:
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return other if out is None else out.otherwise(other)
+
+
+def source_sizes(docs: DataFrame, targets: Mapping[str, float] | None = None) -> dict[str, int]:
+    """Characters per source that ``targets`` names (default: per source that
+    is not null)."""
+    wanted = F.col("source").isNotNull() if targets is None else F.col("source").isin(list(targets))
+    sized = (docs.where(wanted)
              .groupBy("source").agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).alias("size")))
     return {r["source"]: r["size"] for r in sized.collect()}
 
@@ -68,22 +74,23 @@ def repetition_rates(sizes: Mapping[str, int], targets: Mapping[str, float], tot
     return {s: w / weight * total / sizes[s] for s, w in sorted(there.items())}
 
 
-def mix_sources(docs: DataFrame, targets: Mapping[str, float] = EQUAL_20, seed: int = 42,
+def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, seed: int = 42,
                 total_chars: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) repeated and shuffled.
 
     All columns of ``docs`` come back, and ``mix_copy`` (from 0) and
-    ``mix_key`` (the row's place in the global order).  Sources that ``targets``
+    ``mix_key`` (the row's place in the global order).  Without
+    ``targets`` all sources present share equally.  Sources that ``targets``
     does not name, and null sources, go in as they are, once.  A target of 0
     and a source of empty texts alone leave no rows.  Null and empty texts of
     other sources are repeated like the rest.  The draw depends on the id, so
     repeated rows are repeated alike, and rows with a null id share one draw."""
-    rates = repetition_rates(source_sizes(docs, targets), targets, total_chars)
+    sizes = source_sizes(docs, targets)
+    targets = dict.fromkeys(sizes, 1.0) if targets is None else targets
+    rates = repetition_rates(sizes, targets, total_chars)
     steps = {r: poisson_steps(r) for r in sorted(set(rates.values()))}
     named = F.coalesce(F.col("source").isin(list(targets)), F.lit(False))
-    rate = F.lit(0.0)
-    for s, r in rates.items():
-        rate = F.when(F.col("source") == s, F.lit(r)).otherwise(rate)
+    rate = _choice([(F.col("source") == s, F.lit(r)) for s, r in rates.items()], F.lit(0.0))
     copies = F.when(named, poisson_count(uniform(seed, F.col("doc_id")), F.col("__rate"), steps)).otherwise(1)
     out = (docs.withColumn("__rate", rate).withColumn("__copies", copies).where("__copies > 0").drop("__rate")
            .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies"))

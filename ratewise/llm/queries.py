@@ -61,7 +61,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, mixed to equal parts of twenty sources."""
+    """The documents, mixed to equal parts of the sources present."""
     return (mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
             .select("doc_id", "source", "mix_copy", "text"))
 

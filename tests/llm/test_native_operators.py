@@ -154,6 +154,13 @@ def test_mixing_against_plain_python(spark):
     assert math.isclose(total["s1"] / total["s0"], 2.0, rel_tol=0.25)
 
 
+def test_mixing_takes_the_sources_present(spark):
+    rows = [(i, "x" * 10, "hot" if i % 10 else f"rare{i % 4}") for i in range(2000)] + [(9999, "x" * 10, None)]
+    got = Counter(r.source for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got[None] == 1 and set(got) == {None, "hot", "rare0", "rare2"}
+    assert all(abs(got[s] - 2000 / 3) < 150 for s in ("hot", "rare0", "rare2"))
+
+
 def test_mixing_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, __rate int")
     out = mixing.mix_sources(df.drop("__rate"))
