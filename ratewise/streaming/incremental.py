@@ -8,7 +8,8 @@ late: a micro-batch is aggregated by itself, without a watermark, and readers
 add the partial results up.
 
 A feed has a stable name: table and checkpoint live in one folder named after
-feed and source, and a later run takes up new files only.  A replayed batch
+feed and source, and a later run takes up new files only.  A table of one file
+that is rewritten in place is another source, and starts a new feed.  A replayed batch
 overwrites its own folder, so nothing is counted twice; no other folder is
 touched.  Triggered with ``availableNow`` the query processes what is there and
 stops; run continuously it keeps the table fresh.
@@ -29,12 +30,28 @@ from ratewise.session import checkpoint_dir
 MAX_FILES = 64
 
 
+def single_file(spark: SparkSession, path: str) -> tuple[bool, str]:
+    """Whether the table at ``path`` is one Parquet file (no folder), and then
+    its version: when it was written, and its size."""
+    name = path.rstrip("/").rpartition("/")[2]
+    try:
+        found = spark.read.parquet(path).select("_metadata.file_path", F.unix_micros("_metadata.file_modification_time"),
+                                                "_metadata.file_size").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False, ""
+        raise
+    if found and found[0][0].rpartition("/")[2] == name:
+        return True, f"@{found[0][1]}-{found[0][2]}"
+    return False, ""
+
+
 class FeedTable:
     """A feed's partial results, one folder per micro-batch, and its checkpoint."""
 
     def __init__(self, spark: SparkSession, name: str, source: str):
         self.spark = spark
-        mark = hashlib.sha256(source.encode()).hexdigest()[:16]
+        mark = hashlib.sha256((source + single_file(spark, source)[1]).encode()).hexdigest()[:16]
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/ratewise-streams/{name}-{mark}"
 
     @property
@@ -59,9 +76,8 @@ def stream_table(spark: SparkSession, path: str, max_files: int = MAX_FILES) ->
     of them (new files of a folder are picked up as they land)."""
     table = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
-    first = table.select("_metadata.file_path").limit(1).collect()
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files)
-    if first and first[0][0].rpartition("/")[2] == name:  # one file: a stream needs its folder
+    if single_file(spark, path)[0]:  # one file: a stream needs its folder
         return stream.option("pathGlobFilter", name).parquet(folder)
     return stream.parquet(path)
 

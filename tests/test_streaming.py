@@ -86,3 +86,18 @@ def test_deduplication_over_micro_batches(spark, tmp_path):
     table = st.FeedTable(spark, "dedup-test", path)
     out = st.run_deduplicated(st.stream_table(spark, path, 1), table, ["k"], lambda b: b)
     assert sorted(r.k for r in out.collect()) == list(range(7))
+
+
+def test_rewritten_file_starts_a_new_feed(spark, tmp_path):
+    """A single-file table replaced in place is read again, and only then."""
+    import duckdb
+
+    path = f"{tmp_path}/t.parquet"
+
+    def run(n):
+        if n is not None:
+            duckdb.sql(f"COPY (SELECT range AS v FROM range({n})) TO '{path}' (FORMAT parquet)")
+        out = st.run_available(st.stream_table(spark, path), st.FeedTable(spark, "rewritten", path), lambda b: b.agg(F.count("*").alias("n")))
+        return sum(r.n for r in out.collect())
+
+    assert [run(3), run(None), run(50), run(None)] == [3, 3, 50, 50]
