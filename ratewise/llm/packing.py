@@ -15,11 +15,10 @@ spread over many tasks.
 from __future__ import annotations
 
 import bisect
-import os
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,84 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewise.llm.tokens import encoder
 from ratewise.session import checkpoint_dir
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 
-#: Entries of a task's caches of written and of encoded words, about 120
-#: and 180 MB when full; a full one is emptied.  They only save time.
-WORDS, CORES = 600_000, 900_000
-
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 
-#: A word's tail of ascii marks, no apostrophe (that may begin a contraction),
-#: is always tokens of its own after one of these letters: a-z and the Latin
-#: ones U+00DF .. U+00FF, which normalisation leaves alone.
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_LETTERS = tuple(chr(c).encode() for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)) if c != 0xF7)
-
-
-class Encoder:
-    """Texts to ids, as ``Tokenizer.encode(text, add_special_tokens=False)``
-    gives them.  The vocabulary splits at white space and drops it, so a text's
-    ids are those of its words in turn, and words are looked up.  (Ascii white
-    space and case alone are treated here, the rest is left to the tokenizer.)"""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def _fill(self, cache: dict[bytes, bytes], words: Sequence[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded, strict=True))
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The little-endian 32-bit ids of each text."""
-        for text in texts:
-            raw = text.encode()
-            words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens have a case
-            if new := set(words).difference(self.words):
-                self._learn(new)
-            yield b"".join(map(self.words.__getitem__, words))
-            if len(self.words) > WORDS:
-                self.words.clear()
-
-    def _learn(self, words: set[bytes]) -> None:
-        """A word with a tail of marks after a letter is its two parts."""
-        parts = {}
-        for w in words:
-            core = w.rstrip(_MARKS)
-            apart = len(core) < len(w) and core.endswith(_LETTERS) and b"<|" not in w
-            parts[w] = (core, w[len(core):]) if apart else (w,)
-        new = {p for ps in parts.values() for p in ps if p not in self.cores}
-        if new:
-            self._fill(self.cores, sorted(new))
-        self.words.update((w, b"".join([self.cores[p] for p in ps])) for w, ps in parts.items())
-        if len(self.cores) > CORES:
-            self.cores.clear()
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary: str) -> Encoder:
-    """The task process's encoder; ``vocabulary`` names a file of the public
-    tokenizers, installed on every executor, or is a path."""
-    if vocabulary not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        path = vocabulary
-        if not os.path.isabs(vocabulary):
-            import public_tokenizers
-
-            path = public_tokenizers.path(vocabulary)
-        _ENCODERS[vocabulary] = Encoder(path)
-    return _ENCODERS[vocabulary]
-
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of ``docs``, and a
@@ -116,18 +46,23 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
         encode = encoder(vocabulary)
         salt = TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows: list[tuple] = []
-            texts = ((t.as_py() or "") for t in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            row, n, start, length, crc = [], [], [], [], []
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for i, ids in enumerate(encode(texts)):
                 ids += end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), salt))
-                    salt += 1
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+                size = len(ids) // 4
+                for at in range(0, size, capacity):
+                    part = ids if size <= capacity else ids[4 * at:4 * (at + capacity)]
+                    row.append(i)
+                    n.append(at // capacity)
+                    start.append(at)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(n, pa.int32()),
+                 *[pa.array(c, pa.int64()) for c in (start, length, crc, range(salt, salt + len(row)))]],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            salt += len(row)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from ratewise.llm import bit_sliced, line_blocks, near_duplicates, packing, permutation_index, queries, toxicity_chain
+from ratewise.llm import bit_sliced, line_blocks, near_duplicates, packing, permutation_index, queries, tokens, toxicity_chain
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,7 +108,7 @@ def test_encoder_equals_the_tokenizer():
     import public_tokenizers
 
     path = public_tokenizers.path(packing.VOCABULARY)
-    real, mine = Tokenizer.from_file(path), packing.Encoder(path)
+    real, mine = Tokenizer.from_file(path), tokens.Encoder(path)
     texts = ["Hello, world... it's A.B. 12,5 x", "É ÎLE ǅ ﬁ Σας ΣΑΣ.", "a\x1cb c d e\u0085f", "<|endoftext|> x<|ENDOFTEXT|>y <|EndOfText|>", "",
              "é É. ,, .,. word., 'S don'T", "日本語 テスト。 ok"]
     texts += [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL LIMIT 60").fetchall()]
