@@ -141,7 +141,33 @@ FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) A
 """
 
 
+# CRC-32 bit by bit for the 256 bytes, byte by byte for each distinct word.
+OP11 = """
+WITH crc AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+  FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256))),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '%(upper)s', '%(lower)s'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+u AS (SELECT r, unnest(words) AS w FROM d),
+o AS (SELECT unnest(regexp_extract_all(translate(text, '%(upper)s', '%(lower)s'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM u UNION SELECT w FROM o)),
+buckets AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(1, len(h) // 2 + 1), lambda i: CAST('0x' || substr(h, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) %% 10000 AS bucket FROM vocabulary, crc),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN buckets USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM o JOIN buckets USING (w) GROUP BY bucket),
+gains AS (SELECT s.bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * ((SELECT count(*) FROM u) + 10000.0::DOUBLE)
+    / ((CAST(s AS DOUBLE) + 1) * ((SELECT count(*) FROM o) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM u JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN places USING (r)
+""" % {"upper": url_reputation.UPPER, "lower": url_reputation.LOWER}
+
+
 ORACLE: dict[str, str] = {
+    "op11_importance_resampling": OP11,
     "op7_bit_sliced_topk": OP7,
     "op1_chat_snapshot_collapse": OP1,
     "op2_url_reputation": _op2(),

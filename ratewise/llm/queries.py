@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import bit_sliced, chat, line_blocks, mixing, near_duplicates, packing, permutation_index, pii, toxicity_chain, url_reputation
+from ratewise.llm import (bit_sliced, chat, importance_resampling, line_blocks, mixing, near_duplicates, packing, permutation_index, pii,
+                          sum_of_squares, toxicity_chain, url_reputation)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +67,17 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "source", "mix_copy", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's words."""
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, placed as they are read."""
+    return sum_of_squares.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_snapshot_collapse, op2_url_reputation, op3_toxicity_chain, op4_minhash_hamming_join, op5_pii_spans, op6_permutation_index,
-    op7_bit_sliced_topk, op8_line_block_text, op9_best_fit_packing, op10_poisson_mixing)}
+    op7_bit_sliced_topk, op8_line_block_text, op9_best_fit_packing, op10_poisson_mixing, op11_importance_resampling,
+    op13_sum_of_squares_packing)}
