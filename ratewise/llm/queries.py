@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ratewise.llm import (bit_sliced, chat, importance_resampling, line_blocks, mixing, near_duplicates, packing, permutation_index, pii,
+from ratewise.llm import (bit_sliced, chat, hard_negatives, importance_resampling, line_blocks, mixing, near_duplicates, packing, permutation_index, pii,
                           sum_of_squares, toxicity_chain, url_reputation)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the labels of every seventh are moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens, placed as they are read."""
     return sum_of_squares.pack(table(spark, sf_dir, "documents"))
@@ -80,4 +87,4 @@ def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_chat_snapshot_collapse, op2_url_reputation, op3_toxicity_chain, op4_minhash_hamming_join, op5_pii_spans, op6_permutation_index,
     op7_bit_sliced_topk, op8_line_block_text, op9_best_fit_packing, op10_poisson_mixing, op11_importance_resampling,
-    op13_sum_of_squares_packing)}
+    op12_hard_negatives, op13_sum_of_squares_packing)}
