@@ -111,7 +111,7 @@ def test_encoder_equals_the_tokenizer():
     real, mine = Tokenizer.from_file(path), tokens.Encoder(path)
     texts = ["Hello, world... it's A.B. 12,5 x", "É ÎLE ǅ ﬁ Σας ΣΑΣ.", "a\x1cb c d e\u0085f", "<|endoftext|> x<|ENDOFTEXT|>y <|EndOfText|>", "",
              "é É. ,, .,. word., 'S don'T", "日本語 テスト。 ok"]
-    texts += [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL LIMIT 60").fetchall()]
+    texts += [t for (t,) in duckdb.connect().sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL LIMIT 60").fetchall()]
     for t, ids in zip(texts, mine(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == real.encode(t, add_special_tokens=False).ids, t
 
@@ -244,7 +244,7 @@ def test_main_text_of_given_pages(spark):
     import re
 
     got = {r.page_id: r.text for r in queries.op8_line_block_text(spark, SF).collect()}
-    for i, page in duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall():
+    for i, page in duckdb.connect().sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall():
         inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:h1|p|br)>", inner)]
         assert got[i] == "\n".join(b for b in blocks if b)
