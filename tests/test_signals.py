@@ -122,7 +122,8 @@ def test_money_is_half_up(spark, v, expected):
     import duckdb
     from ratewise.functions.mathx import money, money_sql
     assert _eval(spark, money("v"), [(v,)], "v double") == [expected]
-    assert duckdb.execute(f"SELECT {money_sql('v')} FROM (SELECT CAST(? AS DOUBLE) AS v)", [v]).fetchone() == (expected,)
+    with duckdb.connect() as con:
+        assert con.execute(f"SELECT {money_sql('v')} FROM (SELECT CAST(? AS DOUBLE) AS v)", [v]).fetchall() == [(expected,)]
 
 
 def test_highest_price(spark):

@@ -96,7 +96,8 @@ def test_rewritten_file_starts_a_new_feed(spark, tmp_path):
 
     def run(n):
         if n is not None:
-            duckdb.sql(f"COPY (SELECT range AS v FROM range({n})) TO '{path}' (FORMAT parquet)")
+            with duckdb.connect() as con:
+                con.execute(f"COPY (SELECT range AS v FROM range({n})) TO '{path}' (FORMAT parquet)").fetchall()
         out = st.run_available(st.stream_table(spark, path), st.FeedTable(spark, "rewritten", path), lambda b: b.agg(F.count("*").alias("n")))
         return sum(r.n for r in out.collect())
 
