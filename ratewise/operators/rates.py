@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.functions.mathx import cents_avg, rnd
+from ratewise.operators.intervals import interval_join
 
 
 
@@ -102,6 +103,40 @@ def category_prices_with_fallback(rates: DataFrame, details: DataFrame, bands: D
     return out.where(F.col("source").isNotNull())
 
 
+def _cents(band):
+    """Sum of cents and count of a band's rates: both add up, in any order."""
+    rate = F.when(band, F.col("rate"))
+    return F.sum(F.round(rate * 100.0).cast("long")), F.count(rate)
+
+
+def prices_by_day(rates: DataFrame, details: DataFrame, bands: DataFrame, cells: DataFrame, low: dt.date, high: dt.date) -> DataFrame:
+    """AGG-06 + JN-07 for every day from ``low`` to ``high`` in one plan.
+
+    ``cells`` are the (tenant, branch, category) to price.  Rates that differ in
+    nothing but the amount (same level, model and period) are summed up first, so
+    the range join meets distinct periods, not rates; branch-specific prices go
+    before default ones day by day."""
+    level = ["tenant_id", "branch_id", "category_id"]
+    lines = rate_lines(rates.where(F.col("is_active")), details, bands)
+    sums = {f"{kind}_{name}": c for name, band in (("daily", _daily()), ("weekly", _weekly()), ("monthly", _monthly()))
+            for kind, c in zip(("cents", "n"), _cents(band), strict=True)}
+    periods = lines.groupBy(*level, "model_id", "start_date", "end_date").agg(*[c.alias(n) for n, c in sums.items()])
+    days = cells.select("tenant_id", "category_id").distinct().withColumn("price_date", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    held = interval_join(days, periods, "price_date", "start_date", "end_date", low, high, ("tenant_id", "category_id"))
+    priced = held.groupBy(*level, "price_date").agg(
+        *[rnd(F.sum(f"cents_{b}") / F.nullif(F.sum(f"n_{b}"), F.lit(0)) / 100.0, 4).alias(f"{b}_rate") for b in ("daily", "weekly", "monthly")],
+        F.countDistinct("model_id").alias("model_count"))
+    cols = ["daily_rate", "weekly_rate", "monthly_rate", "model_count"]
+    default = priced.where(F.col("branch_id").isNull()).select("tenant_id", "category_id", "price_date", *[F.col(c).alias(f"d_{c}") for c in cols])
+    grid = cells.select(*level).withColumn("price_date", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    own = F.col("model_count").isNotNull()
+    return (grid.join(priced.where(F.col("branch_id").isNotNull()), [*level, "price_date"], "left")
+            .join(default, ["tenant_id", "category_id", "price_date"], "left")
+            .where(own | F.col("d_model_count").isNotNull())
+            .select(*level, "price_date", *[F.when(own, F.col(c)).otherwise(F.col(f"d_{c}")).alias(c) for c in cols],
+                    F.when(own, "branch_specific").otherwise("default").alias("source")))
+
+
 def model_prices(rates: DataFrame, details: DataFrame, bands: DataFrame, day: dt.date) -> DataFrame:
     """AGG-07: per model, max rate per band and the effective span (open
     end when any rate of the model is open-ended)."""

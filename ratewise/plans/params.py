@@ -17,3 +17,6 @@ FILTER_TO = dt.date(2000, 12, 31)
 ON_RENT_DATE = dt.date(2000, 6, 15)
 # Horizon and window for holiday proximity features.
 HOLIDAY_WINDOW_DAYS = 7
+# Days whose prices are asked for at once (periods begin and end among them).
+PRICED_FROM = dt.date(1999, 11, 15)
+PRICED_TO = dt.date(2000, 1, 14)

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ratewise.functions.mathx import cents_avg_sql, rnd_sql as R
 from ratewise.operators import demand as dm
+from ratewise.operators import intervals as iv
 from ratewise.operators import rates as rt
 from ratewise.operators import utilization as ut
 from ratewise.plans import feature_plans  # noqa: F401  (registers shared views)
 from ratewise.plans import params as P
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
+from ratewise.sources.fixed import CATEGORIES
 
 DAY = f"DATE '{P.RATE_DATE}'"
 DAILY = "(to_days = 6 OR (to_days IS NULL AND from_days = 1))"
@@ -76,6 +78,47 @@ def flt_02(d):
     return _eff(d).select("rate_id", "model_id", "category_id", "branch_id", "start_date", "end_date")
 
 
+_DAYS = f"SELECT CAST(DATE '{P.PRICED_FROM}' + CAST(range AS INTEGER) AS DATE) AS price_date FROM range({(P.PRICED_TO - P.PRICED_FROM).days + 1})"
+
+
+@query("flt_02_days", with_views(f"""
+    SELECT rate_id, branch_id, category_id, price_date FROM ({_DAYS}) JOIN rates
+      ON is_active AND start_date <= price_date AND (end_date IS NULL OR end_date >= price_date)""", "rates"))
+def flt_02_days(d):
+    """FLT-02 on many dates: the rates in force on every day of two months,
+    by a range join."""
+    low, high = P.PRICED_FROM, P.PRICED_TO
+    days = d.branches.select("tenant_id").distinct().withColumn("price_date", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    active = d.rates.where("is_active").select("tenant_id", "rate_id", "branch_id", "category_id", "start_date", "end_date")
+    held = iv.interval_join(days, active, "price_date", "start_date", "end_date", low, high, ("tenant_id",))
+    return held.select("rate_id", "branch_id", "category_id", "price_date")
+
+
+@query("flt_02_prices", with_views(f"""
+    lines AS (SELECT r.tenant_id, r.branch_id, r.category_id, r.model_id, d.rate, b.from_days, b.to_days, price_date
+      FROM ({_DAYS}) JOIN rates r ON r.is_active AND r.start_date <= price_date AND (r.end_date IS NULL OR r.end_date >= price_date)
+      JOIN rate_details d ON r.rate_id = d.rate_id JOIN rate_bands b ON d.period_id = b.period_id),
+    spec AS (SELECT tenant_id, branch_id, category_id, price_date, {_pivot()}, count(DISTINCT model_id) AS model_count
+      FROM lines WHERE branch_id IS NOT NULL GROUP BY 1, 2, 3, 4),
+    dflt AS (SELECT tenant_id, category_id, price_date, {_pivot()}, count(DISTINCT model_id) AS model_count
+      FROM lines WHERE branch_id IS NULL GROUP BY 1, 2, 3),
+    grid AS (SELECT b.tenant_id, b.branch_id, c.category_id, price_date FROM branches b, categories c, ({_DAYS}))
+    SELECT g.*, CASE WHEN s.model_count IS NOT NULL THEN s.daily_rate ELSE d.daily_rate END AS daily_rate,
+      CASE WHEN s.model_count IS NOT NULL THEN s.weekly_rate ELSE d.weekly_rate END AS weekly_rate,
+      CASE WHEN s.model_count IS NOT NULL THEN s.monthly_rate ELSE d.monthly_rate END AS monthly_rate,
+      coalesce(s.model_count, d.model_count) AS model_count,
+      CASE WHEN s.model_count IS NOT NULL THEN 'branch_specific' ELSE 'default' END AS source
+    FROM grid g LEFT JOIN spec s USING (tenant_id, branch_id, category_id, price_date)
+    LEFT JOIN dflt d USING (tenant_id, category_id, price_date)
+    WHERE s.model_count IS NOT NULL OR d.model_count IS NOT NULL""".replace("    lines AS", "WITH lines AS", 1),
+    "rates", "rate_details", "rate_bands", "branches", "categories"))
+def flt_02_prices(d):
+    """FLT-02 on many dates: base prices of every branch and category on every
+    day of two months, in one plan."""
+    cells = d.branches.select("tenant_id", "branch_id", F.explode(F.array(*[F.lit(c[0]) for c in CATEGORIES])).alias("category_id"))
+    return rt.prices_by_day(d.rates, d.rate_details, d.fixed("rate_bands"), cells, P.PRICED_FROM, P.PRICED_TO)
+
+
 @query("flt_05", with_views("""
     SELECT rate_id, model_id, category_id, start_date, end_date FROM eff_rates WHERE branch_id IS NULL""",
                             "eff_rates"))
