@@ -47,10 +47,6 @@ def safe_div(num, den, default=None) -> Column:
     return q if default is None else F.coalesce(q, F.lit(default))
 
 
-def clamp(c, lo, hi) -> Column:
-    return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
-
-
 def cents_avg(c) -> Column:
     """Exact mean of 2-dp money values: integer cents summed, then one
     division (no dependence on summation order)."""

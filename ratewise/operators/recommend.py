@@ -50,11 +50,6 @@ def signal_weights(config: DataFrame, defaults: dict[str, float]) -> DataFrame:
     return p.select("tenant_id", *[F.coalesce(F.col(s), F.lit(defaults[s])).alias("w_" + s) for s in SIGNALS])
 
 
-def default_weights(tenants: DataFrame, defaults: dict[str, float]) -> DataFrame:
-    """Weights row per tenant when there is no weight configuration."""
-    return tenants.select("tenant_id", *[F.lit(defaults[s]).alias("w_" + s) for s in SIGNALS])
-
-
 def weights_check(weights: DataFrame) -> DataFrame:
     """SIG-V: weight sum and validity (|sum - 1| < .01) per tenant."""
     total = sum((F.col("w_" + s) for s in SIGNALS[1:]), F.col("w_" + SIGNALS[0]))
@@ -64,34 +59,35 @@ def weights_check(weights: DataFrame) -> DataFrame:
 def resolve_guardrails(cells: DataFrame, config: DataFrame | None, categories: DataFrame,
                        generic=(50.0, 25.0, 50.0)) -> DataFrame:
     """PRC-02 / JN-07: per cell, the most specific active guardrail row
-    (branch+category, category, branch, global), else the category's
-    default, else the generic default.  A highest price comes from a
-    configuration row alone."""
+    (branch and category, branch, category, all); a field of it that is zero or
+    NULL counts as missing and is the generic one.  Without a row the category's
+    default, else the generic one.  A highest price comes from a configuration
+    row alone.  Each level is an equi-join; of several rows of a level the
+    greatest counts."""
     cols = ["min_price", "max_discount_pct", "max_premium_pct"]
-    out = cells
+    out, found = cells, F.lit(None)
     if config is not None:
-        g = config.where(F.col("is_active"))
-        spec = (F.when(F.col("g_branch").isNotNull(), 2).otherwise(0)
-                + F.when(F.col("g_category").isNotNull(), 1).otherwise(0))
-        cand = cells.select(*CELL).join(
-            g.select("tenant_id", F.col("branch_id").alias("g_branch"), F.col("category_id").alias("g_category"),
-                     *cols, "max_price"), "tenant_id")
-        cand = cand.where((F.col("g_branch").isNull() | (F.col("g_branch") == F.col("branch_id")))
-                          & (F.col("g_category").isNull() | (F.col("g_category") == F.col("category_id"))))
-        best = cand.groupBy(*CELL).agg(F.max_by(F.struct(*cols, "max_price"), spec).alias("g"))
-        out = out.join(best.select(*CELL, *[F.col("g." + c).alias("cfg_" + c) for c in (*cols, "max_price")]), CELL, "left")
-    d = F.broadcast(categories.select("category_id", F.col("default_min_price").alias("d_min_price"),
-                                      F.col("default_max_discount_pct").alias("d_max_discount_pct"),
-                                      F.col("default_max_premium_pct").alias("d_max_premium_pct")))
+        row = F.struct(*cols, "max_price")
+        levels = (["branch_id", "category_id"], ["branch_id"], ["category_id"], [])
+        for i, level in enumerate(levels):
+            fits = F.col("is_active")
+            for c in ("branch_id", "category_id"):
+                fits &= F.col(c).isNotNull() if c in level else F.col(c).isNull()
+            best = config.where(fits).groupBy("tenant_id", *level).agg(F.max(row).alias(f"_g{i}"))
+            out = out.join(best if len(level) > 1 else F.broadcast(best), ["tenant_id", *level], "left")  # broadcast: at most a tenant's branches
+        out = out.withColumn("_g", F.coalesce(*[F.col(f"_g{i}") for i in range(len(levels))]))
+        found = F.col("_g")
+    d = F.broadcast(categories.select("category_id", *[F.col("default_" + c).alias("_d_" + c) for c in cols]))
     out = out.join(d, "category_id", "left")
     sel = []
-    for c, gen in zip(cols, generic):
-        parts = ([F.col("cfg_" + c)] if config is not None else []) + [F.col("d_" + c), F.lit(gen)]
-        sel.append(F.coalesce(*parts).alias("guardrail_" + c))
+    for c, gen in zip(cols, generic, strict=True):
+        value = F.coalesce(F.col("_d_" + c), F.lit(gen))
+        if config is not None:
+            value = F.when(found.isNotNull(), F.coalesce(F.nullif(found[c], F.lit(0.0)), F.lit(gen))).otherwise(value)
+        sel.append(value.alias("guardrail_" + c))
     if config is not None:
-        sel.append(F.col("cfg_max_price").alias("guardrail_max_price"))
-    keep = [c for c in cells.columns]
-    return out.select(*keep, *sel)
+        sel.append(found["max_price"].alias("guardrail_max_price"))
+    return out.select(*cells.columns, *sel)
 
 
 def holiday_calendar(holiday_window: DataFrame, weekend_days=DEFAULT_WEEKEND) -> DataFrame:
@@ -239,13 +235,6 @@ def guardrail_violations(decisions: DataFrame) -> DataFrame:
     return decisions.where((F.col("status") == "approved") & bad)
 
 
-def first_pending_day(recs: DataFrame) -> DataFrame:
-    """PRC-15 (skip): the first pending day of each branch x category."""
-    w = Window.partitionBy("tenant_id", "branch_id", "category_id").orderBy("forecast_date")
-    p = recs.where(F.col("status") == "pending")
-    return p.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def recommendation_summary(recs: DataFrame) -> DataFrame:
     """AGG-18 / AGG-30: status counts, distinct cells, date range, mean
     adjustment per run."""

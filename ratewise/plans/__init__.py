@@ -12,5 +12,6 @@ from ratewise.plans import recommend_plans  # noqa: F401
 from ratewise.plans import workflow_plans  # noqa: F401
 from ratewise.plans import profile_plans  # noqa: F401
 from ratewise.plans import misc_plans  # noqa: F401
+from ratewise.plans import tenant_plans  # noqa: F401
 from ratewise.plans import stream_plans  # noqa: F401
 from ratewise.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -37,12 +37,6 @@ FACT_SQL = f"""
           GROUP BY 1, 2, 3, 4)"""
 
 
-@query("src_01", with_views("SELECT * FROM contracts WHERE tenant_id = 1", "contracts"))
-def src_01(d):
-    """SRC-01: tenant-filtered scan of the contract table."""
-    return d.contracts.where(F.col("tenant_id") == d.tenant_id)
-
-
 @query("flt_01", with_views(f"""
     SELECT contract_id, branch_id, vehicle_id, start_date, daily_rate FROM contracts
     WHERE status_id = 211 AND tenant_id = 1

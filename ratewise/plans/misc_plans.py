@@ -104,33 +104,6 @@ def cfg_06(d):
     return F.broadcast(m).join(c, "category_id")
 
 
-SETTINGS = [("horizon_days", "30", "int"), ("min_margin", "0.15", "float"),
-            ("auto_approve", "false", "bool"), ("currency", "SAR", "string"),
-            ("regions", '["AFRICA","ASIA"]', "json")]
-
-
-@query("cfg_07", with_views("""
-    SELECT t.tenant_id, s.k AS setting_key, TRY_CAST(CASE WHEN s.t = 'int' THEN s.v END AS BIGINT) AS int_value,
-           TRY_CAST(CASE WHEN s.t = 'float' THEN s.v END AS DOUBLE) AS float_value,
-           CASE WHEN s.t = 'bool' THEN lower(s.v) = 'true' END AS bool_value,
-           CASE WHEN s.t = 'string' THEN s.v END AS string_value,
-           CASE WHEN s.t = 'json' THEN CAST(json_array_length(s.v) AS INTEGER) END AS json_items
-    FROM (SELECT DISTINCT tenant_id FROM contracts) t CROSS JOIN (VALUES """ + ", ".join(
-        f"('{k}', '{v}', '{t}')" for k, v, t in SETTINGS) + """) s(k, v, t)""", "contracts"))
-def cfg_07(d):
-    """CFG-07: typed key-value settings of every tenant decoded by type."""
-    t = d.contracts.select("tenant_id").distinct()
-    arr = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(ty).alias("t")) for k, v, ty in SETTINGS])
-    s = t.select("tenant_id", F.explode(arr).alias("s"))
-    v, ty = F.col("s.v"), F.col("s.t")
-    return s.select("tenant_id", F.col("s.k").alias("setting_key"),
-                    F.when(ty == "int", v).try_cast("bigint").alias("int_value"),
-                    F.when(ty == "float", v).try_cast("double").alias("float_value"),
-                    F.when(ty == "bool", F.lower(v) == "true").alias("bool_value"),
-                    F.when(ty == "string", v).alias("string_value"),
-                    F.when(ty == "json", F.json_array_length(v)).alias("json_items"))
-
-
 # ---- writers --------------------------------------------------------------------
 
 MERGE_T_END, MERGE_S_START = dt.date(2000, 1, 20), dt.date(2000, 1, 15)

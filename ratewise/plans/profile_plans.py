@@ -96,28 +96,6 @@ def agg_17(d):
         "live_quotes", F.coalesce("live_quotes", F.lit(0)))
 
 
-@query("agg_19", with_views("""
-    SELECT t.tenant_id,
-           (SELECT list_sort(list({'category_id': category_id, 'min_price': default_min_price})) FROM categories)
-             AS guardrails,
-           (SELECT list_sort(list({'signal_name': signal_name, 'weight': weight})) FROM signal_weights_default)
-             AS weights,
-           (SELECT count(*) FROM status_config) AS statuses
-    FROM (SELECT DISTINCT tenant_id FROM contracts) t""",
-                            "contracts", "categories", "signal_weights_default", "status_config"))
-def agg_19(d):
-    """AGG-19: configuration summary per tenant as one nested row."""
-    tenants = d.contracts.select("tenant_id").distinct()
-    t = F.lit(d.tenant_id).alias("tenant_id")
-    g = d.categories.groupBy(t).agg(F.array_sort(F.collect_list(F.struct(
-        "category_id", F.col("default_min_price").alias("min_price")))).alias("guardrails"))
-    w = d.fixed("signal_weights_default").groupBy(t).agg(
-        F.array_sort(F.collect_list(F.struct("signal_name", "weight"))).alias("weights"))
-    n = d.fixed("status_config").groupBy(t).agg(F.count(F.lit(1)).alias("statuses"))
-    one = g.join(w, "tenant_id").join(n, "tenant_id")
-    return tenants.join(F.broadcast(one), "tenant_id")
-
-
 # ---- contract profiles ---------------------------------------------------------
 
 @query("agg_20", with_views("""

@@ -40,11 +40,11 @@ register_view("weights", f"""
                  CASE WHEN is_enabled THEN weight ELSE 0.0 END AS w FROM weights_cfg)
     GROUP BY tenant_id""", ("weights_cfg",))
 register_view("guardrail_config", fixed_table_sql("guardrail_config"))
-register_view("guardrails", """
+register_view("guardrails", f"""
     SELECT c.tenant_id, c.branch_id, c.category_id, g.max_price AS guardrail_max_price,
-           coalesce(g.min_price, d.guardrail_min_price) AS guardrail_min_price,
-           coalesce(g.max_discount_pct, d.guardrail_max_discount_pct) AS guardrail_max_discount_pct,
-           coalesce(g.max_premium_pct, d.guardrail_max_premium_pct) AS guardrail_max_premium_pct
+           CASE WHEN g.rn = 1 THEN coalesce(nullif(g.min_price, 0), {GENERIC_GUARDRAIL[0]}) ELSE d.guardrail_min_price END AS guardrail_min_price,
+           CASE WHEN g.rn = 1 THEN coalesce(nullif(g.max_discount_pct, 0), {GENERIC_GUARDRAIL[1]}) ELSE d.guardrail_max_discount_pct END AS guardrail_max_discount_pct,
+           CASE WHEN g.rn = 1 THEN coalesce(nullif(g.max_premium_pct, 0), {GENERIC_GUARDRAIL[2]}) ELSE d.guardrail_max_premium_pct END AS guardrail_max_premium_pct
     FROM cells c JOIN guardrails_default d USING (tenant_id, branch_id, category_id)
     LEFT JOIN (SELECT f.branch_id, f.category_id, g.*, row_number() OVER (
                  PARTITION BY f.branch_id, f.category_id
@@ -300,20 +300,6 @@ def prc_06(d):
     return recommendations(d).select("branch_id", "category_id", "forecast_date", "explanation_text")
 
 
-@query("sig_p", with_views("SELECT * FROM weights", "weights"))
-def sig_p(d):
-    """SIG-P: signal-weight rows pivoted to one row per tenant."""
-    return _weights(d)
-
-
-@query("sig_v", with_views(f"""
-    SELECT tenant_id, {R(' + '.join('w_' + n for n in NAMES), 4)} AS weight_sum,
-           abs({' + '.join('w_' + n for n in NAMES)} - 1.0) < 0.01 AS is_valid FROM weights""", "weights"))
-def sig_v(d):
-    """SIG-V: weights sum to 1 within .01."""
-    return rc.weights_check(_weights(d))
-
-
 @query("prc_02", with_views("""
     SELECT g.* FROM guardrails_default g
     WHERE (g.tenant_id, g.branch_id, g.category_id) IN (SELECT tenant_id, branch_id, category_id FROM fleet_size)""",
