@@ -12,6 +12,7 @@ from ratewise.plans.demand_plans import FACT_SQL
 from ratewise.plans.oracle_views import with_views
 from ratewise.plans.registry import query
 from ratewise.sources.domain import EVENT_SHIFT_MONTHS
+from ratewise.sources.fixed import TENANT_ID
 from ratewise.streaming import incremental as st
 
 
@@ -45,35 +46,49 @@ def stm_02(d):
     return st.activity(st.run_available(stream, feed, lambda b: st.activity_partial(b, d.fixed("event_city"))))
 
 
-@query("stm_03", with_views("SELECT * FROM event_signal", "event_signal"))
+@query("stm_03", with_views(f"""
+    SELECT {TENANT_ID} AS tenant_id, event_date, city_name, value AS last_value, ts AS last_seen, event_id AS last_event_id
+    FROM (SELECT *, CAST(CAST(ts AS DATE) + INTERVAL '{EVENT_SHIFT_MONTHS} months' AS DATE) AS event_date FROM events JOIN event_city USING (event_type))
+    QUALIFY row_number() OVER (PARTITION BY event_date, city_name ORDER BY ts DESC, event_id DESC) = 1""", "event_city"))
 def stm_03(d):
-    """STM-03: incremental feed (foreachBatch) of the daily event signal;
-    equals the batch table."""
-    stream, feed = _feed(d, "event_signal", "events")
-    return st.event_signal(st.run_available(
-        stream, feed, lambda b: st.event_partial(b, d.fixed("event_city"), d.tenant_id, EVENT_SHIFT_MONTHS)))
+    """STM-03: incremental upsert of each city's last reading of a day; a later
+    file replaces what an earlier one brought, in the months it touches alone."""
+    path = f"{d.t.sf_dir}/events.parquet"
+    table = st.UpsertTable(d.spark, "event_readings", path)
+    return st.run_upserts(st.stream_table(d.spark, path), table, ["tenant_id", "event_date", "city_name"], "event_date", ["last_seen", "last_event_id"],
+                          lambda b: st.event_readings(b, d.fixed("event_city"), d.tenant_id, EVENT_SHIFT_MONTHS))
 
 
 @query("stm_04", with_views("""
-    SELECT DISTINCT competitor_name, vehicle_name, price_date FROM listings""", "listings"))
+    SELECT DISTINCT competitor_name, vehicle_name, CAST(price_date AS TIMESTAMP) AS quoted_at FROM listings""", "listings"))
 def stm_04(d):
-    """STM-04: de-duplication of competitor quotes (one row per supplier,
-    vehicle and day), within a micro-batch and against all earlier ones."""
-    from ratewise.functions.text import MODEL_CATEGORIES
-    p, s = d.t.part, d.t.supplier
-    models = F.array(*[F.lit(k) for k, _ in MODEL_CATEGORIES])
-    vname = F.when(F.col("p_size") > 45, F.col("p_name")).otherwise(
-        F.concat(F.element_at(models, (F.col("p_partkey") % len(MODEL_CATEGORIES) + 1).cast("int")),
-                 F.lit(" "), F.col("p_name")))
+    """STM-04: competitor quotes without those of a supplier and vehicle seen
+    within 24 hours.  Quotes of the given tables are dated by day, so each day
+    counts anew, whatever the order of the files."""
+    catalog = d.vehicle_catalog.select("p_partkey", "vehicle_name")
+    suppliers = d.t.supplier.select("s_suppkey", F.col("s_name").alias("competitor_name"))
 
     def quotes(li):
-        return (li.join(p.select("p_partkey", "p_name", "p_size"), li.l_partkey == p.p_partkey)
-                .join(s.select("s_suppkey", "s_name"), li.l_suppkey == s.s_suppkey)
-                .select(F.col("s_name").alias("competitor_name"), vname.alias("vehicle_name"),
-                        F.to_date("l_shipdate").alias("price_date")))
-
-    stream, feed = _feed(d, "quotes_dedup", "lineitem")
-    return st.run_deduplicated(stream, feed, ["competitor_name", "vehicle_name", "price_date"], quotes)
+        return (li.join(catalog, li.l_partkey == catalog.p_partkey).join(suppliers, li.l_suppkey == suppliers.s_suppkey)
+                .select("competitor_name", "vehicle_name", F.date_trunc("day", "l_shipdate").alias("quoted_at")))
+
+    path = f"{d.t.sf_dir}/lineitem.parquet"
+    table = st.PeriodTable(d.spark, "quotes_ttl", path)
+    return st.run_deduplicated(st.stream_table(d.spark, path), table, ["competitor_name", "vehicle_name"], "quoted_at", quotes)
+
+
+@query("stm_04_ttl", with_views("""
+    RECURSIVE seen AS (SELECT DISTINCT event_type, user_id, ts FROM events),
+    kept AS (SELECT event_type, user_id, min(ts) AS ts FROM seen GROUP BY ALL UNION ALL
+      SELECT k.event_type, k.user_id, (SELECT min(s.ts) FROM seen s WHERE s.event_type = k.event_type AND s.user_id = k.user_id
+        AND s.ts >= k.ts + INTERVAL 24 HOUR) AS ts FROM kept k WHERE k.ts IS NOT NULL)
+    SELECT event_type, user_id, ts AS seen_at FROM kept WHERE ts IS NOT NULL""".replace("    RECURSIVE", "WITH RECURSIVE", 1)))
+def stm_04_ttl(d):
+    """STM-04: a user's events of a type, once within 24 hours of the last one kept."""
+    path = f"{d.t.sf_dir}/events.parquet"
+    table = st.PeriodTable(d.spark, "events_ttl", path)
+    return st.run_deduplicated(st.stream_table(d.spark, path), table, ["event_type", "user_id"], "seen_at",
+                               lambda b: b.withColumnRenamed("ts", "seen_at"))
 
 
 @query("stm_05", with_views("SELECT * FROM event_signal", "event_signal"))
