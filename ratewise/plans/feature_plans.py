@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratewise.functions.mathx import rnd_sql as R
+from ratewise.operators import boosted as bo
 from ratewise.operators import demand as dm
 from ratewise.operators import features as fe
 from ratewise.operators import timeseries as ts
@@ -12,6 +13,7 @@ from ratewise.plans import params as P
 from ratewise.plans.demand_plans import FACT_SQL
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
+from ratewise.sinks import io
 
 CUT = f"DATE '{P.SPLIT_CUTOFF}'"
 DAYNO = "(demand_date - DATE '1970-01-01')"
@@ -221,9 +223,11 @@ def val_01(d):
     WITH med AS (SELECT tenant_id, quantile_cont(avg_base_price_paid, 0.5) AS m FROM feature_store GROUP BY 1),
          cats AS (SELECT tenant_id, category_id,
                          CAST(dense_rank() OVER (PARTITION BY tenant_id ORDER BY category_id) - 1 AS INTEGER) AS code
-                  FROM (SELECT DISTINCT tenant_id, category_id FROM feature_store))
+                  FROM (SELECT DISTINCT tenant_id, category_id FROM feature_store)),
+         branch AS (SELECT branch_id, CAST(dense_rank() OVER (ORDER BY branch_id) - 1 AS INTEGER) AS code
+                    FROM (SELECT DISTINCT branch_id FROM feature_store))
     SELECT f.tenant_id, f.branch_id, f.category_id, f.demand_date, split_flag,
-           executed_rentals_count AS target, cats.code AS category_code,
+           CAST(executed_rentals_count AS DOUBLE) AS target, branch.code AS branch_code, cats.code AS category_code,
            day_of_week, day_of_month, week_of_year, month_of_year, quarter,
            CAST(is_weekend AS INTEGER) AS is_weekend, CAST(is_public_holiday AS INTEGER) AS is_public_holiday,
            CAST(is_religious_holiday AS INTEGER) AS is_religious_holiday,
@@ -237,7 +241,8 @@ def val_01(d):
            coalesce(event_score, 0.0) AS event_score,
            {R('coalesce(avg_base_price_paid, med.m)', 4)} AS price
     FROM feature_store f JOIN med ON f.tenant_id = med.tenant_id
-    JOIN cats ON cats.tenant_id = f.tenant_id AND cats.category_id = f.category_id""", "feature_store"))
+    JOIN cats ON cats.tenant_id = f.tenant_id AND cats.category_id = f.category_id
+    JOIN branch ON branch.branch_id = f.branch_id""", "feature_store"))
 def fst_07(d):
-    """FST-07: model matrix (codes, 0/1 flags, NULL fills, median price)."""
-    return fe.model_matrix(_fs(d))
+    """FST-07: model matrix (codes of the fitted indexers, 0/1 flags, NULL fills, median price)."""
+    return bo.model_matrix(io.materialize(_fs(d), "feature_store"))

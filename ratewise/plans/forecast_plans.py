@@ -282,8 +282,9 @@ def win_12(d):
 def fct_14(d):
     """FCT-14: full train pipeline -- backtest, pick the best model, forecast
     with it and allocate to series."""
-    best = fc.select_best(fc.backtest(fc.total_demand(_fs(d)), P.SPLIT_CUTOFF, H))
-    runs = [fc.forecast_run(_fs(d), P.RUN_DATE, H, m) for m in fc.MODELS]
+    fact = io.materialize(_fs(d), "fact")
+    best = fc.select_best(fc.backtest(fc.total_demand(fact), P.SPLIT_CUTOFF, H))
+    runs = [fc.forecast_run(fact, P.RUN_DATE, H, m) for m in fc.MODELS]
     allr = runs[0].unionByName(runs[1])
     return allr.join(best.select("tenant_id", F.col("selected_model").alias("model_name")),
                      ["tenant_id", "model_name"], "left_semi")

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from ratewise.functions import calendar as cf
 from ratewise.functions.mathx import cents_avg, cents_avg_sql, money, money_sql, rnd, rnd_sql as R, safe_div
 from ratewise.functions.text import localized_name
+from ratewise.operators import boosted as bo
 from ratewise.operators import calendar as cal
 from ratewise.operators import demand as dm
 from ratewise.operators import forecast as fc
+from ratewise.operators import training as tr
 from ratewise.operators import utilization as ut
 from ratewise.plans import params as P
 from ratewise.plans import profile_plans  # noqa: F401
 from ratewise.plans.competitor_plans import _quotes, comp_index
+from ratewise.plans.demand_plans import calendar_sql
 from ratewise.plans.feature_plans import _fact_split, _fs
 from ratewise.plans.forecast_plans import forecast_runs
 from ratewise.plans.oracle_views import register_view, with_views
@@ -182,6 +185,19 @@ def snk_04(d):
     return d.spark.read.parquet(path)
 
 
+@query("snk_04_best", with_views(f"""
+    SELECT m.tenant_id, selected_model, 'mae' AS selection_metric, metric_value, selection_date
+    FROM best_model m CROSS JOIN (VALUES (DATE '{P.RUN_DATE - dt.timedelta(days=P.HORIZON)}'), (DATE '{P.RUN_DATE}')) e(selection_date)""",
+                                "best_model"))
+def snk_04_best(d):
+    """SNK-04: the row of the chosen model, appended by each of two runs."""
+    best = io.materialize(fc.select_best(fc.backtest(fc.total_demand(io.materialize(_fact_split(d), "fact")), P.SPLIT_CUTOFF, P.HORIZON)), "best")
+    path = io.new_table(d.spark, "selections")
+    for day in (P.RUN_DATE - dt.timedelta(days=P.HORIZON), P.RUN_DATE):
+        io.append(tr.selection_rows(best, day), path)
+    return d.spark.read.parquet(path)
+
+
 @query("snk_05", with_views("""
     SELECT 'decision' AS action_type, 'recommendation' AS entity_type,
            concat_ws(':', CAST(branch_id AS VARCHAR), CAST(category_id AS VARCHAR), CAST(forecast_date AS VARCHAR),
@@ -405,40 +421,25 @@ def fct_13(d):
 
 
 @query("fct_04", with_views(f"""
-    WITH t AS (SELECT tenant_id, branch_id, category_id,
-                      max(CASE WHEN rn = 1 THEN executed_rentals_count END) AS last_value,
+    WITH t AS (SELECT tenant_id, branch_id, category_id, max(CASE WHEN rn = 1 THEN executed_rentals_count END) AS last_value,
                       max(CASE WHEN rn = 7 THEN executed_rentals_count END) AS value_7_back,
-                      {R('avg(CASE WHEN rn <= 7 THEN executed_rentals_count END)', 4)} AS mean_last_7,
-                      {R('avg(executed_rentals_count)', 4)} AS mean_last_30, max(demand_date) AS last_date,
-                      arg_max(avg_base_price_paid, demand_date) AS last_price
-               FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, branch_id, category_id
-                                                  ORDER BY demand_date DESC) AS rn
-                     FROM feature_store WHERE split_flag = 'TRAIN') WHERE rn <= 30 GROUP BY 1, 2, 3)
-    SELECT tenant_id, branch_id, category_id, CAST(h AS INTEGER) AS horizon_day,
-           CAST(last_date + CAST(h AS INTEGER) AS DATE) AS feature_date,
-           CAST(dayofweek(last_date + CAST(h AS INTEGER)) AS INTEGER) AS day_of_week,
-           CAST(month(last_date + CAST(h AS INTEGER)) AS INTEGER) AS month_of_year,
+                      avg(CASE WHEN rn <= 7 THEN executed_rentals_count END) AS mean_last_7,
+                      avg(executed_rentals_count) AS mean_last_30, arg_max(avg_base_price_paid, demand_date) AS last_price
+               FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, branch_id, category_id ORDER BY demand_date DESC) AS rn
+                     FROM feature_store WHERE split_flag = 'TRAIN') WHERE rn <= 30 GROUP BY 1, 2, 3),
+    e AS (SELECT tenant_id, max(demand_date) AS last_date FROM feature_store WHERE split_flag = 'TRAIN' GROUP BY 1),
+    x AS (SELECT t.*, CAST(h AS INTEGER) AS horizon_day, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS feature_date FROM t JOIN e USING (tenant_id), range(1, {P.HORIZON + 1}) r(h))
+    SELECT tenant_id, branch_id, category_id, horizon_day, feature_date, day_of_week, day_of_month, week_of_year, month_of_year, quarter,
+           CAST(is_weekend AS INTEGER) AS is_weekend, 0 AS is_public_holiday, 0 AS is_religious_holiday, 0 AS has_major_event,
            CAST(last_value AS DOUBLE) AS lag_1d, CAST(coalesce(value_7_back, last_value) AS DOUBLE) AS lag_7d,
-           mean_last_7 AS rolling_7d, mean_last_30 AS rolling_30d, CAST(30 AS DOUBLE) AS temperature_avg,
-           CAST(0 AS DOUBLE) AS event_score,
-           last_price AS price
-    FROM t, range(1, {P.HORIZON + 1}) r(h)""", "feature_store"))
+           {R('mean_last_7', 4)} AS rolling_7d, {R('mean_last_30', 4)} AS rolling_30d, CAST(30 AS DOUBLE) AS temperature_avg,
+           CAST(0 AS DOUBLE) AS precipitation_mm, CAST(0 AS DOUBLE) AS event_score, last_price AS price
+    FROM (SELECT *, {calendar_sql('feature_date')} FROM x)""", "feature_store"))
 def fct_04(d):
-    """FCT-04: future feature rows per series x horizon day from the
-    series tail (last-known lags, constants for weather and events)."""
-    from ratewise.operators import timeseries as tsx
-    train = _fact_split(d).where(F.col("split_flag") == "TRAIN")
-    tail = tsx.tail_stats(train, "executed_rentals_count", CELLK, "demand_date")
-    lastp = train.groupBy(*CELLK).agg(F.max_by("avg_base_price_paid", "demand_date").alias("price"))
-    t = tail.join(lastp, CELLK)
-    x = t.select("*", F.explode(F.sequence(F.lit(1), F.lit(P.HORIZON))).alias("horizon_day"))
-    fd = F.date_add("last_date", F.col("horizon_day"))
-    return x.select(*CELLK, "horizon_day", fd.alias("feature_date"), cf.day_of_week0(fd).cast("int").alias("day_of_week"),
-                    F.month(fd).alias("month_of_year"), F.col("last_value").cast("double").alias("lag_1d"),
-                    F.coalesce("value_7_back", "last_value").cast("double").alias("lag_7d"),
-                    F.col("mean_last_7").alias("rolling_7d"),
-                    F.col("mean_last_30").alias("rolling_30d"), F.lit(30.0).alias("temperature_avg"),
-                    F.lit(0.0).alias("event_score"), "price")
+    """FCT-04: future feature rows per series x horizon day from the series'
+    tails: every feature of the model, under its names."""
+    rows = bo.future_rows(_fact_split(d).where(F.col("split_flag") == "TRAIN"), P.HORIZON)
+    return rows.select(*[rnd(c, 4).alias(c) if c.startswith("rolling") else c for c in rows.columns])
 
 
 STEPS = ["target", "lag_1d", "lag_7d", "rolling_7d", "temperature_avg"]
@@ -459,7 +460,7 @@ def fct_05(d):
     from ratewise.operators import features as fe
     from ratewise.operators import timeseries as tsx
     length = 14
-    mm = fe.model_matrix(_fs(d))
+    mm = io.materialize(fe.model_matrix(_fs(d)), "model_matrix")
     seq = tsx.sliding_sequences(mm, STEPS, "target", CELLK, "demand_date", length)
     # row i of n is in the sequences of rows i + 1 .. i + length, as far as they exist and have a full history
     i, n = F.row_number().over(Window.partitionBy(*CELLK).orderBy("demand_date")), F.count(F.lit(1)).over(Window.partitionBy(*CELLK))
@@ -479,25 +480,23 @@ def fct_05(d):
 
 @query("fct_03")
 def fct_03(d):
-    """FCT-03: global boosted-tree model (Spark ML GBT, 100 trees, depth 6,
-    step .1, seed 42) trained on TRAIN rows, predictions on VALIDATION."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    from ratewise.operators import features as fe
-    mm = fe.model_matrix(_fs(d))
-    feats = ["category_code", "day_of_week", "day_of_month", "week_of_year", "month_of_year", "quarter", "is_weekend",
-             "is_public_holiday", "has_major_event", "lag_1d", "lag_7d", "rolling_7d", "rolling_30d",
-             "temperature_avg", "precipitation_mm", "event_score", "price"]
-    # The iterative fit reads its input once per tree: give it a materialized
-    # matrix instead of the feature-store lineage.
-    mm = io.materialize(mm, "model_matrix")
-    va = VectorAssembler(inputCols=feats, outputCol="features")
-    train = va.transform(mm.where(F.col("split_flag") == "TRAIN")).select("features", F.col("target").cast("double"))
-    model = GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.1, seed=42, labelCol="target",
-                         cacheNodeIds=True).fit(train)
-    val = va.transform(mm.where(F.col("split_flag") == "VALIDATION"))
-    return model.transform(val).select(*CELLK, "demand_date", "target",
-                                       rnd(F.greatest(F.col("prediction"), F.lit(0.0)), 4).alias("prediction"))
+    """FCT-03: global boosted trees (100 of depth 6, step .1, seed 42) fitted on
+    TRAIN, saved, loaded again, and predicting VALIDATION rows."""
+    fs = io.materialize(_fs(d), "feature_store")
+    path = io.new_table(d.spark, "boosted-model")
+    bo.BoostedTrees().fit(fs.where(F.col("split_flag") == "TRAIN")).save(path)
+    rows = bo.matrix_rows(fs.where(F.col("split_flag") == "VALIDATION"))
+    return bo.FittedTrees.load(path).score(rows).select(*CELLK, "demand_date", "target", rnd("prediction", 4).alias("prediction"))
+
+
+@query("fct_14_run")
+def fct_14_run(d):
+    """FCT-14 with every model: fitted, scored, the best one fitted again on all
+    rows, its forecasts saved; the evaluations with the best model's flag."""
+    folder = io.new_table(d.spark, "training-run")
+    run = tr.TrainingRun(folder, horizon=P.HORIZON)
+    forecasts = run.run(_fs(d)).groupBy("tenant_id").agg(F.count("*").alias("forecast_rows"), F.max("model_name").alias("forecast_model"))
+    return d.spark.read.parquet(f"{folder}/evaluations").drop("training_time_sec").join(forecasts, "tenant_id")
 
 
 # ---- validation gates -------------------------------------------------------------
@@ -557,11 +556,11 @@ def val_03(d):
 def val_04(d):
     """VAL-04: forecast gate -- >= 2 models evaluated, best MAE <= 1.5 x
     naive, forecast stddev > .1, 30-day horizon."""
-    total = fc.total_demand(_fact_split(d))
-    m = fc.backtest(total, P.SPLIT_CUTOFF, P.HORIZON)
+    fact = io.materialize(_fact_split(d), "fact")
+    m = io.materialize(fc.backtest(fc.total_demand(fact), P.SPLIT_CUTOFF, P.HORIZON), "evaluation")
     best = fc.select_best(m)
     naive = m.where(F.col("model_name") == "seasonal_naive").select("tenant_id", F.col("mae").alias("naive_mae"))
-    runs = fc.forecast_run(_fact_split(d), P.RUN_DATE, P.HORIZON, "seasonal_naive")
+    runs = fc.forecast_run(fact, P.RUN_DATE, P.HORIZON, "seasonal_naive")
     fstats = runs.groupBy("tenant_id").agg(F.stddev_samp("forecast_demand").alias("sd"),
                                            F.countDistinct("horizon_day").alias("h"))
     n = m.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("models"))

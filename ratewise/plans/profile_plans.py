@@ -23,6 +23,7 @@ from ratewise.plans.forecast_plans import forecast_runs
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.recommend_plans import guardrail_config
 from ratewise.plans.registry import query
+from ratewise.sinks import io
 from ratewise.sources.fixed import CATEGORIES
 
 RENT = "(SELECT * FROM contracts WHERE status_id = 211)"
@@ -221,7 +222,7 @@ def top_05(d):
 
 def _evaluations(d):
     """Evaluations of the models at two cutoffs, a horizon apart."""
-    total = fc.total_demand(_fact_split(d))
+    total = io.materialize(fc.total_demand(_fact_split(d)), "total")
     earlier, latest = (fc.backtest(total, day, P.HORIZON).withColumn("evaluation_date", F.lit(day))
                        for day in (P.SPLIT_CUTOFF - dt.timedelta(days=P.HORIZON), P.SPLIT_CUTOFF))
     return earlier.unionByName(latest)
