@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ratewise.functions.mathx import money_sql as M, rnd, rnd_sql as R
 from ratewise.operators import calendar as cal
 from ratewise.operators import forecast as fc
+from ratewise.operators import quarantine
 from ratewise.operators import recommend as rc
 from ratewise.operators import weather as wx
 from ratewise.plans import calendar_plans, competitor_plans, feature_plans, forecast_plans  # noqa: F401
@@ -14,7 +15,7 @@ from ratewise.plans import params as P
 from ratewise.plans.competitor_plans import base_rates
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
-from ratewise.sinks.io import materialize
+from ratewise.sinks.io import materialize, new_table
 from ratewise.sources.fixed import CATEGORIES, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS, fixed_table_sql
 
 RUN = f"DATE '{P.RUN_DATE}'"
@@ -344,6 +345,41 @@ def prc_07(d):
     return rc.run_statistics(recommendations(d))
 
 
+#: Rate sheets: a text per branch and category, the last one sent; some are no rates.
+register_view("rate_sheets", """
+    SELECT c_nationkey AS branch_id, CAST(c_custkey % 6 + 1 AS INTEGER) AS category_id,
+           CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END AS sheet_rate
+    FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_custkey % 6 ORDER BY c_custkey DESC) = 1""")
+
+
+def rate_sheets(d):
+    key = F.col("c_custkey")
+    text = F.when(key % 7 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    return d.t.customer.groupBy(F.col("c_nationkey").alias("branch_id"), (key % 6 + 1).cast("int").alias("category_id")).agg(
+        F.max_by(text, key).alias("sheet_rate"))
+
+
+@query("prc_07_run", with_views("""
+    WITH checked AS (SELECT r.*, CASE WHEN TRY_CAST(sheet_rate AS DOUBLE) IS NULL AND sheet_rate IS NOT NULL THEN 'rate is not a number'
+        WHEN TRY_CAST(sheet_rate AS DOUBLE) <= 0 THEN 'rate is not positive' END AS reason
+      FROM recommendations r LEFT JOIN rate_sheets USING (branch_id, category_id))
+    SELECT tenant_id, run_date, count(DISTINCT CASE WHEN reason IS NULL THEN (branch_id, category_id) END) AS units_processed,
+           count(DISTINCT CASE WHEN reason IS NOT NULL THEN (branch_id, category_id) END) AS units_failed,
+           count(*) AS recommendations_generated, count_if(reason IS NULL) AS recommendations_saved, count_if(reason IS NOT NULL) AS recommendations_quarantined,
+           (SELECT list_sort(list(DISTINCT 'B' || branch_id || '/C' || category_id || ': ' || reason)) FROM checked WHERE reason IS NOT NULL) AS errors
+    FROM checked GROUP BY 1, 2""", "recommendations", "rate_sheets"))
+def prc_07_run(d):
+    """PRC-07: a run saved with its statistics.  Cells whose rate sheet cannot be
+    used are set aside with the reason; the others are saved."""
+    rows = recommendations(d).join(rate_sheets(d), ["branch_id", "category_id"], "left")
+    rate = F.col("sheet_rate").try_cast("double")
+    rules = {"rate is not a number": F.col("sheet_rate").isNotNull() & rate.isNull(), "rate is not positive": rate <= 0,
+             "price is missing": F.col("rec_daily").isNull() | F.isnan("rec_daily")}
+    folder, run = new_table(d.spark, "recommendation-run"), ["tenant_id", "run_date"]
+    saved, aside = quarantine.save_run(rows, folder, rc.CELL, rules, run)
+    return quarantine.run_statistics(saved, aside, rc.CELL, run, {"branch_id": "B", "category_id": "C"})
+
+
 #: City of a branch that no location names (fixed value).
 DEFAULT_CITY = "Riyadh"
 
