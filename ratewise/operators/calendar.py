@@ -152,7 +152,7 @@ HOLIDAY_PAYLOAD_SCHEMA = ("response struct<holidays: array<struct<date: struct<i
 
 def normalise_holiday_payload(payloads: DataFrame, priority) -> DataFrame:
     """SRC-04: payload -> one row per holiday; ISO date prefix (10 chars),
-    empty dates skipped, priority type (CAL-04), public when any type
+    empty dates skipped, a missing name is Unknown, priority type (CAL-04), public when any type
     names a national holiday."""
     p = payloads.select("tenant_id", F.explode(
         F.from_json("payload", HOLIDAY_PAYLOAD_SCHEMA).getField("response").getField("holidays")).alias("h"))
@@ -161,7 +161,7 @@ def normalise_holiday_payload(payloads: DataFrame, priority) -> DataFrame:
     return p.select(
         "tenant_id",
         F.to_date(F.substring(iso, 1, 10)).alias("holiday_date"),
-        F.col("h.name").alias("holiday_name"),
+        F.coalesce("h.name", F.lit("Unknown")).alias("holiday_name"),
         F.col("h.name_local").alias("holiday_name_ar"),
         holiday_type_priority(F.col("h.type"), priority).alias("holiday_type"),
         F.exists(F.col("h.type"), lambda x: x == "National holiday").alias("is_public_holiday"),

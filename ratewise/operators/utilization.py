@@ -143,9 +143,9 @@ def status_distribution(vehicles: DataFrame, status_config: DataFrame, by: list[
     return g.withColumn("share_pct", rnd(F.col("vehicle_count") * 100.0 / F.sum("vehicle_count").over(w), 2))
 
 
-def status_groups(status_config: DataFrame) -> DataFrame:
-    """CFG-05: status ids grouped by class, sorted."""
-    return status_config.groupBy("status_type").agg(
+def status_groups(status_config: DataFrame, keys=()) -> DataFrame:
+    """CFG-05: status ids grouped by class (and ``keys``), sorted."""
+    return status_config.groupBy(*keys, "status_type").agg(
         F.array_sort(F.collect_list("status_id")).alias("status_ids"),
         F.count(F.lit(1)).alias("n_statuses"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratewise.functions import calendar as cf
 from ratewise.functions.mathx import cents_avg, cents_avg_sql, money, money_sql, rnd, rnd_sql as R, safe_div
 from ratewise.functions.text import localized_name
+from ratewise.operators import backfill as bf
 from ratewise.operators import boosted as bo
 from ratewise.operators import calendar as cal
 from ratewise.operators import demand as dm
@@ -315,6 +316,43 @@ def cal_05(d):
                            ["tenant_id", "holiday_date", "holiday_name"], created_col=None, updated_col=None)
 
 
+EVENTS_TO = dt.date(2000, 1, 25)
+
+
+def _calendar_tables(d, folder):
+    """Sources of a range: holidays of its years; events counted from their raw rows."""
+    from ratewise.sources.domain import EVENT_SHIFT_MONTHS
+    from ratewise.sources.fixed import FIXED_HOLIDAYS
+
+    def holidays(first, last):
+        years = d.branches.select("tenant_id").distinct().select(F.explode(F.sequence(F.lit(first.year), F.lit(last.year))).alias("year"))
+        return cal.fixed_holidays(years, FIXED_HOLIDAYS, d.tenant_id).drop("holiday_name_ar")
+
+    def events(first, last):
+        moved = lambda day, days: F.add_months(F.lit(day), -EVENT_SHIFT_MONTHS) + F.make_interval(days=F.lit(days))  # noqa: E731  months' ends differ
+        e = d.t.events.where((F.col("ts") >= moved(first, -4)) & (F.col("ts") < moved(last, 5))).select("ts", "event_type")
+        e = e.join(F.broadcast(d.fixed("event_city")), "event_type")  # a fixed vocabulary
+        e = e.select(F.add_months(F.to_date("ts"), EVENT_SHIFT_MONTHS).alias("event_date"), "city_name")
+        return cal.event_signal(e.where(F.col("event_date").between(F.lit(first), F.lit(last))), d.tenant_id)
+
+    return bf.CalendarTables(d.spark, folder, holidays, events)
+
+
+@query("cal_05_backfill", with_views(f"""
+    SELECT 'holidays' AS kind, make_date(y, h_month, h_day) AS day, holiday_name AS name, CAST(NULL AS BIGINT) AS event_volume
+    FROM (SELECT unnest(range(1998, 2002)) AS y), fixed_holidays
+    UNION ALL SELECT 'events', event_date, city_name, event_volume FROM event_signal WHERE event_date BETWEEN DATE '1998-01-01' AND DATE '{EVENTS_TO}' + 1""",
+                                     "fixed_holidays", "event_signal"))
+def cal_05_backfill(d):
+    """CAL-05: three years backfilled in chunks, then the next day's update."""
+    tables = _calendar_tables(d, io.new_table(d.spark, "calendar"))
+    tables.backfill(1998, 2000, EVENTS_TO, days=400)
+    tables.daily_update(EVENTS_TO + dt.timedelta(days=1))
+    h, e = tables.read("holidays"), tables.read("events")
+    return (h.select(F.lit("holidays").alias("kind"), F.col("holiday_date").alias("day"), F.col("holiday_name").alias("name"), F.lit(None).cast("long").alias("event_volume"))
+            .union(e.select(F.lit("events"), "event_date", "city_name", "event_volume")))
+
+
 @query("cal_02", with_views(f"""
     SELECT * FROM calendar_features WHERE cal_date BETWEEN DATE '{P.RUN_DATE}' AND DATE '{P.RUN_DATE}' + {P.HORIZON - 1}""",
                             "calendar_features"))

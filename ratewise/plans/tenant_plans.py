@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ratewise.functions.mathx import rnd, rnd_sql as R
 from ratewise.operators import demand as dm
 from ratewise.operators import recommend as rc
+from ratewise.operators import utilization as ut
 from ratewise.plans import params as P
 from ratewise.plans import recommend_plans  # noqa: F401  (registers shared views)
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
-from ratewise.sources.fixed import CATEGORIES, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS
-from ratewise.sources.tenants import SETTING_TYPES, WEIGHT_NAMES, Tenants, typed_settings
+from ratewise.sources.fixed import CATEGORIES, DEFAULT_COMPETITOR_TYPE, DEFAULT_VEHICLE_TYPE, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS, fixed_table_sql
+from ratewise.sources.tenants import (CONFIGURED_TYPES, SETTING_TYPES, STATUS_TYPES, WEIGHT_NAMES, Tenants, default_where_empty,
+                                      feed_categories, typed_settings)
 
 W = dict(SIGNAL_WEIGHTS)
 AS_OF = f"DATE '{P.RUN_DATE}'"
@@ -143,6 +145,43 @@ def agg_19(d):
     return out.withColumn("active_guardrails", F.coalesce("active_guardrails", F.lit(0)))
 
 
+register_view("feed_categories", fixed_table_sql("feed_categories"))
+_CHANGED = f"FROM changes WHERE changed_on <= {AS_OF}"
+register_view("vehicle_type_rows", f"""
+    SELECT tenant_id, CAST(n % 7 AS INTEGER) AS category_id,
+           list_extract([{", ".join(f"'{n}'" for n in CONFIGURED_TYPES)}], CAST(change_id % {len(CONFIGURED_TYPES)} + 1 AS INTEGER)) AS vehicle_type, status <> 'P' AS is_active
+    {_CHANGED} {_LAST.format("tenant_id, n % 7")}""", ("changes",))
+register_view("status_rows", f"""
+    SELECT tenant_id, CAST(n % 17 + 140 AS INTEGER) AS status_id,
+           list_extract([{", ".join(f"'{n}'" for n in STATUS_TYPES)}], CAST(change_id % {len(STATUS_TYPES)} + 1 AS INTEGER)) AS status_type, status <> 'P' AS is_active
+    {_CHANGED} AND tenant_id % 2 = 1 {_LAST.format("tenant_id, n % 17")}""", ("changes",))
+
+
+@query("cfg_05_tenants", with_views("""
+    WITH used AS (SELECT tenant_id, status_id, status_type FROM status_rows WHERE is_active
+      UNION ALL SELECT tenant_id, status_id, status_type FROM tenants, status_config WHERE tenant_id NOT IN (SELECT tenant_id FROM status_rows WHERE is_active))
+    SELECT tenant_id, status_type, list_sort(list(status_id)) AS status_ids, count(*) AS n_statuses FROM used GROUP BY 1, 2""",
+                                    "tenants", "status_rows", "status_config"))
+def cfg_05_tenants(d):
+    """CFG-05: each tenant's status lists by class; the default lists of a
+    tenant that has configured none."""
+    t = Tenants(d)
+    config = t.statuses(P.RUN_DATE).where("is_active")
+    return ut.status_groups(default_where_empty(config, d.fixed("status_config").select("status_id", "status_type"), t.tenants), ["tenant_id"])
+
+
+@query("cmp_06_tenants", with_views(f"""
+    SELECT c.tenant_id, c.category_id, coalesce(m.vehicle_type, '{DEFAULT_VEHICLE_TYPE}') AS vehicle_type, coalesce(f.feed_category, '{DEFAULT_COMPETITOR_TYPE}') AS feed_category
+    FROM (SELECT DISTINCT tenant_id, category_id FROM t_vehicles) c
+    LEFT JOIN vehicle_type_rows m ON m.is_active AND m.tenant_id = c.tenant_id AND m.category_id = c.category_id
+    LEFT JOIN feed_categories f ON f.vehicle_type = lower(coalesce(m.vehicle_type, '{DEFAULT_VEHICLE_TYPE}'))""", "t_vehicles", "vehicle_type_rows", "feed_categories"))
+def cmp_06_tenants(d):
+    """CMP-06: each tenant's category, its configured vehicle type and the feed's category of that type."""
+    t = Tenants(d)
+    cells = t.vehicles.select("tenant_id", "category_id").distinct()
+    return feed_categories(cells, t.vehicle_types(P.RUN_DATE), d.fixed("feed_categories"), DEFAULT_VEHICLE_TYPE, DEFAULT_COMPETITOR_TYPE)
+
+
 def _level(cols: str) -> str:
     on = " AND ".join(["g.tenant_id = c.tenant_id"] + [f"g.{x} = c.{y}" for x, y in (("of_branch", "branch_id"), ("of_category", "category_id")) if y in cols]
                       + [f"g.{x} IS NULL" for x, y in (("of_branch", "branch_id"), ("of_category", "category_id")) if y not in cols])

@@ -91,6 +91,17 @@ COMPETITOR_MAPPING = [
 ]
 DEFAULT_COMPETITOR_TYPE = "Economy"
 
+# --- fixed values: competitor vehicle type -> the feed's category -----------
+FEED_CATEGORIES = [
+    ("economy", "Economy"),
+    ("compact", "Compact"),
+    ("standard", "Standard"),
+    ("fullsize", "Standard"),
+    ("suv", "SUV Standard"),
+    ("luxury", "Luxury Sedan"),
+]
+DEFAULT_VEHICLE_TYPE = "economy"
+
 # --- fixed values: guardrail configuration rows -----------------------------
 # (guardrail_id, category_id or None = all, branch_id or None = all,
 #  min_price, max_discount_pct, max_premium_pct, max_price or None = no such
@@ -152,6 +163,11 @@ COMPETITOR_MAPPING_SCHEMA = T.StructType([
     T.StructField("competitor_vehicle_type", T.StringType(), False),
 ])
 
+FEED_CATEGORY_SCHEMA = T.StructType([
+    T.StructField("vehicle_type", T.StringType(), False),
+    T.StructField("feed_category", T.StringType(), False),
+])
+
 GUARDRAIL_SCHEMA = T.StructType([
     T.StructField("guardrail_id", T.IntegerType(), False),
     T.StructField("category_id", T.IntegerType(), True),
@@ -163,6 +179,7 @@ GUARDRAIL_SCHEMA = T.StructType([
 ])
 
 _FIXED = {
+    "feed_categories": (FEED_CATEGORIES, FEED_CATEGORY_SCHEMA),
     "guardrail_config": (GUARDRAIL_CONFIG, GUARDRAIL_SCHEMA),
     "competitor_mapping": (COMPETITOR_MAPPING, COMPETITOR_MAPPING_SCHEMA),
     "categories": (CATEGORIES, CATEGORY_SCHEMA),

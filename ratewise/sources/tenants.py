@@ -26,6 +26,8 @@ from ratewise.sources.tables import load
 
 #: Names under which weights are configured, one of them an alias.
 WEIGHT_NAMES = ("utilization", "forecast", "competitor", "weather", "holiday", "demand_forecast")
+CONFIGURED_TYPES = ("economy", "Compact", "standard", "fullsize", "SUV", "luxury", "van")
+STATUS_TYPES = ("AVAILABLE", "RENTED", "EXCLUDED")
 SETTING_TYPES = ("int", "float", "bool", "string", "json")
 
 
@@ -107,6 +109,23 @@ class Tenants:
         rows = c.select("tenant_id", F.concat(F.lit("s"), (key % 40).cast("string")).alias("setting_key"), text.alias("value"), kind.alias("type"), "c_custkey")
         return latest(rows, ["tenant_id", "setting_key"], ["c_custkey"]).drop("c_custkey")
 
+    def vehicle_types(self, as_of: dt.date) -> DataFrame:
+        """Competitor vehicle types configured for categories, in force on a day;
+        some inactive, some of no known type, in any case of letters."""
+        kind = F.element_at(F.array(*[F.lit(t) for t in CONFIGURED_TYPES]), (F.col("change_id") % len(CONFIGURED_TYPES) + 1).cast("int"))
+        rows = self._changes.where(F.col("changed_on") <= F.lit(as_of)).select(
+            "tenant_id", (F.col("n") % 7).cast("int").alias("category_id"), kind.alias("vehicle_type"), (F.col("status") != "P").alias("is_active"),
+            "changed_on", "change_id")
+        return latest(rows, ["tenant_id", "category_id"], ["changed_on", "change_id"]).drop("changed_on", "change_id")
+
+    def statuses(self, as_of: dt.date) -> DataFrame:
+        """Vehicle statuses configured by tenants with an odd id; the others have configured none."""
+        kind = F.element_at(F.array(*[F.lit(t) for t in STATUS_TYPES]), (F.col("change_id") % len(STATUS_TYPES) + 1).cast("int"))
+        rows = self._changes.where((F.col("changed_on") <= F.lit(as_of)) & (F.col("tenant_id") % 2 == 1)).select(
+            "tenant_id", (F.col("n") % 17 + 140).cast("int").alias("status_id"), kind.alias("status_type"), (F.col("status") != "P").alias("is_active"),
+            "changed_on", "change_id")
+        return latest(rows, ["tenant_id", "status_id"], ["changed_on", "change_id"]).drop("changed_on", "change_id")
+
     def written(self, name: str) -> str:
         """The path of a table partitioned by tenant, written once."""
         if name not in self._paths:
@@ -129,3 +148,20 @@ def typed_settings(settings: DataFrame) -> DataFrame:
         "tenant_id", "setting_key", of("int").try_cast("bigint").alias("int_value"), of("float").try_cast("double").alias("float_value"),
         F.when(flag.isin("true", "false"), flag == "true").alias("bool_value"), of("string").alias("string_value"),
         F.json_array_length(of("json")).alias("json_items"))
+
+
+def default_where_empty(config: DataFrame, defaults: DataFrame, owners: DataFrame, owner: str = "tenant_id") -> DataFrame:
+    """CFG-05: each owner's configured rows, or, of an owner without any, all
+    default rows.  ``defaults`` is a small fixed table."""
+    without = owners.select(owner).distinct().join(config.select(owner).distinct(), owner, "left_anti")
+    return config.select(owner, *defaults.columns).unionByName(without.crossJoin(F.broadcast(defaults)))
+
+
+def feed_categories(cells: DataFrame, types: DataFrame, dictionary: DataFrame, default_type: str, default_category: str) -> DataFrame:
+    """CMP-06: category -> configured vehicle type (active rows, else the
+    default) -> the feed's category of that type (any case, else the default)."""
+    active = types.where("is_active").select("tenant_id", "category_id", "vehicle_type")
+    typed = cells.join(active, ["tenant_id", "category_id"], "left").withColumn("vehicle_type", F.coalesce("vehicle_type", F.lit(default_type)))
+    words = F.broadcast(dictionary.select(F.col("vehicle_type").alias("_type"), "feed_category"))  # a fixed vocabulary
+    return typed.join(words, F.lower("vehicle_type") == F.col("_type"), "left").drop("_type").withColumn(
+        "feed_category", F.coalesce("feed_category", F.lit(default_category)))
