@@ -6,95 +6,105 @@ number comes from inverting the Poisson distribution at a uniform value hashed
 from seed and id, so a rerun or a retried task draws the same number.
 
 Only DataFrame functions run here.  Targets are the sources present, in equal
-parts, or named weights; one aggregation counts them.  Rates are then a literal
-map, and no document is shuffled by its source: a source with most of the rows stays spread over all tasks.  The one
-shuffle of texts is the global one, keyed by a hash of seed, id and copy.
+parts, or named weights.  Sizes and rates are a table with a row per source,
+written and joined: the planner broadcasts it if it is small, and splits a hot
+source if it is not.  A large mean is a sum of draws of small means, each with
+a hash of its own, so no distribution is ever longer than ``STEPS``; draws and
+copies are exploded one after the other.  The one shuffle of texts is the
+global one, keyed by a hash of seed, id and copy.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Twenty sources in equal parts: the mixture that the query's SQL names.
-EQUAL_20 = {f"src{i}": 1.0 for i in range(20)}
+from ratewise.sinks.io import materialize
+
+#: Largest mean of one draw, and the steps of its distribution: beyond them
+#: doubles do not tell the probability from 1.
+MEAN, STEPS = 16.0, 128
+#: Draws of a document that one array holds; further ones come from further rows.
+DRAWS = 4096
+#: What a draw adds to the numbers of its copies, more than it can give.
+STRIDE = 1000
 
 
 def uniform(seed: int, *cols: Column) -> Column:
-    """A value in [0, 1) hashed from seed and columns (52 bits of md5)."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])
+    """A value in [0, 1) hashed from seed and columns, as texts without the
+    null ones (52 bits of md5)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def poisson_steps(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... as far as doubles tell it from 1.  Summed
-    in logarithms, so that large rates do not underflow."""
-    out, total, log_p, k = [], 0.0, -rate, 0
-    while rate > 0 and (k < rate or total < 1 - 2**-53 and log_p > -60):
-        total = min(1.0, total + math.exp(log_p))
-        out.append(total)
-        k += 1
-        log_p += math.log(rate) - math.log(k)
-    return out
-
-
-def poisson_count(u: Column, rate: Column, steps: Mapping[float, list[float]]) -> Column:
-    """The smallest k with P(X <= k) > u: how many steps lie at or under u."""
-    return _choice([(rate == F.lit(r), F.aggregate(F.lit(cdf), F.lit(0), lambda s, c: s + F.when(c <= u, 1).otherwise(0)))
-                    for r, cdf in steps.items() if cdf], F.lit(0))
-
-
-def _choice(cases: Sequence[tuple[Column, Column]], other: Column) -> Column:
-    """One flat CASE, however many cases; they exclude each other."""
-    out = None
-    for fits, value in cases:
-        out = F.when(fits, value) if out is None else out.when(fits, value)
-    return other if out is None else out.otherwise(other)
-
-
-def source_sizes(docs: DataFrame, targets: Mapping[str, float] | None = None) -> dict[str, int]:
-    """Characters per source that ``targets`` names (default: per source that
-    is not null)."""
-    wanted = F.col("source").isNotNull() if targets is None else F.col("source").isin(list(targets))
-    sized = (docs.where(wanted)
-             .groupBy("source").agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).alias("size")))
-    return {r["source"]: r["size"] for r in sized.collect()}
-
-
-def repetition_rates(sizes: Mapping[str, int], targets: Mapping[str, float], total: float | None = None) -> dict[str, float]:
-    """Mean copies per document of each source that has text, so that its
-    expected share of ``total`` characters (default: as many as go in) is its
-    share of the weights of the sources present."""
-    there = {s: w for s, w in targets.items() if sizes.get(s, 0) > 0 and w > 0}
-    weight = sum(there.values())
-    total = sum(sizes.values()) if total is None else total
-    return {s: w / weight * total / sizes[s] for s, w in sorted(there.items())}
+def poisson_count(u: Column, mean: Column) -> Column:
+    """The smallest k with P(X <= k) > u, for a mean of at most ``MEAN``: how
+    many of the steps of the distribution lie at or under u."""
+    first = F.exp(-mean)
+    start = F.struct(first.alias("p"), first.alias("cdf"), F.when(first <= u, 1).otherwise(0).alias("n"))
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        cdf = s["cdf"] + p
+        under = (cdf <= u) & (cdf > s["cdf"])  # it has not come to a stop
+        return F.struct(p.alias("p"), cdf.alias("cdf"), (s["n"] + F.when(under, 1).otherwise(0)).alias("n"))
+
+    enough = F.least(F.lit(STEPS), F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int"))
+    count = F.aggregate(F.sequence(F.lit(1), enough), start, step, lambda s: s["n"])
+    return F.when(mean > 0, count).otherwise(0)
+
+
+def repetition_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, total: float | None = None) -> DataFrame:
+    """(source, rate): mean copies per document of each source that ``targets``
+    names (default: of all that are not null, equally), so that its expected
+    share of ``total`` characters (default: as many as go in) is its share of
+    the weights of the sources with text.  A source without text, or with a
+    weight of 0, has the rate 0."""
+    size = F.sum(F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).alias("size")
+    sizes = docs.where(F.col("source").isNotNull()).groupBy("source").agg(size)
+    if targets is None:
+        sizes = sizes.withColumn("weight", F.lit(1.0))
+    else:
+        named = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in targets.items()], "source string, weight double")
+        sizes = sizes.join(named, "source")
+    sizes = materialize(sizes.withColumn("weight", F.when((F.col("size") > 0) & (F.col("weight") > 0), F.col("weight"))), "source-sizes")
+    sums = sizes.agg(F.sum("weight").alias("weights"), F.sum("size").alias("sizes"))  # one row
+    rate = F.col("weight") / F.col("weights") * (F.col("sizes") if total is None else F.lit(float(total))) / F.col("size")
+    return materialize(sizes.crossJoin(F.broadcast(sums)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate")), "source-rates")
 
 
 def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, seed: int = 42,
                 total_chars: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) repeated and shuffled.
 
-    All columns of ``docs`` come back, and ``mix_copy`` (from 0) and
-    ``mix_key`` (the row's place in the global order).  Without
+    All columns of ``docs`` come back, whatever their names, and ``mix_copy``,
+    which tells a row's copies apart (0, 1, ... ; those of further draws go on
+    from the next multiple of ``STRIDE``), and ``mix_key`` (the row's place in
+    the global order); input columns of these two names give way.  Without
     ``targets`` all sources present share equally.  Sources that ``targets``
     does not name, and null sources, go in as they are, once.  A target of 0
     and a source of empty texts alone leave no rows.  Null and empty texts of
-    other sources are repeated like the rest.  The draw depends on the id, so
-    repeated rows are repeated alike, and rows with a null id share one draw."""
-    sizes = source_sizes(docs, targets)
-    targets = dict.fromkeys(sizes, 1.0) if targets is None else targets
-    rates = repetition_rates(sizes, targets, total_chars)
-    steps = {r: poisson_steps(r) for r in sorted(set(rates.values()))}
-    named = F.coalesce(F.col("source").isin(list(targets)), F.lit(False))
-    rate = _choice([(F.col("source") == s, F.lit(r)) for s, r in rates.items()], F.lit(0.0))
-    copies = F.when(named, poisson_count(uniform(seed, F.col("doc_id")), F.col("__rate"), steps)).otherwise(1)
-    out = (docs.withColumn("__rate", rate).withColumn("__copies", copies).where("__copies > 0").drop("__rate")
-           .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies"))
-    out = out.withColumn("mix_key", uniform(seed + 1, F.col("doc_id"), F.col("mix_copy")))
-    # The key is uniform: dealing by it and sorting inside partitions is a random order over all
-    # rows, without the second reading of the input that range boundaries would take.
-    return out.repartition("mix_key").sortWithinPartitions("mix_key", "mix_copy")
+    other sources are repeated like the rest.  The draw depends on the id, and
+    where that is null on the text, so equal rows are repeated alike.  An empty
+    table gives an empty result."""
+    source = F.col("source").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("null")))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_copy", "mix_key")]).alias("row"),
+                       source.alias("source"), key.alias("key"), F.monotonically_increasing_id().alias("salt"))
+    rates = repetition_rates(docs.select(source.alias("source"), "text"), targets, total_chars)
+    rows = rows.join(rates, "source", "left").where(F.col("rate").isNull() | (F.col("rate") > 0))
+    draws = F.greatest(F.lit(1), F.ceil(F.coalesce("rate", F.lit(0.0)) / MEAN)).cast("long")
+    rows = rows.withColumn("draws", draws).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(draws - 1) div {DRAWS}"))))
+    first = F.col("block") * DRAWS
+    rows = rows.withColumn("draw", F.explode(F.sequence(first, F.least(first + (DRAWS - 1), F.col("draws") - 1))))
+    u = uniform(seed, F.col("key"), F.when(F.col("draw") > 0, F.col("draw")))
+    copies = F.when(F.col("rate").isNull(), 1).otherwise(poisson_count(u, F.col("rate") / F.col("draws")))
+    rows = rows.withColumn("copies", copies).where("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    out = rows.select("row", "key", "salt", (F.col("draw") * STRIDE + F.col("copy")).alias("mix_copy"))
+    out = out.withColumn("mix_key", uniform(seed + 1, F.col("key"), F.col("mix_copy")))
+    # The key is uniform: dealing by it (and, for equal rows, by a salt) and sorting inside partitions is
+    # a random order over all rows, without the second reading of the input that range boundaries would take.
+    return out.repartition("mix_key", "salt").sortWithinPartitions("mix_key", "mix_copy", "salt").select("row.*", "mix_copy", "mix_key")

@@ -113,20 +113,20 @@ FROM d LEFT JOIN agg USING (rid)
 """
 
 
-def _op10(targets=mixing.EQUAL_20, seed: int = 42) -> str:
-    weights = ", ".join(f"('{s}', {float(w)})" for s, w in targets.items())
+def _op10(seed: int = 42, mean: float = mixing.MEAN, stride: int = mixing.STRIDE) -> str:
+    key = "coalesce(CAST(doc_id AS VARCHAR), 'null|' || md5(coalesce(text, 'null')))"
     return f"""
-WITH RECURSIVE targets(source, weight) AS (VALUES {weights}),
-sizes AS (SELECT source, weight, sum(length(coalesce(text, ''))) AS size FROM documents JOIN targets USING (source) GROUP BY ALL),
-there AS (SELECT * FROM sizes WHERE size > 0 AND weight > 0),
-rates AS (SELECT source, weight / (SELECT sum(weight) FROM there) * (SELECT sum(size) FROM sizes) / size AS rate FROM there),
-steps AS (SELECT source, rate, 0 AS k, -rate AS lp, exp(-rate) AS cdf FROM rates
-  UNION ALL SELECT source, rate, k + 1, lp + ln(rate) - ln(k + 1.0), cdf + exp(lp + ln(rate) - ln(k + 1.0)) FROM steps
-  WHERE k < rate OR cdf < 1 - pow(2, -53) AND lp > -60),
-docs AS (SELECT doc_id, source, text, CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM documents),
-counted AS (SELECT doc_id, d.source, text, CASE WHEN d.source IS NULL OR d.source NOT IN (SELECT source FROM targets) THEN 1
-  ELSE (SELECT count(*) FROM steps s WHERE s.source = d.source AND s.cdf <= d.u) END AS n FROM docs d)
-SELECT doc_id, source, CAST(unnest(range(0, n)) AS INTEGER) AS mix_copy, text FROM counted
+WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents WHERE source IS NOT NULL GROUP BY source),
+rates AS (SELECT source, CASE WHEN size > 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM sizes WHERE size > 0) * (SELECT sum(size) FROM sizes) / size ELSE 0 END AS rate FROM sizes),
+draws AS (SELECT source, rate, greatest(1, CAST(ceil(rate / {mean}) AS BIGINT)) AS draws FROM rates WHERE rate > 0),
+steps AS (SELECT source, rate / draws AS mean, 0 AS k, exp(-rate / draws) AS p, exp(-rate / draws) AS cdf FROM draws
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM steps WHERE k < mean OR cdf + p * mean / (k + 1) > cdf),
+docs AS (SELECT row_number() OVER () AS r, doc_id, source, text, {key} AS key FROM documents),
+drawn AS (SELECT docs.*, unnest(range(0, draws)) AS draw FROM docs JOIN draws USING (source)),
+u AS (SELECT *, CAST('0x' || substr(md5('{seed}|' || key || CASE WHEN draw > 0 THEN '|' || draw ELSE '' END), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM drawn),
+counted AS (SELECT r, doc_id, u.source, text, draw, (SELECT count(*) FROM steps s WHERE s.source = u.source AND s.cdf <= u.u) AS n FROM u
+  UNION ALL SELECT r, doc_id, source, text, 0, 1 FROM docs WHERE source IS NULL)
+SELECT doc_id, source, CAST(draw * {stride} + unnest(range(0, n)) AS BIGINT) AS mix_copy, text FROM counted
 """
 
 

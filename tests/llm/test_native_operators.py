@@ -123,45 +123,83 @@ def test_redact(spark):
     assert [r.text for r in pii.redact(df).orderBy("i").collect()] == ["x [EMAIL] y", None, "plain", "é [CARD]"]
 
 
-def test_poisson_inversion_and_rates():
-    for rate in (0.3, 1.0, 7.5, 900.0):
-        steps = mixing.poisson_steps(rate)
-        assert steps == sorted(steps) and abs(steps[-1] - 1) < 1e-9
-        assert abs(sum(1 - s for s in steps) - rate) < 1e-6 * max(1, rate)  # the mean
-    assert mixing.poisson_steps(0.0) == []
-    assert mixing.repetition_rates({"a": 900, "b": 100, "c": 0}, {"a": 1, "b": 1, "c": 1, "d": 5}) == {"a": 500 / 900, "b": 5.0}
+def poisson_copies(seed, key, rate):
+    """Numbers of copies per draw, in plain Python."""
+    draws = max(1, math.ceil(rate / mixing.MEAN))
+    mean, out = rate / draws, []
+    for draw in range(draws):
+        text = f"{seed}|{key}" + (f"|{draw}" if draw else "")
+        u = int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+        p = cdf = math.exp(-mean)
+        n = k = 0
+        while cdf <= u and k < 200:
+            n, k = n + 1, k + 1
+            p *= mean / k
+            cdf += p
+        out += [draw * mixing.STRIDE + i for i in range(n)]
+    return out
+
+
+def test_poisson_counts_follow_the_distribution(spark):
+    from pyspark.sql import functions as F
+    for mean in (0.0, 0.3, 1.0, 7.5, 16.0):
+        n = mixing.poisson_count(F.col("u"), F.lit(mean)).alias("n")
+        got = [r.n for r in spark.range(20_000).select(((F.col("id") + 0.5) / 20_000).alias("u")).select(n).collect()]
+        assert abs(sum(got) / 20_000 - mean) < 0.002 * max(1, mean)
+        assert abs(sum((x - mean) ** 2 for x in got) / 20_000 - mean) < 0.02 * max(1, mean)
+        edge = spark.createDataFrame([(0.0,), (1 - 2.0**-52,)], "u double").select(n).collect()
+        assert edge[0].n == 0 and edge[1].n < mixing.STRIDE
 
 
 def test_mixing_against_plain_python(spark):
     rows = [(i, "x" * (i % 7), f"s{i % 3 if i % 2 else 0}") for i in range(2000)]
-    rows += [(None, "n", "s1"), (9999, None, None), (10000, "keep", "other"), (7, "x" * 0, "s1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("text", "text")
-    targets = {"s0": 1.0, "s1": 2.0, "s2": 1.0}
-    got = Counter((r.doc_id, r.source) for r in mixing.mix_sources(df, targets, seed=5).collect())
-    sizes = Counter()
-    for _, t, s in rows:
-        if s in targets:
-            sizes[s] += len(t or "")
-    rates = mixing.repetition_rates(sizes, targets)
-    want = Counter()
-    for d, _, s in rows:
-        u = int(hashlib.md5(f"5|{'null' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
-        want[d, s] += sum(c <= u for c in mixing.poisson_steps(rates[s])) if s in targets else 1
-    assert got == Counter({k: v for k, v in want.items() if v})
-    total = Counter()
-    for (d, s), n in got.items():
-        total[s] += n
-    assert math.isclose(total["s1"] / total["s0"], 2.0, rel_tol=0.25)
+    rows += [(None, "n", "s1"), (None, "m", "s1"), (9999, None, None), (10000, "keep", "other"), (7, "", "s1"), (8, "rare", "tiny"), (8, "rare", "tiny"), (3, None, "s2")]
+    clash = "doc_id long, text string, source string, rate double, copies int, row int, mix_key string"
+    df = spark.createDataFrame([(*r, 0.5, 3, 4, "k") for r in rows], clash)
+    for targets in ({"s0": 1.0, "s1": 2.0, "s2": 1.0, "tiny": 4.0, "absent": 3.0}, {"s0": 1.0, "s1": 0.0}):
+        out = mixing.mix_sources(df, targets, seed=5)
+        assert out.columns == ["doc_id", "text", "source", "rate", "copies", "row", "mix_copy", "mix_key"]
+        got = out.collect()
+        assert {(r.rate, r.copies, r.row) for r in got} == {(0.5, 3, 4)}
+        sizes = Counter()
+        for _, t, s in rows:
+            if s in targets:
+                sizes[s] += len(t or "")
+        weights = sum(w for s, w in targets.items() if sizes[s] > 0 and w > 0)
+        want = Counter()
+        for d, t, s in rows:
+            key = f"null|{hashlib.md5(t.encode()).hexdigest()}" if d is None else d
+            rate = targets[s] / weights * sum(sizes.values()) / sizes[s] if s in targets else None
+            want.update((d, t, s, c) for c in ([0] if rate is None else poisson_copies(5, key, rate)))
+        assert Counter((r.doc_id, r.text, r.source, r.mix_copy) for r in got) == want
 
 
 def test_mixing_takes_the_sources_present(spark):
-    rows = [(i, "x" * 10, "hot" if i % 10 else f"rare{i % 4}") for i in range(2000)] + [(9999, "x" * 10, None)]
+    rows = [(i, "x" * 10, "hot" if i % 10 else f"rare{i % 4}") for i in range(2000)] + [(9999, "x" * 10, None), (9998, "", "empty"), (9997, None, "empty")]
     got = Counter(r.source for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
     assert got[None] == 1 and set(got) == {None, "hot", "rare0", "rare2"}
     assert all(abs(got[s] - 2000 / 3) < 150 for s in ("hot", "rare0", "rare2"))
 
 
-def test_mixing_empty(spark):
-    df = spark.createDataFrame([], "doc_id long, text string, source string, __rate int")
-    out = mixing.mix_sources(df.drop("__rate"))
-    assert out.count() == 0 and "mix_key" in out.columns
+def test_mixing_many_sources(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    n = mixing.mix_sources(docs).count()
+    assert abs(n - 100_000) < 2_000
+
+
+def test_mixing_a_rare_source_and_null_ids(spark):
+    from pyspark.sql import functions as F
+    hot = spark.range(30).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("x"), 20_000), F.col("id").cast("string")).alias("text"), F.lit("hot").alias("source"))
+    rare = spark.createDataFrame([(1, "xyz", "rare")], hot.schema)
+    out = mixing.mix_sources(hot.union(rare)).groupBy("source", F.col("doc_id").isNull().alias("no_id")).agg(F.count("*").alias("n"), F.countDistinct("mix_copy").alias("c"))
+    got = {r.source: r for r in out.collect()}
+    assert abs(got["rare"].n - 100_030) < 3_000 and got["rare"].n == got["rare"].c  # a rate of a hundred thousand
+    assert 0 < got["hot"].n < 30  # half of the rows: each has a draw of its own
+
+
+def test_mixing_very_long_text_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "ab" * 2_000_000, "a"), (2, "x" * 4_000_000, "b")], "doc_id long, text string, source string")
+    assert {len(r.text) for r in mixing.mix_sources(df, seed=3).collect()} <= {4_000_000}
+    out = mixing.mix_sources(df.limit(0))
+    assert out.count() == 0 and out.columns == [*df.columns, "mix_copy", "mix_key"]
