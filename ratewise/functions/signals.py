@@ -136,6 +136,28 @@ def clamp_price(base, raw_pct, min_price, max_discount, max_premium, max_price=N
     return {"price": money(price, 2), "pct": money(pct, 4), "applied": applied}
 
 
+#: Column types of money while it is computed, of a percentage, and of a price.
+BASE, PERCENT, PRICE = "decimal(18,4)", "decimal(8,4)", "decimal(10,2)"
+
+
+def clamp_price_decimal(base, raw_pct, min_price, max_discount, max_premium) -> dict[str, Column]:
+    """PRC-01 in decimals from end to end: exact but for the two roundings, both
+    half up, so a result never depends on how a double is written in binary.
+
+    Inputs are cast to ``BASE`` and ``PERCENT``; the price has the type
+    ``PRICE``, the percentage ``PERCENT``; what these cannot hold is NULL.  A
+    price raised from a base of 0 has no percentage."""
+    base, raw, low = _c(base).cast(BASE), _c(raw_pct).cast(PERCENT), _c(min_price).cast(PRICE)
+    down, up = _c(max_discount).cast(PERCENT), _c(max_premium).cast(PERCENT)
+    capped = F.when(raw > up, up).when(raw < -down, -down).otherwise(raw).cast(PERCENT)
+    hundred = F.lit(100).cast("decimal(3,0)")
+    free = base * (hundred + capped)  # the price in hundredths, exactly
+    below = free < low * hundred
+    price = F.when(below, low).otherwise(F.round(free * F.lit(0.01).cast("decimal(3,2)"), 2).try_cast(PRICE))
+    raised = F.round((F.try_divide(low, base) - F.lit(1).cast("decimal(1,0)")) * hundred, 4).try_cast(PERCENT)
+    return {"price": price, "pct": F.when(below, raised).otherwise(capped), "applied": (raw > up) | (raw < -down) | below}
+
+
 def explanation(util, fcst, comp, weather, holiday, raw_pct, final_pct, applied) -> Column:
     """PRC-06: factor phrases in fixed order joined by '. '; 'Normal
     conditions' when none; a guardrail suffix with 1-dp percentages."""

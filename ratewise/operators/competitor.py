@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ratewise.functions.mathx import cents_avg, rnd
 from ratewise.functions.text import competitor_category, with_brand_and_model
+from ratewise.sinks.io import materialize
 
 SEARCH = ["tenant_id", "branch_id", "price_date"]
 
@@ -69,10 +70,13 @@ def category_blocks(quotes: DataFrame, categories: list[str], k: int = 4) -> Dat
          .alias("competitors"),
         F.array_sort(F.collect_set(known("brand"))).alias("brands"),
         F.array_sort(F.collect_set(known("model"))).alias("models"))
-    searches = quotes.select(*SEARCH).distinct()
-    cats = F.array(*[F.lit(c) for c in categories])
-    grid = searches.select(*SEARCH, F.explode(cats).alias("category"))
-    return grid.join(g, SEARCH + ["category"], "left")
+    # one row per search with its blocks by category, so that the quotes are read once
+    stats = ["avg_price", "min_price", "max_price", "competitors_count", "competitors", "brands", "models"]
+    block = F.when(F.col("category").isNotNull(), F.struct("category", F.struct(*stats).alias("s")))
+    searches = g.groupBy(*SEARCH).agg(F.map_from_entries(F.collect_list(block)).alias("blocks"))
+    grid = searches.select(*SEARCH, "blocks", F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
+    return grid.select(*SEARCH, "category", F.try_element_at("blocks", F.col("category")).alias("s")).select(
+        *SEARCH, "category", *[F.col(f"s.{c}").alias(c) for c in stats])
 
 
 def competitor_index(quotes: DataFrame, mapping: DataFrame, base: DataFrame, default_type: str) -> DataFrame:
@@ -152,7 +156,9 @@ def normalise_listings(cars: DataFrame, keys: list[str], days: str = "rental_day
     quotes.  Missing names are ``Unknown``, a missing group is empty, a missing
     price or one not above 0 is 0; a bag count that is missing or 0 under its
     first name is taken from its second.  A payload that does not parse gives
-    the defaults.  Names are classified once each and joined back."""
+    the defaults.  Payloads are parsed once, into a table.  Names are classified
+    once each and joined back; rows without a name, which may be many, are
+    classified where they are."""
     car = cars.select(*keys, days, F.from_json("payload", CAR).alias("car"))
     v = lambda f: F.col(f"car.vehicle_info.{f}")
     bags = lambda size: F.coalesce(F.nullif(v(f"baggage_{size}"), F.lit(0)), v(f"bags_{size}"))
@@ -161,9 +167,12 @@ def normalise_listings(cars: DataFrame, keys: list[str], days: str = "rental_day
         F.coalesce(v("v_name"), F.lit("Unknown")).alias("vehicle_name"), F.coalesce(v("group"), F.lit("")).alias("vehicle_group"),
         per_day_price(F.coalesce("car.pricing_info.price", F.lit(0.0)), days).alias("_daily"),
         v("seats").alias("seats"), bags("large").alias("bags_large"), bags("small").alias("bags_small"))
-    names = with_brand_and_model(flat.select("vehicle_name", "vehicle_group").distinct()).withColumn(
-        "category", competitor_category("vehicle_name", "vehicle_group"))
-    return flat.join(names, ["vehicle_name", "vehicle_group"]).select(
+    flat = materialize(flat, "listings")
+    classify = lambda df: with_brand_and_model(df).withColumn("category", competitor_category("vehicle_name", "vehicle_group"))
+    named, nameless = flat.where(F.col("vehicle_name") != "Unknown"), flat.where(F.col("vehicle_name") == "Unknown")
+    names = classify(named.select("vehicle_name", "vehicle_group").distinct())
+    both = named.join(names, ["vehicle_name", "vehicle_group"]).unionByName(classify(nameless))
+    return both.select(
         *keys, "competitor_name", "vehicle_name", "brand", "model", "category", rnd("_daily", 2).alias("daily_price"),
         rnd(F.col("_daily") * 6, 2).alias("weekly_price"), rnd(F.col("_daily") * 25, 2).alias("monthly_price"),
         "seats", "bags_large", "bags_small")

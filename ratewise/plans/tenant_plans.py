@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratewise.functions.mathx import rnd, rnd_sql as R
+from ratewise.functions import signals as sg
+from ratewise.functions.mathx import rnd_sql as R
 from ratewise.operators import demand as dm
 from ratewise.operators import recommend as rc
 from ratewise.operators import utilization as ut
@@ -193,15 +194,45 @@ def _field(name: str, default: str, generic: float) -> str:
     return f"CASE {found} ELSE coalesce(k.{default}, {generic}) END AS guardrail_{name}"
 
 
-@query("prc_02_tenants", with_views(f"""
+register_view("t_guardrails", f"""
     SELECT c.tenant_id, c.branch_id, c.category_id, {_field('min_price', 'default_min_price', GENERIC_GUARDRAIL[0])},
            {_field('max_discount_pct', 'default_max_discount_pct', GENERIC_GUARDRAIL[1])}, {_field('max_premium_pct', 'default_max_premium_pct', GENERIC_GUARDRAIL[2])}
     FROM (SELECT tenant_id, branch_id, category_id FROM t_branches, categories) c
     {" ".join(_level(cols).replace(" g ", f" l{i} ").replace("g.", f"l{i}.") for i, cols in enumerate(("branch_id category_id", "branch_id", "category_id", "")))}
-    LEFT JOIN categories k USING (category_id)""", "t_branches", "categories", "guardrail_rows"))
+    LEFT JOIN categories k USING (category_id)""", ("t_branches", "categories", "guardrail_rows"))
+
+@query("prc_02_tenants", with_views("SELECT * FROM t_guardrails", "t_guardrails"))
 def prc_02_tenants(d):
     """PRC-02: every tenant's guardrails in force per branch and category; zero
     and NULL fields of a row count as missing."""
     t = Tenants(d)
     cells = rc.cell_grid(t.branches, [c[0] for c in CATEGORIES])
     return rc.resolve_guardrails(cells, t.guardrails(P.RUN_DATE), d.categories, GENERIC_GUARDRAIL).drop("guardrail_max_price")
+
+
+_HALF_UP = "CAST(sign({n}) * ((2 * abs({n}) + {d}) // (2 * {d})) AS DECIMAL(18,0))"
+
+
+@query("prc_01_decimal", with_views(f"""
+    WITH x AS (SELECT h.source_id, CAST(h.rec_daily AS DECIMAL(18,4)) AS base, CAST(h.premium_discount_pct AS DECIMAL(8,4)) AS raw,
+        CAST(guardrail_min_price AS DECIMAL(10,2)) AS low, CAST(guardrail_max_discount_pct AS DECIMAL(8,4)) AS down, CAST(guardrail_max_premium_pct AS DECIMAL(8,4)) AS up
+      FROM (SELECT source_id, branch_id, category_id, rec_daily, premium_discount_pct FROM rec_history) h JOIN t_guardrails g USING (branch_id, category_id)),
+    c AS (SELECT *, CASE WHEN raw > up THEN up WHEN raw < -down THEN CAST(-down AS DECIMAL(8,4)) ELSE raw END AS capped FROM x),
+    p AS (SELECT *, base * CAST(100 + capped AS DECIMAL(9,4)) AS free,
+        CAST(low * 10000 AS HUGEINT) AS li, CAST(base * 10000 AS HUGEINT) AS bi FROM c)
+    SELECT source_id, base AS base_daily, raw AS raw_adjustment_pct,
+      CAST(CASE WHEN free < low * 100 THEN low ELSE round(free * CAST(0.01 AS DECIMAL(3,2)), 2) END AS DECIMAL(10,2)) AS rec_daily,
+      TRY_CAST(CASE WHEN free < low * 100 THEN CASE WHEN bi > 0 THEN {_HALF_UP.format(n="((li - bi) * 1000000)", d="bi")} * CAST(0.0001 AS DECIMAL(5,4)) END ELSE capped END AS DECIMAL(8,4))
+        AS premium_discount_pct,
+      raw > up OR raw < -down OR free < low * 100 AS guardrail_applied
+    FROM p""", "rec_history", "t_guardrails"))
+def prc_01_decimal(d):
+    """PRC-01 in decimals: recorded rates and adjustments, clamped by the tenants'
+    guardrails in force; money decimal(18,4) and (10,2), percentages (8,4)."""
+    t = Tenants(d)
+    cells = rc.cell_grid(t.branches, [c[0] for c in CATEGORIES])
+    guard = rc.resolve_guardrails(cells, t.guardrails(P.RUN_DATE), d.categories, GENERIC_GUARDRAIL).drop("tenant_id")
+    recs = d.rec_history.select("source_id", "branch_id", "category_id", "rec_daily", "premium_discount_pct").join(guard, ["branch_id", "category_id"])
+    c = sg.clamp_price_decimal("rec_daily", "premium_discount_pct", "guardrail_min_price", "guardrail_max_discount_pct", "guardrail_max_premium_pct")
+    return recs.select("source_id", F.col("rec_daily").cast(sg.BASE).alias("base_daily"), F.col("premium_discount_pct").cast(sg.PERCENT).alias("raw_adjustment_pct"),
+                       c["price"].alias("rec_daily"), c["pct"].alias("premium_discount_pct"), c["applied"].alias("guardrail_applied"))
