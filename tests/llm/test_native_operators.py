@@ -203,3 +203,36 @@ def test_mixing_very_long_text_and_empty_table(spark):
     assert {len(r.text) for r in mixing.mix_sources(df, seed=3).collect()} <= {4_000_000}
     out = mixing.mix_sources(df.limit(0))
     assert out.count() == 0 and out.columns == [*df.columns, "mix_copy", "mix_key"]
+
+
+def test_pii_of_many_matches_in_one_text(spark):
+    n = 20_000
+    line = lambda i: f"user{i}@mail.example.com from 10.0.{i % 256}.7\n"
+    df = spark.createDataFrame([(1, "".join(map(line, range(n))), "k", 2)], "doc_id long, text string, __pii string, x int")
+    r = pii.pii_report(df).collect()[0]
+    at, want = 0, []
+    for i in range(n):
+        email, ip = f"user{i}@mail.example.com", f"10.0.{i % 256}.7"
+        want += [f"email:{at}:{at + len(email)}", f"ip:{at + len(email) + 6}:{at + len(email) + 6 + len(ip)}"]
+        at += len(line(i))
+    assert r.n_email == r.n_ip == n and r.spans == ",".join(want) and r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    out = pii.redact(df).collect()[0]
+    assert out.text == "[EMAIL] from [IP]\n" * n and (out.doc_id, out["__pii"], out.x) == (1, "k", 2)
+
+
+def test_pii_pieces_across_blocks(spark):
+    """Spans and context words at any place of a block of text, behind characters of any width."""
+    rows = [(i, "\U0001f600é" * ((pii.TEXT_BLOCK - 60) // 2) + "x " * (i // 2) + " " * (i % 2) + "ssn 123-45-6789, a@b.co " + "y" * 1200 + " 1.2.3.4") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.pii_report(df).collect():
+        text = rows[r.doc_id][1]
+        spans = [("ssn", "123-45-6789"), ("email", "a@b.co"), ("ip", "1.2.3.4")]
+        assert r.spans == ",".join(f"{k}:{text.index(v)}:{text.index(v) + len(v)}" for k, v in spans)
+    for r in pii.redact(df).collect():
+        text = rows[r.doc_id][1]
+        assert r.text == text.replace("123-45-6789", "[SSN]").replace("a@b.co", "[EMAIL]").replace("1.2.3.4", "[IP]")
+
+
+def test_pii_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, pii_spans string")
+    assert pii.pii_report(df).collect() == [] and pii.redact(df).collect() == [] and pii.redact(df).columns == df.columns
