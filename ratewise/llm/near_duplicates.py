@@ -404,9 +404,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     id one stays; a class without ids keeps one row."""
     found = near_duplicates(docs, names=True)
     stay = found.where("kept AND n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "loc")).alias("one"))
-    stay = stay.select(F.col("one.doc_id").alias("__id"), F.col("one.loc").alias("__loc"))
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__loc": F.xxhash64(F.col("text").cast("string"))})
-    same = keyed["__id"].eqNullSafe(stay["__id"]) & (keyed["__loc"] == stay["__loc"])
-    kept = keyed.join(stay, same, "left_semi").dropDuplicates(["__id", "__loc"])
-    empty = keyed.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(empty).select(docs.columns)
+    stay = stay.select(F.col("one.doc_id").alias("id"), F.col("one.loc").alias("loc"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs meets a name of ours
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("loc"))
+    same = keyed["id"].eqNullSafe(stay["id"]) & (keyed["loc"] == stay["loc"])
+    kept = keyed.join(stay, same, "left_semi").dropDuplicates(["id", "loc"])
+    empty = keyed.where(~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.unionByName(empty).select("row.*")

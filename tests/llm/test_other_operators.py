@@ -71,9 +71,12 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_deduplicated_keeps_one_of_each(spark):
+@pytest.mark.parametrize("broadcast_rows", [near_duplicates.BROADCAST_ROWS, 0])
+def test_deduplicated_keeps_one_of_each(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", broadcast_rows)  # 0: texts are found by a join
     rows = texts(1)
-    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, rep int")
+    df = spark.createDataFrame([(d, t, i, "x", 1, 2) for i, (d, t) in enumerate(rows)], "doc_id long, text string, rep int, __id string, loc int, row int")
+    assert near_duplicates.deduplicated(df).columns == df.columns
     left = near_duplicates.deduplicated(df).collect()
     brute = brute_classes(rows)
     empty = sum(n == 0 for _, n, _ in brute)
