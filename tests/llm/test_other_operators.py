@@ -76,8 +76,9 @@ def test_deduplicated_keeps_one_of_each(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", broadcast_rows)  # 0: texts are found by a join
     rows = texts(1)
     df = spark.createDataFrame([(d, t, i, "x", 1, 2) for i, (d, t) in enumerate(rows)], "doc_id long, text string, rep int, __id string, loc int, row int")
-    assert near_duplicates.deduplicated(df).columns == df.columns
-    left = near_duplicates.deduplicated(df).collect()
+    out = near_duplicates.deduplicated(df)
+    assert out.columns == df.columns
+    left = out.collect()
     brute = brute_classes(rows)
     empty = sum(n == 0 for _, n, _ in brute)
     classes = {c for _, n, c in brute if n and c is not None}
