@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ratewise.llm import mixing, near_duplicates, packing, pii, toxicity_chain
 from ratewise.session import checkpoint_dir
 
-#: The last stages need more than SQL (tokens); each is tested against brute force.
+#: The last stages need more than SQL (tokens).  The operators are tested one by one, the stages together by what must hold between them.
 ORACLE_SQL: str | None = None
 
 
