@@ -182,6 +182,27 @@ def test_permutation_index_recall_and_scores(spark):
     assert all(abs(r.score - scores[r.query_id, r.vec_id]) < 1e-9 for r in got if (r.query_id, r.vec_id) in scores and r.query_id not in (0, 20))
 
 
+@pytest.mark.parametrize("dim", [3, 64, 129])
+def test_permutation_index_scores_copies_alike_in_blocks_of_any_size(dim):
+    rng = np.random.default_rng(dim)
+    query = rng.normal(size=dim)
+    near = query + rng.normal(size=dim) / 100
+    want = 0.0
+    for x, y in zip(near, query, strict=True):
+        want += x * y
+    index = permutation_index.PermutationIndex({dim: rng.normal(size=(32, dim))}, prefix=16)
+    ids, scores = [], []
+    for n in (3, 17, 64, 1000, 1301):  # each block holds three copies, the greatest id first
+        vectors = rng.normal(size=(n, dim)) / 10
+        vectors[-3:] = near
+        block = index.build(np.arange(n)[::-1] + 10_000 * n, vectors)
+        asked = {"orders": index.orders(query[None]), "vectors": query[None]}
+        i, s = index.best(block, asked, np.array([-1]), 3)
+        assert i[0].tolist() == [10_000 * n + j for j in range(3)]
+        ids, scores = ids + i[0].tolist(), scores + s[0].tolist()
+    assert set(scores) == {want} and len(ids) == 15
+
+
 @pytest.mark.parametrize("search", [bit_sliced.top_k, permutation_index.nearest])
 def test_search_empty(spark, search):
     assert search(spark.createDataFrame([], VECTORS)).count() == 0
