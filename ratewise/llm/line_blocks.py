@@ -3,9 +3,10 @@
 Markup is stripped to lines, one per text block.  A line's length is that of
 its text outside links (a top heading counts whole).  The lengths of a sliding
 window of ``WINDOW`` lines are summed: main text is where a sum surges to
-``SURGE`` characters, from where the sums rise from nothing to where they dive
-back to it.  Between these points every line is kept, however short it is.  A
-page whose sums surge nowhere keeps all that is not links alone.
+``SURGE`` characters.  The surge and dive points lie where the divisions of the
+page that hold these lines begin and end (``_outlined``), and between them every
+line is kept, however short it is.  A page whose sums surge nowhere keeps all
+that is not links alone.
 
 An article or main element that lies in no other one is a stretch as a whole,
 with all that is nested in it.  Beside those that surge (or all of them, if
@@ -42,6 +43,10 @@ BLOCK = frozenset((
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead "
     "tr ul video audio canvas").split())
+#: Of these, the ones that part a text into paragraphs, lists and tables; the others divide the page.
+TEXT = frozenset((
+    "address blockquote br caption center dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr legend li ol option p pre summary "
+    "table tbody td tfoot th thead tr ul").split())
 #: Elements that part the page's text.
 ARTICLE = frozenset(("article", "main"))
 #: Chrome by tag.
@@ -153,6 +158,10 @@ class Page:
     suspect: list[int] = field(default_factory=list)  # the innermost of each part, or -1
     region: list[int] = field(default_factory=list)
     linked: list[bool] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)  # the innermost block of each part, or -1
+    tags: list[str] = field(default_factory=list)  # of each block, in the order they open
+    around: list[int] = field(default_factory=list)  # the block around it, or -1
+    until: list[int] = field(default_factory=list)  # the last block in it
     suspects: list[Span] = field(default_factory=list)
     regions: list[Span] = field(default_factory=list)
 
@@ -162,19 +171,20 @@ def parse(html: str) -> Page:
     do, roughly: a closing tag closes what it names and all inside, and the
     tags of ``_ENDS`` close what cannot hold them."""
     page = Page()
-    stack: list[tuple[str, bool, int, int]] = []  # open elements: tag, whether chrome by tag, their suspect and region
+    stack: list[tuple[str, bool, int, int, int]] = []  # open elements: tag, whether chrome by tag, their suspect, region and block
     chrome = links = titles = at = 0
-    suspect = region = -1
+    suspect = region = block = -1
 
     def put(text: str | None) -> None:
         page.parts.append(text)
         page.suspect.append(suspect)
         page.region.append(region)
         page.linked.append(links > 0 and not titles)
+        page.block.append(block)
 
     def pop() -> None:
-        nonlocal chrome, links, titles, suspect, region
-        tag, by_tag, mine, article = stack.pop()
+        nonlocal chrome, links, titles, suspect, region, block
+        tag, by_tag, mine, article, box = stack.pop()
         chrome -= by_tag
         links -= tag == "a"
         titles -= tag in ("h1", "h2")
@@ -184,6 +194,9 @@ def parse(html: str) -> Page:
         if article >= 0:
             page.regions[article].last = len(page.parts)
             region = -1
+        if box >= 0:
+            page.until[box] = len(page.tags) - 1
+            block = page.around[box]
 
     def end(tags: frozenset[str], beyond: frozenset[str]) -> bool:
         """Closes the innermost of ``tags`` and all inside, if it is open on this side of ``beyond``."""
@@ -230,7 +243,7 @@ def parse(html: str) -> Page:
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        mine = article = -1
+        mine = article = box = -1
         if why and why != "tag" and not chrome:
             mine = len(page.suspects)
             page.suspects.append(Span(why, len(page.parts), suspect, region))
@@ -238,7 +251,13 @@ def parse(html: str) -> Page:
         if tag in ARTICLE and region < 0 and not why and not chrome:
             article = region = len(page.regions)
             page.regions.append(Span("", len(page.parts), suspect, -1))
-        stack.append((tag, why == "tag", mine, article))
+        if tag in BLOCK and why != "tag" and not chrome:
+            box = len(page.tags)
+            page.tags.append(tag)
+            page.around.append(block)
+            page.until.append(box)
+            block = box
+        stack.append((tag, why == "tag", mine, article, box))
         chrome += why == "tag"
         links += tag == "a"
         titles += tag in ("h1", "h2")
@@ -254,10 +273,11 @@ def _sums(sizes: list[int]) -> list[int]:
 def _chrome(page: Page) -> list[bool]:
     """Whether each suspect's text goes.  Hidden elements go, and all in an
     element that goes.  One that holds the page's article, or an article that
-    surges, stays.  Of the others, a name that says chrome in full goes unless
-    the element holds most of its article's text (the page's, if there is no
-    article) and surges; beside a text that surges, readers' comments go even
-    so.  A name that only mentions chrome, and a form, go if they do not surge."""
+    surges, stays.  Of the others, readers' comments go, however long they and
+    the text are.  A name that says chrome in full goes unless the element holds
+    most of its article's text without comments (the page's, if there is no
+    article) and surges.  A name that only mentions chrome, and a form, go if
+    they do not surge."""
     size = [0 if t is None or link else len("".join(t.split())) for t, link in zip(page.parts, page.linked, strict=True)]
     total = _sums(size)
     in_region = _sums([n if r >= 0 else 0 for n, r in zip(size, page.region, strict=True)])
@@ -293,25 +313,35 @@ def _chrome(page: Page) -> list[bool]:
             out.append(False)
         elif s.why == "maybe":
             out.append(not surges(s.first, s.last))
+        elif s.why == "comment":
+            out.append(True)
         elif s.region < 0 and page.regions:
             out.append(True)
         else:
             first, last = (0, len(page.parts)) if s.region < 0 else (page.regions[s.region].first, page.regions[s.region].last)
-            whole = total[last] - total[first]
-            alone = s.why != "comment" or whole - comments[s.region] < SURGE
-            out.append(not (2 * own > whole and surges(s.first, s.last) and alone))
+            whole = total[last] - total[first] - comments[s.region]
+            out.append(not (2 * own > whole and surges(s.first, s.last)))
+    return out
+
+
+def _unseen(page: Page) -> list[bool]:
+    """The suspects that go whatever the page would be without them: hidden ones and readers' comments."""
+    out: list[bool] = []
+    for s in page.suspects:
+        out.append(s.why in ("hidden", "comment") or s.outer >= 0 and out[s.outer])
     return out
 
 
-def lines(page: Page, gone: list[bool]) -> tuple[list[str], list[int], list[int]]:
+def lines(page: Page, gone: list[bool]) -> tuple[list[str], list[int], list[int], list[int]]:
     """The page's lines, cleaned and not empty, without the suspects that are
-    ``gone``: their text, length outside links, and article or -1."""
+    ``gone``: their text, length outside links, article or -1, and block or -1."""
     texts: list[str] = []
     sizes: list[int] = []
     regions: list[int] = []
+    blocks: list[int] = []
     part: list[str] = []
     plain: list[str] = []
-    at = -1
+    at = box = -1
 
     def flush() -> None:
         text = _SPACE.sub(" ", unescape("".join(part))).strip()
@@ -319,21 +349,25 @@ def lines(page: Page, gone: list[bool]) -> tuple[list[str], list[int], list[int]
             texts.append(text)
             sizes.append(len(_SPACE.sub(" ", unescape("".join(plain))).strip()))
             regions.append(at)
+            blocks.append(box)
         part.clear()
         plain.clear()
 
-    for text, suspect, region, link in zip(page.parts, page.suspect, page.region, page.linked, strict=True):
+    said = False  # whether the line has text yet
+    for text, suspect, region, link, block in zip(page.parts, page.suspect, page.region, page.linked, page.block, strict=True):
         if suspect >= 0 and gone[suspect]:
             continue
         if text is None or region != at:
             flush()
-            at = region
+            at, said = region, False
         if text is not None:
+            if not said and not text.isspace():
+                box, said = block, True
             part.append(text)
             if not link:
                 plain.append(text)
     flush()
-    return texts, sizes, regions
+    return texts, sizes, regions, blocks
 
 
 def _stretches(sizes: list[int], first: int, last: int) -> Iterator[tuple[int, int]]:
@@ -353,12 +387,103 @@ def _surges(sizes: list[int], first: int, last: int) -> bool:
     return any(sum(sizes[i:min(i + WINDOW, last)]) >= SURGE for i in range(first, last))
 
 
+def _surging(sizes: list[int], divisions: list[int]) -> list[int]:
+    """The lines that carry a window that surges: of its sum, they hold their
+    share or more.  A window ends with its division, so that a note of one line
+    is not taken for text because it lies beside some."""
+    total = _sums(sizes)
+    last = -1  # the last line of the windows that surge so far
+    end = 0  # of the lines of one division
+    out = []
+    for i, n in enumerate(sizes):
+        while end <= i or end < len(sizes) and divisions[end] == divisions[i]:
+            end += 1
+        if total[min(i + WINDOW, end)] - total[i] >= SURGE:
+            last = min(i + WINDOW, end) - 1
+        if i <= last and n * WINDOW >= SURGE:
+            out.append(i)
+    return out
+
+
+def _outlined(page: Page, sizes: list[int], blocks: list[int]) -> list[tuple[int, int]]:
+    """The lines between the surge and dive points of a page without articles;
+    none if no window surges.
+
+    The innermost division with all lines that surge is kept whole, but for a
+    window or more of links at its ends.  If it is the body, the points are where
+    its first and last division or paragraph with such a line begins and ends, and
+    divisions between them that hold links alone, a window or more, are menus.
+    Outwards from there paragraphs, lists and tables go on with the text, at
+    each level up to the next division."""
+    tags, around, until = page.tags, page.around, page.until
+    division: list[int] = []  # of each block, the innermost
+    for b, tag in enumerate(tags):
+        division.append(b if tag not in TEXT else division[around[b]] if around[b] >= 0 else -1)
+    surging = _surging(sizes, [division[b] if b >= 0 else -1 for b in blocks])
+    if not surging:
+        return []
+    held = [blocks[i] for i in surging]
+    top, most = min(held), max(held)  # blocks are numbered as they open, so what holds these two holds all between
+    while top >= 0 and (tags[top] in TEXT or until[top] < most):
+        top = around[top]
+    children = [[] for _ in range(len(tags) + 1)]  # the last list has those in no block
+    for b, outer in enumerate(around):
+        children[outer].append(b)
+
+    def within(b: int, outer: int) -> bool:
+        return outer < 0 or outer <= b <= until[outer]
+
+    def unit(i: int, outer: int) -> int:
+        """The block in ``outer`` that holds line i, or -1: its own text."""
+        return -1 if blocks[i] == outer else children[outer][bisect_left(children[outer], blocks[i] + 1) - 1]
+
+    def divides(b: int) -> bool:
+        return b >= 0 and tags[b] not in TEXT
+
+    def onwards(i: int, step: int, outer: int) -> int:
+        """The last line from i on that belongs to the text; links alone do not."""
+        end, i = i, i + step
+        while 0 <= i < len(sizes) and within(blocks[i], outer) and not divides(unit(i, outer)):
+            end = i if sizes[i] else end
+            i += step
+        return end
+
+    kept = [True] * len(sizes)
+    if top < 0 or tags[top] in ("html", "body"):
+        first, last = surging[0], surging[-1]
+        a, b = unit(first, top), unit(last, top)
+        while a >= 0 and first and within(blocks[first - 1], a):
+            first -= 1
+        while b >= 0 and last + 1 < len(sizes) and within(blocks[last + 1], b):
+            last += 1
+        i = first
+        while i <= last:
+            box, end = unit(i, top), i + 1
+            while box >= 0 and end <= last and within(blocks[end], box):
+                end += 1
+            if divides(box) and end - i >= WINDOW and not any(sizes[i:end]):
+                kept[i:end] = [False] * (end - i)
+            i = end
+        first, last = onwards(first, -1, top), onwards(last, 1, top)
+    else:
+        inside = [i for i, b in enumerate(blocks) if within(b, top)]
+        first, last = inside[0], inside[-1]
+        links = next(i for i in inside if sizes[i]) - first
+        first += links if links >= WINDOW else 0
+        links = last - next(i for i in reversed(inside) if sizes[i])
+        last -= links if links >= WINDOW else 0
+    while top >= 0:
+        top = around[top]
+        first, last = onwards(first, -1, top), onwards(last, 1, top)
+    return [(i, i + 1) for i in range(first, last + 1) if kept[i]]
+
+
 def main_text(html: str) -> str:
     """The lines of the stretches that surge, in order."""
     page = parse(html)
-    texts, sizes, regions = lines(page, _chrome(page))
+    texts, sizes, regions, blocks = lines(page, _chrome(page))
     if not texts:  # a wrapper's name may speak of a part it holds
-        texts, sizes, regions = lines(page, [False] * len(page.suspects))
+        texts, sizes, regions, blocks = lines(page, _unseen(page))
     edges = [i for i in range(len(texts) + 1) if i in (0, len(texts)) or regions[i] != regions[i - 1]]
     inside: list[tuple[int, int]] = []
     outside: list[tuple[int, int]] = []
@@ -373,13 +498,14 @@ def main_text(html: str) -> str:
         most = max(sum(sizes[a:b]) for a, b in inside)
         kept = sorted(kept + [(a, b) for a, b in high if sum(sizes[a:b]) > most])
     else:
-        kept = high or outside or [(0, len(texts))]
+        kept = _outlined(page, sizes, blocks) or outside or [(0, len(texts))]
     return "\n".join(t for a, b in kept for t in texts[a:b])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url,
-    html).  Null or empty html, and pages of chrome alone, have an empty text.
+    html).  Null or empty html, and pages of chrome or of readers' comments alone,
+    have an empty text.
     Repeated rows come out alike; no row is dropped and no text cut; other
     columns are not looked at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -264,6 +264,71 @@ def test_main_text_surges_and_dives():
     assert text(f"<p>{long}</p><p>{long}</p><article><p>short</p></article>") == f"{long}\n{long}\nshort"
 
 
+def test_main_text_between_surge_and_dive_is_whole():
+    text = line_blocks.main_text
+    long = ("A sentence of the article that is much too long to be one of a menu. " * 2).strip()
+    links = '<ul>' + "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(4)) + "</ul>"
+    four = "Link 0\nLink 1\nLink 2\nLink 3"
+    page = f"<div>top</div><div id=content><p>{long}</p><p>short.</p>{links}<p>After list short.</p></div><div>bottom</div>"
+    assert text(page) == f"{long}\nshort.\n{four}\nAfter list short."
+    assert text(f"<body>{page}</body>") == text(page)
+    # in the body itself a list goes on with the text, a division ends it
+    assert text(f"<body><div>top</div><h1>T</h1><p>{long}</p>{links}<p>end</p><div>(c) site</div></body>") == f"T\n{long}\n{four}\nend"
+    # two divisions that surge keep what lies between, but for menus
+    assert text(f"<div>a</div><div><p>{long}</p></div><div>b</div><div>{links}</div><div><p>c</p><p>{long}</p></div><div>d</div>") == \
+        f"{long}\nb\nc\n{long}"
+    # a one-line note beside the text is not taken for text, however near its length comes to the threshold
+    assert text(f"<div>{long[:110]}</div><div><p>{long}</p><p>x</p></div><div>{long[:110]}</div>") == f"{long}\nx"
+    assert text("<div>" * 3000 + f"<p>{long}</p><p>x" + "</div>" * 3000 + "<div>foot</div>") == f"{long}\nx"
+
+
+def test_comments_go_whatever_their_size_and_the_texts():
+    text = line_blocks.main_text
+    comments = "<div class=comments><p>" + "I say so too. " * 30 + "</p></div>"
+    assert text(f"<article><p>Short text here.</p>{comments}</article>") == "Short text here."
+    assert text(f"<div><p>Short text here.</p>{comments}</div>") == "Short text here."
+    assert text(f"<p>One.</p><section id=disqus_thread><p>{'me too ' * 90}</p></section>") == "One."
+    assert text(f"<article>{comments}</article>") == text(comments) == ""
+    assert text(f'<div class="comments-page"><article>one</article>{comments}</div>') == "one"
+    # a name that says chrome, but holds the text beside long comments
+    body = "A sentence of the article that is much too long to be one of a menu. " * 2
+    assert text(f"<article><div class=widget><p>{body}</p></div>{comments * 3}</article>") == body.strip()
+
+
+def test_lines_surge_as_by_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        n = r.randrange(0, 30)
+        sizes = [r.choice((0, 5, 39, 40, 41, 60, 120, 400)) for _ in range(n)]
+        divisions = sorted(r.randrange(4) for _ in range(n))
+        want = set()
+        for i in range(n):
+            window = [j for j in range(i, min(i + line_blocks.WINDOW, n)) if divisions[j] == divisions[i]]
+            if sum(sizes[j] for j in window) >= line_blocks.SURGE:
+                want.update(j for j in window if sizes[j] * line_blocks.WINDOW >= line_blocks.SURGE)
+        assert line_blocks._surging(sizes, divisions) == sorted(want)
+
+
+def test_main_text_of_an_empty_table(spark):
+    out = line_blocks.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, row string"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 0
+
+
+def test_main_text_of_given_pages_without_tags_and_names():
+    """Neither the article's tag nor those of chrome nor any name: the line blocks alone."""
+    import re
+
+    rows = duckdb.connect().sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()
+    same = 0
+    for (page,) in rows:
+        bare = re.sub(r"(</?)(article|main|nav|footer|aside|header|form)\b", r"\1div", page)
+        bare = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|\S+?(?=[\s>]))", "", bare)
+        want, got = line_blocks.main_text(page), line_blocks.main_text(bare)
+        assert f"\n{want}\n" in f"\n{got}\n"
+        same += want == got
+    assert same >= 0.9 * len(rows)
+
+
 def test_main_text_of_given_pages(spark):
     import html
     import re
