@@ -332,14 +332,17 @@ def components(links: DataFrame) -> DataFrame:
     """(rep, component) for every endpoint of ``links`` (a, b): the smallest
     reachable one.  Alternating large-star and small-star steps, each a
     minimum per node with partial aggregation, until nothing moves; the table
-    of a step is written, so a lost executor costs one step."""
+    of a step is written, so a lost executor costs one step.  So are the minima
+    that edges are joined with: a join of two written tables may be split where
+    a node has many neighbours, one that shares its exchange with an aggregate
+    may not."""
     edges = links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
     edges, state = _scratch(edges, "edges"), None
     while True:
         # large star: every larger neighbour of a node points to the node's smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        least = _scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = edges.join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # small star: a node and its smaller neighbours point to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")

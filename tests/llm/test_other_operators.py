@@ -86,6 +86,24 @@ def test_deduplicated_keeps_one_of_each(spark, monkeypatch, broadcast_rows):
     assert len(left) == empty + len(classes) + other and len({r.rep for r in left}) == len(left)
 
 
+def test_components_of_stars_chains_and_random_links(spark):
+    r = random.Random(5)
+    links = [(10, i) for i in range(100, 700)] + [(i, i + 1) for i in range(1000, 1060)] + [(699, 5), (5, 5)]
+    links += [(2000 + r.randrange(300), 2000 + r.randrange(300)) for _ in range(220)]
+    r.shuffle(links)
+    least = {x: x for e in links for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            moved |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    got = near_duplicates.components(spark.createDataFrame(links, "a long, b long")).collect()
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert sorted((x.rep, x.component) for x in got) == sorted((x, m) for x, m in least.items() if x not in alone)
+
+
 def test_near_duplicates_empty(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
