@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions import signals as sg
@@ -56,6 +56,16 @@ def weights_check(weights: DataFrame) -> DataFrame:
     return weights.select("tenant_id", rnd(total, 4).alias("weight_sum"), sg.weights_valid(total).alias("is_valid"))
 
 
+def guardrail_rows(config: DataFrame, owner: list[str], cols: list[str]) -> DataFrame:
+    """Per owner its greatest active row of each category (``of``, a map: at most
+    one entry per category) and of all categories (``rest``)."""
+    best = config.where("is_active").groupBy(*owner, F.col("category_id").cast("long").alias("_category")).agg(
+        F.max(F.struct(*cols, "max_price")).alias("_row"))
+    one = F.col("_category").isNull()
+    return best.groupBy(*owner).agg(F.map_from_entries(F.collect_list(F.when(~one, F.struct("_category", "_row")))).alias("of"),
+                                    F.max(F.when(one, F.col("_row"))).alias("rest"))
+
+
 def resolve_guardrails(cells: DataFrame, config: DataFrame | None, categories: DataFrame,
                        generic=(50.0, 25.0, 50.0)) -> DataFrame:
     """PRC-02 / JN-07: per cell, the most specific active guardrail row
@@ -67,15 +77,13 @@ def resolve_guardrails(cells: DataFrame, config: DataFrame | None, categories: D
     cols = ["min_price", "max_discount_pct", "max_premium_pct"]
     out, found = cells, F.lit(None)
     if config is not None:
-        row = F.struct(*cols, "max_price")
-        levels = (["branch_id", "category_id"], ["branch_id"], ["category_id"], [])
-        for i, level in enumerate(levels):
-            fits = F.col("is_active")
-            for c in ("branch_id", "category_id"):
-                fits &= F.col(c).isNotNull() if c in level else F.col(c).isNull()
-            best = config.where(fits).groupBy("tenant_id", *level).agg(F.max(row).alias(f"_g{i}"))
-            out = out.join(best if len(level) > 1 else F.broadcast(best), ["tenant_id", *level], "left")  # broadcast: at most a tenant's branches
-        out = out.withColumn("_g", F.coalesce(*[F.col(f"_g{i}") for i in range(len(levels))]))
+        mine = guardrail_rows(config.where("branch_id IS NOT NULL"), ["tenant_id", "branch_id"], cols)
+        general = guardrail_rows(config.where("branch_id IS NULL"), ["tenant_id"], cols)
+        out = out.join(mine.withColumnsRenamed({"of": "_of_branch", "rest": "_branch"}), ["tenant_id", "branch_id"], "left")
+        out = out.join(F.broadcast(general.withColumnsRenamed({"of": "_of_all", "rest": "_all"})), "tenant_id", "left")  # broadcast: a row per tenant
+        of = lambda rows: F.try_element_at(rows, F.col("category_id").cast("long"))
+        found = F.coalesce(of("_of_branch"), "_branch", of("_of_all"), "_all")
+        out = out.withColumn("_g", found)
         found = F.col("_g")
     d = F.broadcast(categories.select("category_id", *[F.col("default_" + c).alias("_d_" + c) for c in cols]))
     out = out.join(d, "category_id", "left")
@@ -100,15 +108,53 @@ def holiday_calendar(holiday_window: DataFrame, weekend_days=DEFAULT_WEEKEND) ->
                                  is_weekend("cal_date", weekend_days).alias("is_weekend"))
 
 
-def generate(spine: DataFrame, base: DataFrame, guard: DataFrame, weights: DataFrame,
-             util: DataFrame, forecast: DataFrame, mean_demand: DataFrame, comp: DataFrame,
-             weather: DataFrame, calendar: DataFrame, run_date: dt.date,
-             model_name: str = "pricing_engine_v1", model_version: str = "1.0.0",
-             weekend_days=DEFAULT_WEEKEND) -> DataFrame:
+#: The key that each input of a run is unique on.
+INPUT_KEYS = {"base": CELL, "guard": CELL, "weights": ["tenant_id"], "util": CELL + ["forecast_date"], "forecast": CELL + ["forecast_date"],
+              "mean_demand": CELL, "comp": CELL + ["forecast_date"], "weather": ["tenant_id", "branch_id", "forecast_date"],
+              "calendar": ["tenant_id", "forecast_date"]}
+#: The inputs that each signal reads.
+SIGNAL_INPUTS = {"utilization": ("util",), "forecast": ("forecast", "mean_demand"), "competitor": ("base", "comp"),
+                 "weather": ("weather",), "holiday": ("calendar",)}
+
+
+def with_inputs(spine: DataFrame, inputs: dict[str, DataFrame]) -> DataFrame:
+    """The cell-days of the spine with the columns of ``inputs``, by name;
+    a cell-day without a row of an input keeps NULLs."""
+    found = {"weather": "_wx", "calendar": "_cal"}
+    for name, rows in inputs.items():
+        if name in found:
+            rows = rows.withColumn(found[name], F.lit(True))
+        spine = spine.join(rows, INPUT_KEYS[name], "left")
+    return spine
+
+
+def signal(name: str, weekend_days=DEFAULT_WEEKEND) -> Column:
+    """SIG-U / F / C / W / H over the columns of the signal's inputs."""
+    if name == "utilization":
+        return sg.utilization_signal("utilization_contracts", "utilization_bookings")
+    if name == "forecast":
+        return sg.forecast_signal("forecast_demand", "mean_train_demand")
+    if name == "competitor":
+        return sg.competitor_signal("base_daily", "competitor_avg_price")
+    if name == "weather":
+        return sg.weather_signal("bad_weather_score", "extreme_heat_flag", "precipitation_sum", F.coalesce(F.col("_wx"), F.lit(False)))
+    wk = is_weekend("forecast_date", weekend_days)
+    return F.when(F.col("_cal").isNull(), sg.holiday_signal_without_calendar(wk)).otherwise(
+        sg.holiday_signal("is_holiday", "days_to_holiday", "is_school_holiday", "is_weekend"))
+
+
+def signal_of_days(spine: DataFrame, name: str, inputs: dict[str, DataFrame], weekend_days=DEFAULT_WEEKEND) -> DataFrame:
+    """One signal of every cell-day: reads that signal's inputs and no others."""
+    j = with_inputs(spine, {i: inputs[i] for i in SIGNAL_INPUTS[name]})
+    return j.select(*CELL, "forecast_date", rnd(signal(name, weekend_days), 4).alias(f"{name}_signal"))
+
+
+def generate(spine: DataFrame, inputs: dict[str, DataFrame], run_date: dt.date, model_name: str = "pricing_engine_v1",
+             model_version: str = "1.0.0", weekend_days=DEFAULT_WEEKEND) -> DataFrame:
     """PRC-05: signals -> weighted adjustment -> guardrail clamp -> prices
     and explanation for every cell-day of the spine.
 
-    Inputs (all unique on their join keys):
+    Inputs (all unique on their join keys, ``INPUT_KEYS``):
       base     (tenant, branch, category) -> base_daily/weekly/monthly
       guard    (tenant, branch, category) -> guardrail_* columns, guardrail_max_price NULL where there is none
       weights  (tenant) -> w_<signal>
@@ -119,23 +165,8 @@ def generate(spine: DataFrame, base: DataFrame, guard: DataFrame, weights: DataF
       weather  (tenant, branch, forecast_date) -> bad_weather_score, extreme_heat_flag, precipitation_sum
       calendar (tenant, forecast_date) -> is_holiday, days_to_holiday, is_school_holiday, is_weekend
     """
-    k = CELL + ["forecast_date"]
-    j = (spine.join(base, CELL, "left").join(guard, CELL, "left").join(weights, "tenant_id", "left")
-              .join(util, k, "left").join(forecast, k, "left").join(mean_demand, CELL, "left")
-              .join(comp, k, "left")
-              .join(weather.withColumn("_wx", F.lit(True)), ["tenant_id", "branch_id", "forecast_date"], "left")
-              .join(calendar.withColumn("_cal", F.lit(True)), ["tenant_id", "forecast_date"], "left"))
-    wk = is_weekend("forecast_date", weekend_days)
-    s = {
-        "utilization": sg.utilization_signal("utilization_contracts", "utilization_bookings"),
-        "forecast": sg.forecast_signal("forecast_demand", "mean_train_demand"),
-        "competitor": sg.competitor_signal("base_daily", "competitor_avg_price"),
-        "weather": sg.weather_signal("bad_weather_score", "extreme_heat_flag", "precipitation_sum",
-                                     F.coalesce(F.col("_wx"), F.lit(False))),
-        "holiday": F.when(F.col("_cal").isNull(), sg.holiday_signal_without_calendar(wk)).otherwise(
-            sg.holiday_signal("is_holiday", "days_to_holiday", "is_school_holiday", "is_weekend")),
-    }
-    j = j.select("*", *[v.alias(n + "_signal") for n, v in s.items()])
+    j = with_inputs(spine, {name: inputs[name] for name in INPUT_KEYS})
+    j = j.select("*", *[signal(n, weekend_days).alias(n + "_signal") for n in SIGNALS])
     raw = sg.weighted_adjustment({n: F.col(n + "_signal") for n in SIGNALS},
                                  {n: F.col("w_" + n) for n in SIGNALS})
     j = j.withColumn("raw_adjustment_pct", raw)

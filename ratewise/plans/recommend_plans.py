@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ratewise.functions.mathx import money_sql as M, rnd, rnd_sql as R
 from ratewise.operators import calendar as cal
+from ratewise.operators import competitor as cpo
+from ratewise.operators import demand as dm
 from ratewise.operators import forecast as fc
 from ratewise.operators import quarantine
 from ratewise.operators import recommend as rc
+from ratewise.operators import utilization as ut
 from ratewise.operators import weather as wx
 from ratewise.plans import calendar_plans, competitor_plans, feature_plans, forecast_plans  # noqa: F401
 from ratewise.plans import params as P
-from ratewise.plans.competitor_plans import base_rates
+from ratewise.plans.competitor_plans import base_rates, fact, window_quotes
+from ratewise.plans.feature_plans import _fact_split
 from ratewise.plans.oracle_views import register_view, with_views
 from ratewise.plans.registry import query
 from ratewise.sinks.io import materialize, new_table
-from ratewise.sources.fixed import CATEGORIES, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS, fixed_table_sql
+from ratewise.sources.fixed import CATEGORIES, DEFAULT_COMPETITOR_TYPE, GENERIC_GUARDRAIL, SIGNAL_WEIGHTS, fixed_table_sql
 
 RUN = f"DATE '{P.RUN_DATE}'"
 H = P.HORIZON
@@ -201,62 +207,68 @@ def _calendar(d):
 
 
 def _mean_train(d):
-    from ratewise.plans.feature_plans import _fact_split
     return _fact_split(d).where(F.col("split_flag") == "TRAIN").groupBy(*rc.CELL).agg(
         F.avg(F.col("executed_rentals_count").cast("double")).alias("mean_train_demand"))
 
 
-def recommendations(d, run_date=P.RUN_DATE, forecasts=None):
-    """PRC-05 over every branch x category for the run window.
-
-    Inputs are computed once each and, where several signal branches read
-    them, materialized (fact with split, base rates, competitor index,
-    forecasts).  Only the 30-day window is read for utilization and
-    competitor quotes: the date bounds reach the parquet scans.
-    """
-    import datetime as dt
-    from ratewise.operators import competitor as cpo
-    from ratewise.operators import demand as dm
-    from ratewise.operators import timeseries as ts
-    from ratewise.operators import utilization as ut
-    from ratewise.plans.competitor_plans import window_quotes
-    from ratewise.sources.fixed import DEFAULT_COMPETITOR_TYPE
-    key = ("_recs", run_date)
-    if key in d.__dict__:
-        return d.__dict__[key]
+def run_inputs(d, run_date=P.RUN_DATE, forecasts=None):
+    """What builds each input of a run (``rc.INPUT_KEYS``), by name.  Only the
+    window is read for utilization and competitor quotes: the date bounds
+    reach the parquet scans."""
     end = run_date + dt.timedelta(days=H - 1)
-    fact = dm.build_daily_demand(d).withColumn("split_flag", ts.split_flag("demand_date", P.SPLIT_CUTOFF))
-    fact = materialize(fact, "fact")
-    d.__dict__["_fs"] = d.__dict__["_fact"] = fact
-    base = materialize(base_rates(d), "base_rates")
-    d.__dict__["_base"] = base
-    comp = cpo.competitor_index(window_quotes(d, run_date, end), d.fixed("competitor_mapping"), base,
-                                DEFAULT_COMPETITOR_TYPE)
-    cells = _cells(d)
-    spine = rc.horizon_spine(cells, run_date, H)
-    rentals = dm.with_category(dm.executed_rentals(d.contracts, tenant_id=d.tenant_id), d.vehicles)
-    on_rent = ut.on_rent_daily(rentals.where((F.col("start_date") <= F.lit(end))
-                                             & (F.col("end_date") >= F.lit(run_date))), run_date, end)
-    util = (fact.where(F.col("demand_date").between(F.lit(run_date), F.lit(end)))
+
+    def util():
+        rentals = dm.with_category(dm.executed_rentals(d.contracts, tenant_id=d.tenant_id), d.vehicles)
+        on_rent = ut.on_rent_daily(rentals.where((F.col("start_date") <= F.lit(end))
+                                                 & (F.col("end_date") >= F.lit(run_date))), run_date, end)
+        return (fact(d).where(F.col("demand_date").between(F.lit(run_date), F.lit(end)))
                 .select(*rc.CELL, F.col("demand_date").alias("day"))
                 .join(on_rent, rc.CELL + ["day"]).join(ut.fleet_size(d.vehicles), rc.CELL)
                 .select(*rc.CELL, F.col("day").alias("forecast_date"),
                         rnd(F.col("vehicles_on_rent") / F.col("fleet_size"), 4).alias("utilization_contracts"),
                         F.lit(None).cast("double").alias("utilization_bookings")))
-    if forecasts is None:
-        forecasts = materialize(forecast_plans.forecast_runs(d), "forecast_runs")
-    fcst = fc.latest_forecast(forecasts).select(*rc.CELL, "forecast_date", "forecast_demand")
-    comp = comp.select(*rc.CELL, F.col("index_date").alias("forecast_date"), "competitor_avg_price")
-    wxs = wx.score_weather(d.weather, P.SPLIT_CUTOFF).where(
-        F.col("weather_date").between(F.lit(run_date), F.lit(end))).select(
-        "tenant_id", "branch_id", F.col("weather_date").alias("forecast_date"), "bad_weather_score",
-        "extreme_heat_flag", "precipitation_sum")
-    guard = rc.resolve_guardrails(cells, guardrail_config(d), d.categories, GENERIC_GUARDRAIL)
-    weights = _weights(d, fact.select("tenant_id").distinct())
-    out = rc.generate(spine, base.drop("base_source"), guard, weights, util, fcst, _mean_train(d),
-                      comp, wxs, _calendar(d), run_date)
-    d.__dict__[key] = out
-    return out
+
+    def forecast():
+        runs = forecast_plans.forecast_runs(d) if forecasts is None else forecasts
+        return fc.latest_forecast(runs).select(*rc.CELL, "forecast_date", "forecast_demand")
+
+    def comp():
+        index = cpo.competitor_index(window_quotes(d, run_date, end), d.fixed("competitor_mapping"), base_rates(d), DEFAULT_COMPETITOR_TYPE)
+        return index.select(*rc.CELL, F.col("index_date").alias("forecast_date"), "competitor_avg_price")
+
+    def weather():
+        return wx.score_weather(d.weather, P.SPLIT_CUTOFF).where(F.col("weather_date").between(F.lit(run_date), F.lit(end))).select(
+            "tenant_id", "branch_id", F.col("weather_date").alias("forecast_date"), "bad_weather_score", "extreme_heat_flag", "precipitation_sum")
+
+    return {"base": lambda: base_rates(d).drop("base_source"),
+            "guard": lambda: rc.resolve_guardrails(_cells(d), guardrail_config(d), d.categories, GENERIC_GUARDRAIL),
+            "weights": lambda: _weights(d, fact(d).select("tenant_id").distinct()), "util": util, "forecast": forecast,
+            "mean_demand": lambda: _mean_train(d), "comp": comp, "weather": weather, "calendar": lambda: _calendar(d)}
+
+
+def share_fact(d):
+    """The fact with its split, written once for the branches of this query."""
+    d.__dict__["_fs"] = d.__dict__["_fact"] = materialize(_fact_split(d), "fact")
+
+
+def share_base_rates(d):
+    d.__dict__["_base"] = materialize(base_rates(d), "base_rates")
+
+
+def recommendations(d, run_date=P.RUN_DATE, forecasts=None):
+    """PRC-05 over every branch x category for the run window.
+
+    Inputs are computed once each and, where several signal branches read
+    them, materialized (fact with split, base rates, forecasts)."""
+    key = ("_recs", run_date)
+    if key not in d.__dict__:
+        share_fact(d)
+        share_base_rates(d)
+        if forecasts is None:
+            forecasts = materialize(forecast_plans.forecast_runs(d), "forecast_runs")
+        inputs = {name: build() for name, build in run_inputs(d, run_date, forecasts).items()}
+        d.__dict__[key] = rc.generate(rc.horizon_spine(_cells(d), run_date, H), inputs, run_date)
+    return d.__dict__[key]
 
 
 @query("prc_05", with_views("SELECT * FROM recommendations", "recommendations"))
@@ -265,12 +277,20 @@ def prc_05(d):
     return recommendations(d)
 
 
+#: Tables that more than one input of the signal reads.
+SHARED = {"forecast": share_fact, "competitor": share_base_rates}
+
+
 def _sig_query(name):
     @query(f"sig_{name[0]}", with_views(f"""
         SELECT branch_id, category_id, forecast_date, {name}_signal FROM recommendations""", "recommendations"))
     def q(d):
-        return recommendations(d).select("branch_id", "category_id", "forecast_date", f"{name}_signal")
-    q.__doc__ = f"SIG-{name[0].upper()}: the {name} signal of every cell-day."
+        if name in SHARED:
+            SHARED[name](d)
+        build = run_inputs(d)
+        inputs = {i: build[i]() for i in rc.SIGNAL_INPUTS[name]}
+        return rc.signal_of_days(rc.horizon_spine(_cells(d), P.RUN_DATE, H), name, inputs).drop("tenant_id")
+    q.__doc__ = f"SIG-{name[0].upper()}: the {name} signal of every cell-day, from that signal's inputs alone."
     return q
 
 
@@ -308,7 +328,6 @@ def prc_06(d):
 def prc_02(d):
     """PRC-02: guardrails of every cell that has a fleet where no
     configuration row exists (category default, generic)."""
-    from ratewise.operators import utilization as ut
     cells = ut.fleet_size(d.vehicles).select(*rc.CELL)
     return rc.resolve_guardrails(cells, None, d.categories, GENERIC_GUARDRAIL)
 

@@ -32,3 +32,22 @@ def test_no_python_udfs_in_headline_plans(spark):
     for n in ("agg_01", "fst_05", "cmp_04", "fct_02_series"):
         p = _plan(spark, n)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, n
+
+
+def test_a_signal_reads_its_own_inputs_alone(spark):
+    for name, reads, leaves in (("sig_w", "o_totalprice", "l_shipdate"), ("sig_h", "l_shipdate", "o_totalprice")):
+        p = _plan(spark, name)
+        assert reads in p and leaves not in p, name
+
+
+def test_signals_are_the_columns_of_the_run(spark):
+    run = {(r.branch_id, r.category_id, r.forecast_date): r for r in E.queries()["prc_05"](spark, SMALL).collect()}
+    for name in ("utilization", "forecast", "competitor", "weather", "holiday"):
+        rows = E.queries()[f"sig_{name[0]}"](spark, SMALL).collect()
+        assert len(rows) == len(run)
+        assert all(r[3] == run[tuple(r)[:3]][f"{name}_signal"] for r in rows), name
+
+
+def test_guardrails_read_their_configuration_twice_at_most(spark):
+    p = _plan(spark, "prc_02_tenants")
+    assert len(re.findall(r"FileScan parquet \[[^\]]*o_orderstatus", p)) <= 2
