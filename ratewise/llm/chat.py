@@ -11,6 +11,8 @@ task: totals of chunks of turns are summed first, then turns inside a chunk.
 A conversation of any length is therefore spread over tasks, and is rendered
 in parts of a fixed number of turns.  Prefix hashes are made distinct before
 they are joined, so a first turn that all conversations share is one row.
+Hashes of turns are written once in the shared folder, so texts are read for
+them once; rendered text is not shuffled again.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewise.sinks.io import materialize
+
 #: Turns whose prefix sums, or whose rendering, are made in one task.
 CHUNK = 256
 
@@ -63,23 +67,25 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     another one, the smallest id of those with equal turns, and how many
     logged conversations say just the same."""
     key = ["n", "p1", "p2"]
-    prefixes = prefix_hashes(turn_hashes(turns))
+    prefixes = prefix_hashes(materialize(turn_hashes(turns), "turn-hashes"))
     whole = prefixes.where("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     inner = prefixes.where("NOT last").select(*key).distinct()
     return whole.join(inner, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"), "copies")
 
 
-def render(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>", chunk: int = CHUNK) -> DataFrame:
-    """(conv_id, part, text): turns by number, role and text, each as start,
-    role, line feed, text, end, line feed.  Delimiters inside a text are
-    defused by a space after their ``<``.  Part k holds the turns numbered
-    k * chunk and up; repeated rows of a turn are written once."""
+def render(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>", chunk: int = CHUNK,
+           also: tuple[str, ...] = ()) -> DataFrame:
+    """(conv_id, part, text, columns ``also`` of the conversation): turns by
+    number, role and text, each as start, role, line feed, text, end, line feed.
+    Delimiters inside a text are defused by a space after their ``<``.  Part k
+    holds the turns numbered k * chunk and up; repeated rows of a turn are
+    written once."""
     clean = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(start), F.lit("< " + start[1:])),
                                 F.lit(end), F.lit("< " + end[1:]))
     line = F.concat(F.lit(start), clean("role"), F.lit("\n"), clean("text"), F.lit(end + "\n"))
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"), line.alias("line"))
     ordered = F.array_sort(F.collect_set(said))
-    return (turns.groupBy("conv_id", F.floor(F.col("turn") / chunk).alias("part"))
+    return (turns.groupBy("conv_id", *also, F.floor(F.col("turn") / chunk).alias("part"))
             .agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "").alias("text")))
 
 
@@ -94,6 +100,5 @@ def collapse_and_render(conversations: DataFrame) -> DataFrame:
     are not looked at."""
     turns = conversations.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
     kept = maximal_conversations(turns)
-    said = render(turns.join(kept.select("conv_id"), "conv_id", "left_semi"))
-    return (said.join(kept, "conv_id")
-            .select("conv_id", "part", "n_turns", "copies", "text", F.char_length("text").cast("long").alias("n_chars")))
+    said = render(turns.join(kept, "conv_id"), also=("n_turns", "copies"))
+    return (said.select("conv_id", "part", "n_turns", "copies", "text", F.char_length("text").cast("long").alias("n_chars")))
