@@ -9,6 +9,8 @@ the lower posterior bound of its bad rate exceeds the allowed rate.
 Only DataFrame functions run here.  Html is never read; labels and pages meet
 on their id with two narrow columns, and all counts are partial aggregates, so
 a host with a third of all pages is a third of a scan and one row afterwards.
+Counts per host and the priors of domains are written once in the shared
+folder: every prior is fitted on those, and pages are scanned for them once.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewise.sinks.io import materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,7 +118,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     mean ``bad_rate`` and its lower bound ``bad_lower`` (mean - z * sd)."""
     sites = (pages.join(outcomes, "page_id", "left").groupBy("host")
              .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    sites = with_domain(sites)
+    sites = materialize(with_domain(sites), "host-counts")
     domains = sites.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Laplace's rule at the root: defined even without a single label
@@ -126,7 +130,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
             "rate", (F.col("k") * F.col("mu") + F.col("bad")) / (F.col("k") + F.col("n")))
 
     up = shrunk(suffixes.withColumn("mu", root)).select("suffix", F.col("rate").alias("mu"))
-    mid = shrunk(domains.join(up, "suffix")).select("domain", "suffix", F.col("rate").alias("mu"))
+    mid = materialize(shrunk(domains.join(up, "suffix")).select("domain", "suffix", F.col("rate").alias("mu")), "domain-rates")
     out = shrunk(sites.join(mid, ["domain", "suffix"]))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("k") + F.col("n") + 1))
     return out.select("host", "n", "bad", F.col("rate").alias("bad_rate"),
