@@ -40,6 +40,8 @@ SHINGLE, SIMILAR = 5, 85
 SYMBOLS, DISTANCE, CHUNKS = 64, 21, 11
 #: Rows of a block of a frequent key or a large group.
 BLOCK = 512
+#: Shingles hashed at a time.
+PART = 16_384
 #: Names of texts that are broadcast at most (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 
@@ -73,12 +75,14 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 def signature(sets: np.ndarray) -> np.ndarray:
     """The smallest hash of the set under each of SYMBOLS hash functions, of
     which 16 bits are kept."""
-    out = np.empty(SYMBOLS, np.uint64)
-    for a in range(0, SYMBOLS, 8):  # few at a time: long texts stay within the cache
-        h = sets[None, :] * _MUL[a:a + 8, None]
-        h ^= h >> np.uint64(29)
-        h *= _MIX
-        out[a:a + 8] = h.min(axis=1)
+    out = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(sets), PART):  # a part of a long text at a time, under few functions
+        part = sets[None, at:at + PART]
+        for a in range(0, SYMBOLS, 8):
+            h = part * _MUL[a:a + 8, None]
+            h ^= h >> np.uint64(29)
+            h *= _MIX
+            np.minimum(out[a:a + 8], h.min(axis=1), out=out[a:a + 8])
     return (_mixed(out) >> np.uint64(48)).astype("<u2")
 
 

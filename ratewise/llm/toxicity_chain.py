@@ -41,6 +41,8 @@ STEMS = (4, 5, 6, 7)
 PARTS, FILES = 16, 64
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
+#: Texts whose features are held at a time when scoring.
+ROWS = 500
 
 #: The chain: name of each category and its truth in terms of the labels.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("severe", "toxic = 1 AND quality = 0"))
@@ -323,17 +325,20 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             out = seen[word] = tuple(x for f in word_features(word) for x in index.get(f, ()))
             return out
 
-        for batch in batches:
-            found = [np.zeros((len(batch), len(link.features))) for link in chain.links]
-            n_words = np.zeros(len(batch))
-            for i, t in enumerate(batch):  # the words of one text are held at a time, not those of a batch
+        def judged_rows(texts: pd.Series) -> np.ndarray:
+            found = [np.zeros((len(texts), len(link.features))) for link in chain.links]
+            n_words = np.zeros(len(texts))
+            for i, t in enumerate(texts):  # the words of one text are held at a time, not those of a batch
                 s = words(t)
                 n_words[i] = len(s)
                 for w in s:
                     for k, j in seen[w] if w in seen else hit(w):
                         found[k][i, j] = 1
-            logits = chain.logits(found, n_words)
-            p = 1 / (1 + np.exp(-logits))
+            return 1 / (1 + np.exp(-chain.logits(found, n_words)))
+
+        for batch in batches:
+            parts = [judged_rows(batch.iloc[i:i + ROWS]) for i in range(0, len(batch), ROWS)]
+            p = np.concatenate([np.empty((0, len(names))), *parts])
             rejected = (p >= cuts)[:, judged].any(axis=1)
             yield pd.DataFrame({n: p[:, i] for i, n in enumerate(names)} | {"rejected": rejected})
 
