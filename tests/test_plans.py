@@ -51,3 +51,9 @@ def test_signals_are_the_columns_of_the_run(spark):
 def test_guardrails_read_their_configuration_twice_at_most(spark):
     p = _plan(spark, "prc_02_tenants")
     assert len(re.findall(r"FileScan parquet \[[^\]]*o_orderstatus", p)) <= 2
+
+
+def test_no_table_of_vehicles_and_months_or_days_is_held(spark):
+    """A hash table of (cell, vehicle, month) grew with a task's contracts."""
+    keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", _plan(spark, "jn_06_daily"))
+    assert keys and not any("vehicle_id" in k for k in keys)

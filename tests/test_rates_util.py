@@ -61,6 +61,15 @@ def test_on_rent_daily_equals_a_count_by_hand(spark):
     assert part == {k: len(v) for k, v in want.items() if lo <= k[3] <= hi}
 
 
+def test_on_rent_daily_counts_overlaps_once_and_keeps_days_without_a_known_vehicle(spark):
+    day = lambda i: dt.date(2024, 2, 1) + dt.timedelta(days=i)
+    rows = [(1, None, 7, 5, day(0), day(9)), (1, None, 7, 5, day(2), day(3)), (1, None, 7, 5, day(9), day(11)), (1, None, 7, 5, day(14), day(14)),
+            (1, None, 7, 6, day(11), day(11)), (1, None, 7, None, day(14), day(15)), (1, None, 7, 6, None, day(3))]
+    df = spark.createDataFrame(rows, "tenant_id int, branch_id int, category_id int, vehicle_id int, start_date date, end_date date")
+    got = {r.day: r.vehicles_on_rent for r in ut.on_rent_daily(df).collect()}
+    assert got == {**{day(i): 1 for i in range(11)}, day(11): 2, day(14): 1, day(15): 0}
+
+
 def test_competitor_index_takes_three_cheapest_with_ties(spark):
     day = dt.date(2024, 1, 1)
     prices = [10.0, 10.0, 20.0, 20.0, 30.0, 0.0]
