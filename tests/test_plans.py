@@ -57,3 +57,12 @@ def test_no_table_of_vehicles_and_months_or_days_is_held(spark):
     """A hash table of (cell, vehicle, month) grew with a task's contracts."""
     keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", _plan(spark, "jn_06_daily"))
     assert keys and not any("vehicle_id" in k for k in keys)
+
+
+def _holds_vehicle_days(plan):
+    """Aggregates with the vehicle and one key more than a cell and its vehicle."""
+    return [k for k in re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan) if "vehicle_id" in k and k.count("#") > 4]
+
+
+def test_statistics_of_the_feature_store_hold_no_table_of_vehicle_days(spark):
+    assert not _holds_vehicle_days(_plan(spark, "agg_11"))
