@@ -66,3 +66,7 @@ def _holds_vehicle_days(plan):
 
 def test_statistics_of_the_feature_store_hold_no_table_of_vehicle_days(spark):
     assert not _holds_vehicle_days(_plan(spark, "agg_11"))
+
+
+def test_sequences_hold_no_table_of_vehicle_days(spark):
+    assert not _holds_vehicle_days(_plan(spark, "win_14"))
