@@ -2,7 +2,10 @@
 
 import re
 
+import pytest
+
 import __spark_entry__ as E
+from ratewise.sinks import io
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -70,3 +73,22 @@ def test_statistics_of_the_feature_store_hold_no_table_of_vehicle_days(spark):
 
 def test_sequences_hold_no_table_of_vehicle_days(spark):
     assert not _holds_vehicle_days(_plan(spark, "win_14"))
+
+
+def _plan_of_first_written(spark, monkeypatch, name):
+    """The plan of the first table that a query writes for its own use."""
+    class Seen(Exception):
+        pass
+
+    def materialize(df, name="table"):
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(io, "materialize", materialize)
+    with pytest.raises(Seen) as seen:
+        E.queries()[name](spark, SMALL)
+    return str(seen.value)
+
+
+def test_model_matrix_of_the_sequences_holds_no_table_of_vehicle_days(spark, monkeypatch):
+    p = _plan_of_first_written(spark, monkeypatch, "fct_05")
+    assert "Aggregate" in p and not _holds_vehicle_days(p)
