@@ -96,3 +96,8 @@ def test_model_matrix_of_the_sequences_holds_no_table_of_vehicle_days(spark, mon
 
 def test_feature_store_holds_no_table_of_vehicle_days(spark):
     assert not _holds_vehicle_days(_plan(spark, "fst_01"))
+
+
+def test_model_matrix_holds_no_table_of_vehicle_days(spark, monkeypatch):
+    p = _plan_of_first_written(spark, monkeypatch, "fst_07")
+    assert "Aggregate" in p and not _holds_vehicle_days(p)
