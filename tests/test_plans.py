@@ -101,3 +101,8 @@ def test_feature_store_holds_no_table_of_vehicle_days(spark):
 def test_model_matrix_holds_no_table_of_vehicle_days(spark, monkeypatch):
     p = _plan_of_first_written(spark, monkeypatch, "fst_07")
     assert "Aggregate" in p and not _holds_vehicle_days(p)
+
+
+def test_training_rows_are_built_without_a_table_of_vehicle_days(spark, monkeypatch):
+    p = _plan_of_first_written(spark, monkeypatch, "fct_03")
+    assert "Aggregate" in p and not _holds_vehicle_days(p)
