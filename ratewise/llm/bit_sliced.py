@@ -22,7 +22,7 @@ from ratewise.llm import vector_blocks as vb
 #: Low bits that the index leaves out.
 DROPPED = 2
 #: Queries whose bitmaps are added together.
-BATCH = 64
+BATCH = 128
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -31,24 +31,46 @@ def quantise(vectors: np.ndarray, scale: float = 256.0) -> np.ndarray:
     return np.floor(scale * vectors).astype(np.int64)
 
 
-def add_columns(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
-    """Slices, lowest first, of the sum of bitmaps given by bit position: three
-    of a position become their sum there and a carry one position up."""
-    out, at = [], 0
-    while any(at <= c for c in columns):
-        bits = columns.pop(at, [])
-        up = columns.setdefault(at + 1, []) if len(bits) > 1 else None
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them all."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    return values.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+class Adder:
+    """Sum of bitmaps given by bit position.  Three of a position become their
+    sum there and a carry one position up as soon as they are there, so that a
+    position holds two at most."""
+
+    def __init__(self) -> None:
+        self.columns: dict[int, list[np.ndarray]] = defaultdict(list)
+
+    def add(self, at: int, bitmap: np.ndarray) -> None:
+        """``bitmap`` becomes the adder's own."""
+        bits = self.columns[at]
+        bits.append(bitmap)
         while len(bits) > 2:
-            a, b, c = bits.pop(), bits.pop(), bits.pop(0)
+            a, b, c = bits
             x = a ^ b
-            bits.append(x ^ c)
-            up.append((a & b) | (x & c))
-        if len(bits) == 2:
-            up.append(bits[0] & bits[1])
-            bits = [bits[0] ^ bits[1]]
-        out.append(bits[0] if bits else None)
-        at += 1
-    return out
+            a &= b
+            np.bitwise_xor(x, c, out=b)
+            x &= c
+            a |= x
+            bits[:] = [b]
+            at += 1
+            bits = self.columns[at]
+            bits.append(a)
+
+    def slices(self) -> list[np.ndarray | None]:
+        """Slices of the sum, lowest first; None where no bitmap came."""
+        out: list[np.ndarray | None] = []
+        while any(len(out) <= c for c, bits in self.columns.items() if bits):
+            bits = self.columns.pop(len(out), [])
+            if len(bits) == 2:
+                self.add(len(out) + 1, bits[0] & bits[1])
+                bits = [bits[0] ^ bits[1]]
+            out.append(bits[0] if bits else None)
+        return out
 
 
 class BitSlicedIndex:
@@ -71,7 +93,7 @@ class BitSlicedIndex:
         there = np.zeros(words * 8, np.uint8)
         bits = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
         there[:len(bits)] = bits
-        return {"ids": ids, "values": values, "slices": slices.view(np.uint64), "there": there.view(np.uint64)}
+        return {"ids": ids, "values": narrow(values), "slices": slices.view(np.uint64), "there": there.view(np.uint64)}
 
     def ask(self, block: dict, rows: np.ndarray) -> dict:
         return {"ids": block["ids"][rows], "values": block["values"][rows]}
@@ -82,13 +104,15 @@ class BitSlicedIndex:
         shape = (len(weights), block["slices"].shape[2])
         size = np.abs(weights)
         flip = np.where(weights < 0, ONES, np.uint64(0))
-        columns: dict[int, list[np.ndarray]] = defaultdict(list)
-        for i in range(int(size.max(initial=0)).bit_length()):
-            on = np.where(size >> i & 1 == 1, ONES, np.uint64(0))
-            for d in np.flatnonzero(on.any(axis=0)):
-                for j in range(block["slices"].shape[1]):
-                    columns[i + j].append((block["slices"][d, j][None, :] ^ flip[:, d, None]) & on[:, d, None])
-        return [np.zeros(shape, np.uint64) if s is None else s for s in add_columns(columns)]
+        on = [np.where(size >> i & 1 == 1, ONES, np.uint64(0)) for i in range(int(size.max(initial=0)).bit_length())]
+        adder = Adder()
+        for d in range(weights.shape[1]):
+            used = [(i, bit[:, d, None]) for i, bit in enumerate(on) if bit[:, d].any()]
+            for j in range(block["slices"].shape[1] if used else 0):
+                bits = block["slices"][d, j][None, :] ^ flip[:, d, None]
+                for i, bit in used:
+                    adder.add(i + j, bits & bit)
+        return [np.zeros(shape, np.uint64) if s is None else s for s in adder.slices()]
 
     def boundary(self, block: dict, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of all rows that may be among a query's k best."""
@@ -119,11 +143,11 @@ class BitSlicedIndex:
         ids = np.full((len(own), k), -1, np.int64)
         scores = np.full((len(own), k), vb.lowest(int), np.int64)
         for at in range(0, len(own), self.batch):
-            weights = queries["values"][at:at + self.batch]
+            weights = queries["values"][at:at + self.batch].astype(np.int64)
             q, rows = self.boundary(block, weights, k + 1)  # one more: a query may find itself
             keep = rows != own[at + q]
             q, rows = q[keep], rows[keep]
-            exact = np.einsum("ij,ij->i", weights[q], block["values"][rows])
+            exact = np.einsum("ij,ij->i", weights[q], block["values"][rows].astype(np.int64))
             order = np.lexsort((block["ids"][rows], -exact, q))
             q, rows, exact = q[order], rows[order], exact[order]
             place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -145,5 +169,4 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id
     Scores are 64-bit; components are taken to be small enough for that."""
     ok = vb.finite_vectors(vectors, vec_id, vector, zeros=True)
     index = BitSlicedIndex(dropped)
-    blocks, lanes = vb.build_blocks(ok, index)
-    return vb.search(blocks, lanes, index, lambda ids: ids % every == 0, k)
+    return vb.search(vb.build_blocks(ok, index), index, lambda ids: ids % every == 0, k)

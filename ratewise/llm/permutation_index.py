@@ -122,5 +122,4 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec
     their own.  An empty table gives an empty result."""
     ok = vb.finite_vectors(vectors, vec_id, vector, zeros=False)
     index = PermutationIndex(sample_pivots(ok, pivots), prefix, reranked)
-    blocks, lanes = vb.build_blocks(ok, index)
-    return vb.search(blocks, lanes, index, lambda ids: ids % every == 0, k)
+    return vb.search(vb.build_blocks(ok, index), index, lambda ids: ids % every == 0, k)

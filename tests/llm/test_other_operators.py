@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from ratewise.llm import bit_sliced, line_blocks, near_duplicates, packing, permutation_index, queries, tokens, toxicity_chain
+from ratewise.llm import bit_sliced, line_blocks, near_duplicates, packing, permutation_index, queries, tokens, toxicity_chain, vector_blocks
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,6 +226,56 @@ def test_search_empty(spark, search):
     assert search(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("search", [bit_sliced.top_k, permutation_index.nearest])
+def test_search_broadcasts_no_copies_of_queries(spark, monkeypatch, search):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=16).tolist(), "c") for i in range(400)]
+    df = spark.createDataFrame(rows, VECTORS)
+    monkeypatch.setattr(vector_blocks.build_blocks, "__defaults__", (20,))  # 20 blocks
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "300k")  # the queries are less, 20 copies of them more
+    try:
+        got = search(df, every=1, k=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == 1200 and {(r.query_id, r["rank"]) for r in got} == {(i, n) for i in range(400) for n in (1, 2, 3)}
+    if search is bit_sliced.top_k:
+        assert sorted(tuple(r) for r in got) == exact(rows, 1, 3, True)
+
+
+def test_search_in_rounds_is_exact(spark, tmp_path):
+    rows = vectors() + [(i, [3e4 * (i % 7), -2e4, i / 10], "c") for i in range(600, 700)]  # large components, and another length
+    ok = vector_blocks.finite_vectors(spark.createDataFrame(rows, VECTORS), "vec_id", "embedding", zeros=True)
+    index = bit_sliced.BitSlicedIndex()
+    blocks = vector_blocks.build_blocks(ok, index, rows=60)
+    is_query = lambda ids: ids % 2 == 0
+    asked, rounds = vector_blocks.query_rounds(blocks, index, is_query, 5, str(tmp_path), 4000)
+    sizes = [r["size"] for r in asked.groupBy("round").agg({"size": "sum"}).withColumnRenamed("sum(size)", "size").collect()]
+    assert rounds > 5 and len(sizes) == rounds and max(sizes) < 2 * 4000  # the driver holds one round
+    for round_bytes in (4000, 10**7):  # with one round, queries of both lengths meet in it
+        got = vector_blocks.search(blocks, index, is_query, 5, query_rows=7, round_bytes=round_bytes).collect()
+        assert sorted(tuple(r) for r in got) == exact(rows, 2, 5, True)
+
+
+def test_bit_sliced_tells_queries_of_different_lengths_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 + i % 3).tolist(), "c") for i in range(90)]
+    got = bit_sliced.top_k(spark.createDataFrame(rows, VECTORS), every=1, k=2).collect()
+    assert sorted(tuple(r) for r in got) == exact(rows, 1, 2, True)
+
+
+def test_adder_adds_bitmaps_by_position():
+    rng = np.random.default_rng(3)
+    adder, want = bit_sliced.Adder(), np.zeros(64, object)
+    for at in [2, *rng.integers(2, 9, 200)]:
+        bits = rng.integers(0, 2, 64, dtype=np.uint8)
+        adder.add(int(at), np.packbits(bits, bitorder="little").view(np.uint64))
+        want += bits.astype(int) << int(at)
+    slices = adder.slices()
+    assert slices[0] is None and slices[1] is None and all(len(bits) <= 2 for bits in adder.columns.values())
+    got = sum(np.unpackbits(s.view(np.uint8), bitorder="little").astype(int) << c for c, s in enumerate(slices) if s is not None)
+    assert (got == want).all() and bit_sliced.Adder().slices() == []
+
+
 def test_main_text(spark):
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a>menu</a></nav>
       <div class="sidebar-left"><p>side</p></div><div id=content><h2>Title &eacute;</h2><p>First\n  para &lt;b&gt; <i>x</i>.</p>
