@@ -27,6 +27,8 @@ PIVOTS = 256
 PREFIX = 64
 #: Part of a block that is reranked, with all ties at its edge.
 RERANKED = 0.3
+#: Queries whose products with a block are taken at once.
+TOGETHER = 64
 
 
 def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -78,9 +80,9 @@ class PermutationIndex:
         posted = [slice(lists[p], lists[p + 1]) for p in order]
         rows = np.concatenate([block["rows"][s] for s in posted])
         theirs = np.concatenate([block["places"][s] for s in posted])
-        mine = np.repeat(np.arange(prefix), [s.stop - s.start for s in posted])
-        saved = (prefix - mine) + (prefix - theirs) - np.abs(mine - theirs)
-        return prefix * (prefix + 1) - np.bincount(rows, saved, minlength=len(block["ids"]))
+        mine = np.repeat(np.arange(prefix, dtype=np.int32), lists[order + 1] - lists[order])
+        saved = prefix - np.maximum(mine, theirs)  # half of (prefix - mine) + (prefix - theirs) - |mine - theirs|
+        return prefix * (prefix + 1) - 2 * np.bincount(rows, saved, minlength=len(block["ids"]))
 
     def best(self, block: dict, queries: dict, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(block["ids"])
@@ -88,13 +90,15 @@ class PermutationIndex:
         scores = np.full((len(own), k), -np.inf)
         take = min(n, max(k + 1, int(np.ceil(self.reranked * n))))
         for q, order in enumerate(queries["orders"]):
+            if q % TOGETHER == 0:
+                near = queries["vectors"][q:q + TOGETHER] @ block["vectors"].T
             far = self.footrule(block, order)
             rows = np.flatnonzero(far <= np.partition(far, take - 1)[take - 1])
             rows = rows[rows != own[q]]
             query = queries["vectors"][q]
             # any order of summing n products errs by less than n units of rounding of the sum of their sizes
             error = 4 * len(query) * np.finfo(float).eps * block["longest"] * np.linalg.norm(query)
-            rows = rows[candidates(block["vectors"][rows] @ query, error, k)]
+            rows = rows[candidates(near[q % TOGETHER, rows], error, k)]
             exact = inner(block["vectors"][rows], query)
             got = np.lexsort((block["ids"][rows], -exact))[:k]
             ids[q, :len(got)], scores[q, :len(got)] = block["ids"][rows[got]], exact[got]
